@@ -30,18 +30,21 @@ def _customer_key(col: str) -> Column:
 class Warehouse:
     """Lazy warehouse tables over one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, orders: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, orders: DataFrame | None = None,
+                 events: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._orders = orders
+        self._given = {"orders": orders, "events": events}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A source table, or the stream given in its place."""
+        given = self._given.get(name)
+        return given if given is not None else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def transactions(self) -> DataFrame:
-        orders = self._orders if self._orders is not None else self.raw("orders")
-        customer, nation, region = self.raw("customer"), self.raw("nation"), self.raw("region")
+        orders, customer = self.raw("orders"), self.raw("customer")
+        nation, region = self.raw("nation"), self.raw("region")
         first_supplier = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("suppkey"))
         joined = (
             orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))

@@ -19,20 +19,25 @@ from riskloom.operators.joins import (
     join_customer_fanout, join_merchant_3way, join_txn_assessment, json_lateral)
 from riskloom.operators.relational import lookback_filter, time_range_filter, win_lag, win_row_number_topn, win_total_share
 
-HIGH, MEDIUM, LOW = (F.col("risk_level") == level for level in ("HIGH", "MEDIUM", "LOW"))
-BLOCKED = F.col("recommended_action") == "BLOCK"
+
+def is_level(level: str) -> Column:
+    return F.col("risk_level") == level
+
+
+def is_blocked() -> Column:
+    return F.col("recommended_action") == "BLOCK"
 
 
 def assessment_counts() -> list[Column]:
     """The roll-up columns shared by the dashboard, the daily summary and the streams."""
     return [
         F.count(F.lit(1)).alias("total_assessments"),
-        F.count_if(HIGH).alias("high_risk_count"),
-        F.count_if(MEDIUM).alias("medium_risk_count"),
-        F.count_if(LOW).alias("low_risk_count"),
+        F.count_if(is_level("HIGH")).alias("high_risk_count"),
+        F.count_if(is_level("MEDIUM")).alias("medium_risk_count"),
+        F.count_if(is_level("LOW")).alias("low_risk_count"),
         F.avg("risk_score").alias("avg_risk_score"),
         F.avg("processing_time_ms").alias("avg_processing_time"),
-        F.count_if(BLOCKED).alias("blocked_transactions"),
+        F.count_if(is_blocked()).alias("blocked_transactions"),
     ]
 
 
@@ -73,7 +78,7 @@ def q03_geographic(transactions: DataFrame, assessments: DataFrame, as_of=None,
     grouped = join_txn_assessment(recent, assessments).groupBy(*place).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.avg("risk_score").alias("avg_risk"),
-        F.count_if(HIGH).alias("high_risk_count"),
+        F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
         F.count_distinct("customer_id").alias("unique_customers"),
@@ -98,11 +103,11 @@ def q04_merchant(merchants: DataFrame, transactions: DataFrame, assessments: Dat
     grouped = join_merchant_3way(merchants, recent, assessments).groupBy(*who).agg(
         F.count("transaction_id").alias("transaction_count"),
         F.avg("risk_score").alias("avg_risk"),
-        F.count_if(HIGH).alias("high_risk_count"),
+        F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
         F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_if(BLOCKED).alias("blocked_transactions"),
+        F.count_if(is_blocked()).alias("blocked_transactions"),
     ).filter(F.col("transaction_count") >= min_transactions)
     return grouped.orderBy(F.desc_nulls_first("avg_risk"), F.desc("transaction_count"), "merchant_id").select(
         *who, "transaction_count",
@@ -124,7 +129,7 @@ def q05_time_patterns(transactions: DataFrame, assessments: DataFrame, as_of=Non
     ).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.avg("risk_score").alias("avg_risk"),
-        F.count_if(HIGH).alias("high_risk_count"),
+        F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
     )
@@ -200,7 +205,7 @@ def q09_score_distribution(assessments: DataFrame, as_of=None, days: float = 7)
     buckets = recent.groupBy(score_bucket("risk_score").alias("risk_score_bucket")).agg(
         F.count(F.lit(1)).alias("assessment_count"),
         F.avg("processing_time_ms").alias("mean_ms"),
-        F.count_if(BLOCKED).alias("blocked_count"),
+        F.count_if(is_blocked()).alias("blocked_count"),
     )
     return win_total_share(buckets, "assessment_count", "percentage").select(
         "risk_score_bucket", "assessment_count", "percentage",
