@@ -51,7 +51,7 @@ SELECT transaction_id, amount, customer_age, risk_score, array_to_string(list_fi
     CASE WHEN amount > 0 THEN NULL ELSE 'amount_positive' END,
     CASE WHEN customer_age >= 18 AND customer_age <= 100 THEN NULL ELSE 'age_in_range' END,
     CASE WHEN amount <= 1000000 THEN NULL ELSE 'amount_within_limit' END,
-    CASE WHEN risk_score >= 0 AND risk_score <= 1 THEN NULL ELSE 'score_in_range' END], x -> x IS NOT NULL), ',') AS violations
+    CASE WHEN risk_score >= 0 AND risk_score <= 1 THEN NULL ELSE 'score_in_range' END], lambda x: x IS NOT NULL), ',') AS violations
 FROM (SELECT d.*, s.risk_score FROM transactions_dirty d JOIN scored s ON d.transaction_id = s.transaction_id) v
 WHERE NOT COALESCE(amount > 0 AND customer_age >= 18 AND customer_age <= 100 AND amount <= 1000000 AND risk_score >= 0 AND risk_score <= 1, FALSE)""",
     "request_required": """
@@ -80,7 +80,7 @@ SELECT t.transaction_id, m.merchant_id, m.merchant_name, m.merchant_category, t.
 FROM merchants m JOIN transactions t ON m.merchant_id = t.merchant_id JOIN risk_assessments a ON t.transaction_id = a.transaction_id""",
     "join_customer_fanout": f"""
 SELECT customer_id, customer_segment, total_assessments, ROUND(avg_risk_score, 6) AS avg_risk_score, max_risk_score,
-  ROUND(risk_score_stddev, 6) AS risk_score_stddev, high_risk_count, blocked_count, ROUND(total_amount, 4) AS total_amount,
+  ROUND(risk_score_stddev, 6) AS risk_score_stddev, high_risk_count, blocked_count, ROUND(total_amount, 6) AS total_amount,
   ROUND(avg_amount, 6) AS avg_amount, unique_merchants, unique_countries, last_transaction, first_transaction,
   CAST(customer_lifespan_days AS BIGINT) AS customer_lifespan_days FROM ({PROFILE}) p""",
     "join_customer_features": """
@@ -112,7 +112,7 @@ FROM (SELECT model_id, feature_importance, UNNEST(json_keys(feature_importance))
 _HIGHS = "COUNT(CASE WHEN risk_level = 'HIGH' THEN 1 END)"
 AGGREGATES = {
     "agg_basic": """
-SELECT location_country, COUNT(*) AS n, COUNT(customer_age) AS n_age, ROUND(SUM(amount), 4) AS sum_amount, ROUND(AVG(amount), 6) AS avg_amount,
+SELECT location_country, COUNT(*) AS n, COUNT(customer_age) AS n_age, ROUND(SUM(amount), 6) AS sum_amount, ROUND(AVG(amount), 6) AS avg_amount,
   MIN(amount) AS min_amount, MAX(amount) AS max_amount FROM transactions GROUP BY 1""",
     "agg_conditional_count": f"SELECT customer_id, {COUNTS} FROM risk_assessments GROUP BY 1",
     "agg_distinct": "SELECT location_region, COUNT(DISTINCT customer_id) AS customers, COUNT(DISTINCT merchant_id) AS merchants, COUNT(DISTINCT location) AS locations FROM transactions GROUP BY 1",
@@ -120,14 +120,14 @@ SELECT location_country, COUNT(*) AS n, COUNT(customer_age) AS n_age, ROUND(SUM(
     "agg_ratio": f"SELECT customer_id, {pct(_HIGHS, 'COUNT(*)')} AS high_risk_percentage FROM risk_assessments GROUP BY 1",
     "agg_having": "SELECT customer_id, COUNT(*) AS n FROM transactions GROUP BY 1 HAVING COUNT(*) >= 10",
     "agg_two_level": """
-SELECT customer_segment, COUNT(*) AS customers, ROUND(AVG(n), 6) AS avg_transactions, ROUND(AVG(total), 4) AS avg_total
+SELECT customer_segment, COUNT(*) AS customers, ROUND(AVG(n), 6) AS avg_transactions, ROUND(AVG(total), 6) AS avg_total
 FROM (SELECT c.customer_id, c.customer_segment, COUNT(*) AS n, SUM(t.amount) AS total FROM customers c JOIN transactions t ON c.customer_id = t.customer_id GROUP BY 1, 2) p
 GROUP BY 1""",
     "agg_group_expr": f"""
 SELECT DATE_TRUNC('month', transaction_timestamp) AS "month", {HOUR} AS "hour", CASE WHEN amount > 10000 THEN 'LARGE' ELSE 'SMALL' END AS size, COUNT(*) AS n
 FROM transactions GROUP BY 1, 2, 3""",
     "customer_features": """
-SELECT customer_id, COUNT(*) AS total_transactions, ROUND(SUM(amount), 4) AS total_amount, ROUND(AVG(amount), 6) AS avg_amount, MAX(amount) AS max_amount,
+SELECT customer_id, COUNT(*) AS total_transactions, ROUND(SUM(amount), 6) AS total_amount, ROUND(AVG(amount), 6) AS avg_amount, MAX(amount) AS max_amount,
   MIN(amount) AS min_amount, ROUND(STDDEV(amount), 6) AS amount_std, COUNT(DISTINCT merchant_id) AS unique_merchants, COUNT(DISTINCT location) AS unique_locations
 FROM transactions GROUP BY 1""",
     "location_features": "SELECT location, COUNT(*) AS location_transaction_count, ROUND(AVG(amount), 6) AS location_avg_amount FROM transactions GROUP BY 1",
@@ -154,7 +154,7 @@ SELECT transaction_id, location_city, amount, rank FROM (
     "win_total_share": f"SELECT payment_method, n, {pct('n', 'total')} AS share FROM (SELECT payment_method, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM transactions GROUP BY 1) s",
     "win_global_stats": """
 SELECT transaction_id, ROUND((amount - AVG(amount) OVER ()) / STDDEV(amount) OVER (), 6) AS amount_zscore FROM transactions""",
-    "sort_multi": "SELECT location_country, payment_method, n, amount FROM (SELECT location_country, payment_method, COUNT(*) AS n, ROUND(SUM(amount), 4) AS amount FROM transactions GROUP BY 1, 2) s ORDER BY n DESC, location_country",
+    "sort_multi": "SELECT location_country, payment_method, n, amount FROM (SELECT location_country, payment_method, COUNT(*) AS n, ROUND(SUM(amount), 6) AS amount FROM transactions GROUP BY 1, 2) s ORDER BY n DESC, location_country",
     "top_locations": """
 SELECT location, transaction_count, ROUND(avg_risk_score, 6) AS avg_risk_score FROM (
   SELECT location, COUNT(*) AS transaction_count, AVG(risk_score) AS avg_risk_score FROM scored WHERE location IS NOT NULL GROUP BY 1
@@ -192,7 +192,7 @@ FROM (SELECT model_id, feature_importance, UNNEST(json_keys(feature_importance))
     "map_array_features": f"""
 SELECT transaction_id, amount, {HOUR}::DOUBLE AS hour, CAST(customer_age AS DOUBLE) AS customer_age, CASE WHEN customer_age IS NULL THEN 3 ELSE 6 END AS n_features,
   array_to_string(list_filter([CASE WHEN {NIGHT} THEN 'NIGHT' END, CASE WHEN {WEEKEND} THEN 'WEEKEND' END, CASE WHEN customer_age < 25 THEN 'YOUNG' END,
-    CASE WHEN customer_age > 65 THEN 'SENIOR' END], x -> x IS NOT NULL), ',') AS flags
+    CASE WHEN customer_age > 65 THEN 'SENIOR' END], lambda x: x IS NOT NULL), ',') AS flags
 FROM transactions""",
 }
 
@@ -207,7 +207,7 @@ SCORING = {
     "rules_max_service": f"""
 SELECT transaction_id, {floors('base_score', True)} AS risk_score, array_to_string(list_filter([CASE WHEN amount > 10000 THEN 'HIGH_AMOUNT_THRESHOLD' END,
   CASE WHEN customer_id LIKE 'NEW%' THEN 'NEW_CUSTOMER' END, CASE WHEN {HOUR} < 6 OR {HOUR} > 22 THEN 'UNUSUAL_TIME' END,
-  CASE WHEN location LIKE '%HIGH_RISK%' THEN 'HIGH_RISK_LOCATION' END], x -> x IS NOT NULL), ',') AS rules
+  CASE WHEN location LIKE '%HIGH_RISK%' THEN 'HIGH_RISK_LOCATION' END], lambda x: x IS NOT NULL), ',') AS rules
 FROM (SELECT transaction_id, amount, customer_id, location, transaction_timestamp, base_score FROM scored) s""",
     "rules_additive": f"SELECT transaction_id, ROUND({ADD_ENGINE}, 9) AS risk_score FROM transactions",
     "rules_additive_gateway": f"SELECT transaction_id, ROUND({ADD_GATEWAY}, 9) AS risk_score FROM transactions",
@@ -230,7 +230,7 @@ SELECT location, CASE WHEN n < 10 THEN 0.8::DOUBLE WHEN n < 100 THEN 0.5::DOUBLE
 FROM (SELECT location, COUNT(*) AS n FROM transactions GROUP BY 1) s""",
     "decision_path": f"""
 SELECT transaction_id, array_to_string(list_filter([CASE WHEN amount > 10000 THEN 'High amount detected' END, CASE WHEN {NIGHT} THEN 'Transaction during night hours' END,
-  CASE WHEN {WEEKEND} THEN 'Weekend transaction' END, 'Final risk score: ' || printf('%.3f', risk_score)], x -> x IS NOT NULL), ' | ') AS decision_path
+  CASE WHEN {WEEKEND} THEN 'Weekend transaction' END, 'Final risk score: ' || printf('%.3f', risk_score)], lambda x: x IS NOT NULL), ' | ') AS decision_path
 FROM (SELECT transaction_id, amount, transaction_timestamp, round(risk_score * 1000) / 1000 AS risk_score FROM scored) s""",
     "score_batch": f"""
 SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, confidence, rules, risk_level, {_ACTION4} AS recommended_action FROM (
@@ -315,7 +315,7 @@ def _reg(m: str) -> str:
 MODELS = {
     "feature_matrix": _FEATURE_ROWS,
     "engineer_features": f"""
-SELECT s.transaction_id, c.n AS total_transactions, ROUND(c.s, 4) AS total_amount, ROUND(c.sd, 6) AS amount_std, c.m AS unique_merchants, c.l AS unique_locations,
+SELECT s.transaction_id, c.n AS total_transactions, ROUND(c.s, 6) AS total_amount, ROUND(c.sd, 6) AS amount_std, c.m AS unique_merchants, c.l AS unique_locations,
   ROUND(s.amount / NULLIF(c.a, 0), 6) AS amount_ratio, l.n AS location_transaction_count, CASE WHEN l.n < 10 THEN 0.8::DOUBLE WHEN l.n < 100 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS location_risk_score,
   {HOUR} AS hour, {DOW} + 1 AS day_of_week
 FROM transactions s JOIN (SELECT customer_id, COUNT(*) AS n, SUM(amount) AS s, AVG(amount) AS a, STDDEV(amount) AS sd, COUNT(DISTINCT merchant_id) AS m, COUNT(DISTINCT location) AS l
@@ -334,7 +334,7 @@ FROM (SELECT *, {NAIVE} AS risk_score FROM f) s WHERE amount > 0 AND customer_ag
     "model_comparison": f"SELECT model, rmse, r_squared FROM ({' UNION ALL '.join(map(_reg, ('model_a', 'model_b', 'model_c')))}) m",
     "prediction_vs_actual": f"SELECT label AS actual, model_a AS predicted FROM ({_PRED}) p",
     "ensemble_weighted": f"""
-SELECT transaction_id, ROUND(p, 9) AS ensemble_probability, CAST(ROUND(p, 12) > 0.5 AS INTEGER) AS ensemble_prediction FROM (
+SELECT transaction_id, ROUND(p, 9) AS ensemble_probability, CAST(ROUND(p, 8) > 0.5 AS INTEGER) AS ensemble_prediction FROM (
   SELECT transaction_id, (0.4 * model_a + 0.3 * model_b + 0.3 * model_c) / 1.0 AS p FROM ({_PRED}) q) s""",
     "ensemble_mean": f"SELECT transaction_id, ROUND((model_a + model_b + model_c) / 3, 9) AS ensemble FROM ({_PRED}) q",
     "auc_exact": """
@@ -355,7 +355,7 @@ SELECT model_name, model_version, ROUND(accuracy, 6) AS accuracy, created_at, CO
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model_name ORDER BY created_at DESC, model_version DESC) AS r FROM model_performance) s WHERE r = 1""",
     "drift_psi": f"""
 WITH e AS (SELECT {_PSI_EDGES} AS edges),
-r AS (SELECT CASE WHEN transaction_timestamp < TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS is_base, len(list_filter(edges, x -> x < amount)) AS bin FROM transactions, e)
+r AS (SELECT CASE WHEN transaction_timestamp < TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS is_base, len(list_filter(edges, lambda x: x < amount)) AS bin FROM transactions, e)
 SELECT CAST(bin AS INTEGER) AS bin, ROUND(a, 6) AS base_share, ROUND(b, 6) AS current_share, ROUND((b - a) * ln(b / a), 6) AS psi FROM (
   SELECT bin, greatest(SUM(is_base) / (SELECT SUM(is_base) FROM r), 1e-6) AS a, greatest(SUM(1 - is_base) / (SELECT SUM(1 - is_base) FROM r), 1e-6) AS b FROM r GROUP BY bin) s""",
     "shap_linear": """
@@ -381,9 +381,8 @@ g AS (SELECT i, lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 63 AS x FROM ra
 SELECT CAST(i AS INTEGER) AS i, ROUND(x, 6) AS x, ROUND(SUM(n * exp(-0.5 * pow((x - (lo + (bin + 0.5) * (hi - lo) / 1000)) / h, 2)) / sqrt(2 * pi()) / (total * h)), 9) AS density
 FROM g, c, p GROUP BY i, x""",
     "correlation_matrix": " UNION ALL ".join(
-        f"SELECT '{a}' AS var1, '{b}' AS var2, " + ("1.0::DOUBLE" if a == b else f"ROUND(corr({a}, {b}), 6)")
+        f"SELECT '{a}' AS var1, '{b}' AS var2, " + ("MAX(1.0::DOUBLE)" if a == b else f"ROUND(corr({a}, {b}), 6)")
         + " AS value FROM scored WHERE amount IS NOT NULL AND customer_age IS NOT NULL AND risk_score IS NOT NULL"
-        + (" GROUP BY ALL" if a == b else "")
         for a in ("amount", "customer_age", "risk_score") for b in ("amount", "customer_age", "risk_score")),
     "time_series": """
 SELECT period, n, ROUND(value, 6) AS value, ROUND(AVG(value) OVER (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smoothed

@@ -123,7 +123,7 @@ def with_views(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    body = body.strip()
+    body = half_up(body.strip())
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in needed]
     if not ctes:
         return body
@@ -134,6 +134,30 @@ def with_views(body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+def half_up(sql: str) -> str:
+    """Rewrite ``ROUND(x, n)`` to round a decimal, as the DECIMAL columns of the warehouse do.
+
+    Eight digits are kept first on both sides, which removes the noise of binary sums before ties are decided.
+    """
+    start = sql.find("ROUND(")
+    if start < 0:
+        return sql
+    depth, at, comma = 0, start + len("ROUND("), -1
+    while True:
+        ch = sql[at]
+        if ch in "([":
+            depth += 1
+        elif ch in ")]" and depth == 0:
+            break
+        elif ch in ")]":
+            depth -= 1
+        elif ch == "," and depth == 0:
+            comma = at
+        at += 1
+    inner, digits = half_up(sql[start + len("ROUND("):comma]), sql[comma + 1:at].strip()
+    return f"{sql[:start]}CAST(round(CAST({inner} AS DECIMAL(38, 8)), {digits}) AS DOUBLE){half_up(sql[at + 1:])}"
+
+
 def as_of(col: str, table: str) -> str:
     return f"(SELECT MAX({col}) FROM {table})"
 
@@ -146,7 +170,7 @@ RULES_ENGINE = f"""list_filter([CASE WHEN amount > 10000 THEN 'HIGH_AMOUNT_THRES
     CASE WHEN customer_id LIKE 'NEW%' THEN 'NEW_CUSTOMER' END,
     CASE WHEN {NIGHT} THEN 'UNUSUAL_TIME' END,
     CASE WHEN {WEEKEND} THEN 'WEEKEND_TRANSACTION' END,
-    CASE WHEN {AGE_OUT} THEN 'AGE_BASED_RISK' END], x -> x IS NOT NULL)"""
+    CASE WHEN {AGE_OUT} THEN 'AGE_BASED_RISK' END], lambda x: x IS NOT NULL)"""
 ADD_ENGINE = f"""least(1.0::DOUBLE, CASE WHEN amount > 10000 THEN 0.4::DOUBLE WHEN amount > 5000 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
    + CASE WHEN {NIGHT} THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {WEEKEND} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
    + CASE WHEN {AGE_OUT} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)"""

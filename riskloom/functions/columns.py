@@ -91,8 +91,13 @@ def interaction_features(amount: Column | str, age: Column | str, customer_count
     }
 
 
+def snap(x: Column | str) -> Column:
+    """Drop the noise of binary sums below eight digits, so that limits and ties decide as decimals do."""
+    return F.round(as_col(x), 8)
+
+
 def round_half_up(x: Column | str, digits: int) -> Column:
-    return F.round(as_col(x), digits)
+    return F.round(snap(x), digits)
 
 
 def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:

@@ -55,9 +55,9 @@ def shap_linear(df: DataFrame, coefficients: Mapping[str, float], id_col: str) -
     """Exact contributions of a linear score: coefficient times distance from the mean."""
     names = list(coefficients)
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in names])).scalar()
-    parts = [F.struct(F.lit(c).alias("feature"), (F.lit(float(b)) * (F.col(c) - means[c])).alias("contribution"))
+    parts = [F.struct(F.lit(c).alias("feature"), (F.lit(float(b)) * (F.col(c) - F.col("__means")[c])).alias("contribution"))
              for c, b in coefficients.items()]
-    return df.select(id_col, F.inline(F.array(*parts)))
+    return df.withColumn("__means", means).select(id_col, F.inline(F.array(*parts)))
 
 
 def _normal(*keys: Column) -> Column:
@@ -78,13 +78,13 @@ def lime_local(model: PipelineModel, rows: DataFrame, features: Sequence[str], i
     features = list(features)
     deviations = (scale if scale is not None else rows).agg(
         F.struct(*[F.coalesce(F.stddev(c), F.lit(0.0)).alias(c) for c in features])).scalar()
-    noisy = rows.select(F.col(id_col).alias("__id"), F.struct(*features).alias("__x")) \
+    noisy = rows.select(F.col(id_col).alias("__id"), F.struct(*features).alias("__x"), deviations.alias("__sd")) \
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
         .withColumns({f"__z{j}": F.when(F.col("__i") == 0, F.lit(0.0)).otherwise(
             _normal(F.col("__id"), F.col("__i"), F.lit(j), F.lit(seed))) for j in range(len(features))})
     perturbed = noisy.select(
         "__id", *[f"__z{j}" for j in range(len(features))],
-        *[(F.col("__x")[f] + F.col(f"__z{j}") * deviations[f]).alias(f) for j, f in enumerate(features)])
+        *[(F.col("__x")[f] + F.col(f"__z{j}") * F.col("__sd")[f]).alias(f) for j, f in enumerate(features)])
     z_cols = [f"__z{j}" for j in range(len(features))]
     p = vector_to_array("probability")[1]
     width = 0.75 * np.sqrt(len(features))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from riskloom.operators.ordered import exact_quantiles, running_totals, value_chunk
 
@@ -80,20 +81,19 @@ def drift_psi(base: DataFrame, current: DataFrame, col: str, bins: int = 10, sma
     Shares are floored at ``smallest`` so that an empty bin stays finite.
     """
     cuts = exact_quantiles(base, [], col, [i / bins for i in range(1, bins)])
-    edges = cuts.agg(F.array_sort(F.collect_set("quantile"))).scalar()
+    edges = cuts.agg(F.array_sort(F.collect_list("quantile"))).scalar()
     v = F.col(col).cast("double")
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        index = F.size(F.filter(edges, lambda e: e < v))
-        counts = df.filter(v.isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+        index = sum((F.when(v > F.get("__edges", F.lit(i)), 1).otherwise(0) for i in range(bins - 1)), F.lit(0))
+        counts = df.filter(v.isNotNull()).withColumn("__edges", edges).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
         return counts
 
     every = base.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     table = every.join(shares(base, "base"), "bin", "left").join(shares(current, "current"), "bin", "left").na.fill(0)
-    totals = table.agg(F.sum("base_n").alias("b"), F.sum("current_n").alias("c"))
-    total = totals.select(F.struct("b", "c")).scalar()
-    a = F.greatest(F.try_divide("base_n", total["b"]), F.lit(smallest))
-    b = F.greatest(F.try_divide("current_n", total["c"]), F.lit(smallest))
+    every_bin = Window.partitionBy()
+    a = F.greatest(F.try_divide("base_n", F.sum("base_n").over(every_bin)), F.lit(smallest))
+    b = F.greatest(F.try_divide("current_n", F.sum("current_n").over(every_bin)), F.lit(smallest))
     return table.select("bin", a.alias("base_share"), b.alias("current_share"),
                         ((b - a) * F.ln(b / a)).alias("psi"))
 

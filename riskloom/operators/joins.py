@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import days_between, json_map
+from riskloom.functions.columns import days_between, json_map, snap
 from riskloom.functions.scoring import location_risk
 
 
@@ -40,7 +40,7 @@ def join_customer_fanout(customers: DataFrame, assessments: DataFrame, transacti
         F.count(F.lit(1)).alias("n_a"),
         F.count("assessment_id").alias("n_ids"),
         F.count("risk_score").alias("n_scores"),
-        F.avg("risk_score").alias("avg_risk_score"),
+        snap(F.avg("risk_score")).alias("avg_risk_score"),
         F.max("risk_score").alias("max_risk_score"),
         F.var_samp("risk_score").alias("var_score"),
         F.count_if(F.col("risk_level") == "HIGH").alias("n_high"),

@@ -86,11 +86,11 @@ def dq_iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     fences = _fence_map(df, cols)
     outside = None
     for c in cols:
-        fence = F.try_element_at(fences, F.lit(c))
+        fence = F.try_element_at("__fences", F.lit(c))
         v = F.col(c).cast("double")
         n = F.count_if((v < fence["low_fence"]) | (v > fence["high_fence"]))
         outside = n if outside is None else outside + n
-    return df.agg(outside.alias("outliers_count"))
+    return df.withColumn("__fences", fences).agg(outside.alias("outliers_count"))
 
 
 def dq_box_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

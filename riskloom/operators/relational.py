@@ -77,8 +77,8 @@ def zscore_filter(df: DataFrame, col: str, limit: float = 3.0, two_sided: bool =
     all rows.
     """
     stats = df.agg(F.struct(F.avg(col).alias("mean"), F.stddev(col).alias("sd"))).scalar()
-    z = F.try_divide(F.col(col) - stats["mean"], stats["sd"])
-    out = df.withColumn(f"{col}_zscore", z)
+    z = F.try_divide(F.col(col) - F.col("__stats.mean"), F.col("__stats.sd"))
+    out = df.withColumn("__stats", stats).withColumn(f"{col}_zscore", z).drop("__stats")
     score = F.abs(F.col(f"{col}_zscore")) if two_sided else F.col(f"{col}_zscore")
     return out.filter(score < limit)
 

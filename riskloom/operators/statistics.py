@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,33 +14,29 @@ from riskloom.operators.ordered import exact_quantiles
 from riskloom.operators.relational import numeric_columns
 
 
-def _median(df: DataFrame, col: str):
-    return exact_quantiles(df, [], col, [0.5]).agg(F.max("quantile")).scalar()
-
-
-def _bin_counts(df: DataFrame, col: str, bins: int) -> tuple[DataFrame, object]:
+def _bin_counts(df: DataFrame, col: str, bins: int) -> tuple[DataFrame, Column]:
     """(bin, n) for equal bins over [min, max], last bin closed, and the range as a scalar struct."""
     v = F.col(col).cast("double")
     known = df.filter(v.isNotNull() & ~F.isnan(v))
     stats = known.agg(F.struct(
         F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev(v).alias("sd"),
         F.count(F.lit(1)).alias("total"))).scalar()
-    width = (stats["hi"] - stats["lo"]) / bins
-    index = F.coalesce(F.least(F.floor(F.try_divide(v - stats["lo"], width)), F.lit(bins - 1)), F.lit(0))
-    return known.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")), stats
+    width = (F.col("s.hi") - F.col("s.lo")) / bins
+    index = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("s.lo"), width)), F.lit(bins - 1)), F.lit(0))
+    counts = known.withColumn("s", stats).groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counts, stats
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Count and density of every bin, empty ones included, with the mean and the median."""
     counts, stats = _bin_counts(df, col, bins)
-    width = (stats["hi"] - stats["lo"]) / bins
+    median = exact_quantiles(df, [], col, [0.5]).agg(F.max("quantile")).scalar()
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return every.join(counts, "bin", "left").select(
-        "bin", (stats["lo"] + F.col("bin") * width).alias("lower"),
-        (stats["lo"] + (F.col("bin") + 1) * width).alias("upper"), n.alias("n"),
-        F.try_divide(n, stats["total"] * width).alias("density"),
-        stats["mean"].alias("mean"), _median(df, col).alias("median"))
+    low, high, n = F.col("s.lo"), F.col("s.hi"), F.coalesce("n", F.lit(0)).cast("bigint")
+    width = (high - low) / bins
+    return every.join(counts, "bin", "left").withColumns({"s": stats, "median": median}).select(
+        "bin", (low + F.col("bin") * width).alias("lower"), (low + (F.col("bin") + 1) * width).alias("upper"),
+        n.alias("n"), F.try_divide(n, F.col("s.total") * width).alias("density"), F.col("s.mean").alias("mean"), "median")
 
 
 def density_curve(df: DataFrame, col: str, grid: int = 512, bins: int = 1000) -> DataFrame:
@@ -50,19 +46,19 @@ def density_curve(df: DataFrame, col: str, grid: int = 512, bins: int = 1000) ->
     rows there are. The bandwidth is the usual 0.9 * min(sd, IQR / 1.34) * n^(-1/5).
     """
     counts, stats = _bin_counts(df, col, bins)
-    quartiles = exact_quantiles(df, [], col, [0.25, 0.75]).agg(
-        (F.max("quantile") - F.min("quantile"))).scalar()
-    spread = F.least(stats["sd"], F.nullif(quartiles / 1.34, F.lit(0.0)))
-    bandwidth = 0.9 * spread * F.pow(stats["total"].cast("double"), F.lit(-0.2))
-    frame = counts.withColumns({"lo": stats["lo"], "hi": stats["hi"], "total": stats["total"], "h": bandwidth})
-    centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    start, stop = F.col("lo") - 3 * F.col("h"), F.col("hi") + 3 * F.col("h")
-    points = frame.withColumn("centre", centre).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))) \
-        .withColumn("x", start + F.col("i") * (stop - start) / (grid - 1))
-    u = (F.col("x") - F.col("centre")) / F.col("h")
+    iqr = exact_quantiles(df, [], col, [0.25, 0.75]).agg(F.max("quantile") - F.min("quantile")).scalar()
+    low, high, h = F.col("s.lo"), F.col("s.hi"), F.col("h")
+    spread = F.least(F.col("s.sd"), F.nullif(F.col("iqr") / 1.34, F.lit(0.0)))
+    frame = counts.withColumns({"s": stats, "iqr": iqr}).withColumn(
+        "h", 0.9 * spread * F.pow(F.col("s.total").cast("double"), F.lit(-0.2)))
+    centre = low + (F.col("bin") + 0.5) * (high - low) / bins
+    step = (high - low + 6 * h) / (grid - 1)
+    points = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))) \
+        .withColumns({"x": low - 3 * h + F.col("i") * step, "centre": centre})
+    u = (F.col("x") - F.col("centre")) / h
     kernel = F.exp(-0.5 * u * u) / F.sqrt(2 * F.pi())
     return points.groupBy("i").agg(
-        F.max("x").alias("x"), F.sum(F.col("n") * kernel / (F.col("total") * F.col("h"))).alias("density"))
+        F.max("x").alias("x"), F.sum(F.col("n") * kernel / (F.col("s.total") * h)).alias("density"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -112,8 +108,8 @@ def score_summary(df: DataFrame, col: str) -> DataFrame:
     return df.agg(
         F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"),
         F.stddev(v).alias("sd"), F.variance(v).alias("variance"),
-    ).withColumns({name: F.try_element_at(quartiles, F.lit(q)) for name, q in
-                   (("q1", 0.25), ("median", 0.5), ("q3", 0.75))})
+    ).withColumn("__q", quartiles).select("*", *[F.try_element_at("__q", F.lit(q)).alias(name) for name, q in
+                   (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]).drop("__q")
 
 
 def model_comparison(metrics: DataFrame) -> DataFrame:

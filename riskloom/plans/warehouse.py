@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import (
-    case_day_name, coalesce_delta, day_of_week, percent, round_half_up, score_bucket)
+    case_day_name, coalesce_delta, day_of_week, percent, round_half_up, score_bucket, snap)
 from riskloom.functions.scoring import risk_level
 from riskloom.operators.joins import (
     join_customer_fanout, join_merchant_3way, join_txn_assessment, json_lateral)
@@ -77,7 +77,7 @@ def q03_geographic(transactions: DataFrame, assessments: DataFrame, as_of=None,
     place = ["location_country", "location_region", "location_city"]
     grouped = join_txn_assessment(recent, assessments).groupBy(*place).agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.avg("risk_score").alias("avg_risk"),
+        snap(F.avg("risk_score")).alias("avg_risk"),
         F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
@@ -102,7 +102,7 @@ def q04_merchant(merchants: DataFrame, transactions: DataFrame, assessments: Dat
     who = ["merchant_id", "merchant_name", "merchant_category", "merchant_country"]
     grouped = join_merchant_3way(merchants, recent, assessments).groupBy(*who).agg(
         F.count("transaction_id").alias("transaction_count"),
-        F.avg("risk_score").alias("avg_risk"),
+        snap(F.avg("risk_score")).alias("avg_risk"),
         F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
@@ -128,7 +128,7 @@ def q05_time_patterns(transactions: DataFrame, assessments: DataFrame, as_of=Non
         day_of_week("transaction_timestamp").alias("dow"),
     ).agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.avg("risk_score").alias("avg_risk"),
+        snap(F.avg("risk_score")).alias("avg_risk"),
         F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),

@@ -43,7 +43,7 @@ def rounded(df: DataFrame, digits: int = 6, cols: Sequence[str] | None = None, *
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType) and (cols is None or f.name in cols or f.name in special):
-            out[f.name] = F.round(f.name, special.get(f.name, digits))
+            out[f.name] = C.round_half_up(f.name, special.get(f.name, digits))
     return df.withColumns(out) if out else df
 
 
@@ -225,7 +225,7 @@ def daily_summary_mv(w):
 def refresh_daily_summary(w):
     path = scratch_path(w.spark, "daily")
     writers.refresh_daily_summary(w.risk_assessments, w.risk_assessments, path)
-    return rounded(w.spark.read.parquet(path))
+    return rounded(w.spark.read.parquet(path).drop("assessment_month"))
 
 
 def dashboard_messages(w: Warehouse) -> DataFrame:
@@ -358,7 +358,7 @@ def join_customer_fanout(w):
     recent = R.lookback_filter(w.risk_assessments, "assessment_timestamp", 365)
     profile = J.join_customer_fanout(w.customers, recent, w.transactions)
     return rounded(profile.withColumn("customer_lifespan_days", F.col("customer_lifespan_days").cast("bigint")),
-                   cols=["avg_risk_score", "risk_score_stddev", "avg_amount"], total_amount=4)
+                   cols=["avg_risk_score", "risk_score_stddev", "avg_amount"], total_amount=6)
 
 
 @query
@@ -377,7 +377,7 @@ def join_location_features(w):
 
 @query
 def lookup_left(w):
-    dim = w.transactions.groupBy("location").agg(F.round(F.avg("amount"), 6).alias("location_avg_amount"))
+    dim = w.transactions.groupBy("location").agg(C.round_half_up(F.avg("amount"), 6).alias("location_avg_amount"))
     return J.lookup_left(w.transactions.select("transaction_id", "location"), dim, "location")
 
 
@@ -413,7 +413,7 @@ def json_lateral(w):
 def agg_basic(w):
     return w.transactions.groupBy("location_country").agg(
         F.count(F.lit(1)).alias("n"), F.count("customer_age").alias("n_age"),
-        F.round(F.sum("amount"), 4).alias("sum_amount"), F.round(F.avg("amount"), 6).alias("avg_amount"),
+        C.round_half_up(F.sum("amount"), 6).alias("sum_amount"), C.round_half_up(F.avg("amount"), 6).alias("avg_amount"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"))
 
 
@@ -432,7 +432,7 @@ def agg_distinct(w):
 @query
 def agg_stddev_var(w):
     return w.transactions.groupBy("customer_id").agg(
-        F.round(F.stddev("amount"), 6).alias("sd"), F.round(F.variance("amount"), 3).alias("var"))
+        C.round_half_up(F.stddev("amount"), 6).alias("sd"), C.round_half_up(F.variance("amount"), 3).alias("var"))
 
 
 @query
@@ -451,8 +451,8 @@ def agg_two_level(w):
     per_customer = w.transactions.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
     return w.customers.join(per_customer, "customer_id").groupBy("customer_segment").agg(
-        F.count(F.lit(1)).alias("customers"), F.round(F.avg("n"), 6).alias("avg_transactions"),
-        F.round(F.avg("total"), 4).alias("avg_total"))
+        F.count(F.lit(1)).alias("customers"), C.round_half_up(F.avg("n"), 6).alias("avg_transactions"),
+        C.round_half_up(F.avg("total"), 6).alias("avg_total"))
 
 
 @query
@@ -466,7 +466,7 @@ def agg_group_expr(w):
 
 @query
 def customer_features(w):
-    return rounded(R.customer_features(w.transactions), cols=["avg_amount", "amount_std"], total_amount=4)
+    return rounded(R.customer_features(w.transactions), cols=["avg_amount", "amount_std"], total_amount=6)
 
 
 @query
@@ -524,7 +524,7 @@ def win_global_stats(w):
 @query
 def sort_multi(w):
     grouped = w.transactions.groupBy("location_country", "payment_method").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"))
+        F.count(F.lit(1)).alias("n"), C.round_half_up(F.sum("amount"), 6).alias("amount"))
     return R.sort_multi(grouped, F.desc("n"), F.asc("location_country"))
 
 
@@ -811,7 +811,7 @@ def feature_matrix(w):
 def engineer_features(w):
     return rounded(FE.engineer_features(w.transactions).select(
         "transaction_id", "total_transactions", "total_amount", "amount_std", "unique_merchants", "unique_locations",
-        "amount_ratio", "location_transaction_count", "location_risk_score", "hour", "day_of_week"), total_amount=4)
+        "amount_ratio", "location_transaction_count", "location_risk_score", "hour", "day_of_week"), total_amount=6)
 
 
 @query
@@ -858,7 +858,7 @@ def prediction_vs_actual(w):
 @query
 def ensemble_weighted(w):
     out = ensemble.ensemble_weighted(member_predictions(w), dict(zip(MEMBERS, ensemble.DEFAULT_WEIGHTS)))
-    exact = out.withColumn("ensemble_prediction", (F.round("ensemble_probability", 12) > 0.5).cast("int"))
+    exact = out.withColumn("ensemble_prediction", (C.snap("ensemble_probability") > 0.5).cast("int"))
     return rounded(exact.select("transaction_id", "ensemble_probability", "ensemble_prediction"), 9)
 
 
@@ -1012,7 +1012,7 @@ def stream_daily_summary(w):
     target = scratch_path(w.spark, "daily-stream")
     summary = jobs.stream_daily_summary(streaming(w).risk_assessments)
     jobs.write_daily_summary(summary, f"{target}/table", f"{target}/checkpoint", trigger=None).awaitTermination()
-    return rounded(w.spark.read.parquet(f"{target}/table"))
+    return rounded(jobs.read_daily_summary(w.spark, f"{target}/table"))
 
 
 @query

@@ -59,10 +59,17 @@ def daily_summary_mv(assessments: DataFrame) -> DataFrame:
 
 def refresh_daily_summary(assessments: DataFrame, changed: DataFrame, path: str,
                           ts: str = "assessment_timestamp") -> None:
-    """Recompute only the days touched by ``changed`` and overwrite their partitions."""
-    days = changed.select(F.to_date(ts).alias("__day")).distinct()
-    touched = assessments.withColumn("__day", F.to_date(ts)).join(days, "__day", "left_semi").drop("__day")
-    write_overwrite(daily_summary_mv(touched), path, ["assessment_date"])
+    """Recompute only the months touched by ``changed`` and overwrite their partitions.
+
+    A day is one row, so months keep the files from becoming tiny.
+    """
+    def month(col: str):
+        return F.date_trunc("month", col).cast("date")
+
+    months = changed.select(month(ts).alias("__month")).distinct()
+    touched = assessments.withColumn("__month", month(ts)).join(months, "__month", "left_semi").drop("__month")
+    summary = daily_summary_mv(touched).withColumn("assessment_month", month("assessment_date"))
+    write_overwrite(summary.repartition("assessment_month"), path, ["assessment_month"])
 
 
 def table_layout(df: DataFrame, path: str, ts: str, sort_by: Sequence[str] = ("customer_id",), by: str = "day",

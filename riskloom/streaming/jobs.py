@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -55,20 +55,25 @@ def stream_daily_summary(df: DataFrame, watermark: str = "1 day", ts: str = "ass
 
 
 def write_daily_summary(summary: DataFrame, path: str, checkpoint: str, trigger: str | None = "10 seconds") -> StreamingQuery:
-    """Maintain the daily table: every micro-batch overwrites the days it changed.
+    """Maintain the daily table: every micro-batch writes the days it changed under its own number.
 
-    Runs in update mode, so a changed day arrives with its full totals and a replayed micro-batch
-    writes the same partitions again.
+    In update mode a changed day arrives with its full totals. A replayed micro-batch overwrites its own
+    partition, so restarts leave the table as it was; ``read_daily_summary`` picks the newest row per day.
     """
-    def overwrite_days(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("assessment_date").parquet(path)
+    def write_changes(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(overwrite_days)
+    writer = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_changes)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     return writer.start()
 
 
+def read_daily_summary(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("batch", "assessment_date")]), "batch")
+    return rows.groupBy("assessment_date").agg(newest.alias("row")).select("assessment_date", "row.*")
+
+
 def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str = "1 day", watermark: str = "1 day",
                             ts: str = "transaction_timestamp") -> DataFrame:
     """Customer counts and averages over sliding windows of event time."""
