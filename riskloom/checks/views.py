@@ -155,7 +155,7 @@ def half_up(sql: str) -> str:
             comma = at
         at += 1
     inner, digits = half_up(sql[start + len("ROUND("):comma]), sql[comma + 1:at].strip()
-    return f"{sql[:start]}CAST(round(CAST({inner} AS DECIMAL(38, 8)), {digits}) AS DOUBLE){half_up(sql[at + 1:])}"
+    return f"{sql[:start]}CAST(round(CAST(round({inner}, 8) AS DECIMAL(38, 8)), {digits}) AS DOUBLE){half_up(sql[at + 1:])}"
 
 
 def as_of(col: str, table: str) -> str:

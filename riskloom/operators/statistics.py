@@ -22,7 +22,7 @@ def _bin_counts(df: DataFrame, col: str, bins: int) -> tuple[DataFrame, Column]:
         F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev(v).alias("sd"),
         F.count(F.lit(1)).alias("total"))).scalar()
     width = (F.col("s.hi") - F.col("s.lo")) / bins
-    index = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("s.lo"), width)), F.lit(bins - 1)), F.lit(0))
+    index = F.least(F.coalesce(F.floor(F.try_divide(v - F.col("s.lo"), width)), F.lit(0)), F.lit(bins - 1))
     counts = known.withColumn("s", stats).groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return counts, stats
 

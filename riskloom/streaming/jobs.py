@@ -33,7 +33,11 @@ def stream_score(df: DataFrame, profile: Profile | str = "naive", ts: str = "tim
 
 
 def stream_dedup_ttl(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes") -> DataFrame:
-    """Drop repeats of an id within ``ttl`` of event time; state older than that is released."""
+    """Drop repeats of an id within ``ttl`` of event time.
+
+    An id is remembered until the watermark is ``ttl`` past its first row and the next micro-batch has run;
+    repeats after that pass again.
+    """
     return event_time(df, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([id_col])
 
 
