@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,33 @@ from riskloom.functions.columns import age_features, amount_transforms, calendar
 from riskloom.operators.joins import join_customer_features, join_location_features, lookup_left
 from riskloom.operators.relational import customer_features, location_features
 from riskloom.operators.temporal import trailing_features
+from riskloom.session import scratch_path
+
+
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def lazily(df: DataFrame) -> DataFrame:
+    """Default stage: leave the frame in the plan."""
+    return df
+
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
 
-def feature_matrix(df: DataFrame, ts: str = "transaction_timestamp") -> DataFrame:
-    """Full feature set; a group of features appears only when its input columns do."""
+    Its exact size is then known before the join is planned, so Spark broadcasts it if it is below
+    ``spark.sql.autoBroadcastJoinThreshold`` and the large side is not shuffled; it is also computed once.
+    """
+    path = scratch_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def feature_matrix(df: DataFrame, ts: str = "transaction_timestamp", stage: Stage = lazily) -> DataFrame:
+    """Full feature set; a group of features appears only when its input columns do.
+
+    ``stage`` is applied to the per-customer and per-location tables before they are joined back.
+    """
     have = set(df.columns)
     out = df
     if ts in have:
@@ -26,13 +51,13 @@ def feature_matrix(df: DataFrame, ts: str = "transaction_timestamp") -> DataFram
         if "risk_score" in have:
             per_customer.append(F.avg("risk_score").alias("customer_risk_history"))
         known = df.filter(F.col("customer_id").isNotNull())
-        out = lookup_left(out, known.groupBy("customer_id").agg(*per_customer), "customer_id")
+        out = lookup_left(out, stage(known.groupBy("customer_id").agg(*per_customer)), "customer_id")
     if "location" in have:
         per_location = [F.count(F.lit(1)).alias("location_transaction_count")]
         if "amount" in have:
             per_location.append(F.avg("amount").alias("location_avg_amount"))
         known = df.filter(F.col("location").isNotNull())
-        out = lookup_left(out, known.groupBy("location").agg(*per_location), "location")
+        out = lookup_left(out, stage(known.groupBy("location").agg(*per_location)), "location")
     if {"amount", "customer_age"} <= have:
         out = out.withColumn("amount_age_ratio", F.try_divide("amount", "customer_age"))
     if {"amount", "customer_id"} <= have:
@@ -40,10 +65,11 @@ def feature_matrix(df: DataFrame, ts: str = "transaction_timestamp") -> DataFram
     return out
 
 
-def engineer_features(df: DataFrame, ts: str = "transaction_timestamp", keep_null_location: bool = False) -> DataFrame:
+def engineer_features(df: DataFrame, ts: str = "transaction_timestamp", keep_null_location: bool = False,
+                      stage: Stage = lazily) -> DataFrame:
     """Rows with the totals of their customer and location, ratio, location risk and calendar features."""
-    with_customer = join_customer_features(df, customer_features(df))
-    with_location = join_location_features(with_customer, location_features(df), keep_null_location)
+    with_customer = join_customer_features(df, stage(customer_features(df)))
+    with_location = join_location_features(with_customer, stage(location_features(df)), keep_null_location)
     return with_location.withColumns(calendar_features(ts, sunday=1))
 
 

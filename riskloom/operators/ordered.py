@@ -98,11 +98,11 @@ def quantile_row(df: DataFrame, cols: Sequence[str], qs: Mapping[str, float]) ->
 
 
 def ewma(df: DataFrame, by: Sequence[str], order: Sequence[str], col: str, alpha: float = 0.1,
-         chunk: str = "1 hour") -> DataFrame:
+         chunk: str = "1 minute") -> DataFrame:
     """Final value of m <- (1-alpha)*m + alpha*x started at 0, per group, in time order.
 
-    ``order[0]`` is a timestamp. Every hour of a group is folded on its own; the result of an hour is then
-    decayed by the number of later rows, which only needs one row per hour and group.
+    ``order[0]`` is a timestamp. Every minute of a group is folded on its own; the result of a minute is then
+    decayed by the number of later rows, which only needs one row per minute and group.
     """
     by, ts = list(by), order[0]
     decay = F.lit(1.0 - alpha)

@@ -94,15 +94,19 @@ def dq_iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def dq_box_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: quartiles, whisker ends (extreme values inside the fences), number outside."""
+    """Per column: quartiles, whisker ends (extreme values inside the fences), number outside.
+
+    Fences reach the values as a map with one entry per column, so the values are aggregated where they
+    are read and only one row per column and task is shuffled.
+    """
     cols = list(cols) if cols else numeric_columns(df)
-    values = long_form(df, cols).filter(F.col("value").isNotNull())
-    fences = _fences(df, cols)
-    v = F.col("value")
-    inside = (v >= F.col("low_fence")) & (v <= F.col("high_fence"))
-    return values.join(fences, "column").groupBy("column", "q1", "median", "q3").agg(
+    values = long_form(df, cols).filter(F.col("value").isNotNull()).withColumn("__fences", _fence_map(df, cols))
+    v, fence = F.col("value"), F.try_element_at("__fences", F.col("column"))
+    inside = (v >= fence["low_fence"]) & (v <= fence["high_fence"])
+    whiskers = values.groupBy("column").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
+    return _fences(df, cols).drop("low_fence", "high_fence").join(whiskers, "column")
 
 
 def dq_assessments(df: DataFrame) -> DataFrame:

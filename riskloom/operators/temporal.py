@@ -84,7 +84,7 @@ def active_model_asof(assessments: DataFrame, updates: DataFrame, ts: str = "ass
 
     Each calendar day is cut into the stretch before its first update, which carries the last model of
     the days before, and one stretch per update. Rows then meet their stretch through an equi join on the
-    day; the only order over everything runs over one row per calendar day.
+    day; the only order over everything runs over one row per calendar day since the first update.
     """
     per_instant = updates.groupBy(F.col(at).alias("__from")).agg(F.max(model).alias("__model")).withColumn(
         "__day", F.to_date("__from"))
@@ -92,8 +92,10 @@ def active_model_asof(assessments: DataFrame, updates: DataFrame, ts: str = "ass
 
     update_days = per_instant.groupBy("__day").agg(
         F.min("__from").alias("__first"), F.max_by("__model", "__from").alias("__last"))
-    row_days = assessments.select(F.to_date(ts).alias("__day")).distinct()
-    days = row_days.join(update_days, "__day", "full")
+    newest = assessments.agg(F.max(F.to_date(ts))).scalar()
+    calendar = update_days.agg(F.min("__day").alias("a")).select(
+        F.explode(F.sequence(F.col("a"), F.greatest("a", newest))).alias("__day"))
+    days = calendar.join(update_days, "__day", "left")
     carried = days.select(
         F.col("__first").alias("__to"),
         F.last("__last", ignorenulls=True).over(
@@ -125,44 +127,65 @@ def gap_fill_hours(df: DataFrame, ts: str, as_of=None, hours: int = 24) -> DataF
         {"assessments": 0, "high_risk": 0, "average_risk_score": 0.0}).orderBy(F.desc("hours_ago"))
 
 
-def cache_replay(df: DataFrame, id_col: str, ts: str, ttl: str) -> DataFrame:
-    """Which requests a result cache would have answered: (id, instant, requests, hits).
+def batch_cache_hits(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes", block_ttls: int = 64) -> DataFrame:
+    """Requests a result cache would have answered: totals and hit rate.
 
     The first request of an id fills the cache, requests less than ``ttl`` later are hits, the first one
-    after that fills it again. Requests of the same id and instant are merged beforehand. The walk streams
-    over sorted batches, carrying only the last fill time, so an id of any length needs no more memory
-    than a batch.
+    after that fills it again. Where a fill falls depends on the fill before it, so an id is cut into
+    blocks of ``block_ttls`` times ``ttl``. Every block works out, for each instant that could be its first
+    fill, how many fills follow and when the last one is; only these few candidates are then walked in
+    time order per id. Requests of the same id and instant are merged beforehand.
     """
     keep = interval_micros(ttl)
-    schema = df.schema
+    width = keep * block_ttls
+    kind = df.schema[id_col].dataType
     merged = df.filter(F.col(id_col).isNotNull() & F.col(ts).isNotNull()).groupBy(
         F.col(id_col).alias("id"), micros(ts).alias("t")).agg(F.count(F.lit(1)).alias("requests"))
-    out = T.StructType([T.StructField("id", schema[id_col].dataType), T.StructField("t", T.LongType()),
-                        T.StructField("requests", T.LongType()), T.StructField("hits", T.LongType())])
+    blocks = merged.withColumn("block", F.floor(F.col("t") / F.lit(width)).cast("bigint"))
+
+    def candidates(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        t, block = group["t"].to_numpy(), group["block"].iloc[0]
+        after = np.searchsorted(t, t + keep)
+        # the fill before the block is older than its start, so the first fill comes within one ttl of it
+        last = min(np.searchsorted(t, block * width + keep), len(t) - 1)
+        at, fills = np.arange(last + 1), np.ones(last + 1, dtype=np.int64)
+        going = after[at] < len(t)
+        while going.any():
+            at[going] = after[at[going]]
+            fills[going] += 1
+            going = after[at] < len(t)
+        requests = np.zeros(last + 1, dtype=np.int64)
+        requests[0] = group["requests"].sum()
+        return pd.DataFrame({"id": group["id"].iloc[0], "block": block, "entry": t[: last + 1],
+                             "expires": t[at] + keep, "fills": fills, "requests": requests})
+
+    fields = [("block", T.LongType()), ("entry", T.LongType()), ("expires", T.LongType()), ("fills", T.LongType()),
+              ("requests", T.LongType())]
+    first_fills = blocks.groupBy("id", "block").applyInPandas(
+        candidates, T.StructType([T.StructField("id", kind), *[T.StructField(n, k) for n, k in fields]]))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, expires = None, 0
+        current, open_block, valid_until = None, None, 0
         for batch in batches:
             if batch.empty:
                 continue
-            ids, times = batch["id"].to_numpy(), batch["t"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            ends = np.r_[starts[1:], len(ids)]
-            fills = np.zeros(len(ids), dtype=np.int64)
-            for lo, hi in zip(starts, ends):
-                at = lo
-                if ids[lo] == current:
-                    at = lo + np.searchsorted(times[lo:hi], expires)
-                current = ids[lo]
-                while at < hi:
-                    fills[at], expires = 1, times[at] + keep
-                    at += np.searchsorted(times[at:hi], expires)
-            yield batch.assign(hits=batch["requests"] - fills)
-
-    return merged.repartition("id").sortWithinPartitions("id", "t").mapInPandas(walk, out)
-
-
-def batch_cache_hits(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes") -> DataFrame:
-    return cache_replay(df, id_col, ts, ttl).agg(
-        F.sum("requests").alias("total_requests"), F.sum("hits").alias("cache_hits"),
-        F.round(F.try_divide(F.sum("hits"), F.sum("requests")), 6).alias("cache_hit_rate"))
+            ids, block, entry = (batch[c].to_numpy() for c in ("id", "block", "entry"))
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (block[1:] != block[:-1])])
+            chosen = np.zeros(len(batch), dtype=bool)
+            expires = batch["expires"].to_numpy()
+            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
+                if ids[lo] != current:
+                    current, open_block, valid_until = ids[lo], None, np.iinfo(np.int64).min
+                if block[lo] == open_block:
+                    continue  # the block met its first fill in the previous batch
+                pick = lo + np.searchsorted(entry[lo:hi], valid_until)
+                if pick < hi:
+                    chosen[pick], open_block, valid_until = True, block[lo], expires[pick]
+            yield pd.DataFrame({"requests": [batch["requests"].sum()], "fills": [batch["fills"].to_numpy()[chosen].sum()]})
+
+    walked = first_fills.repartition("id").sortWithinPartitions("id", "block", "entry").mapInPandas(
+        walk, "requests bigint, fills bigint")
+    total, hits = F.coalesce(F.sum("requests"), F.lit(0)), F.coalesce(F.sum("requests") - F.sum("fills"), F.lit(0))
+    return walked.agg(total.alias("total_requests"), hits.alias("cache_hits"),
+                      F.round(F.try_divide(hits, total), 6).alias("cache_hit_rate"))

@@ -962,19 +962,12 @@ def score_summary(w):
 
 # -- streams (the folder's files as a feed, drained to the end) -------------------------------
 
-def order_stream(w: Warehouse) -> DataFrame:
-    schema = w.raw("orders").schema
-    return w.spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(w.sf_dir)
-
-
 def streaming(w: Warehouse) -> Warehouse:
-    return Warehouse(w.spark, w.sf_dir, order_stream(w))
+    return Warehouse(w.spark, w.sf_dir, orders=w.stream("orders"))
 
 
 def event_stream(w: Warehouse) -> DataFrame:
-    schema = w.raw("events").schema
-    events = w.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(w.sf_dir)
-    return Warehouse(w.spark, w.sf_dir, events=events).system_metrics
+    return Warehouse(w.spark, w.sf_dir, events=w.stream("events")).system_metrics
 
 
 def drained(df: DataFrame, name: str) -> DataFrame:

@@ -66,8 +66,8 @@ def refresh_daily_summary(assessments: DataFrame, changed: DataFrame, path: str,
     def month(col: str):
         return F.date_trunc("month", col).cast("date")
 
-    months = changed.select(month(ts).alias("__month")).distinct()
-    touched = assessments.withColumn("__month", month(ts)).join(months, "__month", "left_semi").drop("__month")
+    months = changed.agg(F.collect_set(month(ts))).scalar()  # one entry per calendar month
+    touched = assessments.filter(F.array_contains(months, month(ts)))
     summary = daily_summary_mv(touched).withColumn("assessment_month", month("assessment_date"))
     write_overwrite(summary.repartition("assessment_month"), path, ["assessment_month"])
 
