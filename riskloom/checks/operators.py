@@ -202,24 +202,24 @@ _NAIVE = """least(1.0::DOUBLE, CASE WHEN amount > 10000 THEN 0.7::DOUBLE WHEN am
   + CASE WHEN customer_id LIKE 'NEW%' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END + CASE WHEN location LIKE '%HIGH_RISK%' THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END)"""
 NAIVE = f"CASE WHEN amount IS NOT NULL THEN {_NAIVE} END"
 SCORING = {
-    "naive_risk_score": f"SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {NAIVE} AS risk_score FROM transactions_dirty) s",
+    "naive_risk_score": f"SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {NAIVE} AS risk_score FROM transactions_dirty) s",
     "rules_max": f"SELECT transaction_id, {floors('base_score')} AS risk_score, array_to_string({RULES_ENGINE}, ',') AS rules FROM (SELECT k, transaction_id, amount, customer_id, customer_age, transaction_timestamp, base_score FROM scored) s",
     "rules_max_service": f"""
 SELECT transaction_id, {floors('base_score', True)} AS risk_score, array_to_string(list_filter([CASE WHEN amount > 10000 THEN 'HIGH_AMOUNT_THRESHOLD' END,
   CASE WHEN customer_id LIKE 'NEW%' THEN 'NEW_CUSTOMER' END, CASE WHEN {HOUR} < 6 OR {HOUR} > 22 THEN 'UNUSUAL_TIME' END,
   CASE WHEN location LIKE '%HIGH_RISK%' THEN 'HIGH_RISK_LOCATION' END], lambda x: x IS NOT NULL), ',') AS rules
 FROM (SELECT transaction_id, amount, customer_id, location, transaction_timestamp, base_score FROM scored) s""",
-    "rules_additive": f"SELECT transaction_id, ROUND({ADD_ENGINE}, 9) AS risk_score FROM transactions",
-    "rules_additive_gateway": f"SELECT transaction_id, ROUND({ADD_GATEWAY}, 9) AS risk_score FROM transactions",
+    "rules_additive": f"SELECT transaction_id, ROUND({ADD_ENGINE}, 6) AS risk_score FROM transactions",
+    "rules_additive_gateway": f"SELECT transaction_id, ROUND({ADD_GATEWAY}, 6) AS risk_score FROM transactions",
     "score_with_fallback": f"""
-SELECT transaction_id, ROUND(COALESCE({MODEL_SCORE}, {ADD_GATEWAY}), 9) AS base_score, {_CONF.format(m=MODEL_SCORE, c=0.7)} AS confidence
+SELECT transaction_id, ROUND(COALESCE({MODEL_SCORE}, {ADD_GATEWAY}), 6) AS base_score, {_CONF.format(m=MODEL_SCORE, c=0.7)} AS confidence
 FROM (SELECT k, transaction_id, amount, customer_age, transaction_timestamp, base_score FROM scored) s""",
     "error_policy": f"""
-SELECT transaction_id, CASE WHEN bad THEN 0.5 ELSE ROUND(risk_score, 9) END AS risk_score, CASE WHEN bad THEN 'MEDIUM' ELSE {LEVEL3} END AS risk_level,
+SELECT transaction_id, CASE WHEN bad THEN 0.5 ELSE ROUND(risk_score, 6) END AS risk_score, CASE WHEN bad THEN 'MEDIUM' ELSE {LEVEL3} END AS risk_level,
   CASE WHEN bad THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence
 FROM (SELECT transaction_id, COALESCE(amount <= 0, TRUE) AS bad, {NAIVE} AS risk_score FROM transactions_dirty) s""",
     "error_policy_drop": f"""
-SELECT transaction_id, ROUND(risk_score, 9) AS risk_score FROM (SELECT transaction_id, COALESCE(amount <= 0, TRUE) AS bad, {NAIVE} AS risk_score FROM transactions_dirty) s WHERE NOT bad""",
+SELECT transaction_id, ROUND(risk_score, 6) AS risk_score FROM (SELECT transaction_id, COALESCE(amount <= 0, TRUE) AS bad, {NAIVE} AS risk_score FROM transactions_dirty) s WHERE NOT bad""",
     "risk_level": f"""
 SELECT transaction_id, {LEVEL3} AS three_level, {LEVEL4} AS four_level,
   CASE WHEN risk_score > 0.8 THEN 'CRITICAL' WHEN risk_score > 0.6 THEN 'HIGH' WHEN risk_score > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS merchant_level, {CUT} AS cut_level
@@ -233,15 +233,15 @@ SELECT transaction_id, array_to_string(list_filter([CASE WHEN amount > 10000 THE
   CASE WHEN {WEEKEND} THEN 'Weekend transaction' END, 'Final risk score: ' || printf('%.3f', risk_score)], lambda x: x IS NOT NULL), ' | ') AS decision_path
 FROM (SELECT transaction_id, amount, transaction_timestamp, round(risk_score * 1000) / 1000 AS risk_score FROM scored) s""",
     "score_batch": f"""
-SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, confidence, rules, risk_level, {_ACTION4} AS recommended_action FROM (
+SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, confidence, rules, risk_level, {_ACTION4} AS recommended_action FROM (
   SELECT *, {LEVEL4} AS risk_level FROM (
     SELECT transaction_id, {floors(f'COALESCE({MODEL_SCORE}, {ADD_ENGINE})')} AS risk_score, {_CONF.format(m=MODEL_SCORE, c=0.5)} AS confidence, array_to_string({RULES_ENGINE}, ',') AS rules
     FROM (SELECT k, transaction_id, amount, customer_id, customer_age, transaction_timestamp, base_score FROM scored) s) a) b""",
     "score_batch_service": f"""
-SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level, CASE WHEN risk_score >= 0.8 THEN 'BLOCK' WHEN risk_score >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS recommended_action
+SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level, CASE WHEN risk_score >= 0.8 THEN 'BLOCK' WHEN risk_score >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS recommended_action
 FROM (SELECT transaction_id, {floors('base_score', True)} AS risk_score FROM (SELECT transaction_id, amount, customer_id, location, transaction_timestamp, base_score FROM scored) s) a""",
     "score_batch_gateway": f"""
-SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level, CASE WHEN risk_score >= 0.8 THEN 'BLOCK' WHEN risk_score >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS recommended_action, 0.7::DOUBLE AS confidence
+SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level, CASE WHEN risk_score >= 0.8 THEN 'BLOCK' WHEN risk_score >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS recommended_action, 0.7::DOUBLE AS confidence
 FROM (SELECT transaction_id, {ADD_GATEWAY} AS risk_score FROM transactions) a""",
 }
 
@@ -266,14 +266,14 @@ GROUP BY q1, median, q3"""
 
 QUALITY = {
     "dq_profile": f"""
-SELECT total_records, total_records - distinct_records AS duplicate_count, ROUND((total_records - nulls) / total_records, 9) AS completeness,
-  ROUND(distinct_records / total_records, 9) AS uniqueness, ROUND(1 - nulls / (total_records * 8), 9) AS cell_completeness,
+SELECT total_records, total_records - distinct_records AS duplicate_count, ROUND((total_records - nulls) / total_records, 6) AS completeness,
+  ROUND(distinct_records / total_records, 6) AS uniqueness, ROUND(1 - nulls / (total_records * 8), 6) AS cell_completeness,
   (total_records - nulls) / total_records > 0.95 AND distinct_records / total_records > 0.99 AS passed, null_amounts, null_locations
 FROM (SELECT COUNT(*) AS total_records, {_DISTINCT} AS distinct_records, {_NULLS} AS nulls, COUNT(CASE WHEN amount IS NULL THEN 1 END) AS null_amounts,
   COUNT(CASE WHEN location IS NULL THEN 1 END) AS null_locations FROM transactions_dirty) s""",
     "dq_profile_cells": f"""
-SELECT total_rows, 8 AS total_columns, missing_values, ROUND(missing_values * 100.0::DOUBLE / (total_rows * 8), 9) AS missing_percentage, total_rows - d AS duplicate_rows,
-  ROUND((total_rows - d) * 100.0::DOUBLE / total_rows, 9) AS duplicate_percentage, ROUND(ages * 100.0::DOUBLE / total_rows, 9) AS missing_age_percentage
+SELECT total_rows, 8 AS total_columns, missing_values, ROUND(missing_values * 100.0::DOUBLE / (total_rows * 8), 6) AS missing_percentage, total_rows - d AS duplicate_rows,
+  ROUND((total_rows - d) * 100.0::DOUBLE / total_rows, 6) AS duplicate_percentage, ROUND(ages * 100.0::DOUBLE / total_rows, 6) AS missing_age_percentage
 FROM (SELECT COUNT(*) AS total_rows, {_NULLS} AS missing_values, {_DISTINCT} AS d, COUNT(CASE WHEN customer_age IS NULL THEN 1 END) AS ages FROM transactions_dirty) s""",
     "dq_iqr_outliers": f"SELECT {_iqr('amount')} + {_iqr('customer_age')} + {_iqr('k')} AS outliers_count",
     "dq_box_stats": " UNION ALL ".join(map(_box, ("amount", "customer_age"))),
@@ -328,22 +328,22 @@ f AS (SELECT z.*, c.n AS total_transactions, c.a AS avg_amount, l.n AS location_
   JOIN (SELECT customer_id, COUNT(*) AS n, AVG(amount) AS a FROM z GROUP BY 1) c ON z.customer_id = c.customer_id
   JOIN (SELECT location, COUNT(*) AS n FROM z GROUP BY 1) l ON z.location = l.location)
 SELECT transaction_id, amount, customer_age, ROUND(amount_zscore, 6) AS amount_zscore, total_transactions, ROUND(amount / NULLIF(avg_amount, 0), 6) AS amount_ratio, location_transaction_count,
-  ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level
+  ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level
 FROM (SELECT *, {NAIVE} AS risk_score FROM f) s WHERE amount > 0 AND customer_age >= 18 AND customer_age <= 100 AND amount <= 1000000 AND risk_score BETWEEN 0 AND 1""",
     "regression_metrics": " UNION ALL ".join(map(_reg, ("model_a", "model_b", "model_c"))),
     "model_comparison": f"SELECT model, rmse, r_squared FROM ({' UNION ALL '.join(map(_reg, ('model_a', 'model_b', 'model_c')))}) m",
     "prediction_vs_actual": f"SELECT label AS actual, model_a AS predicted FROM ({_PRED}) p",
     "ensemble_weighted": f"""
-SELECT transaction_id, ROUND(p, 9) AS ensemble_probability, CAST(ROUND(p, 8) > 0.5 AS INTEGER) AS ensemble_prediction FROM (
+SELECT transaction_id, ROUND(p, 6) AS ensemble_probability, CAST(ROUND(p, 8) > 0.5 AS INTEGER) AS ensemble_prediction FROM (
   SELECT transaction_id, (0.4 * model_a + 0.3 * model_b + 0.3 * model_c) / 1.0 AS p FROM ({_PRED}) q) s""",
-    "ensemble_mean": f"SELECT transaction_id, ROUND((model_a + model_b + model_c) / 3, 9) AS ensemble FROM ({_PRED}) q",
+    "ensemble_mean": f"SELECT transaction_id, ROUND((model_a + model_b + model_c) / 3, 6) AS ensemble FROM ({_PRED}) q",
     "auc_exact": """
-SELECT ROUND(SUM(CASE WHEN risk_label = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 9) AS auc, p AS positives, n AS negatives
+SELECT ROUND(SUM(CASE WHEN risk_label = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 6) AS auc, p AS positives, n AS negatives
 FROM (SELECT risk_label, (RANK() OVER (ORDER BY base_score) + (COUNT(*) OVER (PARTITION BY base_score) - 1) / 2.0) AS r,
     SUM(risk_label) OVER () AS p, SUM(1 - risk_label) OVER () AS n FROM scored) s GROUP BY p, n""",
-    "pr_curve": f"SELECT DISTINCT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, ROUND(tp / (tp + fp), 9) AS precision, ROUND(tp / p, 9) AS recall FROM ({_PR}) s",
+    "pr_curve": f"SELECT DISTINCT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, ROUND(tp / (tp + fp), 6) AS precision, ROUND(tp / p, 6) AS recall FROM ({_PR}) s",
     "classification_metrics": """
-SELECT n, tp, fp, tn, fn, ROUND((tp + tn) / n, 9) AS accuracy, ROUND(tp / (tp + fp), 9) AS precision, ROUND(tp / (tp + fn), 9) AS recall, ROUND(2 * tp / (2 * tp + fp + fn), 9) AS f1_score
+SELECT n, tp, fp, tn, fn, ROUND((tp + tn) / n, 6) AS accuracy, ROUND(tp / (tp + fp), 6) AS precision, ROUND(tp / (tp + fn), 6) AS recall, ROUND(2 * tp / (2 * tp + fp + fn), 6) AS f1_score
 FROM (SELECT COUNT(*) AS n, COUNT(CASE WHEN risk_label = 1 AND base_score > 0.5 THEN 1 END) AS tp, COUNT(CASE WHEN risk_label = 0 AND base_score > 0.5 THEN 1 END) AS fp,
   COUNT(CASE WHEN risk_label = 0 AND base_score <= 0.5 THEN 1 END) AS tn, COUNT(CASE WHEN risk_label = 1 AND base_score <= 0.5 THEN 1 END) AS fn FROM scored) s""",
     "feature_importance": """
@@ -361,24 +361,24 @@ SELECT CAST(bin AS INTEGER) AS bin, ROUND(a, 6) AS base_share, ROUND(b, 6) AS cu
     "shap_linear": """
 SELECT transaction_id, 'amount' AS feature, ROUND(0.0001 * (amount - AVG(amount) OVER ()), 6) AS contribution FROM scored
 UNION ALL SELECT transaction_id, 'base_score', ROUND(-1.5 * (base_score - AVG(base_score) OVER ()), 6) FROM scored""",
-    "bias_baseline": "SELECT ROUND(AVG(risk_label), 9) AS overall_positive_rate, ROUND(1 - AVG(risk_label), 9) AS overall_negative_rate FROM scored",
+    "bias_baseline": "SELECT ROUND(AVG(risk_label), 6) AS overall_positive_rate, ROUND(1 - AVG(risk_label), 6) AS overall_negative_rate FROM scored",
     "bias_groups": f"""
-SELECT attribute, value, COUNT(*) AS n, ROUND(AVG(y), 9) AS positive_rate, ROUND(AVG(p), 9) AS prediction_rate, ROUND(COALESCE(AVG(CASE WHEN y = 1 THEN p END), 0), 9) AS true_positive_rate,
-  ROUND(COALESCE(AVG(CASE WHEN y = 0 THEN p END), 0), 9) AS false_positive_rate FROM ({_BIAS_ROWS}) b GROUP BY 1, 2""",
+SELECT attribute, value, COUNT(*) AS n, ROUND(AVG(y), 6) AS positive_rate, ROUND(AVG(p), 6) AS prediction_rate, ROUND(COALESCE(AVG(CASE WHEN y = 1 THEN p END), 0), 6) AS true_positive_rate,
+  ROUND(COALESCE(AVG(CASE WHEN y = 0 THEN p END), 0), 6) AS false_positive_rate FROM ({_BIAS_ROWS}) b GROUP BY 1, 2""",
 }
 
 _STATS = "(SELECT MIN(amount) AS lo, MAX(amount) AS hi, AVG(amount) AS mean, MEDIAN(amount) AS median, COUNT(*) AS total, STDDEV(amount) AS sd, quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25) AS iqr FROM transactions) st"
 STATISTICS = {
     "histogram": f"""
 SELECT CAST(i AS INTEGER) AS bin, ROUND(ANY_VALUE(lo + i * (hi - lo) / 30), 6) AS lower, ROUND(ANY_VALUE(lo + (i + 1) * (hi - lo) / 30), 6) AS upper, COUNT(b) AS n,
-  ROUND(COUNT(b) / ANY_VALUE(total * (hi - lo) / 30), 9) AS density, ROUND(ANY_VALUE(mean), 6) AS mean, ROUND(ANY_VALUE(median), 6) AS median
+  ROUND(COUNT(b) / ANY_VALUE(total * (hi - lo) / 30), 8) AS density, ROUND(ANY_VALUE(mean), 6) AS mean, ROUND(ANY_VALUE(median), 6) AS median
 FROM range(30) g(i) CROSS JOIN {_STATS}
 LEFT JOIN (SELECT least(floor((amount - lo) / ((hi - lo) / 30)), 29) AS b FROM transactions, {_STATS}) h ON h.b = g.i GROUP BY i""",
     "density_curve": f"""
 WITH c AS (SELECT least(floor((amount - lo) / ((hi - lo) / 1000)), 999) AS bin, COUNT(*) AS n FROM transactions, {_STATS} GROUP BY 1),
 p AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(total, -0.2) AS h FROM {_STATS}),
 g AS (SELECT i, lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 63 AS x FROM range(64) r(i), p)
-SELECT CAST(i AS INTEGER) AS i, ROUND(x, 6) AS x, ROUND(SUM(n * exp(-0.5 * pow((x - (lo + (bin + 0.5) * (hi - lo) / 1000)) / h, 2)) / sqrt(2 * pi()) / (total * h)), 9) AS density
+SELECT CAST(i AS INTEGER) AS i, ROUND(x, 6) AS x, ROUND(SUM(n * exp(-0.5 * pow((x - (lo + (bin + 0.5) * (hi - lo) / 1000)) / h, 2)) / sqrt(2 * pi()) / (total * h)), 8) AS density
 FROM g, c, p GROUP BY i, x""",
     "correlation_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS var1, '{b}' AS var2, " + ("MAX(1.0::DOUBLE)" if a == b else f"ROUND(corr({a}, {b}), 6)")
@@ -394,10 +394,20 @@ SELECT MIN(risk_score) AS min, ROUND(quantile_cont(risk_score, 0.25), 6) AS q1,
   ROUND(quantile_cont(risk_score, 0.75), 6) AS q3, MAX(risk_score) AS max, ROUND(STDDEV(risk_score), 6) AS sd, ROUND(VARIANCE(risk_score), 6) AS variance FROM risk_assessments""",
 }
 
+_FILLS = """WITH RECURSIVE fills AS (
+  SELECT location AS id, MIN(transaction_timestamp) AS t FROM transactions WHERE location IS NOT NULL GROUP BY 1
+  UNION ALL
+  SELECT id, nxt FROM (SELECT f.id, (SELECT MIN(x.transaction_timestamp) FROM transactions x WHERE x.location = f.id AND x.transaction_timestamp >= f.t + INTERVAL 5 DAY) AS nxt FROM fills f) s WHERE nxt IS NOT NULL)
+"""
 STREAMS = {
-    "stream_score": f"SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {NAIVE} AS risk_score FROM transactions) s",
+    "stream_misses_ttl": _FILLS + "SELECT id AS location, t AS transaction_timestamp FROM fills",
+    "stream_with_snapshot": f"""
+SELECT t.transaction_id, t.customer_id, h.transaction_count, h.avg_amount, h.risk_history FROM transactions t LEFT JOIN (
+  SELECT customer_id, COUNT(*) AS transaction_count, ROUND(AVG(amount), 6) AS avg_amount, ROUND(AVG(risk_score), 6) AS risk_history
+  FROM scored WHERE transaction_timestamp > {T_ASOF} - INTERVAL 365 DAY GROUP BY 1) h ON t.customer_id = h.customer_id""",
+    "stream_score": f"SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {NAIVE} AS risk_score FROM transactions) s",
     "write_stream_append": f"""
-SELECT transaction_id, ROUND(risk_score, 9) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {ADD_GATEWAY} AS risk_score FROM transactions) s""",
+SELECT transaction_id, ROUND(risk_score, 6) AS risk_score, {LEVEL3} AS risk_level FROM (SELECT transaction_id, {ADD_GATEWAY} AS risk_score FROM transactions) s""",
     "stream_dedup_ttl": "SELECT DISTINCT transaction_id FROM transactions_dirty",
     "stream_hourly_metrics": f"""
 SELECT DATE_TRUNC('hour', assessment_timestamp) AS hour, {COUNTS}, ROUND(AVG(risk_score), 6) AS avg_risk_score, ROUND(AVG(processing_time_ms), 6) AS avg_processing_time,
@@ -422,11 +432,7 @@ FROM risk_assessments GROUP BY 1 HAVING DATE_TRUNC('day', assessment_timestamp)
     "gap_fill_hours": f"""
 SELECT CAST(i AS INTEGER) AS hours_ago, COUNT(a.metric_id) AS assessments, COUNT(CASE WHEN a.metric_name = 'error_rate' THEN 1 END) AS high_risk, ROUND(COALESCE(AVG(a.metric_value), 0), 6) AS average_risk_score
 FROM range(24) g(i) LEFT JOIN system_metrics a ON a.metric_time >= {M_ASOF} - to_hours(CAST(i AS INTEGER) + 1) AND a.metric_time < {M_ASOF} - to_hours(CAST(i AS INTEGER)) GROUP BY i""",
-    "batch_cache_hits": """
-WITH RECURSIVE fills AS (
-  SELECT location AS id, MIN(transaction_timestamp) AS t FROM transactions WHERE location IS NOT NULL GROUP BY 1
-  UNION ALL
-  SELECT id, nxt FROM (SELECT f.id, (SELECT MIN(x.transaction_timestamp) FROM transactions x WHERE x.location = f.id AND x.transaction_timestamp >= f.t + INTERVAL 5 DAY) AS nxt FROM fills f) s WHERE nxt IS NOT NULL)
+    "batch_cache_hits": _FILLS + """
 SELECT n AS total_requests, n - m AS cache_hits, ROUND((n - m) / n, 6) AS cache_hit_rate
 FROM (SELECT (SELECT COUNT(*) FROM transactions WHERE location IS NOT NULL) AS n, (SELECT COUNT(*) FROM fills) AS m) s""",
 }

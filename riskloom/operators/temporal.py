@@ -78,6 +78,15 @@ def trailing_features(df: DataFrame, key: str, ts: str, days: float, aggs: Mappi
     return rows.join(features, [key, "__t"], "left").drop("__t").na.fill(counts)
 
 
+def trailing_snapshot(df: DataFrame, key: str, ts: str, days: float, aggs: Mapping[str, tuple[str, str | None]],
+                      as_of=None) -> DataFrame:
+    """The trailing features of every key at one instant, for joining to a stream: one row per key."""
+    end = instant(as_of, df, ts)
+    recent = df.filter((F.col(ts) > end - seconds(days * 86400)) & (F.col(ts) <= end) & F.col(key).isNotNull())
+    kinds = {"count": lambda c: F.count(c if c else F.lit(1)), "avg": F.avg, "sum": F.sum}
+    return recent.groupBy(key).agg(*[kinds[kind](c).alias(name) for name, (kind, c) in aggs.items()])
+
+
 def active_model_asof(assessments: DataFrame, updates: DataFrame, ts: str = "assessment_timestamp",
                       model: str = "new_model_id", at: str = "event_time") -> DataFrame:
     """Adds ``active_model``: the newest update at or before each row's time, null before the first.

@@ -648,7 +648,7 @@ def _joined_rules(df: DataFrame) -> DataFrame:
 
 @query
 def naive_risk_score(w):
-    return rounded(S.naive_risk_score(w.transactions_dirty), 9).select("transaction_id", "risk_score", "risk_level")
+    return rounded(S.naive_risk_score(w.transactions_dirty), 6).select("transaction_id", "risk_score", "risk_level")
 
 
 @query
@@ -663,18 +663,18 @@ def rules_max_service(w):
 
 @query
 def rules_additive(w):
-    return rounded(S.rules_additive(w.transactions, "engine").select("transaction_id", "risk_score"), 9)
+    return rounded(S.rules_additive(w.transactions, "engine").select("transaction_id", "risk_score"), 6)
 
 
 @query
 def rules_additive_gateway(w):
-    return rounded(S.rules_additive(w.transactions, "gateway").select("transaction_id", "risk_score"), 9)
+    return rounded(S.rules_additive(w.transactions, "gateway").select("transaction_id", "risk_score"), 6)
 
 
 @query
 def score_with_fallback(w):
     return rounded(S.score_with_fallback(model_scored(w), "model_score", "gateway").select(
-        "transaction_id", "base_score", "confidence"), 9)
+        "transaction_id", "base_score", "confidence"), 6)
 
 
 def _naive_with_confidence(w: Warehouse) -> DataFrame:
@@ -684,13 +684,13 @@ def _naive_with_confidence(w: Warehouse) -> DataFrame:
 @query
 def error_policy(w):
     return rounded(S.error_policy(_naive_with_confidence(w), F.col("amount") <= 0).select(
-        "transaction_id", "risk_score", "risk_level", "confidence"), 9)
+        "transaction_id", "risk_score", "risk_level", "confidence"), 6)
 
 
 @query
 def error_policy_drop(w):
     return rounded(S.error_policy(_naive_with_confidence(w), F.col("amount") <= 0, "drop").select(
-        "transaction_id", "risk_score"), 9)
+        "transaction_id", "risk_score"), 6)
 
 
 @query
@@ -721,20 +721,20 @@ def decision_path(w):
 @query
 def score_batch(w):
     return rounded(_joined_rules(S.score_batch(model_scored(w), "engine", "model_score")).select(
-        "transaction_id", "risk_score", "confidence", "rules", "risk_level", "recommended_action"), 9)
+        "transaction_id", "risk_score", "confidence", "rules", "risk_level", "recommended_action"), 6)
 
 
 @query
 def score_batch_service(w):
     scored = w.scored.withColumnRenamed("base_score", "model_score").drop("risk_score")
     return rounded(S.score_batch(scored, "service", "model_score").select(
-        "transaction_id", "risk_score", "risk_level", "recommended_action"), 9)
+        "transaction_id", "risk_score", "risk_level", "recommended_action"), 6)
 
 
 @query
 def score_batch_gateway(w):
     return rounded(S.score_batch(w.transactions, "gateway").select(
-        "transaction_id", "risk_score", "risk_level", "recommended_action", "confidence"), 9)
+        "transaction_id", "risk_score", "risk_level", "recommended_action", "confidence"), 6)
 
 
 # -- data quality -----------------------------------------------------------------------------
@@ -744,7 +744,7 @@ def dq_profile(w):
     report = Q.dq_profile(w.transactions_dirty)
     return rounded(report.select(
         "total_records", "duplicate_count", "completeness", "uniqueness", "cell_completeness", "passed",
-        F.col("null_counts")["amount"].alias("null_amounts"), F.col("null_counts")["location"].alias("null_locations")), 9)
+        F.col("null_counts")["amount"].alias("null_amounts"), F.col("null_counts")["location"].alias("null_locations")), 6)
 
 
 @query
@@ -752,7 +752,7 @@ def dq_profile_cells(w):
     report = Q.dq_profile_cells(w.transactions_dirty)
     return rounded(report.select(
         "total_rows", "total_columns", "missing_values", "missing_percentage", "duplicate_rows", "duplicate_percentage",
-        F.col("missing_percentage_by_column")["customer_age"].alias("missing_age_percentage")), 9)
+        F.col("missing_percentage_by_column")["customer_age"].alias("missing_age_percentage")), 6)
 
 
 @query
@@ -828,7 +828,7 @@ def batch_process(w):
     out = batch.process(w.transactions_dirty).select(
         "transaction_id", "amount", "customer_age", "amount_zscore", "total_transactions", "amount_ratio",
         "location_transaction_count", "risk_score", "risk_level")
-    return rounded(out, cols=["amount_zscore", "amount_ratio"], risk_score=9)
+    return rounded(out, cols=["amount_zscore", "amount_ratio"], risk_score=6)
 
 
 def member_predictions(w: Warehouse) -> DataFrame:
@@ -859,28 +859,28 @@ def prediction_vs_actual(w):
 def ensemble_weighted(w):
     out = ensemble.ensemble_weighted(member_predictions(w), dict(zip(MEMBERS, ensemble.DEFAULT_WEIGHTS)))
     exact = out.withColumn("ensemble_prediction", (C.snap("ensemble_probability") > 0.5).cast("int"))
-    return rounded(exact.select("transaction_id", "ensemble_probability", "ensemble_prediction"), 9)
+    return rounded(exact.select("transaction_id", "ensemble_probability", "ensemble_prediction"), 6)
 
 
 @query
 def ensemble_mean(w):
-    return rounded(ensemble.ensemble_mean(member_predictions(w), MEMBERS).select("transaction_id", "ensemble"), 9)
+    return rounded(ensemble.ensemble_mean(member_predictions(w), MEMBERS).select("transaction_id", "ensemble"), 6)
 
 
 @query
 def auc_exact(w):
-    return rounded(metrics.auc_exact(w.scored, "risk_label", "base_score"), 9)
+    return rounded(metrics.auc_exact(w.scored, "risk_label", "base_score"), 6)
 
 
 @query
 def pr_curve(w):
-    return rounded(metrics.pr_curve(w.scored, "risk_label", "base_score"), 9)
+    return rounded(metrics.pr_curve(w.scored, "risk_label", "base_score"), 6)
 
 
 @query
 def classification_metrics(w):
     flagged = w.scored.withColumn("pred", (F.col("base_score") > 0.5).cast("int"))
-    return rounded(metrics.classification_metrics(flagged, "risk_label", "pred").drop("confusion_matrix"), 9)
+    return rounded(metrics.classification_metrics(flagged, "risk_label", "pred").drop("confusion_matrix"), 6)
 
 
 @query
@@ -914,25 +914,25 @@ def protected(w: Warehouse) -> DataFrame:
 
 @query
 def bias_baseline(w):
-    return rounded(fairness.bias_baseline(protected(w), "risk_label"), 9)
+    return rounded(fairness.bias_baseline(protected(w), "risk_label"), 6)
 
 
 @query
 def bias_groups(w):
     return rounded(fairness.bias_groups(protected(w), "risk_label", "pred",
-                                        ["location_region", "payment_method", "not_a_column"]), 9)
+                                        ["location_region", "payment_method", "not_a_column"]), 6)
 
 
 # -- chart tables -----------------------------------------------------------------------------
 
 @query
 def histogram(w):
-    return rounded(ST.histogram(w.transactions, "amount"), density=9)
+    return rounded(ST.histogram(w.transactions, "amount"), density=8)
 
 
 @query
 def density_curve(w):
-    return rounded(ST.density_curve(w.transactions, "amount", grid=64), density=9)
+    return rounded(ST.density_curve(w.transactions, "amount", grid=64), density=8)
 
 
 @query
@@ -980,13 +980,13 @@ def drained(df: DataFrame, name: str) -> DataFrame:
 @query
 def stream_score(w):
     scored = jobs.stream_score(streaming(w).transactions, "naive", "transaction_timestamp")
-    return rounded(drained(scored.select("transaction_id", "risk_score", "risk_level"), "score"), 9)
+    return rounded(drained(scored.select("transaction_id", "risk_score", "risk_level"), "score"), 6)
 
 
 @query
 def write_stream_append(w):
     scored = jobs.stream_score(streaming(w).transactions, "gateway", "transaction_timestamp")
-    return rounded(drained(scored.select("transaction_id", "risk_score", "risk_level"), "append"), 9)
+    return rounded(drained(scored.select("transaction_id", "risk_score", "risk_level"), "append"), 6)
 
 
 @query
@@ -995,6 +995,21 @@ def stream_dedup_ttl(w):
     return drained(jobs.stream_dedup_ttl(dirty, "transaction_id", "transaction_timestamp").select("transaction_id"), "dedup")
 
 
+@query
+def stream_misses_ttl(w):
+    out = drained(jobs.stream_misses_ttl(streaming(w).transactions.select("location", "transaction_id", "transaction_timestamp")
+                                         .filter("location IS NOT NULL"), "location", "transaction_timestamp", "5 days"), "misses")
+    return ntz(out.select("location", "transaction_timestamp"), "transaction_timestamp")
+
+
+@query
+def stream_with_snapshot(w):
+    snapshot = TP.trailing_snapshot(w.scored, "customer_id", "transaction_timestamp", 365, {
+        "transaction_count": ("count", None), "avg_amount": ("avg", "amount"), "risk_history": ("avg", "risk_score")})
+    joined = jobs.stream_with_snapshot(streaming(w).transactions.select("transaction_id", "customer_id"), snapshot, "customer_id")
+    return rounded(drained(joined, "snapshot"))
+
+
 @query
 def stream_hourly_metrics(w):
     return rounded(ntz(drained(jobs.stream_hourly_metrics(streaming(w).risk_assessments), "hourly"), "hour"))

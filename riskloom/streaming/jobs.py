@@ -5,15 +5,19 @@ Event times must be TIMESTAMP; ``event_time`` converts columns that carry no tim
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions.columns import score_bucket
 from riskloom.functions.scoring import Inputs, Profile, naive_risk_score, score_batch
+from riskloom.operators.ordered import interval_micros
 from riskloom.plans.warehouse import assessment_counts, metric_alert
 
 
@@ -41,6 +45,43 @@ def stream_dedup_ttl(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes
     return event_time(df, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([id_col])
 
 
+def stream_misses_ttl(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes") -> DataFrame:
+    """The requests a cache with this lifetime would not answer, exactly.
+
+    The first request of an id passes and fills the cache; requests less than ``ttl`` later are answered;
+    the first one after that passes and fills it again. State is one instant per id, released when the
+    watermark passes its expiry. Requests of one micro-batch are taken in event order; one that arrives
+    after a later fill of its id is answered by that fill. Where dropping some repeats just after the
+    lifetime is acceptable, ``stream_dedup_ttl`` does the same without Python.
+    """
+    keep = interval_micros(ttl)
+    stamped = event_time(df, ts).withWatermark(ts, ttl)
+
+    def misses(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expires = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        at = rows[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        passed = np.zeros(len(rows), dtype=bool)
+        nxt = 0 if expires is None else int(np.searchsorted(at, expires))
+        while nxt < len(at):
+            passed[nxt], expires = True, int(at[nxt]) + keep
+            nxt = int(np.searchsorted(at, expires))
+        state.update((expires,))
+        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[passed]
+
+    return stamped.groupBy(id_col).applyInPandasWithState(
+        misses, stamped.schema, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_with_snapshot(stream: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
+    """Events with the history of their key, joined from a table that is refreshed on its own schedule."""
+    return stream.join(snapshot, key, "left")
+
+
 def stream_hourly_metrics(df: DataFrame, watermark: str = "1 hour", ts: str = "assessment_timestamp") -> DataFrame:
     """Hourly roll-up; an hour is emitted once the watermark has passed its end."""
     return event_time(df, ts).withWatermark(ts, watermark).groupBy(F.window(ts, "1 hour").alias("w")).agg(

@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__streaming__stopTimeout="60s")
     session.sparkContext.setLogLevel("ERROR")

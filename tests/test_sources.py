@@ -73,6 +73,22 @@ def test_layout_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_period" in text
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    ids = spark.range(100).select(F.concat(F.lit("T"), F.col("id")).alias("transaction_id"), "id")
+    spark.sql("DROP TABLE IF EXISTS bucketed_a")
+    spark.sql("DROP TABLE IF EXISTS bucketed_b")
+    for table in ("bucketed_a", "bucketed_b"):
+        writers.bucketed_layout(ids, table, "transaction_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_a").join(spark.table("bucketed_b").withColumnRenamed("id", "id2"), "transaction_id")
+        assert joined.count() == 100
+        text = joined._jdf.queryExecution().toString()
+        assert "Exchange" not in text[text.index("== Physical Plan =="):]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_events_carry_key_and_json(spark):
     df = spark.createDataFrame([("T1", 0.5, "MEDIUM", DAY, "x")], "transaction_id string, risk_score double, risk_level string, assessment_timestamp timestamp_ntz, extra string")
     r = writers.risk_event_sink(df).first()

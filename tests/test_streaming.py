@@ -64,6 +64,19 @@ def test_repeats_inside_the_ttl_are_dropped(spark, tmp_path):
     assert sorted(r.transaction_id for r in got.collect()) == ["T1", "T1", "T2", "T3", "T4"]
 
 
+def test_exact_lifetime_passes_the_first_request_after_it(spark, tmp_path):
+    minute = dt.timedelta(minutes=1)
+    feed(tmp_path / "in", [
+        [event(1, BASE), event(1, BASE + 29 * minute), event(1, BASE + 30 * minute), event(2, BASE)],
+        [event(1, BASE + 59 * minute), event(1, BASE + 61 * minute)],
+        [event(2, BASE + 500 * minute)],
+        [event(1, BASE + 501 * minute)]])
+    parsed = readers.parse_transactions(readers.read_feed(spark, str(tmp_path / "in"), max_files=1))
+    got = drain(jobs.stream_misses_ttl(parsed, "transaction_id", "timestamp", "30 minutes"), tmp_path)
+    assert sorted((r.transaction_id, (r.timestamp - BASE) // minute) for r in got.collect()) == [
+        ("T1", 0), ("T1", 30), ("T1", 61), ("T1", 501), ("T2", 0), ("T2", 500)]
+
+
 def assessment_lines(rows):
     return [{"assessment_id": f"A{i}", "risk_score": s, "risk_level": lvl, "recommended_action": "BLOCK" if lvl == "HIGH" else "APPROVE",
              "processing_time_ms": 10, "assessment_timestamp": ts.isoformat()} for i, ts, s, lvl in rows]
