@@ -88,15 +88,16 @@ def feature_importance(importances: DataFrame, weights: Mapping[str, float]) ->
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, label: str, features: Sequence[str], id_col: str,
-                           seed: int = 42, buckets: int = 200) -> DataFrame:
+                           seed: int = 42, rows_per_bucket: int = 100_000) -> DataFrame:
     """Drop in AUC when one feature is shuffled: (feature, auc, importance).
 
     A row takes the value of the next row in hash order inside its hash bucket (the last one takes the
-    first), so the shuffle is exact, repeatable and spread over ``buckets`` tasks. All variants are scored
-    by one transform.
+    first), so the shuffle is exact and repeatable; the number of buckets grows with the rows. All variants are
+    scored by one transform.
     """
     features = list(features)
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets))
+    buckets = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_bucket))).scalar()
+    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), buckets)
     w = Window.partitionBy("__bucket").orderBy("__order", id_col)
     base = df.select(id_col, label, *features).withColumns({
         "__bucket": bucket, "__order": F.xxhash64(F.col(id_col), F.lit(seed + 1))})

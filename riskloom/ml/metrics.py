@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from riskloom.operators.ordered import exact_quantiles, running_totals, value_chunk
+from riskloom.operators.ordered import exact_quantiles, running_totals, fine_chunk
 
 # Fixed value: accuracy below this asks for retraining.
 ACCURACY_FLOOR = 0.85
@@ -24,7 +24,7 @@ def _label_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
 def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; equal scores count one half. Null when a class is missing."""
     by = list(by)
-    ranked = running_totals(_label_counts(df, label, score, by), by, "threshold", value_chunk("threshold"),
+    ranked = running_totals(_label_counts(df, label, score, by), by, "threshold", fine_chunk("threshold"),
                             {"pos": ("pos_before", "positives"), "neg": ("neg_before", "negatives")})
     wins = F.col("pos") * (F.col("neg_before").cast("double") + F.col("neg") / 2.0)
     return ranked.groupBy(*by).agg(
@@ -35,7 +35,7 @@ def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall when every score at or above the threshold is called positive."""
-    ranked = running_totals(_label_counts(df, label, score, []), [], "threshold", value_chunk("threshold"),
+    ranked = running_totals(_label_counts(df, label, score, []), [], "threshold", fine_chunk("threshold"),
                             {"pos": ("pos_before", "positives"), "neg": ("neg_before", "negatives")})
     tp = F.col("positives") - F.col("pos_before")
     fp = F.col("negatives") - F.col("neg_before")

@@ -1,9 +1,10 @@
 """Exact order statistics without ever sorting a whole table in one task.
 
 Equal values are first merged into one row with counts (combined on the map side), so a value held by a
-third of all rows costs one row. The distinct values are then cut into many ordered chunks; running
-totals are taken inside each chunk in parallel and shifted by the totals of the chunks before it. Only
-the chunk totals, whose number is bounded by the chunk rule, are ordered in a single task per group.
+third of all rows costs one row. The distinct values are then cut into many ordered chunks of many fine
+chunks; running totals are taken inside each fine chunk in parallel and shifted by the totals of those
+before it. Only the chunk totals, whose number is bounded by the chunk rule, are ordered in a single task
+per group.
 """
 
 from __future__ import annotations
@@ -15,39 +16,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNKS_PER_E_FOLD = 2000
+FINE_BITS = 12  # a chunk is cut into 4,096 fine chunks
 
 
-def value_chunk(value: Column | str, per_e_fold: int = CHUNKS_PER_E_FOLD) -> Column:
-    """Chunk number that never decreases with the value.
+def fine_chunk(value: Column | str, per_e_fold: int = CHUNKS_PER_E_FOLD) -> Column:
+    """Fine chunk number that never decreases with the value.
 
     log1p of the magnitude keeps heavy tails balanced: [0, 1] gives about 1,400 chunks and each further
     factor e gives 2,000 more, so even values up to 1e15 make fewer than 80,000 chunks.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * per_e_fold)
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * (per_e_fold << FINE_BITS)).cast("bigint")
 
 
-def running_totals(df: DataFrame, by: Sequence[str], order: str, chunk: Column,
+def running_totals(df: DataFrame, by: Sequence[str], order: str, fine: Column,
                    totals: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Adds, per total ``col -> (before, all)``, the sum over smaller ``order`` values and over the group.
 
-    ``df`` has one row per (by, order); ``chunk`` must not decrease with ``order``.
+    ``df`` has one row per (by, order); ``fine`` must not decrease with ``order``. Sums run over the values
+    of a fine chunk, over the fine chunks of a chunk and over the chunks of a group, so values crowded
+    into one chunk still spread over thousands of tasks.
     """
     by = list(by)
-    chunked = df.withColumn("__chunk", chunk)
-    sums = chunked.groupBy(*by, "__chunk").agg(*[F.sum(c).alias(f"__{c}_chunk") for c in totals])
+    before_row = Window.unboundedPreceding, -1
+    chunked = df.withColumn("__fine", fine)
+    sums = chunked.groupBy(*by, "__fine").agg(*[F.sum(c).alias(f"__{c}_n") for c in totals]) \
+        .withColumn("__chunk", F.shiftright("__fine", FINE_BITS))
+    chunks = sums.groupBy(*by, "__chunk").agg(*[F.sum(f"__{c}_n").alias(f"__{c}_c") for c in totals])
     group = Window.partitionBy(*by)
-    earlier = group.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select(
+    over_chunks = group.orderBy("__chunk").rowsBetween(*before_row)
+    outer = chunks.select(
         *by, "__chunk",
-        *[F.coalesce(F.sum(f"__{c}_chunk").over(earlier), F.lit(0)).alias(f"__{c}_shift") for c in totals],
-        *[F.sum(f"__{c}_chunk").over(group).alias(every) for c, (_, every) in totals.items()])
-    joined = chunked.join(shifts, [*by, "__chunk"])
-    inside = Window.partitionBy(*by, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        *[F.coalesce(F.sum(f"__{c}_c").over(over_chunks), F.lit(0)).alias(f"__{c}_outer") for c in totals],
+        *[F.sum(f"__{c}_c").over(group).alias(every) for c, (_, every) in totals.items()])
+    over_fine = Window.partitionBy(*by, "__chunk").orderBy("__fine").rowsBetween(*before_row)
+    inner = sums.select(*by, "__chunk", "__fine", *[
+        F.coalesce(F.sum(f"__{c}_n").over(over_fine), F.lit(0)).alias(f"__{c}_inner") for c in totals])
+    shifts = inner.join(outer, [*by, "__chunk"]).drop("__chunk")
+    joined = chunked.join(shifts, [*by, "__fine"])
+    inside = Window.partitionBy(*by, "__fine").orderBy(order).rowsBetween(*before_row)
     for c, (before, _) in totals.items():
-        joined = joined.withColumn(
-            before, F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{c}_shift"))
-    return joined.drop("__chunk", *[f"__{c}_shift" for c in totals])
+        joined = joined.withColumn(before, F.coalesce(F.sum(c).over(inside), F.lit(0))
+                                   + F.col(f"__{c}_inner") + F.col(f"__{c}_outer"))
+    return joined.drop("__fine", *[f"__{c}_{part}" for c in totals for part in ("inner", "outer")])
 
 
 def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -61,7 +72,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
     by = list(by)
     known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = known.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, by, "__v", value_chunk("__v"), {"n": ("before", "total")})
+    ranked = running_totals(counts, by, "__v", fine_chunk("__v"), {"n": ("before", "total")})
 
     def position(q: float) -> Column:
         return (F.col("total") - 1) * F.lit(float(q))

@@ -825,7 +825,7 @@ def online_features(w):
 
 @query
 def batch_process(w):
-    out = batch.process(w.transactions_dirty).select(
+    out = batch.process(w.transactions_dirty, stage=FE.staged).select(
         "transaction_id", "amount", "customer_age", "amount_zscore", "total_transactions", "amount_ratio",
         "location_transaction_count", "risk_score", "risk_level")
     return rounded(out, cols=["amount_zscore", "amount_ratio"], risk_score=6)

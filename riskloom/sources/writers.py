@@ -37,7 +37,8 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def latest_by_id(df: DataFrame, id_col: str, ts: str) -> DataFrame:
     """Newest version per id; copies shrink to one per map task before the shuffle."""
-    newest = F.max_by(F.struct(*df.columns), F.struct(F.col(ts), F.to_json(F.struct(*df.columns))))
+    comparable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    newest = F.max_by(F.struct(*df.columns), F.struct(ts, *[c for c in comparable if c != ts]))
     return df.groupBy(F.col(id_col).alias("__id")).agg(newest.alias("row")).select("row.*")
 
 

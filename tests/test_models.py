@@ -95,7 +95,7 @@ def test_regressors_and_metrics(frame):
 
 
 def test_permutation_importance_finds_the_signal(frame, forest):
-    got = ensemble.permutation_importance(forest, frame, "label", FEATURES, "id", buckets=4).toPandas().set_index("feature")["importance"]
+    got = ensemble.permutation_importance(forest, frame, "label", FEATURES, "id", rows_per_bucket=200).toPandas().set_index("feature")["importance"]
     assert got["x1"] > got["x2"] > got["x3"] and abs(got["x3"]) < 0.02
 
 

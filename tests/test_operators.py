@@ -100,7 +100,8 @@ def test_ewma_matches_the_loop(spark, by):
 
 
 @pytest.mark.parametrize("values", [
-    [5.0] * 40 + [1.0, 2.0, 3.5], list(np.random.default_rng(1).lognormal(6, 2, 501)), [-3.0, -1e9, 0.0, 2.5, 1e12], [7.0]])
+    [5.0] * 40 + [1.0, 2.0, 3.5], list(np.random.default_rng(1).lognormal(6, 2, 501)), [-3.0, -1e9, 0.0, 2.5, 1e12], [7.0],
+    list(0.5 + np.random.default_rng(8).uniform(0, 1e-5, 400))])
 def test_exact_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
