@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from riskloom.checks.views import (
-    A_ASOF, ADD_ENGINE, ADD_GATEWAY, AGE_OUT, BUCKET, COUNTS, CUT, DAY_NAME, DOW, HOUR, LEVEL3, LEVEL4, M_ASOF,
-    MODEL_SCORE, NIGHT, P_ASOF, RULES_ENGINE, T_ASOF, WEEKEND, floors, pct)
+    A_ASOF, ADD_ENGINE, ADD_GATEWAY, BUCKET, COUNTS, CUT, DAY_NAME, DOW, HOUR, LEVEL3, LEVEL4, M_ASOF,
+    MODEL_SCORE, NIGHT, RULES_ENGINE, T_ASOF, WEEKEND, floors, pct)
 from riskloom.checks.reports import PROFILE, REPORTS
 
 T_COLS = "transaction_id, customer_id, merchant_id, amount, location, customer_age, transaction_timestamp, k"

@@ -17,7 +17,7 @@ from riskloom.functions.columns import (
 from riskloom.functions.scoring import risk_level
 from riskloom.operators.joins import (
     join_customer_fanout, join_merchant_3way, join_txn_assessment, json_lateral)
-from riskloom.operators.relational import lookback_filter, time_range_filter, win_lag, win_row_number_topn, win_total_share
+from riskloom.operators.relational import lookback_filter, win_lag, win_row_number_topn, win_total_share
 
 
 def is_level(level: str) -> Column:

@@ -21,7 +21,7 @@ from riskloom.operators import statistics as ST
 from riskloom.operators import temporal as TP
 from riskloom.plans import batch
 from riskloom.plans import warehouse as W
-from riskloom.schemas import RISK_EVENT, TXN, conform
+from riskloom.schemas import RISK_EVENT, conform
 from riskloom.session import scratch_path
 from riskloom.sources import readers, writers
 from riskloom.streaming import jobs
