@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, quality, secrets, sentencepiece_fst, simhash, vptree
+from riskloom.llm import chat, decontaminate, pii, quality, secrets, sentencepiece_fst, simhash, token_index, toxicity, vptree
 from riskloom.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(secrets.joined_spans(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"))
+
+
+def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.encode_and_read(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
 
@@ -93,7 +110,8 @@ FROM ordered GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op5_simhash, op7_sentencepiece, op8_nearest_vectors,
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_personal_data, op4_token_index, op5_simhash,
+                                    op6_toxicity, op7_sentencepiece, op8_nearest_vectors,
                                     op9_chat_format, op10_quality)}
 
 
