@@ -10,6 +10,7 @@ words, put on the scale of chances by a logistic fit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,11 @@ def units(text: str) -> set[str]:
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, subsequence code, weight) of all words; equal subsequences of a word are summed."""
-    stripped = [w.strip(_EDGE) for w in words]
+    """(word number, subsequence code, weight) of all words; equal subsequences of a word are summed.
+
+    A word begins with a mark, so that subsequences at its start are their own.
+    """
+    stripped = ["^" + w.strip(_EDGE) for w in words]
     sizes = np.array([len(w) for w in stripped], dtype=np.int64)
     chars = np.frombuffer("".join(stripped).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
@@ -126,8 +130,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-#: What is known of each text: the strongest and second strongest word, and the logarithm of the number of words.
-WIDTH = 3
+TOP = 4
+#: What is known of each text: its strongest words, the logarithms of the numbers of words and of words beyond two margins,
+#: and the shares of the latter.
+WIDTH = TOP + 5
+MARGINS = (0.0, 0.5)
 
 
 def strongest(machine: Machine, batches: Iterator[pd.Series], cache_size: int = 400_000) -> Iterator[np.ndarray]:
@@ -144,8 +151,10 @@ def strongest(machine: Machine, batches: Iterator[pd.Series], cache_size: int =
             for a in range(0, len(new), 20_000):
                 known.update(zip(new[a:a + 20_000], machine.decide(new[a:a + 20_000]).tolist()))
             for words in each:
-                top = sorted([known[w] for w in words])[-2:]
-                rows.append((top[-1] if top else machine.bias, top[-2] if len(top) > 1 else machine.bias, np.log1p(len(words))))
+                values_of, n = sorted([known[w] for w in words]), len(words)
+                top = values_of[:-TOP - 1:-1] + [machine.bias] * (TOP - n)
+                over = [n - bisect_right(values_of, m) for m in MARGINS]
+                rows.append((*top, np.log1p(n), *np.log1p(over), *(o / max(n, 1) for o in over)))
         yield np.array(rows, dtype=float).reshape(-1, WIDTH)
 
 
