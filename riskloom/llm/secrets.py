@@ -112,9 +112,8 @@ def trigram_query(pattern: str) -> Query:
 def posting_index(docs: DataFrame, trigrams: Sequence[str], segment_docs: int = 4096) -> DataFrame:
     """(segment, trigram, ids): which documents hold each of ``trigrams``, about ``segment_docs`` documents a segment."""
     segments = max(1, -(-docs.count() // segment_docs))
-    low = F.lower("text")
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    return (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    held = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
+    return (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
             .select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), F.explode(held).alias("trigram"))
             .groupBy("segment", "trigram").agg(F.collect_set("doc_id").alias("ids")))
 
@@ -157,27 +156,27 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, segment_docs: int = 4096) -> DataFrame:
-    """Every row and column of ``docs`` with ``found``: the spans of all rules by start, then by rule.
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, segment_docs: int = 4096, into: str = "found") -> DataFrame:
+    """Every row and column of ``docs`` with column ``into``: the spans of all rules by start, then by rule.
 
-    A null text has no spans. Repeated rows each get their own; rows without doc_id are scanned by every rule. Names of
-    other columns do not matter, but for ``found`` and ``kinds``, which are replaced.
+    A null text has no spans. Repeated rows each get their own; rows without doc_id are scanned by every rule. A column
+    of the name ``into`` is replaced; other columns stay.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    docs = docs.drop("found", "kinds")
+    docs = docs.drop(into)
     wanted = sorted({t for q in queries.values() for c in q for s in c for t in s})
     index = staged(posting_index(docs.select("doc_id", "text"), wanted, segment_docs), "postings")
-    asked = staged(candidates(index, queries), "candidates").withColumnRenamed("doc_id", "asked_id")
-    joined = docs.join(asked, docs["doc_id"] == asked["asked_id"], "left")
+    asked = staged(candidates(index, queries), "candidates").toDF("asked__id", "asked__kinds")
+    joined = docs.join(asked, docs["doc_id"] == asked["asked__id"], "left")
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     found = []
     for rank, r in enumerate(rules):
         if r.kind in queries:
-            due = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) | F.col("doc_id").isNull()
+            due = F.coalesce(F.array_contains("asked__kinds", r.kind), F.lit(False)) | F.col("doc_id").isNull()
         else:
             due = F.rlike("text", F.lit(r.pattern))
         found.append(F.when(due & F.col("text").isNotNull(), spans_of(F.col("text"), r, rank)).otherwise(empty))
-    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*found)).alias("found"))
+    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*found)).alias(into))
 
 
 def joined_spans(found: Column) -> Column:
@@ -193,8 +192,9 @@ def redact(docs: DataFrame, marker: str = "[secret]", rules: Sequence[Rule] = RU
         before = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(marker)))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(text))
+    spans = "redacted__spans"
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    out = scan(docs, rules, into=spans).withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
