@@ -33,4 +33,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

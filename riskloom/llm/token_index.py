@@ -191,7 +191,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     def find(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "shard", "place", "start", "lengths"]
         if not len(asked) or not len(held):
-            return pd.DataFrame({n: [] for n in names}).astype({"key": "int64", "shard": "int32", "place": "int64", "start": "int64"})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names}).astype({"key": "int64", "shard": "int32", "place": "int64", "start": "int64"})
         mph, stored = pickle.loads(held["body"].iloc[0])
         k = asked["key"].to_numpy(dtype=np.int64)
         slot = mph.slots(k)
