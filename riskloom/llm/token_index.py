@@ -199,7 +199,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
         ok[ok] = stored["fingerprint"][slot[ok]] == fingerprints(k[ok])
         k, slot = k[ok], slot[ok]
         return pd.DataFrame({"key": k, "shard": stored["shard"][slot], "place": stored["place"][slot], "start": stored["start"][slot],
-                             "lengths": [stored["lengths"][s] for s in slot]})
+                             "lengths": pd.Series([stored["lengths"][s] for s in slot], dtype=object)})
 
     left, right = _bucketed(keys, "key", buckets).groupBy("bucket"), index.groupBy("bucket")
     return left.cogroup(right).applyInPandas(find, "key bigint, shard int, place bigint, start bigint, lengths array<bigint>")
