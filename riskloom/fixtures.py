@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import is_night, is_weekend
-
+from riskloom.session import scratch_path
 
 # Columns of the source tables. Stating them spares a schema inference job per scan.
 SOURCES = {
@@ -42,6 +42,10 @@ def _customer_key(col: str) -> Column:
     return F.concat(F.when(F.col(col) % 20 == 0, "NEW").otherwise("CUST"), _text(col))
 
 
+#: Time column of the tables that are also read as feeds.
+STREAM_TIME = {"orders": "o_orderdate", "events": "ts"}
+
+
 class Warehouse:
     """Lazy warehouse tables over one scale-factor folder."""
 
@@ -56,9 +60,16 @@ class Warehouse:
         given = self._given.get(name)
         return given if given is not None else self.spark.read.schema(SOURCES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stream(self, name: str) -> DataFrame:
-        """The files of a source table as a feed."""
-        return self.spark.readStream.schema(SOURCES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+    def stream(self, name: str, batches: int = 3, files: int = 4) -> DataFrame:
+        """A source table as a feed of several micro-batches in time order, so state is carried from one to the next."""
+        table, at = self.spark.read.schema(SOURCES[name]).parquet(f"{self.sf_dir}/{name}.parquet"), STREAM_TIME[name]
+        path = scratch_path(self.spark, f"feed-{name}")
+        first, last = table.agg(F.min(at), F.max(at)).first()
+        edges = [first + (last - first) * i / batches for i in range(1, batches)] if first is not None else []
+        part = sum((F.coalesce(F.col(at) >= F.lit(e), F.lit(False)).cast("int") for e in edges), F.lit(0))
+        for i in range(len(edges) + 1):
+            table.filter(part == i).repartition(files).write.mode("append").parquet(path)
+        return self.spark.readStream.schema(SOURCES[name]).option("maxFilesPerTrigger", str(files)).parquet(path)
 
     @cached_property
     def transactions(self) -> DataFrame:

@@ -92,8 +92,8 @@ def interaction_features(amount: Column | str, age: Column | str, customer_count
 
 
 def snap(x: Column | str) -> Column:
-    """Drop the noise of binary sums below eight digits, so that limits and ties decide as decimals do."""
-    return F.round(as_col(x), 8)
+    """Drop the noise of binary sums beyond 14 significant digits, so that limits and ties decide as decimals do."""
+    return F.format_string("%.13e", as_col(x).cast("double")).try_cast("double")
 
 
 def round_half_up(x: Column | str, digits: int) -> Column:

@@ -40,28 +40,20 @@ def weight_draws(n_models: int, n: int = WEIGHT_DRAWS, seed: int = 42) -> np.nda
     return raw / raw.sum(axis=1, keepdims=True)
 
 
-def optimize_weights(df: DataFrame, label: str, cols: Sequence[str], n: int = WEIGHT_DRAWS, seed: int = 42,
-                     bins: int = 1000) -> DataFrame:
-    """AUC of ``n`` random weightings: (draw, weights, auc), best first. Give it held-out predictions.
+def optimize_weights(df: DataFrame, label: str, cols: Sequence[str], n: int = WEIGHT_DRAWS, seed: int = 42) -> DataFrame:
+    """Exact AUC of ``n`` random weightings: (draw, weights, auc), best first. Give it held-out predictions.
 
-    Every row is scored under all draws at once and counted into ``bins`` score bins per draw on the map
-    side, so what is shuffled does not grow with the rows. ``bins`` is the resolution of the comparison,
-    as in the usual binned evaluator; ``auc_exact`` gives the exact figure of the chosen weights.
+    A row that a member gives no score, or no number, counts under no draw. Rows times draws are grouped by score, so the caller
+    chooses how many held-out rows the search shall see.
     """
     draws = weight_draws(len(cols), n, seed)
     scores = F.array(*[
         sum((F.lit(float(w)) * F.col(c) for c, w in zip(cols[1:], row[1:])), F.lit(float(row[0])) * F.col(cols[0]))
         for row in draws])
     flat = df.select(F.col(label).alias("__y"), F.posexplode(scores).alias("draw", "score"))
-    binned = flat.groupBy("draw", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(
-        F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") != 1).alias("neg"))
-    below = Window.partitionBy("draw").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = binned.withColumn("neg_before", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    auc = F.sum(F.col("pos") * (F.col("neg_before").cast("double") + F.col("neg") / 2.0))
     table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in draws])
-    return ranked.groupBy("draw").agg(
-        F.try_divide(auc, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
-    ).select("draw", F.element_at(table, F.col("draw") + 1).alias("weights"), "auc").orderBy(F.desc("auc"), "draw")
+    return auc_exact(flat, "__y", "score", ["draw"]).select(
+        "draw", F.element_at(table, F.col("draw") + 1).alias("weights"), "auc").orderBy(F.desc("auc"), "draw")
 
 
 def best_weights(search: DataFrame, cols: Sequence[str]) -> dict[str, float]:

@@ -19,6 +19,9 @@ def bias_groups(df: DataFrame, label: str, pred: str, attributes: Sequence[str])
     All attributes share one aggregate over (attribute, value).
     """
     present = [a for a in attributes if a in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "attribute string, value string, n bigint, positive_rate double, "
+                                                   "prediction_rate double, true_positive_rate double, false_positive_rate double")
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in present])
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     flat = df.select(y.alias("y"), p.alias("p"), F.inline(pairs))

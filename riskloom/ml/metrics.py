@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from riskloom.operators.ordered import exact_quantiles, running_totals, fine_chunk
@@ -16,13 +15,16 @@ ACCURACY_FLOOR = 0.85
 
 
 def _label_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    known = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
     return known.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
 def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve; equal scores count one half. Null when a class is missing."""
+    """Area under the ROC curve; equal scores count one half. Null when a class is missing.
+
+    Rows without label or score, or with NaN as score, do not count.
+    """
     by = list(by)
     ranked = running_totals(_label_counts(df, label, score, by), by, "threshold", fine_chunk("threshold"),
                             {"pos": ("pos_before", "positives"), "neg": ("neg_before", "negatives")})
@@ -34,7 +36,7 @@ def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Precision and recall when every score at or above the threshold is called positive."""
+    """Precision and recall when every score at or above the threshold is called positive; rows as in ``auc_exact``."""
     ranked = running_totals(_label_counts(df, label, score, []), [], "threshold", fine_chunk("threshold"),
                             {"pos": ("pos_before", "positives"), "neg": ("neg_before", "negatives")})
     tp = F.col("positives") - F.col("pos_before")
@@ -102,21 +104,32 @@ def drift_score(base: DataFrame, current: DataFrame, col: str, bins: int = 10) -
     return drift_psi(base, current, col, bins).agg(F.sum("psi").alias("drift_score"))
 
 
-def register_model_run(metrics: DataFrame, model_name: str, model_version: str, n_features: int, created_at,
-                       training_samples: int | None = None) -> DataFrame:
-    """One row per evaluated model in the columns of the model performance table."""
+def register_model_run(metrics: DataFrame, model_name: str, model_version: str, created_at, training_samples: int | None = None,
+                       auc: Column | None = None, drift: Column | None = None, importance: Column | None = None) -> DataFrame:
+    """One row per evaluated model in the columns of the model performance table.
+
+    ``auc`` and ``drift`` are numbers (literals or scalar subqueries), ``importance`` a map of feature to importance.
+    """
     from riskloom.schemas import conform
 
-    out = metrics.withColumns({
+    none = F.lit(None)
+    return conform(metrics.withColumns({
         "model_name": F.lit(model_name), "model_version": F.lit(model_version),
         "model_id": F.lit(f"{model_name}:{model_version}"),
         "validation_samples": F.col("n"), "training_samples": F.lit(training_samples).cast("int"),
         "precision_score": F.col("precision"), "recall_score": F.col("recall"),
+        "auc_score": none if auc is None else auc, "drift_score": none if drift is None else drift,
+        "feature_importance": none if importance is None else F.to_json(importance),
         "confusion_matrix": F.to_json(F.struct("confusion_matrix")), "created_at": F.lit(str(created_at)),
-    })
-    return conform(out, "model_performance", created_at).withColumn("n_features", F.lit(n_features).cast(T.IntegerType()))
+    }), "model_performance", created_at)
+
+
+def append_model_run(run: DataFrame, path: str) -> None:
+    """Append a run to the model performance table at ``path``."""
+    run.write.mode("append").parquet(path)
 
 
 def ab_assign(df: DataFrame, id_col: str, n: int = 2, seed: int = 42) -> DataFrame:
-    """Adds ``variant`` 0..n-1, fixed by the id."""
-    return df.withColumn("variant", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n)).cast("int"))
+    """Adds ``variant`` 0..n-1, fixed by the id: eight hex digits of its MD5, modulo ``n``."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8)
+    return df.withColumn("variant", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(n)).cast("int"))

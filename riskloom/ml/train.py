@@ -24,7 +24,7 @@ TRAIN_FEATURES = ["amount", "customer_age", "transaction_count", "total_transact
 TUNE_FEATURES = ["amount", "customer_age", "transaction_count"]
 TUNE_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "maxBins": [32, 64, 128]}
 RANDOM_RANGES = {"maxIter": (100, 1000), "maxDepth": (3, 10), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0),
-                 "minInstancesPerNode": (1, 10)}
+                 "minInstancesPerNode": (1, 10), "featureSubsetStrategy": (0.6, 1.0)}
 # End of fixed values.
 
 
@@ -43,10 +43,10 @@ def assembled(features: Sequence[str], scale: bool = True) -> tuple[list, str]:
 
 
 def classifiers(label: str, features_col: str, n_features: int, trees: int = 100, iterations: int = 100,
-                depth: int = 10, layers: Sequence[int] = (512, 256, 128), seed: int = 42) -> dict:
+                depth: int = 10, boost_depth: int = 6, layers: Sequence[int] = (512, 256, 128), seed: int = 42) -> dict:
     return {
         "random_forest": RandomForestClassifier(labelCol=label, featuresCol=features_col, numTrees=trees, maxDepth=depth, seed=seed),
-        "gbt": GBTClassifier(labelCol=label, featuresCol=features_col, maxIter=iterations, maxDepth=min(depth, 6), stepSize=0.1, seed=seed),
+        "gbt": GBTClassifier(labelCol=label, featuresCol=features_col, maxIter=iterations, maxDepth=boost_depth, stepSize=0.1, seed=seed),
         "logistic_regression": LogisticRegression(labelCol=label, featuresCol=features_col, maxIter=iterations),
         "neural_network": MultilayerPerceptronClassifier(
             labelCol=label, featuresCol=features_col, layers=[n_features, *layers, 2], maxIter=iterations, seed=seed),
@@ -82,7 +82,8 @@ def tune_random(df: DataFrame, label: str = "risk_label", n: int = 50, seed: int
         draw = {}
         for name, (low, high) in (ranges or RANDOM_RANGES).items():
             whole = isinstance(low, int) and isinstance(high, int)
-            draw[gbt.getParam(name)] = int(rng.integers(low, high + 1)) if whole else float(rng.uniform(low, high))
+            value = int(rng.integers(low, high + 1)) if whole else float(rng.uniform(low, high))
+            draw[gbt.getParam(name)] = str(value) if name == "featureSubsetStrategy" else value  # a share of the columns
         draws.append(draw)
     return _cross_validate(Pipeline(stages=[*stages, gbt]), draws, df, label, folds, parallelism, seed)
 
@@ -127,21 +128,44 @@ def train_kernel_svm(df: DataFrame, label: str, features: Sequence[str], n_rando
 
 
 def train_zoo(df: DataFrame, label: str = "risk_label", seed: int = 42, features: Sequence[str] = TRAIN_FEATURES,
-              trees: int = 500, iterations: int = 100, depth: int = 10,
-              layers: Sequence[int] = (512, 256, 128), n_random: int = 128) -> dict[str, PipelineModel]:
-    """One fitted pipeline per classifier, all exposing ``probability``."""
+              trees: int = 500, iterations: int = 100, depth: int = 10, boost_depth: int = 6, svm_iterations: int = 50,
+              layers: Sequence[int] = (512, 256, 128), n_random: int = 128,
+              tuned: PipelineModel | None = None) -> dict[str, PipelineModel]:
+    """One fitted pipeline per classifier, all exposing ``probability``; ``tuned`` joins them as ``tuned_boosting``."""
     stages, col = assembled(features)
     data = df.persist()
     try:
         models = {
             name: Pipeline(stages=[*stages, estimator]).fit(data)
-            for name, estimator in classifiers(label, col, len(features), trees, iterations, depth, layers, seed).items()}
-        models["svm"] = train_kernel_svm(data, label, features, n_random, iterations=min(iterations, 50), seed=seed)
+            for name, estimator in classifiers(label, col, len(features), trees, iterations, depth, boost_depth, layers, seed).items()}
+        models["svm"] = train_kernel_svm(data, label, features, n_random, iterations=svm_iterations, seed=seed)
     finally:
         data.unpersist()
+    if tuned is not None:
+        models["tuned_boosting"] = tuned
     return models
 
 
+def bounded(df: DataFrame, id_col: str, max_rows: int, seed: int = 42) -> DataFrame:
+    """At most ``max_rows`` rows to fit on, drawn by a hash of the id, so a run repeats itself."""
+    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(max_rows)
+
+
+def save_ensemble(models: dict[str, PipelineModel], weights: dict[str, float], features: Sequence[str], path: str, spark) -> None:
+    """Write every member below ``path``, and one row with weights and features beside them."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+    spark.createDataFrame([(dict(weights), list(features), list(models))],
+                          "weights map<string,double>, features array<string>, members array<string>") \
+        .write.mode("overwrite").parquet(f"{path}/ensemble")
+
+
+def load_ensemble(path: str, spark) -> tuple[dict[str, PipelineModel], dict[str, float], list[str]]:
+    """Members, weights and features written by ``save_ensemble``."""
+    row = spark.read.parquet(f"{path}/ensemble").first()
+    return {name: PipelineModel.load(f"{path}/{name}") for name in row["members"]}, dict(row["weights"]), list(row["features"])
+
+
 def train_regressors(df: DataFrame, target: str = "risk_score", seed: int = 42, features: Sequence[str] | None = None,
                      id_col: str = "transaction_id", trees: int = 100, iterations: int = 100) -> dict:
     """Five regressors on a repeatable 80/20 split; returns models and the held-out predictions.

@@ -46,7 +46,8 @@ def join_customer_fanout(customers: DataFrame, assessments: DataFrame, transacti
         F.count_if(F.col("risk_level") == "HIGH").alias("n_high"),
         F.count_if(F.col("recommended_action") == "BLOCK").alias("n_blocked"),
     )
-    t = transactions.groupBy("customer_id").agg(
+    asked = transactions.join(a.select("customer_id"), "customer_id", "left_semi")  # only those a profile needs
+    t = asked.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n_t"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("avg_amount"),

@@ -16,14 +16,16 @@ WHISKER = 1.5
 
 
 def _counted_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their multiplicity: copies merge before the shuffle, whatever their number."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    """Digests of distinct rows with their multiplicity and null flags: what is shuffled does not grow with the columns."""
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return df.select(F.sha2(F.to_json(F.struct(*df.columns), exact), 256).alias("__row"), F.array(*[F.col(c).isNull() for c in df.columns]).alias("__nulls")) \
+        .groupBy("__row").agg(F.count(F.lit(1)).alias("__copies"), F.first("__nulls").alias("__nulls"))
 
 
 def _null_map(cols: Sequence[str]) -> Column:
     pairs = []
-    for c in cols:
-        pairs += [F.lit(c), F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("__copies"))), F.lit(0))]
+    for i, c in enumerate(cols):
+        pairs += [F.lit(c), F.coalesce(F.sum(F.when(F.col("__nulls")[i], F.col("__copies"))), F.lit(0))]
     return F.create_map(*pairs)
 
 

@@ -93,30 +93,30 @@ def active_model_asof(assessments: DataFrame, updates: DataFrame, ts: str = "ass
 
     Each calendar day is cut into the stretch before its first update, which carries the last model of
     the days before, and one stretch per update. Rows then meet their stretch through an equi join on the
-    day; the only order over everything runs over one row per calendar day since the first update.
+    day; the only order over everything runs over one row per hour since the first update.
     """
     per_instant = updates.groupBy(F.col(at).alias("__from")).agg(F.max(model).alias("__model")).withColumn(
-        "__day", F.to_date("__from"))
-    in_day = per_instant.withColumn("__to", F.lead("__from").over(Window.partitionBy("__day").orderBy("__from")))
+        "__hour", F.date_trunc("hour", "__from"))
+    in_hour = per_instant.withColumn("__to", F.lead("__from").over(Window.partitionBy("__hour").orderBy("__from")))
 
-    update_days = per_instant.groupBy("__day").agg(
+    update_hours = per_instant.groupBy("__hour").agg(
         F.min("__from").alias("__first"), F.max_by("__model", "__from").alias("__last"))
-    newest = assessments.agg(F.max(F.to_date(ts))).scalar()
-    calendar = update_days.agg(F.min("__day").alias("a")).select(
-        F.explode(F.sequence(F.col("a"), F.greatest("a", newest))).alias("__day"))
-    days = calendar.join(update_days, "__day", "left")
-    carried = days.select(
+    newest = assessments.agg(F.max(F.date_trunc("hour", ts))).scalar()
+    calendar = update_hours.agg(F.min("__hour").alias("a")).select(
+        F.explode(F.sequence(F.col("a"), F.greatest("a", newest), F.expr("INTERVAL '1' HOUR"))).alias("__hour"))
+    hours = calendar.join(update_hours, "__hour", "left")
+    carried = hours.select(
         F.col("__first").alias("__to"),
         F.last("__last", ignorenulls=True).over(
-            Window.partitionBy().orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__model"),
-        "__day", F.lit(None).cast(assessments.schema[ts].dataType).alias("__from"))
-    stretches = in_day.select("__to", "__model", "__day", "__from").unionByName(carried)
+            Window.partitionBy().orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)).alias("__model"),
+        "__hour", F.lit(None).cast(assessments.schema[ts].dataType).alias("__from"))
+    stretches = in_hour.select("__to", "__model", "__hour", "__from").unionByName(carried)
 
-    a = assessments.withColumn("__day", F.to_date(ts))
-    return a.join(stretches, "__day", "left").filter(
+    a = assessments.withColumn("__hour", F.date_trunc("hour", ts))
+    return a.join(stretches, "__hour", "left").filter(
         (F.col("__from").isNull() | (F.col(ts) >= F.col("__from")))
         & (F.col("__to").isNull() | (F.col(ts) < F.col("__to")))
-    ).withColumnRenamed("__model", "active_model").drop("__day", "__from", "__to")
+    ).withColumnRenamed("__model", "active_model").drop("__hour", "__from", "__to")
 
 
 def gap_fill_hours(df: DataFrame, ts: str, as_of=None, hours: int = 24) -> DataFrame:
@@ -136,65 +136,20 @@ def gap_fill_hours(df: DataFrame, ts: str, as_of=None, hours: int = 24) -> DataF
         {"assessments": 0, "high_risk": 0, "average_risk_score": 0.0}).orderBy(F.desc("hours_ago"))
 
 
-def batch_cache_hits(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes", block_ttls: int = 64) -> DataFrame:
-    """Requests a result cache would have answered: totals and hit rate.
+def repeat_rate(df: DataFrame, id_col: str, ts: str, within: str = "30 minutes") -> DataFrame:
+    """Requests that follow another of their id in under ``within``: totals and rate.
 
-    The first request of an id fills the cache, requests less than ``ttl`` later are hits, the first one
-    after that fills it again. Where a fill falls depends on the fill before it, so an id is cut into
-    blocks of ``block_ttls`` times ``ttl``. Every block works out, for each instant that could be its first
-    fill, how many fills follow and when the last one is; only these few candidates are then walked in
-    time order per id. Requests of the same id and instant are merged beforehand.
+    Time is cut into stretches as long as ``within``. All but the first request of an id and stretch repeat; the first one
+    does if the id's last request of the stretch before is near enough. So counts, first and last instants per id and
+    stretch suffice, and no id is ordered in one task. Rows without id or instant do not count.
     """
-    keep = interval_micros(ttl)
-    width = keep * block_ttls
-    kind = df.schema[id_col].dataType
-    merged = df.filter(F.col(id_col).isNotNull() & F.col(ts).isNotNull()).groupBy(
-        F.col(id_col).alias("id"), micros(ts).alias("t")).agg(F.count(F.lit(1)).alias("requests"))
-    blocks = merged.withColumn("block", F.floor(F.col("t") / F.lit(width)).cast("bigint"))
-
-    def candidates(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        t, block = group["t"].to_numpy(), group["block"].iloc[0]
-        after = np.searchsorted(t, t + keep)
-        # the fill before the block is older than its start, so the first fill comes within one ttl of it
-        last = min(np.searchsorted(t, block * width + keep), len(t) - 1)
-        at, fills = np.arange(last + 1), np.ones(last + 1, dtype=np.int64)
-        going = after[at] < len(t)
-        while going.any():
-            at[going] = after[at[going]]
-            fills[going] += 1
-            going = after[at] < len(t)
-        requests = np.zeros(last + 1, dtype=np.int64)
-        requests[0] = group["requests"].sum()
-        return pd.DataFrame({"id": group["id"].iloc[0], "block": block, "entry": t[: last + 1],
-                             "expires": t[at] + keep, "fills": fills, "requests": requests})
-
-    fields = [("block", T.LongType()), ("entry", T.LongType()), ("expires", T.LongType()), ("fills", T.LongType()),
-              ("requests", T.LongType())]
-    first_fills = blocks.groupBy("id", "block").applyInPandas(
-        candidates, T.StructType([T.StructField("id", kind), *[T.StructField(n, k) for n, k in fields]]))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, open_block, valid_until = None, None, 0
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids, block, entry = (batch[c].to_numpy() for c in ("id", "block", "entry"))
-            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (block[1:] != block[:-1])])
-            chosen = np.zeros(len(batch), dtype=bool)
-            expires = batch["expires"].to_numpy()
-            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
-                if ids[lo] != current:
-                    current, open_block, valid_until = ids[lo], None, np.iinfo(np.int64).min
-                if block[lo] == open_block:
-                    continue  # the block met its first fill in the previous batch
-                pick = lo + np.searchsorted(entry[lo:hi], valid_until)
-                if pick < hi:
-                    chosen[pick], open_block, valid_until = True, block[lo], expires[pick]
-            yield pd.DataFrame({"requests": [batch["requests"].sum()], "fills": [batch["fills"].to_numpy()[chosen].sum()]})
-
-    walked = first_fills.repartition("id").sortWithinPartitions("id", "block", "entry").mapInPandas(
-        walk, "requests bigint, fills bigint")
-    total, hits = F.coalesce(F.sum("requests"), F.lit(0)), F.coalesce(F.sum("requests") - F.sum("fills"), F.lit(0))
-    return walked.agg(total.alias("total_requests"), hits.alias("cache_hits"),
-                      F.round(F.try_divide(hits, total), 6).alias("cache_hit_rate"))
+    width = interval_micros(within)
+    t = micros(ts)
+    known = df.filter(F.col(id_col).isNotNull() & F.col(ts).isNotNull())
+    parts = known.groupBy(F.col(id_col).alias("id"), F.floor(t / F.lit(width)).cast("bigint").alias("stretch")).agg(
+        F.count(F.lit(1)).alias("requests"), F.min(t).alias("first"), F.max(t).alias("last"))
+    before = parts.select("id", (F.col("stretch") + 1).alias("stretch"), F.col("last").alias("last_before"))
+    repeats = F.col("requests") - F.when(F.col("first") - F.col("last_before") < width, 0).otherwise(1)
+    total, hits = F.coalesce(F.sum("requests"), F.lit(0)), F.coalesce(F.sum(repeats), F.lit(0))
+    return parts.join(before, ["id", "stretch"], "left").agg(
+        total.alias("total_requests"), hits.alias("repeated_requests"), F.round(F.try_divide(hits, total), 6).alias("repeat_rate"))

@@ -15,10 +15,6 @@ TXN = T.StructType([
     T.StructField("merchant_id", T.StringType(), True),
     T.StructField("customer_age", T.IntegerType(), True),
 ])
-REQUEST = T.StructType(TXN.fields + [
-    T.StructField("payment_method", T.StringType()), T.StructField("device_fingerprint", T.StringType()),
-    T.StructField("ip_address", T.StringType()),
-])
 RISK_EVENT = "transaction_id string, risk_score double, risk_level string, timestamp timestamp"
 EXPLANATION = (
     "feature_importance map<string,double>, shap_values map<string,double>, "

@@ -15,10 +15,7 @@ def build_session(app: str = "riskloom", master: str | None = None, shuffle_part
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -48,13 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder. What is written there belongs to the run: whoever names the shared folder
+    empties it after the run, as nothing else tells when the last lazy result has been read."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df):
-    """Reliable checkpoint of ``df`` in the shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)

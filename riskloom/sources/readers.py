@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.schemas import TXN
 
@@ -16,12 +17,15 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", merge_sc
     return spark.read.format(format).option("mergeSchema", str(merge_schema).lower()).load(path)
 
 
-def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_by_extension(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                      multi_line: bool = False) -> DataFrame:
+    """CSV with a header or JSON. JSON is one object a line, as ``export_json`` writes it, so that files can be split;
+    ``multi_line`` reads files that hold one array or one object over several lines, each in one task."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     if path.endswith(".csv"):
         return reader.csv(path, header=True, inferSchema=schema is None)
     if path.endswith(".json"):
-        return reader.json(path, multiLine=True)
+        return reader.json(path, multiLine=multi_line)
     raise ValueError(f"unsupported file format: {path}")
 
 
@@ -85,10 +89,28 @@ MESSAGE_SCHEMAS = {
 
 def route_messages(df: DataFrame, schemas: Mapping[str, str] = MESSAGE_SCHEMAS,
                    value_col: str = "value") -> dict[str, DataFrame]:
-    """One typed frame per message type of a mixed feed; works on batches and streams."""
+    """One typed frame per message type of a mixed feed, and the texts of no known type as ``unrouted``; works on batches
+    and streams (there ``route_stream`` reads the feed once)."""
     text = F.col(value_col).cast("string")
     envelope = df.select(
-        F.get_json_object(text, "$.type").alias("type"), F.get_json_object(text, "$.data").alias("data"))
-    return {
+        text.alias("raw"), F.get_json_object(text, "$.type").alias("type"), F.get_json_object(text, "$.data").alias("data"))
+    unrouted = envelope.filter(F.col("type").isNull() | F.col("data").isNull() | ~F.col("type").isin(*schemas)).select("raw")
+    return {"unrouted": unrouted} | {
         kind: envelope.filter(F.col("type") == kind).select(F.from_json("data", schema).alias("d")).select("d.*")
         for kind, schema in schemas.items()}
+
+
+def route_stream(stream: DataFrame, path: str, checkpoint: str, schemas: Mapping[str, str] = MESSAGE_SCHEMAS,
+                 value_col: str = "value", trigger: str | None = "10 seconds") -> StreamingQuery:
+    """Route a stream in one query: each micro-batch is read once and appended to one table per type below ``path``.
+
+    A replayed micro-batch overwrites its own folder, so no message is written twice.
+    """
+    def split(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for kind, rows in route_messages(batch, schemas, value_col).items():
+            rows.write.mode("overwrite").parquet(f"{path}/{kind}/batch={number}")
+        batch.unpersist()
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(split)
+    return (writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)).start()

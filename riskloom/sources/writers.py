@@ -42,7 +42,7 @@ def latest_by_id(df: DataFrame, id_col: str, ts: str) -> DataFrame:
     return df.groupBy(F.col(id_col).alias("__id")).agg(newest.alias("row")).select("row.*")
 
 
-def append_assessments(df: DataFrame, path: str, id_col: str = "assessment_id") -> None:
+def append_assessments(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
@@ -62,27 +62,35 @@ def refresh_daily_summary(assessments: DataFrame, changed: DataFrame, path: str,
                           ts: str = "assessment_timestamp") -> None:
     """Recompute only the months touched by ``changed`` and overwrite their partitions.
 
-    A day is one row, so months keep the files from becoming tiny.
+    A day is one row, so months keep the files from becoming tiny. The first and last touched month bound the scan by
+    literals that reach the files. A touched month without rows is overwritten by a row that ``read_daily_table`` leaves out.
     """
-    def month(col: str):
+    def month(col):
         return F.date_trunc("month", col).cast("date")
 
-    months = changed.agg(F.collect_set(month(ts))).scalar()  # one entry per calendar month
-    touched = assessments.filter(F.array_contains(months, month(ts)))
-    summary = daily_summary_mv(touched).withColumn("assessment_month", month("assessment_date"))
-    write_overwrite(summary.repartition("assessment_month"), path, ["assessment_month"])
+    touched = changed.select(month(ts).alias("assessment_month")).filter("assessment_month IS NOT NULL").distinct()
+    first, last = touched.agg(F.min("assessment_month"), F.add_months(F.max("assessment_month"), 1)).first()
+    if first is None:
+        return
+    kind = assessments.schema[ts].dataType
+    near = assessments.filter((F.col(ts) >= F.lit(first).cast(kind)) & (F.col(ts) < F.lit(last).cast(kind)))
+    summary = daily_summary_mv(near).withColumn("assessment_month", month("assessment_date"))
+    fresh = touched.join(summary, "assessment_month", "left").select(*summary.columns)
+    write_overwrite(fresh.repartition("assessment_month"), path, ["assessment_month"])
 
 
-def table_layout(df: DataFrame, path: str, ts: str, sort_by: Sequence[str] = ("customer_id",), by: str = "day",
-                 files_per_period: int = 1) -> None:
+def read_daily_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``refresh_daily_summary`` keeps."""
+    return spark.read.parquet(path).filter("assessment_date IS NOT NULL").drop("assessment_month")
+
+
+def table_layout(df: DataFrame, path: str, ts: str, sort_by: Sequence[str] = ("customer_id",), by: str = "day") -> None:
     """Period partitions with rows sorted inside each file, so time and key filters skip data.
 
-    ``files_per_period`` spreads a heavy period over several tasks by a hash of the sort key.
+    Rows are rebalanced by period: a heavy period is split over several tasks at run time, light ones share one.
     """
-    period = df.withColumn("event_period", F.date_trunc(by, ts).cast("date"))
-    salted = period.withColumn("__salt", F.pmod(F.xxhash64(*sort_by), F.lit(files_per_period)))
-    salted.repartition("event_period", "__salt").drop("__salt") \
-        .sortWithinPartitions("event_period", *sort_by).write.mode("overwrite") \
+    period = df.withColumn("event_period", F.date_trunc(by, ts).cast("date")).hint("rebalance", "event_period")
+    period.sortWithinPartitions("event_period", *sort_by).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy("event_period").parquet(path)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions.columns import score_bucket
 from riskloom.functions.scoring import Inputs, Profile, naive_risk_score, score_batch
+from riskloom.ml.metrics import ACCURACY_FLOOR
 from riskloom.operators.ordered import interval_micros
 from riskloom.plans.warehouse import assessment_counts, metric_alert
 
@@ -100,13 +101,13 @@ def stream_daily_summary(df: DataFrame, watermark: str = "1 day", ts: str = "ass
 
 
 def write_daily_summary(summary: DataFrame, path: str, checkpoint: str, trigger: str | None = "10 seconds") -> StreamingQuery:
-    """Maintain the daily table: every micro-batch writes the days it changed under its own number.
+    """Maintain the daily table: every micro-batch overwrites the partitions of the days it changed.
 
-    In update mode a changed day arrives with its full totals. A replayed micro-batch overwrites its own
-    partition, so restarts leave the table as it was; ``read_daily_summary`` picks the newest row per day.
+    In update mode a changed day arrives with its full totals. Only the last micro-batch is ever replayed, and it writes
+    the same days again, so restarts leave the table as it was; the table holds one partition per day.
     """
     def write_changes(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("assessment_date").parquet(path)
 
     writer = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_changes)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
@@ -115,8 +116,7 @@ def write_daily_summary(summary: DataFrame, path: str, checkpoint: str, trigger:
 
 def read_daily_summary(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("batch", "assessment_date")]), "batch")
-    return rows.groupBy("assessment_date").agg(newest.alias("row")).select("assessment_date", "row.*")
+    return rows.select("assessment_date", *[c for c in rows.columns if c != "assessment_date"])
 
 
 def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str = "1 day", watermark: str = "1 day",
@@ -131,7 +131,10 @@ def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str =
 
 def stream_alerts(metrics: DataFrame, watermark: str = "1 hour", ts: str = "metric_time",
                   thresholds: Mapping[str, float] | None = None) -> DataFrame:
-    """Hourly metric means beyond their limit; ``thresholds`` replaces the built-in limits by name."""
+    """Hourly metric means beyond their limit; ``thresholds`` replaces the built-in limits by name.
+
+    An hourly mean of ``model_accuracy`` below its floor is an alert in either case.
+    """
     hourly = event_time(metrics, ts).withWatermark(ts, watermark).groupBy(
         F.window(ts, "1 hour").alias("w"), "metric_name").agg(F.avg("metric_value").alias("avg_value"))
     name, value = F.col("metric_name"), F.col("avg_value")
@@ -142,6 +145,7 @@ def stream_alerts(metrics: DataFrame, watermark: str = "1 hour", ts: str = "metr
         for metric, limit in thresholds.items():
             alert = F.when((name == metric) & (value > limit), F.concat(F.lit("HIGH_"), F.upper(name))).otherwise(alert)
         alert = F.coalesce(alert, F.lit("NORMAL"))
+    alert = F.when((name == "model_accuracy") & (value < ACCURACY_FLOOR), "LOW_ACCURACY").otherwise(alert)
     return hourly.select(F.col("w.start").alias("hour"), "metric_name", "avg_value", alert.alias("alert_status")) \
         .filter("alert_status <> 'NORMAL'")
 

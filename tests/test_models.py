@@ -159,14 +159,32 @@ def test_drift_is_zero_without_change_and_grows(frame):
 
 def test_run_log_and_health(spark, frame, forest):
     scored = train.predict_risk(forest, frame).withColumn("pred", (F.col("confidence") > 0.5).cast("int"))
-    run = metrics.register_model_run(metrics.classification_metrics(scored, "label", "pred"), "rf", "v1", 3, "2024-01-01 00:00:00")
+    run = metrics.register_model_run(metrics.classification_metrics(scored, "label", "pred"), "rf", "v1", "2024-01-01 00:00:00", auc=F.lit(0.9))
     r = run.first()
-    assert (r.model_id, r.validation_samples, r.n_features) == ("rf:v1", 800, 3) and float(r.accuracy) > 0.85
+    assert (r.model_id, r.validation_samples, float(r.auc_score)) == ("rf:v1", 800, 0.9) and float(r.accuracy) > 0.85
     assert metrics.model_health(run).first().needs_retraining is False
     old = spark.createDataFrame([("m", "v1", 0.9, "2024-01-01"), ("m", "v2", 0.8, "2024-02-01")], "model_name string, model_version string, accuracy double, created_at string")
     assert [tuple(x)[:2] + (x.needs_retraining,) for x in metrics.model_health(old).collect()] == [("m", "v2", True)]
 
 
+def test_scores_that_are_no_numbers_do_not_count(spark):
+    rows = spark.createDataFrame([(1, 0.9, 0.8), (1, 0.8, 0.9), (0, 0.1, 0.2), (0, None, 0.9), (0, float("nan"), 0.9), (None, 0.5, 0.5)], "y int, a double, b double")
+    assert metrics.auc_exact(rows, "y", "a").first().auc == 1.0
+    assert {r.auc for r in ensemble.optimize_weights(rows, "y", ["a", "b"], n=5).collect()} == {1.0}
+    assert metrics.pr_curve(rows, "y", "a").count() == 3
+
+
+def test_bias_without_known_attributes_is_empty(spark):
+    assert fairness.bias_groups(spark.createDataFrame([(1, 1)], "y int, p int"), "y", "p", ["none"]).collect() == []
+
+
+def test_ensemble_comes_back(spark, frame, forest, tmp_path):
+    train.save_ensemble({"rf": forest}, {"rf": 1.0}, ["x1"], str(tmp_path), spark)
+    models, weights, features = train.load_ensemble(str(tmp_path), spark)
+    assert (weights, features) == ({"rf": 1.0}, ["x1"])
+    assert models["rf"].transform(frame).select("prediction").collect() == forest.transform(frame).select("prediction").collect()
+
+
 def test_explanation_struct(spark):
     df = spark.createDataFrame([("a", {"x": 1.0}, ["step"])], "id string, s map<string,double>, p array<string>")
     on = explain.explanation_struct(df, None, "s", None, "p").first().explanation

@@ -67,24 +67,22 @@ def test_active_model_matches_a_scan(spark):
         assert r.active_model == (max(past)[1] if past else None)
 
 
-def replay(rows, ttl):
-    hits, filled = 0, {}
-    for key, ts in sorted(rows):
-        if key in filled and ts < filled[key] + ttl:
-            hits += 1
-        else:
-            filled[key] = ts
-    return hits
+def repeats(rows, ttl):
+    last, n = {}, 0
+    for key, at in sorted(rows):
+        n += key in last and at - last[key] < ttl
+        last[key] = at
+    return n
 
 
 @pytest.mark.parametrize("ttl,text", [(dt.timedelta(minutes=30), "30 minutes"), (dt.timedelta(hours=7), "7 hours")])
-def test_cache_replay_matches_a_loop(spark, ttl, text):
+def test_repeats_match_a_loop(spark, ttl, text):
     rng = random.Random(5)
     rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(20)}", BASE + dt.timedelta(seconds=rng.randrange(0, 86400 * 4)))
             for i in range(3000)]
     rows += rows[:200]
-    row = TP.batch_cache_hits(spark.createDataFrame(rows, "id string, ts timestamp_ntz"), "id", "ts", text).first()
-    assert (row.total_requests, row.cache_hits) == (len(rows), replay(rows, ttl))
+    row = TP.repeat_rate(spark.createDataFrame([*rows, (None, BASE), ("x", None)], "id string, ts timestamp_ntz"), "id", "ts", text).first()
+    assert (row.total_requests, row.repeated_requests) == (len(rows), repeats(rows, ttl))
 
 
 @pytest.mark.parametrize("by", [["key"], []])

@@ -134,16 +134,17 @@ def test_sliding_windows_alerts_and_gauge(spark, tmp_path):
     assert [(r.last_score, r.score_histogram["0.8-1.0"], r.score_histogram["0.0-0.2"]) for r in gauge] == [(0.1, 1, 1)]
 
     lines = [{"metric_name": n, "metric_value": v, "metric_time": (BASE + o).isoformat()} for n, v, o in (
-        ("cpu_usage", 90.0, dt.timedelta(0)), ("cpu_usage", 85.0, dt.timedelta(minutes=1)), ("error_rate", 1.0, dt.timedelta(0)), ("x", 1.0, day))]
+        ("cpu_usage", 90.0, dt.timedelta(0)), ("cpu_usage", 85.0, dt.timedelta(minutes=1)), ("error_rate", 1.0, dt.timedelta(0)), ("model_accuracy", 0.8, dt.timedelta(0)), ("x", 1.0, day))]
     feed(tmp_path / "m", [lines])
     metrics = readers.read_feed(spark, str(tmp_path / "m")).select(
         F.from_json("value", "metric_name string, metric_value double, metric_time timestamp").alias("e")).select("e.*")
-    assert [(r.metric_name, r.avg_value, r.alert_status) for r in drain(jobs.stream_alerts(metrics), tmp_path, "alerts").collect()] == [("cpu_usage", 87.5, "HIGH_CPU")]
+    assert {(r.metric_name, r.avg_value, r.alert_status) for r in drain(jobs.stream_alerts(metrics), tmp_path, "alerts").collect()} == {
+        ("cpu_usage", 87.5, "HIGH_CPU"), ("model_accuracy", 0.8, "LOW_ACCURACY")}
     feed(tmp_path / "m2", [lines])
     again = readers.read_feed(spark, str(tmp_path / "m2")).select(
         F.from_json("value", "metric_name string, metric_value double, metric_time timestamp").alias("e")).select("e.*")
     custom = drain(jobs.stream_alerts(again, thresholds={"error_rate": 0.5}), tmp_path, "alerts2").collect()
-    assert [(r.metric_name, r.alert_status) for r in custom] == [("error_rate", "HIGH_ERROR_RATE")]
+    assert {(r.metric_name, r.alert_status) for r in custom} == {("error_rate", "HIGH_ERROR_RATE"), ("model_accuracy", "LOW_ACCURACY")}
 
 
 def test_messages_are_routed_by_type(spark):
@@ -154,6 +155,21 @@ def test_messages_are_routed_by_type(spark):
     assert (r.id, r.riskScore, r.features, r.businessRules) == ("1", 0.5, {"amount": 2.0}, ["A"])
     assert routed["system_metrics"].first().cpuUsage == 12.5
     assert routed["notification"].count() == 0
+    assert sorted(r.raw for r in routed["unrouted"].collect()) == sorted(lines[2:])
+
+
+def test_stream_is_routed_in_one_query(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"type": t, "data": d}) for t, d in (
+        ("risk_assessment", {"id": "1"}), ("statistics_update", {"totalAssessments": 3}), ("system_metrics", {"cpuUsage": 1.5}),
+        ("model_performance", {"accuracy": 0.5}), ("notification", {"message": "m"}), ("other", {}))]
+    for i, part in enumerate((lines[:3], lines[3:])):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(part))
+    feed = readers.read_feed(spark, str(tmp_path / "in"), max_files=1)
+    readers.route_stream(feed, f"{tmp_path}/out", f"{tmp_path}/cp", trigger=None).awaitTermination()
+    tables = {k: spark.read.parquet(f"{tmp_path}/out/{k}").drop("batch").collect() for k in [*readers.MESSAGE_SCHEMAS, "unrouted"]}
+    assert {k: len(v) for k, v in tables.items()} == dict.fromkeys(tables, 1)
+    assert (tables["risk_assessment"][0].id, tables["model_performance"][0].accuracy, tables["unrouted"][0].raw) == ("1", 0.5, lines[5])
 
 
 def test_kafka_reader_builds_the_subscription(spark):
