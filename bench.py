@@ -22,7 +22,7 @@ HEADLINE = [
     "q10_segmentation", "q11_daily_summary", "q12_dq_assessments", "q13_dq_transactions", "q14_system_health",
     "q15_statistics", "score_batch", "batch_process", "engineer_features", "trailing_features", "active_model_asof",
     "dq_profile", "quantiles", "ewma", "auc_exact", "drift_psi", "bias_groups",
-    "online_features", "dq_box_stats", "feature_matrix", "stream_daily_summary",
+    "online_features", "dq_box_stats", "feature_matrix",
 ]
 
 
