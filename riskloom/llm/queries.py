@@ -109,6 +109,26 @@ FROM ordered GROUP BY conv_id
 """
 
 
+def _secrets_sql() -> str:
+    """All matches of each rule, placed by the lengths of the stretches between them; no index."""
+    found = []
+    for rank, r in enumerate(secrets.RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        found.append(f"""list_filter(list_transform(range(1, len(regexp_extract_all(text, {p})) + 1), lambda i: {{
+    's': coalesce(list_sum(list_transform(string_split_regex(text, {p})[1:i], lambda x: length(x))), 0)
+       + coalesce(list_sum(list_transform(regexp_extract_all(text, {p})[1:i - 1], lambda x: length(x))), 0),
+    'r': {rank}, 'n': length(regexp_extract_all(text, {p})[i]), 'kind': '{r.kind}',
+    'kept': length(regexp_extract_all(text, {p}, {r.group})[i])}}), lambda f: f.kept >= {r.shortest})""")
+    told = "array_to_string(list_transform({}, lambda f: f.kind || ':' || CAST(f.s AS BIGINT) || ':' || CAST(f.s + f.n AS BIGINT)), ',')"
+    counts = ", ".join(f"len(list_filter(found, lambda f: f.kind = '{k.kind}')) AS n_{k.kind}" for k in secrets.RULES[:secrets.BASE])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, list_sort(list_concat({", ".join(found[:2])})) AS a, {", ".join(f"{x} AS f{i}" for i, x in enumerate(found[2:]))} FROM d),
+g AS (SELECT doc_id, list_sort(list_concat(a, {", ".join(f"f{i}" for i in range(len(found) - 2))})) AS found FROM f)
+SELECT doc_id, {counts}, sha256(coalesce({told.format(f"list_filter(found, lambda f: f.r < {secrets.BASE})")}, '')) AS base_sha256,
+  coalesce({told.format("found")}, '') AS spans FROM g"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_personal_data, op4_token_index, op5_simhash,
                                     op6_toxicity, op7_sentencepiece, op8_nearest_vectors,
@@ -116,4 +136,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_nearest_vectors": NEAREST, "op9_chat_format": CHATS}
+    return {"op1_secret_scan": _secrets_sql(), "op8_nearest_vectors": NEAREST, "op9_chat_format": CHATS}
