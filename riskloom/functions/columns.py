@@ -100,6 +100,11 @@ def round_half_up(x: Column | str, digits: int) -> Column:
     return F.round(snap(x), digits)
 
 
+def distinct_count(x: Column | str, approx: bool = False) -> Column:
+    """Distinct values; ``approx`` estimates them (5 % standard error) from sketches that merge before the shuffle."""
+    return F.approx_count_distinct(as_col(x)) if approx else F.count_distinct(as_col(x))
+
+
 def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     """``part`` of ``whole`` in percent; null for an empty whole."""
     return F.round(F.try_divide(as_col(part) * F.lit(100.0), as_col(whole)), digits)

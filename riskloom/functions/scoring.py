@@ -249,12 +249,17 @@ def decision_path(df: DataFrame, inputs: Inputs = Inputs(), score_col: str = "ri
 
 
 def score_batch(df: DataFrame, profile: Profile | str = "engine", model_col: str | None = None,
-                model_confidence: float | str = 0.8) -> DataFrame:
-    """Complete assessment of every row: score, confidence, rules, level, action."""
+                model_confidence: float | str = 0.8, invalid: Column | None = None, on_error: str = "default") -> DataFrame:
+    """Complete assessment of every row: score, confidence, rules, level, action.
+
+    Rows that are ``invalid`` (or for which that is unknown) follow ``error_policy`` before their action is chosen.
+    """
     p = profile_of(profile)
     model = df if model_col else df.withColumn("__model", F.lit(None).cast("double"))
     based = score_with_fallback(model, model_col or "__model", p, model_confidence)
     ruled = rules_max(based, p)
     levelled = ruled.withColumn("risk_level", risk_level("risk_score", p.levels))
+    if invalid is not None:
+        levelled = error_policy(levelled, invalid, on_error)
     out = levelled.withColumn("recommended_action", recommended_action("risk_level", p.other_action))
     return out if model_col else out.drop("__model")

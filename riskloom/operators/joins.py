@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import days_between, json_map, snap
+from riskloom.functions.columns import days_between, distinct_count, json_map, snap
 from riskloom.functions.scoring import location_risk
 
 
@@ -27,7 +27,7 @@ def join_merchant_3way(merchants: DataFrame, transactions: DataFrame, assessment
 
 
 def join_customer_fanout(customers: DataFrame, assessments: DataFrame, transactions: DataFrame,
-                         fanout: bool = True) -> DataFrame:
+                         fanout: bool = True, approx: bool = False) -> DataFrame:
     """Per-customer profile over customers x their assessments x their transactions.
 
     Joining both detail tables on the customer repeats every assessment once per transaction and the
@@ -51,8 +51,8 @@ def join_customer_fanout(customers: DataFrame, assessments: DataFrame, transacti
         F.count(F.lit(1)).alias("n_t"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("avg_amount"),
-        F.count_distinct("merchant_id").alias("unique_merchants"),
-        F.count_distinct("location_country").alias("unique_countries"),
+        distinct_count("merchant_id", approx).alias("unique_merchants"),
+        distinct_count("location_country", approx).alias("unique_countries"),
         F.max("transaction_timestamp").alias("last_transaction"),
         F.min("transaction_timestamp").alias("first_transaction"),
     )

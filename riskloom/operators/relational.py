@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from riskloom.functions.columns import percent
+from riskloom.functions.columns import distinct_count, percent
 
 # Defaults for missing inputs and the accepted ranges.
 DEFAULTS = {"amount": 0.0, "customer_age": 30, "transaction_count": 0}
@@ -137,7 +137,7 @@ def dashboard_filter(df: DataFrame, level: str = "ALL", hours: float = 1, amount
 
 # -- roll-ups ---------------------------------------------------------------------------------
 
-def customer_features(df: DataFrame) -> DataFrame:
+def customer_features(df: DataFrame, approx: bool = False) -> DataFrame:
     return df.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum("amount").alias("total_amount"),
@@ -145,8 +145,8 @@ def customer_features(df: DataFrame) -> DataFrame:
         F.max("amount").alias("max_amount"),
         F.min("amount").alias("min_amount"),
         F.stddev("amount").alias("amount_std"),
-        F.count_distinct("merchant_id").alias("unique_merchants"),
-        F.count_distinct("location").alias("unique_locations"),
+        distinct_count("merchant_id", approx).alias("unique_merchants"),
+        distinct_count("location", approx).alias("unique_locations"),
     )
 
 

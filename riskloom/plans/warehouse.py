@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import (
-    case_day_name, coalesce_delta, day_of_week, percent, round_half_up, score_bucket, snap)
+    case_day_name, coalesce_delta, day_of_week, distinct_count, percent, round_half_up, score_bucket, snap)
 from riskloom.functions.scoring import risk_level
 from riskloom.operators.joins import (
     join_customer_fanout, join_merchant_3way, join_txn_assessment, json_lateral)
@@ -56,9 +56,9 @@ def q01_dashboard(assessments: DataFrame, as_of=None, hours: float = 24) -> Data
 
 
 def q02_customer_profile(customers: DataFrame, assessments: DataFrame, transactions: DataFrame, as_of=None,
-                         days: float = 30, fanout: bool = True) -> DataFrame:
+                         days: float = 30, fanout: bool = True, approx: bool = False) -> DataFrame:
     recent = lookback_filter(assessments, "assessment_timestamp", days, as_of)
-    profile = join_customer_fanout(customers, recent, transactions, fanout=fanout)
+    profile = join_customer_fanout(customers, recent, transactions, fanout, approx)
     high = F.col("avg_risk_score") > 0.7
     return profile.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
@@ -72,7 +72,7 @@ def q02_customer_profile(customers: DataFrame, assessments: DataFrame, transacti
 
 
 def q03_geographic(transactions: DataFrame, assessments: DataFrame, as_of=None, days: float = 7,
-                   min_transactions: int = 10, top: int = 50) -> DataFrame:
+                   min_transactions: int = 10, top: int = 50, approx: bool = False) -> DataFrame:
     recent = lookback_filter(transactions, "transaction_timestamp", days, as_of)
     place = ["location_country", "location_region", "location_city"]
     grouped = join_txn_assessment(recent, assessments).groupBy(*place).agg(
@@ -81,8 +81,8 @@ def q03_geographic(transactions: DataFrame, assessments: DataFrame, as_of=None,
         F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("merchant_id").alias("unique_merchants"),
+        distinct_count("customer_id", approx).alias("unique_customers"),
+        distinct_count("merchant_id", approx).alias("unique_merchants"),
     ).filter(F.col("transaction_count") >= min_transactions)
     ordered = grouped.orderBy(F.desc_nulls_first("avg_risk"), F.desc("transaction_count"), *place).limit(top)
     return ordered.select(
@@ -97,7 +97,7 @@ def q03_geographic(transactions: DataFrame, assessments: DataFrame, as_of=None,
 
 
 def q04_merchant(merchants: DataFrame, transactions: DataFrame, assessments: DataFrame, as_of=None,
-                 days: float = 30, min_transactions: int = 5) -> DataFrame:
+                 days: float = 30, min_transactions: int = 5, approx: bool = False) -> DataFrame:
     recent = lookback_filter(transactions, "transaction_timestamp", days, as_of)
     who = ["merchant_id", "merchant_name", "merchant_category", "merchant_country"]
     grouped = join_merchant_3way(merchants, recent, assessments).groupBy(*who).agg(
@@ -106,7 +106,7 @@ def q04_merchant(merchants: DataFrame, transactions: DataFrame, assessments: Dat
         F.count_if(is_level("HIGH")).alias("high_risk_count"),
         F.sum("amount").alias("sum_amount"),
         F.avg("amount").alias("mean_amount"),
-        F.count_distinct("customer_id").alias("unique_customers"),
+        distinct_count("customer_id", approx).alias("unique_customers"),
         F.count_if(is_blocked()).alias("blocked_transactions"),
     ).filter(F.col("transaction_count") >= min_transactions)
     return grouped.orderBy(F.desc_nulls_first("avg_risk"), F.desc("transaction_count"), "merchant_id").select(
@@ -235,9 +235,9 @@ def volatility_label() -> Column:
 
 
 def q10_segmentation(customers: DataFrame, assessments: DataFrame, transactions: DataFrame, as_of=None,
-                     days: float = 90, fanout: bool = True) -> DataFrame:
+                     days: float = 90, fanout: bool = True, approx: bool = False) -> DataFrame:
     recent = lookback_filter(assessments, "assessment_timestamp", days, as_of)
-    profile = join_customer_fanout(customers, recent, transactions, fanout=fanout)
+    profile = join_customer_fanout(customers, recent, transactions, fanout, approx)
     labelled = profile.select(
         customer_segment_label().alias("advanced_segment"), volatility_label().alias("risk_volatility"),
         "avg_risk_score", "total_amount", "unique_merchants", "unique_countries", "customer_lifespan_days",

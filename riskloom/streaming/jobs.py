@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,12 +29,13 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
 
 
 def stream_score(df: DataFrame, profile: Profile | str = "naive", ts: str = "timestamp",
-                 model_col: str | None = None) -> DataFrame:
-    """Score parsed events; stateless, so batches and streams give the same rows."""
+                 model_col: str | None = None, invalid: Column | None = None, on_error: str = "default") -> DataFrame:
+    """Score parsed events; stateless, so batches and streams give the same rows. Errors are treated as in
+    ``score_batch``; the naive profile has no such treatment."""
     stamped = df.withColumn("processing_timestamp", F.current_timestamp())
     if profile == "naive":
         return naive_risk_score(stamped, Inputs(ts=ts))
-    return score_batch(stamped, profile, model_col)
+    return score_batch(stamped, profile, model_col, invalid=invalid, on_error=on_error)
 
 
 def stream_dedup_ttl(df: DataFrame, id_col: str, ts: str, ttl: str = "30 minutes") -> DataFrame:

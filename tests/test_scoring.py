@@ -122,3 +122,23 @@ def test_rules_never_lower_a_score(spark, rows):
             assert r.base_score <= r.risk_score <= 1
         for r in S.rules_additive(df, profile).collect():
             assert 0 <= r.risk_score <= 1
+
+
+def test_failed_rows_follow_the_policy_in_the_scoring_path(spark):
+    df = spark.createDataFrame([row(amount=-5.0, base=0.95), row(base=0.95)], SCHEMA)
+    scored = S.score_batch(df, "engine", "base_score", invalid=F.col("amount") <= 0)
+    told = {r.amount: (r.risk_score, r.risk_level, r.confidence, r.recommended_action) for r in scored.collect()}
+    plain = {r.amount: r.recommended_action for r in S.score_batch(df, "engine", "base_score").collect()}
+    assert told[-5.0][:3] == (0.5, "MEDIUM", 0.5) and told[-5.0][3] != plain[-5.0] and told[100.0][3] == plain[100.0]
+    assert S.score_batch(df, "engine", "base_score", invalid=F.col("amount") <= 0, on_error="drop").count() == 1
+
+
+def test_distinct_counts_may_be_estimated(spark):
+    df = spark.range(0, 20000).selectExpr("id % 3 AS g", "id AS v")
+    for r in df.groupBy("g").agg(C.distinct_count("v").alias("n"), C.distinct_count("v", approx=True).alias("about")).collect():
+        assert r.n in (6666, 6667) and abs(r.about - r.n) / r.n < 0.15
+
+
+def test_rounding_is_done_once(spark):
+    df = spark.createDataFrame([(1.0049999999,), (1.005,), (0.1 + 0.2,), (None,)], "x double")
+    assert [r.y for r in df.select(C.round_half_up("x", 2).alias("y")).collect()] == [1.0, 1.01, 0.3, None]
