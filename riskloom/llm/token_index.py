@@ -48,7 +48,7 @@ class Encoder:
     a special token goes to the library whole.
     """
 
-    def __init__(self, definition: str, kind: str, cache_size: int = 600_000) -> None:
+    def __init__(self, definition: str, kind: str, cache_size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_str(definition), kind
         self.cache = ChunkCache(self._encode, cache_size)
