@@ -85,7 +85,7 @@ SELECT a.*, t.amount, t.location, t.merchant_id, t.customer_age, t.payment_metho
 FROM risk_assessments a JOIN transactions t ON a.transaction_id = t.transaction_id""",
 }
 
-# Frequent fragments.
+# Frequent fragments. Labels, limits and rule weights are fixed values.
 NIGHT = "(extract(hour FROM transaction_timestamp) >= 22 OR extract(hour FROM transaction_timestamp) <= 6)"
 WEEKEND = "(extract(dow FROM transaction_timestamp) IN (0, 6))"
 DOW = "CAST(extract(dow FROM transaction_timestamp) AS INTEGER)"
