@@ -1180,7 +1180,7 @@ def register_model_run(w):
 def shap_sampling(w):
     """Per row: how many features are explained, and whether their parts add up to a difference of probabilities."""
     rows = training_rows(w)
-    out = explain.shap_sampling(risk_model(w), fit_rows(w), rows, ONLINE, "transaction_id")
+    out = explain.shap_sampling(risk_model(w), rows, rows, ONLINE, "transaction_id")
     sums = out.groupBy("transaction_id").agg(F.count("feature").alias("features"), F.sum("contribution").alias("s"))
     return sums.agg(F.count(F.lit(1)).alias("rows"), F.min("features").alias("least"), F.max("features").alias("most"),
                     F.bool_and(F.col("s").between(-1, 1)).alias("within_one"))
@@ -1189,7 +1189,7 @@ def shap_sampling(w):
 @query
 def lime_local(w):
     """Per rank: the rows that have a feature there."""
-    out = explain.lime_local(risk_model(w), fit_rows(w), ONLINE, "transaction_id", scale=training_rows(w))
+    out = explain.lime_local(risk_model(w), training_rows(w), ONLINE, "transaction_id")
     return out.groupBy("rank").agg(F.count_distinct("transaction_id").alias("rows"))
 
 
