@@ -167,10 +167,12 @@ def load_ensemble(path: str, spark) -> tuple[dict[str, PipelineModel], dict[str,
 
 
 def train_regressors(df: DataFrame, target: str = "risk_score", seed: int = 42, features: Sequence[str] | None = None,
-                     id_col: str = "transaction_id", trees: int = 100, iterations: int = 100) -> dict:
+                     id_col: str = "transaction_id", trees: int = 100, iterations: int = 100,
+                     max_fit_rows: int | None = None) -> dict:
     """Five regressors on a repeatable 80/20 split; returns models and the held-out predictions.
 
-    ``predictions`` has the id, ``label`` and one column per model plus their mean as ``ensemble``.
+    ``predictions`` has the id, ``label`` and one column per model plus their mean as ``ensemble``. The fits see at most
+    ``max_fit_rows`` rows of the training part; every held-out row is predicted.
     """
     from riskloom.operators.relational import numeric_columns
 
@@ -178,6 +180,8 @@ def train_regressors(df: DataFrame, target: str = "risk_score", seed: int = 42,
     clean = df.select(id_col, F.col(target).cast("double").alias("label"),
                       *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     train, test = hash_split(clean, id_col, 0.8, seed)
+    if max_fit_rows is not None:
+        train = bounded(train, id_col, max_fit_rows, seed)
     stages, col = assembled(cols)
     common = {"labelCol": "label", "featuresCol": col}
     estimators = {

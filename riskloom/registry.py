@@ -1144,7 +1144,7 @@ def train_zoo(w):
 
 @query
 def train_regressors(w):
-    result = train.train_regressors(fit_rows(w), "risk_score", features=ONLINE)
+    result = train.train_regressors(training_rows(w), "risk_score", features=ONLINE, max_fit_rows=FIT_ROWS)
     out = metrics.regression_metrics(result["predictions"], "label", [*result["models"], "ensemble"])
     return out.select("model", ((F.col("rmse") >= F.col("mae")) & (F.col("mae") >= 0)).alias("ordered"))
 

@@ -4,6 +4,7 @@ import pytest
 from conftest import SF
 
 from riskloom import registry
+from riskloom.ml import metrics, train
 
 
 @pytest.mark.parametrize("name", ["shap_sampling", "lime_local"])
@@ -11,3 +12,12 @@ def test_every_transaction_is_explained(spark, warehouse, monkeypatch, name):
     monkeypatch.setattr(registry, "FIT_ROWS", 50)
     rows = registry.queries()[name](spark, SF).select("rows").distinct().collect()
     assert [r["rows"] for r in rows] == [warehouse.transactions.count()]
+
+
+def test_every_held_out_row_is_evaluated(spark, warehouse, monkeypatch):
+    seen, evaluate = [], metrics.regression_metrics
+    monkeypatch.setattr(registry, "FIT_ROWS", 50)
+    monkeypatch.setattr(metrics, "regression_metrics", lambda df, *more: seen.append(df.count()) or evaluate(df, *more))
+    assert registry.queries()["train_regressors"](spark, SF).count() == 6
+    _, held = train.hash_split(warehouse.transactions, "transaction_id")
+    assert seen == [held.count()] and seen[0] > 200
