@@ -16,11 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import staged, texts
+from riskloom.llm.common import pieces_of, staged, texts
 from riskloom.llm.components import connected_components
 
 BITS = 64
 BLOCK = 1 << 14
+#: Shingles set at the end of the order at most in one round, of those in over COMMON prefixes; only speed depends on them.
+MOST_COMMON, COMMON = 100_000, 64
 #: Work of one probe row against one candidate pair.
 PROBE_COST = 4.0
 
@@ -191,15 +193,123 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """``docs`` with one row for each component: of the rows with the component's smallest doc_id, any one.
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the word shingles, in order, as signed integers; words as in ``fingerprint``."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), 42) for i in range(n)), dtype="<u8", count=n)
+    return np.unique(hashes.view("<i8"))
 
-    Rows without doc_id stay. Columns and their order stay.
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the set), n, shingles for every row."""
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in pieces_of(list(b["text"]), 400_000):
+                part = b.iloc[lo:hi]
+                each = [shingle_set(t, width) for t in part["text"]]
+                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in each], dtype="<u8").view("<i8")
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "node": nodes,
+                                    "n": np.array([len(h) for h in each], dtype="int32"), "shingles": each})
+
+    keyed = texts(docs).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
+    return keyed.mapInPandas(sets, "doc_id bigint, text_key string, node bigint, n int, shingles array<bigint>")
+
+
+def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(token, node, n): each set's first shingles, so many that two sets of the similarity share one.
+
+    The order is that of the hashes, with the ``common`` shingles (sorted) after all others; any fixed order is exact.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    @F.pandas_udf("array<bigint>")
+    def first(shingles: pd.Series) -> pd.Series:
+        common, out = sent.value, []
+        for h in shingles:
+            size = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+            if len(common):
+                late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                h = np.r_[h[~late], h[late]]
+            out.append(h[:size])
+        return pd.Series(out, dtype=object)
+
+    return sets.filter("n > 0").select("node", "n", F.explode(first("shingles")).alias("token"))
+
+
+def common_shingles(sets: DataFrame, similarity: float, rounds: int = 2) -> np.ndarray:
+    common = np.zeros(0, dtype=np.int64)
+    for _ in range(rounds):
+        counts = prefixes(sets, similarity, common).groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > COMMON)
+        rows = counts.orderBy(F.desc("m"), "token").limit(MOST_COMMON).collect()
+        grown = np.union1d(common, np.array([r["token"] for r in rows], dtype=np.int64))
+        if len(grown) == len(common):
+            break
+        common = grown
+    return common
+
+
+def similar_links(sets: DataFrame, similarity: float = 0.8, pair_limit: int = 64, rounds: int = 2) -> DataFrame:
+    """(node, root): components of the distinct ``sets`` (node, n, shingles) whose Jaccard similarity reaches ``similarity``.
+
+    Exact: two such sets share a shingle of their prefixes. In buckets of over ``pair_limit`` sets all are first compared
+    with one of them; only sets not yet in one component are then compared pair by pair.
+    """
+    posts = prefixes(sets, similarity, common_shingles(sets, similarity))
+    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    posts = staged(posts.join(sizes, "token"), "posts")
+    edges = parts = None
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+        b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        whole = F.size("x") + F.size("y") - shared
+        return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * whole - 1e-9).select("u", "v")
+
+    def labelled() -> DataFrame:
+        if parts is None:
+            return posts.withColumn("root", F.col("node"))
+        return posts.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+        return rows.join(several.select("token"), "token", "left_semi")
+
+    def near(n: str, m: str):
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    for k in range(rounds):
+        rows = mixed(labelled().filter(F.col("members") > pair_limit))
+        hub = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top")), F.xxhash64("node", F.lit(k)))
+        hubs = rows.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
+        pairs = rows.join(hubs, "token").filter((F.col("root") != F.col("top")) & near("n", "m")).select("u", F.col("node").alias("v")).distinct()
+        found = staged(alike(pairs), "hub-links")
+        edges = found if edges is None else edges.unionByName(found)
+        parts = staged(connected_components(edges), "parts")
+    rows = staged(mixed(labelled()), "mixed")
+    a = rows.select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
+    pairs = a.join(rows, "token").filter((F.col("u") < F.col("node")) & (F.col("top") != F.col("root")) & near("n", "m")) \
+        .select("u", F.col("node").alias("v")).distinct()
+    return connected_components(edges.unionByName(alike(staged(pairs, "pairs"))))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one row for each component of texts whose word shingles reach the Jaccard ``similarity``.
+
+    Of a component's rows with a doc_id, one with the smallest stays. Rows are told apart by doc_id and text, so other
+    texts under the same id stay. Rows without doc_id stay. Texts without a word are alike. Columns and their order stay.
     """
-    classes = near_duplicates(docs, radius, width).filter("doc_id IS NOT NULL")
-    gone = staged(classes.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    again = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = staged(again.select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    every = staged(shingle_sets(docs, width), "shingles")
+    sets = staged(every.dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
+    parts = staged(similar_links(sets, similarity), "parts")
+    rows = every.filter("doc_id IS NOT NULL").select("node", "doc_id", "text_key")
+    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    best = least.join(parts, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    chosen = best.select("best.doc_id", F.col("best.text_key").alias("__text_key"))
+    copies = rows.groupBy("doc_id", F.col("text_key").alias("__text_key")).agg(F.count(F.lit(1)).alias("__copies"))
+    chosen = staged(chosen.join(copies, ["doc_id", "__text_key"]), "chosen")
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn("__text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = keyed.join(chosen, ["doc_id", "__text_key"])
+    again = kept.filter("__copies > 1").dropDuplicates(["doc_id", "__text_key"])
+    return kept.filter("__copies = 1").unionByName(again).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
