@@ -218,9 +218,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; columns and their order stay.
+    """``docs`` without the rows whose own text holds a benchmark item; columns and their order stay.
 
-    Rows that share a doc_id go together; rows without doc_id stay only if no such row holds an item.
+    Rows are told apart by a hash of their text, whatever their doc_id.
     """
-    hit = staged(matches(docs, benchmark, **settings).select(F.col("doc_id").alias("hit_id")).distinct(), "leaks")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    hit = staged(matches(docs.select(key.alias("doc_id"), "text"), benchmark, **settings)
+                 .select(F.col("doc_id").alias("__hit_key")).distinct(), "leaks")
+    return docs.withColumn("__text_key", key).join(hit, F.col("__text_key") == F.col("__hit_key"), "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from riskloom.llm import simhash
+from riskloom.llm import decontaminate, simhash
 
 
 def shingles(text):
@@ -46,3 +46,21 @@ def test_near_copies_are_those_of_all_pairs(spark, frame):
     want = kept_by_all_pairs(rows)
     assert 100 < len(want) < 200
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(rows), "").collect()} == want
+
+
+def test_only_copied_rows_go(spark, frame):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    docs = frame([(5, text), (3, text), (3, text), (5, other), (3, third), (None, text)])
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in got.collect()) == [("3", "a"), ("3", "c"), ("5", "b"), ("None", "a")]
+
+
+def test_only_rows_with_an_item_go(spark, frame):
+    item = "the question asks how many apples remain after the third day of the market"
+    docs = frame([(None, f"before {item} after"), (None, "clean text"), (None, None), (4, item), (4, "also clean"), (7, "")])
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = decontaminate.drop_contaminated(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == [
+        ("4", "also clean"), ("7", ""), ("None", "None"), ("None", "clean text")]
