@@ -1,5 +1,7 @@
 """Bounds on the rows of a fit leave out no row of what is explained or evaluated."""
 
+import inspect
+
 import pytest
 from conftest import SF
 
@@ -21,3 +23,19 @@ def test_every_held_out_row_is_evaluated(spark, warehouse, monkeypatch):
     assert registry.queries()["train_regressors"](spark, SF).count() == 6
     _, held = train.hash_split(warehouse.transactions, "transaction_id")
     assert seen == [held.count()] and seen[0] > 200
+
+
+@pytest.mark.parametrize("name, settings", [("tune_cv", {"grid", "folds"}), ("tune_random", {"n", "folds", "ranges"}), ("train_zoo", {"trees", "iterations", "depth", "boost_depth"})])
+def test_searches_and_zoo_run_as_the_operators_do(spark, monkeypatch, name, settings):
+    class Seen(Exception):
+        pass
+
+    operator = inspect.signature(getattr(train, name))
+
+    def look(*given, **named):
+        raise Seen(operator.bind(*given, **named).arguments)
+
+    monkeypatch.setattr(train, name, look)
+    with pytest.raises(Seen) as seen:
+        registry.queries()[name](spark, SF)
+    assert not settings & set(seen.value.args[0])
