@@ -201,8 +201,16 @@ def shingle_set(text: str, width: int = 5) -> np.ndarray:
     return np.unique(hashes.view("<i8"))
 
 
+def spread_bits(shingles: np.ndarray) -> np.ndarray:
+    """2,048 bits, or 32,768 for over 1,000 shingles, one set for each: a bit that another set lacks is a shingle it lacks."""
+    size = 2048 if len(shingles) <= 1000 else 32768
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[shingles & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set), n, shingles for every row."""
+    """doc_id, text_key, node (a hash of the set), n, bits, shingles for every row."""
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo, hi in pieces_of(list(b["text"]), 400_000):
@@ -210,10 +218,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 each = [shingle_set(t, width) for t in part["text"]]
                 nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in each], dtype="<u8").view("<i8")
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "node": nodes,
-                                    "n": np.array([len(h) for h in each], dtype="int32"), "shingles": each})
+                                    "n": np.array([len(h) for h in each], dtype="int32"), "bits": [spread_bits(h) for h in each], "shingles": each})
 
     keyed = texts(docs).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
-    return keyed.mapInPandas(sets, "doc_id bigint, text_key string, node bigint, n int, shingles array<bigint>")
+    return keyed.mapInPandas(sets, "doc_id bigint, text_key string, node bigint, n int, bits array<bigint>, shingles array<bigint>")
 
 
 def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
@@ -250,19 +258,26 @@ def common_shingles(sets: DataFrame, similarity: float, rounds: int = 2) -> np.n
 
 
 def similar_links(sets: DataFrame, similarity: float = 0.8, pair_limit: int = 64, rounds: int = 2) -> DataFrame:
-    """(node, root): components of the distinct ``sets`` (node, n, shingles) whose Jaccard similarity reaches ``similarity``.
+    """(node, root): components of the distinct ``sets`` (node, n, bits, shingles) whose Jaccard similarity reaches ``similarity``.
 
     Exact: two such sets share a shingle of their prefixes. In buckets of over ``pair_limit`` sets all are first compared
     with one of them; only sets not yet in one component are then compared pair by pair.
     """
     posts = prefixes(sets, similarity, common_shingles(sets, similarity))
-    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    posts = staged(posts.join(sizes, "token"), "posts")
+    sizes = staged(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sizes")
+    posts = staged(posts.join(sizes, "token"), "posts")  # most shingles are in one text; where few are not, posts stay in place
     edges = parts = None
 
     def alike(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-        b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+        small = [sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv"]
+        lacking = F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        alone = F.when(F.size("bu") == F.size("bv"), F.aggregate(lacking, F.lit(0), lambda x, y: x + y)).otherwise(0)
+        enough = F.col("nu") - alone >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
+        pairs = staged(staged(pairs, "candidates").join(small[0], "u").join(small[1], "v").filter(enough).select("u", "v"), "pairs")
+        needed = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "needed")
+        used = sets.join(needed, "node")
+        a = used.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+        b = used.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         whole = F.size("x") + F.size("y") - shared
         return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * whole - 1e-9).select("u", "v")
@@ -291,7 +306,7 @@ def similar_links(sets: DataFrame, similarity: float = 0.8, pair_limit: int = 64
     a = rows.select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
     pairs = a.join(rows, "token").filter((F.col("u") < F.col("node")) & (F.col("top") != F.col("root")) & near("n", "m")) \
         .select("u", F.col("node").alias("v")).distinct()
-    return connected_components(edges.unionByName(alike(staged(pairs, "pairs"))))
+    return connected_components(edges.unionByName(alike(pairs)))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -300,8 +315,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     Of a component's rows with a doc_id, one with the smallest stays. Rows are told apart by doc_id and text, so other
     texts under the same id stay. Rows without doc_id stay. Texts without a word are alike. Columns and their order stay.
     """
-    every = staged(shingle_sets(docs, width), "shingles")
-    sets = staged(every.dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
+    every = staged(shingle_sets(docs, width).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    first = staged(every.groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
+    sets = every.join(first, "row").select("node", "n", "bits", "shingles")
     parts = staged(similar_links(sets, similarity), "parts")
     rows = every.filter("doc_id IS NOT NULL").select("node", "doc_id", "text_key")
     least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
