@@ -1,7 +1,7 @@
 """Every registered query with SQL gives the rows DuckDB gives on the same files."""
 
 import pytest
-from conftest import SF
+from paths import SF
 from parity import compare, connect
 
 from riskloom import checks, registry

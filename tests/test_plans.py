@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF
+from paths import SF
 
 from riskloom import registry
 from riskloom.fixtures import Warehouse

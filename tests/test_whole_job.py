@@ -3,7 +3,7 @@
 import inspect
 
 import pytest
-from conftest import SF
+from paths import SF
 
 from riskloom import registry
 from riskloom.ml import metrics, train
