@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, pii, quality, secrets, sentencepiece_fst, simhash, token_index, toxicity, vptree
+from riskloom.llm import (
+    chat, collocations, decontaminate, exact_dedup, hard_negatives, pii, quality, secrets, sentencepiece_fst, simhash, token_index, toxicity, vptree)
 from riskloom.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 #: Brute force over all pairs of a query and another row.
 NEAREST = """
 WITH ok AS (
@@ -109,6 +123,55 @@ FROM ordered GROUP BY conv_id
 """
 
 
+#: All n-grams of all pieces, counted by grouping.
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) s(k)) g GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, p AS cut, array_to_string(string_split(c.phrase, ' ')[:p], ' ') AS lft, array_to_string(string_split(c.phrase, ' ')[p + 1:], ' ') AS rgt
+  FROM grams c, range(1, 3) s(p) WHERE c.k > 1 AND c.f >= 10 AND p < c.k),
+weakest AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.lft JOIN grams y ON y.lang = c.lang AND y.phrase = c.rgt
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f), cut) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS whole FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS part FROM weakest WHERE k = 3) t GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase)::INTEGER AS rank, w.phrase, a, l, r, n, score
+FROM weakest w JOIN totals USING (lang) LEFT JOIN inside i ON i.lang = w.lang AND i.part = w.phrase
+WHERE whole IS NULL OR w.k = 3 OR 100 * whole < 50 * a
+QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) <= 2000
+"""
+
+#: Groups by the normalised text itself.
+COPIES = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+#: Brute force over all pairs of an anchor and another row.
+NEGATIVES = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM pairs WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 3
+"""
+
+
 def _secrets_sql() -> str:
     """All matches of each rule, placed by the lengths of the stretches between them; no index."""
     found = []
@@ -132,8 +195,9 @@ SELECT doc_id, {counts}, sha256(coalesce({told.format(f"list_filter(found, lambd
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_personal_data, op4_token_index, op5_simhash,
                                     op6_toxicity, op7_sentencepiece, op8_nearest_vectors,
-                                    op9_chat_format, op10_quality)}
+                                    op9_chat_format, op10_quality, op11_collocations, op12_exact_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secrets_sql(), "op8_nearest_vectors": NEAREST, "op9_chat_format": CHATS}
+    return {"op1_secret_scan": _secrets_sql(), "op8_nearest_vectors": NEAREST, "op9_chat_format": CHATS,
+            "op11_collocations": PHRASES, "op12_exact_dedup": COPIES, "op13_hard_negatives": NEGATIVES}
