@@ -16,13 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import pieces_of, staged, texts
+from riskloom.llm import jaccard
+from riskloom.llm.common import staged, texts
 from riskloom.llm.components import connected_components
 
 BITS = 64
 BLOCK = 1 << 14
-#: Shingles set at the end of the order at most in one round, of those in over COMMON prefixes; only speed depends on them.
-MOST_COMMON, COMMON = 100_000, 64
 #: Work of one probe row against one candidate pair.
 PROBE_COST = 4.0
 
@@ -193,139 +192,58 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """Distinct XXH64 (seed 42) of the word shingles, in order, as signed integers; words as in ``fingerprint``."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), 42) for i in range(n)), dtype="<u8", count=n)
-    return np.unique(hashes.view("<i8"))
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(text_key, text), each text of ``keyed`` (doc_id, text_key, text) once. Only a text whose first row is repeated is shuffled."""
+    counted = keyed.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rows")).alias("best")
+    copied = staged(counted.groupBy("text_key").agg(F.sum("rows").alias("all"), least).filter("all > 1"), "copied")
+    marked = keyed.join(copied, "text_key", "left").filter(F.col("all").isNull() | F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    repeated = F.col("all").isNotNull() & (F.col("best.rows") > 1)
+    again = marked.filter(repeated).select("text_key", "text").distinct()
+    return staged(marked.filter(~repeated).select("text_key", "text").unionByName(again), "texts")
 
 
-def spread_bits(shingles: np.ndarray) -> np.ndarray:
-    """2,048 bits, or 32,768 for over 1,000 shingles, one set for each: a bit that another set lacks is a shingle it lacks."""
-    size = 2048 if len(shingles) <= 1000 else 32768
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[shingles & (size - 1)] = 1
-    return np.packbits(bits, bitorder="little").view("<i8")
+def near_copies(keyed: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(text_key, root): the component of every distinct text of ``keyed`` (doc_id, text_key, text).
 
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set), n, bits, shingles for every row."""
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo, hi in pieces_of(list(b["text"]), 400_000):
-                part = b.iloc[lo:hi]
-                each = [shingle_set(t, width) for t in part["text"]]
-                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in each], dtype="<u8").view("<i8")
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "node": nodes,
-                                    "n": np.array([len(h) for h in each], dtype="int32"), "bits": [spread_bits(h) for h in each], "shingles": each})
-
-    keyed = texts(docs).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
-    return keyed.mapInPandas(sets, "doc_id bigint, text_key string, node bigint, n int, bits array<bigint>, shingles array<bigint>")
-
-
-def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(token, node, n): each set's first shingles, so many that two sets of the similarity share one.
-
-    The order is that of the hashes, with the ``common`` shingles (sorted) after all others; any fixed order is exact.
-    """
-    sent = sets.sparkSession.sparkContext.broadcast(common)
-
-    @F.pandas_udf("array<bigint>")
-    def first(shingles: pd.Series) -> pd.Series:
-        common, out = sent.value, []
-        for h in shingles:
-            size = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-            if len(common):
-                late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-                h = np.r_[h[~late], h[late]]
-            out.append(h[:size])
-        return pd.Series(out, dtype=object)
-
-    return sets.filter("n > 0").select("node", "n", F.explode(first("shingles")).alias("token"))
-
-
-def common_shingles(sets: DataFrame, similarity: float, rounds: int = 2) -> np.ndarray:
-    common = np.zeros(0, dtype=np.int64)
-    for _ in range(rounds):
-        counts = prefixes(sets, similarity, common).groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > COMMON)
-        rows = counts.orderBy(F.desc("m"), "token").limit(MOST_COMMON).collect()
-        grown = np.union1d(common, np.array([r["token"] for r in rows], dtype=np.int64))
-        if len(grown) == len(common):
-            break
-        common = grown
-    return common
-
-
-def similar_links(sets: DataFrame, similarity: float = 0.8, pair_limit: int = 64, rounds: int = 2) -> DataFrame:
-    """(node, root): components of the distinct ``sets`` (node, n, bits, shingles) whose Jaccard similarity reaches ``similarity``.
-
-    Exact: two such sets share a shingle of their prefixes. In buckets of over ``pair_limit`` sets all are first compared
-    with one of them; only sets not yet in one component are then compared pair by pair.
+    Texts are linked where their sets of ``width``-word shingles reach the Jaccard ``similarity``. Fingerprints of the sets, linked
+    within two bits by the generalised pigeonhole, propose the first pairs; the exact prefix search finds all others, which
+    are most of them: an edited word among some hundred changes more than two bits as often as not.
     """
-    posts = prefixes(sets, similarity, common_shingles(sets, similarity))
-    sizes = staged(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sizes")
-    posts = staged(posts.join(sizes, "token"), "posts")  # most shingles are in one text; where few are not, posts stay in place
-    edges = parts = None
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        small = [sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv"]
-        lacking = F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
-        alone = F.when(F.size("bu") == F.size("bv"), F.aggregate(lacking, F.lit(0), lambda x, y: x + y)).otherwise(0)
-        enough = F.col("nu") - alone >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
-        pairs = staged(staged(pairs, "candidates").join(small[0], "u").join(small[1], "v").filter(enough).select("u", "v"), "pairs")
-        needed = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "needed")
-        used = sets.join(needed, "node")
-        a = used.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-        b = used.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        whole = F.size("x") + F.size("y") - shared
-        return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * whole - 1e-9).select("u", "v")
-
-    def labelled() -> DataFrame:
-        if parts is None:
-            return posts.withColumn("root", F.col("node"))
-        return posts.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-        return rows.join(several.select("token"), "token", "left_semi")
-
-    def near(n: str, m: str):
-        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-
-    for k in range(rounds):
-        rows = mixed(labelled().filter(F.col("members") > pair_limit))
-        hub = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top")), F.xxhash64("node", F.lit(k)))
-        hubs = rows.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
-        pairs = rows.join(hubs, "token").filter((F.col("root") != F.col("top")) & near("n", "m")).select("u", F.col("node").alias("v")).distinct()
-        found = staged(alike(pairs), "hub-links")
-        edges = found if edges is None else edges.unionByName(found)
-        parts = staged(connected_components(edges), "parts")
-    rows = staged(mixed(labelled()), "mixed")
-    a = rows.select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
-    pairs = a.join(rows, "token").filter((F.col("u") < F.col("node")) & (F.col("top") != F.col("root")) & near("n", "m")) \
-        .select("u", F.col("node").alias("v")).distinct()
-    return connected_components(edges.unionByName(alike(pairs)))
+    texts_once = distinct_texts(keyed)
+    sets = staged(jaccard.described(texts_once, similarity, width), "sets")
+    double = staged(sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min("text_key").alias("one")).filter("texts > 1"), "double")
+    nodes = sets.join(double, "node", "left").filter(F.col("one").isNull() | (F.col("one") == F.col("text_key"))).filter("n > 0").drop("one", "texts")
+    of_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike = nodes.select("node", "fp").join(of_fp, "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    fp_links = links(of_fp.select("fp"))
+    ends = [of_fp.select(F.col("fp").alias(f"f{k}"), F.col("least").alias(k)) for k in "uv"]
+    close = fp_links.select(F.col("u").alias("fu"), F.col("v").alias("fv")).join(ends[0], "fu").join(ends[1], "fv").select("u", "v")
+    parts = staged(jaccard.similar_sets(nodes, texts_once, alike.unionByName(close), similarity, width), "parts")
+    return sets.select("text_key", "node").join(parts, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` with one row for each component of texts whose word shingles reach the Jaccard ``similarity``.
 
-    Of a component's rows with a doc_id, one with the smallest stays. Rows are told apart by doc_id and text, so other
-    texts under the same id stay. Rows without doc_id stay. Texts without a word are alike. Columns and their order stay.
+    Of a component's rows one with the smallest doc_id stays; rows without doc_id stay only where no other does. Rows are
+    told apart by doc_id and text, so other texts under the same id stay; of rows that repeat both, one stays. Texts
+    without a word are alike, null counts as empty. Columns and their order stay.
     """
-    every = staged(shingle_sets(docs, width).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    first = staged(every.groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
-    sets = every.join(first, "row").select("node", "n", "bits", "shingles")
-    parts = staged(similar_links(sets, similarity), "parts")
-    rows = every.filter("doc_id IS NOT NULL").select("node", "doc_id", "text_key")
-    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
-    best = least.join(parts, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    chosen = best.select("best.doc_id", F.col("best.text_key").alias("__text_key"))
-    copies = rows.groupBy("doc_id", F.col("text_key").alias("__text_key")).agg(F.count(F.lit(1)).alias("__copies"))
-    chosen = staged(chosen.join(copies, ["doc_id", "__text_key"]), "chosen")
-    keyed = docs.filter("doc_id IS NOT NULL").withColumn("__text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = keyed.join(chosen, ["doc_id", "__text_key"])
-    again = kept.filter("__copies > 1").dropDuplicates(["doc_id", "__text_key"])
-    return kept.filter("__copies = 1").unionByName(again).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("text_key"))
+    roots = staged(near_copies(keyed, similarity, width), "roots")
+    rows = keyed.select("doc_id", "text_key").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).join(roots, "text_key")
+    rows = staged(rows, "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best")
+    best = rows.groupBy("root").agg(least, F.count(F.lit(1)).alias("different")).filter("different > 1")
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+    judged = rows.join(staged(best, "best"), "root", "left").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "rows", stays.alias("stays"))
+    special = staged(judged.filter("NOT stays OR rows > 1"), "special")
+    whole = docs.withColumn("__text_key", key)
+
+    def joined(which: DataFrame, how: str) -> DataFrame:
+        return whole.join(which.select("__d", "__t"), (F.col("__text_key") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), how)
+
+    again = joined(special.filter("stays"), "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return joined(special, "left_anti").unionByName(again).select(docs.columns)

@@ -3,13 +3,17 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from riskloom.llm import decontaminate, simhash
+from riskloom.llm import decontaminate, jaccard, simhash
 
 
 def shingles(text):
-    words = text.lower().split()
-    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def kept_by_all_pairs(rows, similarity=0.8):
@@ -48,12 +52,45 @@ def test_near_copies_are_those_of_all_pairs(spark, frame):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(rows), "").collect()} == want
 
 
+@pytest.mark.parametrize("pair_limit", [1, 64])
+def test_passages_shared_by_most_texts_link_nothing(spark, frame, monkeypatch, pair_limit):
+    """A passage that makes up most of many texts brings no pair together, and hubs of buckets lose none."""
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(10 ** 6)}' for _ in range(rng.randrange(6, 40)))}" for _ in range(80)]
+    texts += [edited(rng, texts[rng.randrange(30)], rng.randrange(1, 6)) for _ in range(60)] + ["a b c", "A  b\tc", "a b"]
+    docs = frame(list(enumerate(texts)))
+    keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
+    plain, similar = simhash.near_copies, jaccard.similar_sets
+    monkeypatch.setattr(jaccard, "similar_sets", lambda *given: similar(*given, pair_limit=pair_limit))
+    roots = plain(keyed).join(keyed, "text_key").groupBy("root").agg(F.min("doc_id").alias("least"))
+    want = kept_by_all_pairs(list(enumerate(texts)))
+    assert {r["least"] for r in roots.collect()} == want and 80 <= len(want) < 140
+
+
+def test_prefixes_meet():
+    """The index prefix of the smaller set and the look-up prefix of the larger one share a shingle."""
+    rng = np.random.default_rng(3)
+    common = np.sort(rng.choice(400, 60, replace=False)).astype(np.int64)
+    met = 0
+    for _ in range(3000):
+        a = rng.choice(400, rng.integers(1, 60), replace=False)
+        b = np.union1d(rng.permutation(a)[:rng.integers(0, len(a) + 1)], rng.choice(400, rng.integers(0, 5)))
+        a, b = sorted((np.unique(a), np.unique(b)), key=len)
+        if jaccard.similarity_of(a, b) >= 0.8 - 1e-12:
+            met += 1
+            short, long = jaccard.prefix_sizes(len(a), 0.8)[1], jaccard.prefix_sizes(len(b), 0.8)[0]
+            assert set(jaccard.ordered_prefix(a, short, common)) & set(jaccard.ordered_prefix(b, long, common))
+    assert met > 300
+
+
 def test_only_copied_rows_go(spark, frame):
     text, other, third = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
     docs = frame([(5, text), (3, text), (3, text), (5, other), (3, third), (None, text)])
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted((str(r["doc_id"]), r["text"][0]) for r in got.collect()) == [("3", "a"), ("3", "c"), ("5", "b"), ("None", "a")]
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in got.collect()) == [("3", "a"), ("3", "c"), ("5", "b")]
 
 
 def test_only_rows_with_an_item_go(spark, frame):
