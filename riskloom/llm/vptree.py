@@ -48,19 +48,47 @@ def build(points: np.ndarray, leaf: int = 512, seed: int = 7) -> Node:
 
 
 class Search:
-    """The k nearest rows of one shard for a block of queries; queries walk the tree together and part at its nodes."""
+    """The k nearest ids of one shard for a block of queries; queries walk the tree together and part at its nodes.
 
-    def __init__(self, points: np.ndarray, k: int, factor: float) -> None:
-        self.points, self.k, self.factor, self.root = points, k, factor, build(points)
+    ``vectors`` stand for the ``ids`` listed with each. Rows within SLACK of the k-th distance are never cut by distance: their
+    exact cosines and ids decide, so ties (scaled copies of a vector among them) fall to the smaller id.
+    """
+
+    def __init__(self, vectors: np.ndarray, ids: list, k: int, factor: float) -> None:
+        self.vectors, self.points, self.k, self.factor = vectors, _unit(vectors), k, factor
+        self.root = build(self.points)
+        self.first = np.r_[0, np.cumsum([len(i) for i in ids])]
+        self.ids = np.concatenate([np.asarray(i, dtype=np.int64) for i in ids])
         self.compared = 0
 
-    def __call__(self, queries: np.ndarray) -> np.ndarray:
-        """Row numbers, nearest first; -1 where there are fewer than k."""
-        self.q = queries
-        self.near = np.full((len(queries), self.k), np.inf)
-        self.found = np.full((len(queries), self.k), -1)
+    def __call__(self, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, cosine) of the k nearest ids of each query, its own id left out."""
+        self.asked, self.q, self.own = queries, _unit(queries), own
+        shape = (len(queries), self.k)
+        self.far, self.score, self.found = np.full(shape, np.inf), np.full(shape, -np.inf), np.full(shape, -1, dtype=np.int64)
         self._visit(self.root, np.arange(len(queries)))
-        return self.found
+        at, place = np.nonzero(self.score > -np.inf)
+        return at, self.found[at, place], self.score[at, place]
+
+    def _take(self, who: np.ndarray, rows: np.ndarray, far: np.ndarray) -> None:
+        """Pairs of a query and a row join the lists of their queries."""
+        score = cosine(self.asked[who], self.vectors[rows])
+        n = self.first[rows + 1] - self.first[rows]
+        which = np.repeat(np.arange(len(who)), n)
+        ids = self.ids[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[rows], n)]
+        other = ids != self.own[who[which]]
+        which, ids = which[other], ids[other]
+        some = np.unique(who)
+        slot = np.r_[who[which], np.repeat(some, self.k)]
+        score, ids = np.r_[score[which], self.score[some].ravel()], np.r_[ids, self.found[some].ravel()]
+        far = np.r_[far[which], self.far[some].ravel()]
+        order = np.lexsort((ids, -score, slot))
+        slot, score, ids, far = slot[order], score[order], ids[order], far[order]
+        starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        place = np.arange(len(slot)) - np.repeat(starts, np.diff(np.r_[starts, len(slot)]))
+        best = place < self.k
+        slot, place = slot[best], place[best]
+        self.score[slot, place], self.found[slot, place], self.far[slot, place] = score[best], ids[best], far[best]
 
     def _visit(self, node: Node, who: np.ndarray) -> None:
         if not len(who):
@@ -68,18 +96,19 @@ class Search:
         if node.rows is not None:
             self.compared += len(who) * len(node.rows)
             apart = np.sqrt(np.maximum(2 - 2 * self.q[who] @ self.points[node.rows].T, 0))
-            better = apart.min(axis=1) < self.near[who, -1]
-            who, apart = who[better], apart[better]
-            near = np.concatenate([self.near[who], apart], axis=1)
-            found = np.concatenate([self.found[who], np.broadcast_to(node.rows, apart.shape)], axis=1)
-            order = np.argsort(near, axis=1, kind="stable")[:, :self.k]
-            self.near[who], self.found[who] = np.take_along_axis(near, order, 1), np.take_along_axis(found, order, 1)
+            limit = self.far[who].max(axis=1)
+            if len(node.rows) > self.k + 1:  # one of the nearest may be the query itself
+                limit = np.minimum(limit, np.partition(apart, self.k, axis=1)[:, self.k])
+            a, r = np.nonzero(apart <= (limit + SLACK)[:, None])
+            for lo in range(0, len(a), 100_000):
+                part = slice(lo, lo + 100_000)
+                self._take(who[a[part]], node.rows[r[part]], apart[a[part], r[part]])
             return
         gap = np.linalg.norm(self.q[who] - self.points[node.vantage], axis=1) - node.radius
         inside = gap <= 0
         self._visit(node.inner, who[inside])
         self._visit(node.outer, who[~inside])
-        reach = self.near[who, -1] / self.factor + SLACK
+        reach = self.far[who].max(axis=1) / self.factor + SLACK
         self._visit(node.outer, who[inside & (-gap <= reach)])
         self._visit(node.inner, who[~inside & (gap <= reach)])
 
@@ -104,17 +133,9 @@ def search_group(group: pd.DataFrame, k: int, factor: float) -> pd.DataFrame:
     if not len(queries) or not len(stored):
         return pd.DataFrame({"query_id": np.zeros(0, "i8"), "vec_id": np.zeros(0, "i8"), "score": np.zeros(0)})
     held, asked = np.stack(stored["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-    points = _unit(held)
-    own, ids = queries["own"].to_numpy(dtype=np.int64), stored["ids"].to_numpy()
-    # the query's own vector may be stored, so one vector more is looked for; each stands for at least one id
-    found = Search(points, min(k + 1, len(points)), factor)(_unit(asked))
-    out = []
-    for i, rows in enumerate(found):
-        rows = rows[rows >= 0]
-        scores = cosine(asked[i], held[rows])
-        near = sorted((-s, int(d)) for s, r in zip(scores, rows) for d in ids[r] if d != own[i])[:k]
-        out += [(own[i], d, -s) for s, d in near]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    own = queries["own"].to_numpy(dtype=np.int64)
+    at, ids, scores = Search(held, list(stored["ids"]), k, factor)(asked, own)
+    return pd.DataFrame({"query_id": own[at], "vec_id": ids, "score": scores})
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:

@@ -74,13 +74,30 @@ def test_awkward_vectors(spark):
     assert vptree.nearest(df.limit(0)).count() == 0 and vptree.nearest(df.filter("vec_id = 10")).count() == 0
 
 
+def test_scaled_copies_go_by_id(spark):
+    """Vectors of one direction have the same cosine: the smallest ids are found, from whatever shards."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=6)
+    rows = [(i, [float(x) for x in base * 2.0 ** (i % 7 - 3)]) for i in range(1, 21)] + [(100, [float(x) for x in base])]
+    rows += [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200, 260)] + [(i, [float(x) for x in -4.0 * base]) for i in range(300, 900)]
+    rows += [(i, [float(x) for x in base * 2.0 ** (i % 5)]) for i in range(1000, 1600, 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for settings in ({}, {"shard_rows": 16}, {"shard_rows": 50, "block_queries": 2}):
+        got = vptree.nearest(df, k=5, every=50, **settings).collect()
+        assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got} == nearest_by_hand(rows, 5, 50)
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 100] == [1, 2, 3, 4, 5]
+
+
 def test_relaxed_search_prunes_and_keeps_recall():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(60, 8))
     points = vptree._unit(centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 8)))
-    exact, loose = vptree.Search(points, 5, 1.0), vptree.Search(points, 5, 1.5)
-    want, got = exact(points[:200]), loose(points[:200])
-    truth = np.argsort(-(points[:200] @ points.T), axis=1)[:, :5]
+    ids = [[i] for i in range(6000)]
+    exact, loose = vptree.Search(points, ids, 5, 1.0), vptree.Search(points, ids, 5, 1.5)
+    want, got = (search(points[:200], np.arange(200))[1].reshape(200, 5) for search in (exact, loose))
+    near = points[:200] @ points.T
+    near[np.arange(200), np.arange(200)] = -2
+    truth = np.argsort(-near, axis=1)[:, :5]
     assert all(set(a) == set(b) for a, b in zip(want, truth))
     assert loose.compared < exact.compared < 0.9 * 200 * 6000
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want)]) >= 0.9
