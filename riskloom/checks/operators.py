@@ -441,13 +441,13 @@ FROM (SELECT transaction_timestamp - LAG(transaction_timestamp) OVER (PARTITION
 
 _DRAWS = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::DOUBLE' for x in row)})" for i, row in enumerate(weight_draws(3)))
 _EVERY = "(SELECT COUNT(*) FROM transactions)"
-_SOUND = "SELECT transaction_id, TRUE AS is_probability, TRUE AS level_fits FROM transactions"
+_SOUND = "SELECT transaction_id, TRUE AS is_probability, TRUE AS level_fits, TRUE AS has_learnt FROM transactions"
 FITS = {
     **dict.fromkeys(["train_rf_pipeline", "predict_risk", "tune_cv", "tune_random"], _SOUND),
     "train_zoo": "SELECT transaction_id, TRUE AS p_random_forest, TRUE AS p_gbt, TRUE AS p_logistic_regression, TRUE AS p_neural_network, TRUE AS p_svm FROM transactions",
-    "train_regressors": "SELECT model, TRUE AS ordered FROM (VALUES ('random_forest'), ('boosted_trees'), ('factorization'), ('generalized_linear'), ('linear_regression'), ('ensemble')) m(model)",
+    "train_regressors": "SELECT model, TRUE AS ordered, TRUE AS has_learnt FROM (VALUES ('random_forest'), ('boosted_trees'), ('factorization'), ('generalized_linear'), ('linear_regression'), ('ensemble')) m(model)",
     "permutation_importance": "SELECT feature, TRUE AS is_auc, TRUE AS is_difference FROM (VALUES ('amount'), ('customer_age'), ('hour'), ('day_of_week')) f(feature)",
-    "shap_sampling": f"SELECT {_EVERY} AS rows, 4 AS least, 4 AS most, TRUE AS within_one",
+    "shap_sampling": f"SELECT {_EVERY} AS rows, 4 AS least, 4 AS most, TRUE AS additive",
     "lime_local": f"SELECT CAST(r AS INTEGER) AS rank, {_EVERY} AS rows FROM range(1, 5) t(r)",
     "optimize_weights": f"""
 SELECT CAST(draw AS INTEGER) AS draw, ROUND(w0, 6) AS w0, ROUND(w1, 6) AS w1, ROUND(w2, 6) AS w2, ROUND(SUM(CASE WHEN y = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 6) AS auc

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,28 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.ml import trees
 from riskloom.schemas import EXPLANATION, struct_of
 
 
+def shap_values(model: PipelineModel, rows: DataFrame, features: Sequence[str], id_col: str, background: DataFrame | None = None,
+                **sampling) -> DataFrame:
+    """Shapley values: (id, feature, contribution, gap).
+
+    Exact and path-dependent for tree ensembles, without a shuffle; ``gap`` is then what the contributions of the row and
+    the mean score of the training rows leave of its score, zero up to rounding. Other models are sampled over ``background`` (``rows``
+    if none is given) and have a null ``gap``.
+    """
+    features = list(features)
+    if not trees.is_ensemble(model):
+        told = shap_sampling(model, rows, rows if background is None else background, features, id_col, **sampling)
+        return told.withColumn("gap", F.lit(None).cast("double"))
+    out = trees.shap_trees(model, rows, id_col)
+    gap = F.col("score") - F.col("base") - F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    pairs = F.arrays_zip(F.array(*map(F.lit, features)).alias("feature"), F.col("contributions").alias("contribution"))
+    return out.select(id_col, F.inline(pairs).alias("feature", "contribution"), gap.alias("gap"))
+
+
 def shap_sampling(model: PipelineModel, rows: DataFrame, background: DataFrame, features: Sequence[str], id_col: str,
                   n_perm: int = 10, n_background: int = 10, seed: int = 42) -> DataFrame:
     """Sampled Shapley values: (id, feature, contribution).
@@ -67,38 +86,95 @@ def _normal(*keys: Column) -> Column:
     return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
 
 
+def _offset(key: Column, i: Column, feature: int, seed: int) -> Column:
+    """The ``i``-th perturbation of a feature in deviations; the first one is the row itself."""
+    return F.when(i == 0, F.lit(0.0)).otherwise(_normal(key, i, F.lit(feature), F.lit(seed)))
+
+
 def lime_local(model: PipelineModel, rows: DataFrame, features: Sequence[str], id_col: str, scale: DataFrame | None = None,
                n: int = 500, k: int = 10, seed: int = 42, ridge: float = 1.0) -> DataFrame:
     """Top ``k`` weights of a local linear model per row: (id, feature, score, rank).
 
-    ``scale`` is the frame the feature deviations come from. The weighted ridge fit of each row over its
-    ``n`` perturbations is reduced to its normal equations by an aggregate; only those small systems are
-    solved in Arrow batches.
+    ``scale`` is the frame the feature deviations come from. A row's ``n`` perturbations are drawn by its id, and weighted by
+    nearness in a ridge fit. For a forest on (scaled) assembled numbers they live and die inside the Arrow batch of the
+    row; other models score them as rows, and an aggregate reduces each row's to its normal equations.
     """
     features = list(features)
     deviations = (scale if scale is not None else rows).agg(
         F.struct(*[F.coalesce(F.stddev(c), F.lit(0.0)).alias(c) for c in features])).scalar()
+    penalty = ridge * np.eye(len(features) + 1)
+    penalty[0, 0] = 0.0
+    width = 0.75 * np.sqrt(len(features))
+    factors = _input_factors(model, features)
+    fit = _lime_scored if factors is None else _lime_in_batches
+    solved = fit(model, rows, features, id_col, deviations, n, seed, penalty, width, factors)
+    names = F.array(*map(F.lit, features))
+    pairs = F.arrays_zip(names.alias("feature"), F.slice(F.col("solved"), 2, len(features)).alias("score"))
+    by_weight = F.array_sort(pairs, lambda x, y: F.when(F.abs(x["score"]) > F.abs(y["score"]), -1)
+                             .when(F.abs(x["score"]) < F.abs(y["score"]), 1)
+                             .when(x["feature"] < y["feature"], -1).otherwise(1))
+    return solved.select(id_col, F.posexplode(F.slice(by_weight, 1, k)).alias("pos", "pair")).select(
+        id_col, "pair.feature", "pair.score", (F.col("pos") + 1).alias("rank"))
+
+
+def _input_factors(model: PipelineModel, features: list[str]) -> np.ndarray | None:
+    """What the pipeline multiplies the features by before a forest classifier; None for any other pipeline."""
+    stages = model.stages
+    if type(stages[-1]).__name__ != "RandomForestClassificationModel" or not 2 <= len(stages) <= 3:
+        return None
+    if type(stages[0]).__name__ != "VectorAssembler" or list(stages[0].getInputCols()) != features:
+        return None
+    if len(stages) == 2:
+        return np.ones(len(features))
+    if type(stages[1]).__name__ != "StandardScalerModel" or stages[1].getWithMean() or not stages[1].getWithStd():
+        return None
+    spread = stages[1].std.toArray()
+    return np.where(spread > 0, 1 / np.where(spread > 0, spread, 1.0), 0.0)
+
+
+def _lime_in_batches(model, rows, features, id_col, deviations, n, seed, penalty, width, factors) -> DataFrame:
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(trees.flatten(model, spark)[0])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest, step = sent.value, max(1, 100_000 // n)
+        for b in batches:
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo:lo + step]
+                x, sd = (np.stack(part[c].to_numpy()) for c in ("__x", "__sd"))
+                z = np.stack(part["__z"].to_numpy()).reshape(len(part), n, len(features))
+                p = forest.score(((x[:, None] + z * sd[:, None]) * factors).reshape(-1, len(features))).reshape(len(part), n)
+                w = np.exp(-(z * z).sum(axis=2) / width ** 2)
+                design = np.concatenate([np.ones((len(part), n, 1)), z], axis=2)
+                left = np.einsum("rna,rn,rnb->rab", design, w, design) + penalty
+                right = np.einsum("rna,rn->ra", design, w * p)
+                yield pd.DataFrame({id_col: part[id_col], "solved": list(np.linalg.solve(left, right[..., None])[..., 0])})
+
+    z = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(*[_offset(F.col(id_col), i, j, seed) for j in range(len(features))])))
+    given = rows.select(id_col, z.alias("__z"), F.array(*[F.col(c).cast("double") for c in features]).alias("__x"),
+                        F.array(*[deviations[c] for c in features]).alias("__sd"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    return given.mapInPandas(solve, f"`{id_col}` {kind}, solved array<double>")
+
+
+def _lime_scored(model, rows, features, id_col, deviations, n, seed, penalty, width, factors) -> DataFrame:
+    size = len(penalty)
     noisy = rows.select(F.col(id_col).alias("__id"), F.struct(*features).alias("__x"), deviations.alias("__sd")) \
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
-        .withColumns({f"__z{j}": F.when(F.col("__i") == 0, F.lit(0.0)).otherwise(
-            _normal(F.col("__id"), F.col("__i"), F.lit(j), F.lit(seed))) for j in range(len(features))})
+        .withColumns({f"__z{j}": _offset(F.col("__id"), F.col("__i"), j, seed) for j in range(len(features))})
+    z_cols = [f"__z{j}" for j in range(len(features))]
     perturbed = noisy.select(
-        "__id", *[f"__z{j}" for j in range(len(features))],
+        "__id", *z_cols,
         *[(F.col("__x")[f] + F.col(f"__z{j}") * F.col("__sd")[f]).alias(f) for j, f in enumerate(features)])
-    z_cols = [f"__z{j}" for j in range(len(features))]
     p = vector_to_array("probability")[1]
-    width = 0.75 * np.sqrt(len(features))
     weight = F.exp(-sum((F.col(c) * F.col(c) for c in z_cols[1:]), F.col(z_cols[0]) * F.col(z_cols[0])) / float(width**2))
     scored = model.transform(perturbed).select("__id", *z_cols, p.alias("p"), weight.alias("w"))
 
     # weighted normal equations per explained row, summed on the map side
-    size = len(features) + 1
     design = [F.lit(1.0), *[F.col(c) for c in z_cols]]
     left = [F.sum(F.col("w") * design[a] * design[b]) for a in range(size) for b in range(size)]
     right = [F.sum(F.col("w") * design[a] * F.col("p")) for a in range(size)]
     equations = scored.groupBy("__id").agg(F.array(*left).alias("left"), F.array(*right).alias("right"))
-    penalty = ridge * np.eye(size)
-    penalty[0, 0] = 0.0
 
     @F.pandas_udf("array<double>")
     def solve(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -107,15 +183,7 @@ def lime_local(model: PipelineModel, rows: DataFrame, features: Sequence[str], i
         a = np.stack(left.to_numpy()).reshape(-1, size, size) + penalty
         return pd.Series(list(np.linalg.solve(a, np.stack(right.to_numpy())[..., None])[..., 0]))
 
-    names = F.array(*map(F.lit, features))
-    slopes = F.slice(F.col("solved"), 2, len(features))
-    pairs = F.arrays_zip(names.alias("feature"), slopes.alias("score"))
-    by_weight = F.array_sort(pairs, lambda x, y: F.when(F.abs(x["score"]) > F.abs(y["score"]), -1)
-                             .when(F.abs(x["score"]) < F.abs(y["score"]), 1)
-                             .when(x["feature"] < y["feature"], -1).otherwise(1))
-    return equations.select("__id", solve("left", "right").alias("solved")).select(
-        F.col("__id").alias(id_col), F.posexplode(F.slice(by_weight, 1, k)).alias("pos", "pair"),
-    ).select(id_col, "pair.feature", "pair.score", (F.col("pos") + 1).alias("rank"))
+    return equations.select(F.col("__id").alias(id_col), solve("left", "right").alias("solved"))
 
 
 def explanation_struct(df: DataFrame, importance: str | None, shap: str | None, lime: str | None, path: str,

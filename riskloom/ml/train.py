@@ -8,16 +8,15 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scoring import risk_level
+from riskloom.ml import search
 
 # Model inputs and the tuning grid.
 TRAIN_FEATURES = ["amount", "customer_age", "transaction_count", "total_transactions", "avg_amount", "amount_ratio"]
@@ -61,21 +60,15 @@ def train_rf_pipeline(df: DataFrame, label: str = "risk_label", features: Sequen
 
 
 def tune_cv(df: DataFrame, label: str = "risk_label", grid: dict | None = None, folds: int = 5,
-            features: Sequence[str] = TUNE_FEATURES, parallelism: int = 4, seed: int = 42) -> PipelineModel:
-    """Forest with the grid point of the best cross-validated AUC."""
-    stages, col = assembled(features, scale=False)
-    forest = RandomForestClassifier(labelCol=label, featuresCol=col, seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in (grid or TUNE_GRID).items():
-        builder = builder.addGrid(forest.getParam(name), values)
-    return _cross_validate(Pipeline(stages=[*stages, forest]), builder.build(), df, label, folds, parallelism, seed)
+            features: Sequence[str] = TUNE_FEATURES, seed: int = 42, max_search_rows: int = 20_000) -> PipelineModel:
+    """Forest with the grid point of the best cross-validated AUC, fitted on all of ``df``; the search sees at most ``max_search_rows``."""
+    draws = search.grid_draws(grid or TUNE_GRID)
+    found = search.nested_search(df, label, features, draws, "forest", folds, seed, max_search_rows)
+    return _fit_draw(RandomForestClassifier, draws[search.best_draw(found)], df, label, features, seed)
 
 
-def tune_random(df: DataFrame, label: str = "risk_label", n: int = 50, seed: int = 42, folds: int = 5,
-                features: Sequence[str] = TUNE_FEATURES, parallelism: int = 4, ranges: dict | None = None) -> PipelineModel:
-    """Boosted trees with the best of ``n`` random parameter draws by cross-validated AUC."""
-    stages, col = assembled(features, scale=False)
-    gbt = GBTClassifier(labelCol=label, featuresCol=col, seed=seed)
+def random_draws(n: int, seed: int, ranges: dict | None = None) -> list[dict]:
+    """``n`` parameter draws; a range of whole numbers gives whole numbers."""
     rng = np.random.default_rng(seed)
     draws = []
     for _ in range(n):
@@ -83,17 +76,25 @@ def tune_random(df: DataFrame, label: str = "risk_label", n: int = 50, seed: int
         for name, (low, high) in (ranges or RANDOM_RANGES).items():
             whole = isinstance(low, int) and isinstance(high, int)
             value = int(rng.integers(low, high + 1)) if whole else float(rng.uniform(low, high))
-            draw[gbt.getParam(name)] = str(value) if name == "featureSubsetStrategy" else value  # a share of the columns
+            draw[name] = str(value) if name == "featureSubsetStrategy" else value  # a share of the columns
         draws.append(draw)
-    return _cross_validate(Pipeline(stages=[*stages, gbt]), draws, df, label, folds, parallelism, seed)
+    return draws
 
 
-def _cross_validate(pipeline: Pipeline, maps: list, df: DataFrame, label: str, folds: int, parallelism: int,
-                    seed: int) -> PipelineModel:
-    evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    return cv.fit(df).bestModel
+def tune_random(df: DataFrame, label: str = "risk_label", n: int = 50, seed: int = 42, folds: int = 5,
+                features: Sequence[str] = TUNE_FEATURES, ranges: dict | None = None, max_search_rows: int = 20_000) -> PipelineModel:
+    """Boosted trees with the best of ``n`` random parameter draws by cross-validated AUC, fitted on all of ``df``; the search
+    sees at most ``max_search_rows``."""
+    draws = random_draws(n, seed, ranges)
+    found = search.nested_search(df, label, features, draws, "boosting", folds, seed, max_search_rows)
+    return _fit_draw(GBTClassifier, draws[search.best_draw(found)], df, label, features, seed)
+
+
+def _fit_draw(kind, draw: dict, df: DataFrame, label: str, features: Sequence[str], seed: int) -> PipelineModel:
+    stages, col = assembled(features, scale=False)
+    estimator = kind(labelCol=label, featuresCol=col, seed=seed)
+    estimator.setParams(**draw)
+    return Pipeline(stages=[*stages, estimator]).fit(df)
 
 
 def fourier_stages(features: Sequence[str], n_random: int, gamma: float, seed: int) -> tuple[list, str]:

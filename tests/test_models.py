@@ -3,11 +3,17 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml import PipelineModel
+from itertools import combinations
+from math import factorial
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from riskloom.ml import ensemble, explain, fairness, metrics, train
+from riskloom.ml import ensemble, explain, fairness, metrics, search, train, trees
 
 FEATURES = ["x1", "x2", "x3"]
 
@@ -82,6 +88,121 @@ def test_searches_return_working_models(frame):
     assert auc_of(rs, frame) > 0.85
 
 
+def test_nested_search_picks_the_draw_of_the_plain_search(frame):
+    """Trees cut off at one level or a single round are far worse, so that both searches must agree."""
+    stages, col = train.assembled(FEATURES, scale=False)
+    for kind, grid, name in ((RandomForestClassifier, {"numTrees": [1, 30], "maxDepth": [1, 6], "maxBins": [2, 32]}, "forest"),
+                             (GBTClassifier, {"maxIter": [1, 25], "maxDepth": [1, 3], "stepSize": [0.001, 0.3]}, "boosting")):
+        estimator = kind(labelCol="label", featuresCol=col, seed=42)
+        builder = ParamGridBuilder()
+        for p, values in grid.items():
+            builder = builder.addGrid(estimator.getParam(p), values)
+        evaluator = BinaryClassificationEvaluator(labelCol="label")
+        plain = CrossValidator(estimator=Pipeline(stages=[*stages, estimator]), estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=2, seed=1).fit(frame)
+        draws = search.grid_draws(grid)
+        assert [{p.name: v for p, v in m.items()} for m in plain.getEstimatorParamMaps()] == draws
+        found = search.nested_search(frame, "label", FEATURES, draws, name, folds=2)
+        got = {r["draw"]: r["auc"] for r in found.collect()}
+        assert len(got) == len(draws) and max(abs(got[i] - plain.avgMetrics[i]) for i in got) < 0.08
+        assert search.best_draw(found) == int(np.argmax(plain.avgMetrics))
+
+
+def test_prefixes_are_the_shorter_runs():
+    """One run of the largest size gives what a run of each size gives by itself."""
+    rng = np.random.default_rng(0)
+    x = search.binned(rng.normal(size=(300, 3)), 16)
+    y = ((x[:, 0] > 7) ^ (x[:, 1] > 9)).astype(float)
+    train_rows, p = np.arange(300) % 3 > 0, search.DEFAULTS["forest"]
+    whole = {(t, d): s for t, d, s in search.forest_scores(x, y, train_rows, p, {3, 8}, {2, 5}, np.random.default_rng(5))}
+    for t, d in whole:
+        alone = {k: s for *k, s in [(a, b, s) for a, b, s in search.forest_scores(x, y, train_rows, p, {t}, {5, d}, np.random.default_rng(5))] for k in [tuple(k)]}
+        assert np.allclose(alone[t, d], whole[t, d])
+    q = search.DEFAULTS["boosting"] | {"subsamplingRate": 0.7}
+    runs = dict(search.boosted_scores(x, y, train_rows, q, {2, 9}, np.random.default_rng(5)))
+    assert np.allclose(dict(search.boosted_scores(x, y, train_rows, q, {2}, np.random.default_rng(5)))[2], runs[2])
+    assert search.auc(y, runs[9]) > 0.95 and len(search.shared_fits(search.grid_draws(train.TUNE_GRID), "forest")) == 3
+
+
+def test_level_split_is_the_best_of_all_splits():
+    rng = np.random.default_rng(1)
+    x, y, w = search.binned(rng.normal(size=(60, 2)), 8), rng.normal(size=60), rng.integers(0, 3, 60).astype(float)
+    *_, got = search.levels(x, y, w, 1, 4.0, 2, rng)
+
+    def loss(mask):
+        return sum((w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum() for m in (mask, ~mask))
+
+    masks = [x[:, f] <= c for f in range(2) for c in range(8)]
+    fits = [m for m in masks if w[m].sum() >= 4 and w[~m].sum() >= 4]
+    best = min(fits, key=loss)
+    assert np.allclose(got, np.where(best, np.average(y[best], weights=w[best]), np.average(y[~best], weights=w[~best])))
+
+
+def by_subsets(ensemble_of, x, n):
+    """Shapley values from the expectation under every subset of known features."""
+    def value(known):
+        def walk(t, node):
+            f = ensemble_of.feature[t, node]
+            if f < 0:
+                return ensemble_of.value[t, node]
+            left, right = ensemble_of.left[t, node], ensemble_of.right[t, node]
+            if f in known:
+                return walk(t, left if x[f] <= ensemble_of.threshold[t, node] else right)
+            c = ensemble_of.cover[t]
+            return (c[left] * walk(t, left) + c[right] * walk(t, right)) / c[node]
+
+        return sum(walk(t, 0) for t in range(len(ensemble_of.feature)))
+
+    out = np.zeros(n)
+    for i in range(n):
+        others = [f for f in range(n) if f != i]
+        for k in range(n):
+            for s in combinations(others, k):
+                out[i] += factorial(k) * factorial(n - k - 1) / factorial(n) * (value({*s, i}) - value({*s}))
+    return out
+
+
+def test_tree_shapley_values_are_those_of_all_subsets(frame, forest):
+    stages, col = train.assembled(FEATURES)
+    boosted = Pipeline(stages=[*stages, GBTClassifier(labelCol="label", featuresCol=col, maxIter=4, maxDepth=3, seed=1)]).fit(frame)
+    few = frame.orderBy("id").limit(12)
+    for model, target in ((forest, "probability"), (boosted, "margin")):
+        flat, told = trees.flatten(model, frame.sparkSession)
+        got = {r["id"]: r for r in trees.shap_trees(model, few, "id").collect()}
+        assert told == target and len(got) == 12
+        scaled = model.transform(few).select("id", vector_to_array("scaled_features").alias("x"), vector_to_array("probability").alias("p")).collect()
+        for r in scaled:
+            mine = got[r["id"]]
+            assert np.allclose(mine["contributions"], by_subsets(flat, np.array(r["x"]), 3), atol=1e-12)
+            assert abs(sum(mine["contributions"]) + mine["base"] - mine["score"]) < 1e-12
+            assert abs((mine["score"] if target == "probability" else 1 / (1 + np.exp(-2 * mine["score"]))) - r["p"][1]) < 1e-9
+    plan = explain.shap_values(forest, frame, FEATURES, "id")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan[plan.index("== Physical Plan =="):]
+    assert explain.shap_values(forest, frame.limit(0), FEATURES, "id").count() == 0
+    zoo = Pipeline(stages=[*stages, train.classifiers("label", col, 3)["logistic_regression"]]).fit(frame)
+    sampled = explain.shap_values(zoo, few, FEATURES, "id", frame, n_perm=2, n_background=3)
+    assert sampled.count() == 36 and sampled.filter("gap IS NOT NULL").count() == 0
+
+
+def test_deep_paths_are_exact():
+    """A path of eight features, against all their subsets."""
+    rng = np.random.default_rng(3)
+    n = 8
+    nodes = 2 * n + 1
+    f, left, right = np.full((1, nodes), -1), np.full((1, nodes), -1), np.full((1, nodes), -1)
+    value, cover, cut = rng.normal(size=(1, nodes)), np.ones((1, nodes)), rng.normal(size=(1, nodes))
+    at, rows = 0, 1000.0
+    for i in range(n):
+        f[0, at], left[0, at], right[0, at], cover[0, at] = i, at + 1, at + 2, rows
+        cover[0, at + 1], rows = rows * 0.3, rows * 0.7
+        cover[0, at + 2] = rows
+        at += 2
+    chain = trees.Trees(f, cut, left, right, value, cover, n)
+    x = rng.normal(size=(5, n))
+    got = trees.shapley([chain.leaves(0)], n, x)
+    assert all(np.allclose(g, by_subsets(chain, r, n), atol=1e-12) for g, r in zip(got, x))
+    assert np.allclose(got.sum(axis=1) + chain.expected(), chain.score(x))
+
+
 def test_regressors_and_metrics(frame):
     result = train.train_regressors(frame, "target", features=FEATURES, id_col="id", trees=10, iterations=10)
     names = [*result["models"], "ensemble"]
