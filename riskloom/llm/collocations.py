@@ -46,12 +46,12 @@ class Intervals:
 
 
 class OneWay:
-    """BWT of one reading direction with the two functions of an FM-index: first places and ranks."""
+    """BWT of one reading direction; ``places`` holds first places and ranks of all symbols in one rising row."""
 
     def __init__(self, text: np.ndarray, symbols: int, depth: int) -> None:
         self.symbols, n = symbols, len(text)
         bits = max(1, int(symbols - 1).bit_length())
-        key = text.astype(np.int64)
+        key = text.astype(np.int64)  # the first ``depth`` symbols, packed
         used, at = bits, 1
         while at < depth:
             if used + bits > 63:
@@ -59,9 +59,7 @@ class OneWay:
                 used = max(1, int(n).bit_length())
             key = key << bits | np.roll(text, -at)
             used, at = used + bits, at + 1
-        order = np.argsort(key, kind="stable")
-        self.bwt = text[order - 1]
-        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols))]
+        self.bwt = text[np.argsort(key) - 1]
 
     @cached_property
     def places(self) -> np.ndarray:
@@ -69,11 +67,22 @@ class OneWay:
         return np.sort(self.bwt.astype(np.int64) * (len(self.bwt) + 1) + np.arange(len(self.bwt)))
 
     def before(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The first place of ``symbol`` followed by what begins at ``place``: first[symbol] + rank(symbol, place)."""
+        """Where ``symbol`` followed by what begins at ``place`` comes first: smaller symbols, and the symbol's rank there."""
         return np.searchsorted(self.places, symbol.astype(np.int64) * (len(self.bwt) + 1) + place)
 
-    def split(self, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(interval, symbol, count, how many symbols of the interval are smaller) for each interval's neighbouring symbols."""
+    def split(self, low: np.ndarray, count: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(interval, symbol, count, how many symbols of the interval are smaller) for each interval's neighbouring symbols.
+
+        Intervals are taken some at a time, about ``block`` places together, so that the work space stays small.
+        """
+        ends = np.cumsum(count)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(block, ends[-1] if len(ends) else 0, block)), len(low)])
+        parts = [self._split(lo, low[lo:hi], count[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        if not parts:
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _split(self, offset: int, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         which = np.repeat(np.arange(len(low)), count)
         at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         key, n = np.unique(which * self.symbols + self.bwt[at], return_counts=True)
@@ -81,7 +90,7 @@ class OneWay:
         smaller = np.cumsum(n) - n
         starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, dtype=np.int64)
         smaller -= np.repeat(smaller[starts], np.diff(np.r_[starts, len(which)]))
-        return which, symbol, n, smaller
+        return which + offset, symbol.astype(np.int32), n, smaller
 
 
 class Index:
@@ -106,17 +115,21 @@ class Index:
         w = w[w != SEPARATOR]
         return Intervals(w[:, None], first[w], first[w], n[w])
 
-    def extend_left(self, p: Intervals) -> Intervals:
+    def extend_left(self, p: Intervals, again: bool = True) -> Intervals:
+        """Patterns with one word more before them; without ``again``, they can grow to the right only."""
         which, symbol, n, smaller = self.forward.split(p.low, p.count)
         real = symbol != SEPARATOR
         which, symbol, n, smaller = which[real], symbol[real], n[real], smaller[real]
-        return Intervals(np.c_[symbol, p.words[which]], self.forward.before(symbol, p.low[which]), p.reverse_low[which] + smaller, n)
+        low = self.forward.before(symbol, p.low[which]) if again else np.full(len(n), -1)
+        return Intervals(np.c_[symbol, p.words[which]], low, p.reverse_low[which] + smaller, n)
 
-    def extend_right(self, p: Intervals) -> Intervals:
+    def extend_right(self, p: Intervals, again: bool = True) -> Intervals:
+        """Patterns with one word more after them; without ``again``, they can grow to the left only."""
         which, symbol, n, smaller = self.backward.split(p.reverse_low, p.count)
         real = symbol != SEPARATOR
         which, symbol, n, smaller = which[real], symbol[real], n[real], smaller[real]
-        return Intervals(np.c_[p.words[which], symbol], p.low[which] + smaller, self.backward.before(symbol, p.reverse_low[which]), n)
+        low = self.backward.before(symbol, p.reverse_low[which]) if again else np.full(len(n), -1)
+        return Intervals(np.c_[p.words[which], symbol], p.low[which] + smaller, low, n)
 
 
 def mixed(hashes: list, shift, rotate):
@@ -146,108 +159,97 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
-class Numbering:
-    """Words of one language as they come, numbered from 1."""
+class Numbers(dict):
+    """Words numbered from 1 as they come; the separator is 0, and -1 stands for nothing."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {b"\n": SEPARATOR}
-        self.parts: list[np.ndarray] = []
-        self.held = 0
+        super().__init__({b"": -1, b"\n": SEPARATOR})
 
-    def add(self, tokens: list[bytes]) -> None:
-        numbers = self.numbers
-        try:
-            coded = [numbers[t] for t in tokens]
-        except KeyError:
-            for t in tokens:
-                if t not in numbers:
-                    numbers[t] = len(numbers)
-            coded = [numbers[t] for t in tokens]
-        self.parts.append(np.array([SEPARATOR, *coded], dtype=np.int32))
-        self.held += len(coded) + 1
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) - 1
+        return n
 
-    def shard(self) -> tuple[bytes, bytes]:
-        """The words in the order of their numbers, joined by line ends, and the text of numbers."""
-        return b"\n".join(list(self.numbers)[1:]), np.concatenate(self.parts).tobytes()
 
+class Words:
+    """The words of one language that a task holds."""
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z in lower case, and a line end for each character that ends a phrase."""
-    spaced = text.encode("utf-8", "surrogatepass").lower().translate(TO_TOKENS).replace(b"\n", b" \n ")
-    return [t for t in spaced.split(b" ") if t]
-
+    def __init__(self) -> None:
+        self.numbers, self.parts, self.held = Numbers(), [], 0
 
-def shards(docs: DataFrame, shard_words: int = 4_000_000) -> DataFrame:
-    """lang, vocabulary, body: the words a task holds of a language, in shards of about ``shard_words`` words.
+    def add(self, text: str) -> None:
+        """A-Z count as lower case; characters that end a phrase, and the end of the text, separate."""
+        spaced = text.encode("utf-8", "surrogatepass").lower().translate(TO_TOKENS).replace(b"\n", b" \n ") + b" \n"
+        found = spaced.split(b" ")
+        coded = np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found))
+        self.parts.append(coded[coded >= 0])
+        self.held += len(self.parts[-1])
 
-    A text is never cut, so one longer than that is a shard of its own size. Texts of a shard stand apart.
-    """
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_shards: dict[str, Numbering] = {}
-
-        def close(lang: str) -> pa.RecordBatch:
-            vocabulary, body = open_shards.pop(lang).shard()
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vocabulary], pa.binary()), pa.array([body], pa.binary())],
-                                              ["lang", "vocabulary", "body"])
-
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                found = tokens(text.as_py())
-                if found:
-                    at = open_shards.setdefault(lang, Numbering())
-                    at.add(found)
-                    if at.held >= shard_words:
-                        yield close(lang)
-                    elif sum(s.held for s in open_shards.values()) >= 2 * shard_words:  # many languages in one task
-                        yield close(max(open_shards, key=lambda x: open_shards[x].held))
-        for lang in list(open_shards):
-            yield close(lang)
+    def index(self, depth: int) -> tuple[list[bytes], Index]:
+        return list(self.numbers)[2:], Index(np.concatenate(self.parts), len(self.numbers) - 1, depth)
 
-    rows = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    return rows.mapInArrow(fill, "lang string, vocabulary binary, body binary")
 
+def shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[str, Words]]:
+    """A task's texts as shards of one language and about ``shard_words`` words.
 
-def enumerate_level(shard_rows: DataFrame, length: int, depth: int, bits: int, frequent: list[np.ndarray]) -> DataFrame:
+    A text is never cut, so one longer than that is a shard of its own size. All languages together hold half as many words
+    more at most before the largest shard is closed.
+    """
+    held: dict[str, Words] = {}
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            words = held.setdefault(lang, Words())
+            words.add(text.as_py())
+            if words.held >= shard_words:
+                yield lang, held.pop(lang)
+            elif sum(w.held for w in held.values()) >= 1.5 * shard_words:
+                most = max(held, key=lambda x: held[x].held)
+                yield most, held.pop(most)
+    while held:
+        yield held.popitem()
+
+
+def enumerate_level(docs: DataFrame, length: int, depth: int, bits: int, frequent: list[np.ndarray], shard_words: int) -> DataFrame:
     """(lang, phrase, n): counts per shard of all phrases of ``length`` words whose parts may be frequent.
 
     ``frequent`` holds the tables of frequent phrases of 1, 2, ... words; a table may let others through, never hold one
-    back. For one word, an empty phrase gives the number of all words.
+    back. For one word, an empty phrase gives the number of all words. Shards are made anew from the texts at each level,
+    which costs less than keeping them; whether they are the same does not matter to the sums.
     """
-    sent = [shard_rows.sparkSession.sparkContext.broadcast(f) for f in frequent]
+    sent = [docs.sparkSession.sparkContext.broadcast(f) for f in frequent]
 
     def may_be_frequent(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
         at = slots(hashes, words, bits)
         return (sent[words.shape[1] - 1].value[at >> 3] >> (at & 7) & 1).astype(bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lang, vocabulary, body in zip(*(b.column(i) for i in range(3))):
-                lang, words = lang.as_py(), vocabulary.as_py().split(b"\n")
-                index = Index(np.frombuffer(body.as_py(), dtype=np.int32), len(words) + 1, depth)
-                p = index.words()
-                if length > 1:
-                    hashes = np.r_[np.zeros(1, np.uint64), word_hashes(lang, words)]
-                    p = p.take(may_be_frequent(hashes, p.words))
-                    for k in range(2, length + 1):
-                        p = index.extend_left(p) if k % 2 == 0 else index.extend_right(p)
-                        new = p.words[:, :-1] if k % 2 == 0 else p.words[:, 1:]     # the other part has passed before
-                        p = p.take(may_be_frequent(hashes, new))
-                        if k < length:
-                            p = p.take(may_be_frequent(hashes, p.words))
-                yield from out(lang, words, p, length)
-
-    def out(lang: str, words: list[bytes], p: Intervals, length: int, rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+        for lang, held in shards(batches, shard_words):
+            words, index = held.index(depth)
+            p = index.words()
+            if length > 1:
+                hashes = np.r_[np.zeros(1, np.uint64), word_hashes(lang, words)]
+                p = p.take(may_be_frequent(hashes, p.words))
+                for k in range(2, length + 1):
+                    grow = index.extend_left if k % 2 == 0 else index.extend_right
+                    p = grow(p, again=k + 2 <= length)
+                    new = p.words[:, :-1] if k % 2 == 0 else p.words[:, 1:]     # the other part has passed before
+                    p = p.take(may_be_frequent(hashes, new))
+                    if k < length:
+                        p = p.take(may_be_frequent(hashes, p.words))
+            yield from out(lang, words, p)
+
+    def out(lang: str, words: list[bytes], p: Intervals, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
         held = pa.array(words, pa.binary()).cast(pa.string())
         for lo in range(0, len(p.count), rows):
             w, n = p.words[lo:lo + rows] - 1, p.count[lo:lo + rows]
             phrase = held.take(pa.array(w[:, 0]))
             for c in range(1, length):
                 phrase = pc.binary_join_element_wise(phrase, held.take(pa.array(w[:, c])), " ")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
         if length == 1:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(p.count.sum())], pa.int64())], ["lang", "phrase", "n"])
 
-    return shard_rows.mapInArrow(count, "lang string, phrase string, n bigint")
+    rows = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
+    return rows.mapInArrow(count, "lang string, phrase string, n bigint")
 
 
 def frequent_table(phrases: DataFrame, length: int, bits: int) -> np.ndarray:
@@ -259,13 +261,12 @@ def frequent_table(phrases: DataFrame, length: int, bits: int) -> np.ndarray:
     return cells.view(np.uint8)
 
 
-def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, shard_words: int = 4_000_000, bits: int = FILTER_BITS) -> list[DataFrame]:
+def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, shard_words: int = 1_000_000, bits: int = FILTER_BITS) -> list[DataFrame]:
     """(lang, phrase, n) of 1, 2, ... ``depth`` words, all that occur ``least`` times; the first also has each language's
     number of words under the empty phrase."""
-    held = staged(shards(docs, shard_words), "shards")
     out, tables = [], []
     for length in range(1, depth + 1):
-        level = enumerate_level(held, length, depth, bits, tables)
+        level = enumerate_level(docs, length, depth, bits, tables, shard_words)
         out.append(staged(level.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == "")), "phrases"))
         if length < depth:
             tables.append(frequent_table(out[-1].filter("phrase <> ''"), length, bits))
@@ -313,7 +314,7 @@ def inside_longer(counts: list[DataFrame], share: int) -> DataFrame:
     return short.join(longest, ["lang", "phrase"]).filter(F.lit(100) * F.col("whole") >= F.lit(share) * F.col("n")).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, top: int = 2_000, depth: int = 3, least: int = 10, share: int = 50, shard_words: int = 4_000_000,
+def collocations(docs: DataFrame, top: int = 2_000, depth: int = 3, least: int = 10, share: int = 50, shard_words: int = 1_000_000,
                  bits: int = FILTER_BITS, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``depth`` words.
 
