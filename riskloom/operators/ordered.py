@@ -67,12 +67,9 @@ def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles per group: columns ``by``, ``q``, ``quantile``."""
+def _interpolated(ranked: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], kept: Column | None = None) -> DataFrame:
+    """Quantiles from ``ranked`` values (n, before, total); only rows that are ``kept`` may hold one."""
     by = list(by)
-    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = known.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, by, "__v", fine_chunk("__v"), {"n": ("before", "total")})
 
     def position(q: float) -> Column:
         return (F.col("total") - 1) * F.lit(float(q))
@@ -82,15 +79,79 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
         low, high = F.floor(pos), F.ceil(pos)
         has_low = (F.col("before") <= low) & (last >= low)
         has_high = (F.col("before") <= high) & (last >= high)
+        v = F.col(value) if kept is None else F.when(kept, F.col(value)).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
         return F.when(has_low | has_high, F.struct(
             F.lit(float(q)).alias("q"), (pos - low).alias("weight"),
-            F.when(has_low, F.col("__v")).alias("low"), F.when(has_high, F.col("__v")).alias("high")))
+            F.when(has_low, v).alias("low"), F.when(has_high, v).alias("high")))
 
     hits = ranked.select(*by, F.inline(F.array_compact(F.array(*[hit(q) for q in qs]))))
     low, high, weight = F.max("low"), F.max("high"), F.max("weight")
     return hits.groupBy(*by, "q").agg((low * (1 - weight) + high * weight).alias("quantile"))
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles per group: columns ``by``, ``q``, ``quantile``.
+
+    Without groups, only the values near the wanted ranks are shuffled (``selected_quantiles``).
+    """
+    by = list(by)
+    if not by:
+        return selected_quantiles(df.select(F.col(value).cast("double").alias("value")), ["value"], qs).drop("column")
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = known.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, by, "__v", fine_chunk("__v"), {"n": ("before", "total")})
+    return _interpolated(ranked, by, "__v", qs)
+
+
+#: The sketch of the first pass is at most a share of 1 / ACCURACY of the rows off, and brackets reach MARGIN times as far;
+#: columns of up to SMALL rows are kept whole.
+ACCURACY, MARGIN, SMALL = 10_000, 4, 100_000
+_LOWEST = -1.7976931348623157e308
+
+
+def rank_brackets(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> Column:
+    """column -> (lows, highs), read as a scalar: values between which the ranks of ``qs`` surely lie.
+
+    One pass over ``df`` makes one mergeable sketch a column, whose rank error is bounded. Nulls and NaN do not count.
+    """
+    reach = MARGIN / ACCURACY
+    probabilities = [min(1.0, max(0.0, q + side * reach)) for side in (-1, 1) for q in qs]
+
+    def bracket(c: str) -> Column:
+        v = F.col(c).cast("double")
+        known = F.when(~F.isnan(v), v)
+        at = F.percentile_approx(known, probabilities, ACCURACY)
+        few = F.count(known) <= SMALL
+        side = [F.when(few, F.array(*[F.lit(float(x))] * len(qs))).otherwise(F.slice(at, start, len(qs)))
+                for x, start in (("-inf", 1), ("inf", len(qs) + 1))]
+        return F.struct(side[0].alias("lows"), side[1].alias("highs"))
+
+    entries = [x for c in cols for x in (F.lit(c), bracket(c))]
+    return df.agg(F.create_map(*entries).alias("brackets")).scalar()
+
+
+def selected_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of several columns: ``column``, ``q``, ``quantile``; nulls and NaN do not count.
+
+    A first pass brackets each rank by a sketch. A second one keeps the values inside the brackets, a share of about
+    (2 MARGIN + 2) / ACCURACY of the rows for each rank, and merely counts those between them, so neither the distinct values nor the
+    rows are shuffled. A bracket that missed its rank, which the sketch's bound excludes, would raise an error.
+    """
+    cols, qs = list(cols), list(qs)
+    values = long_form(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    values = values.withColumn("__brackets", rank_brackets(df, cols, qs))
+    bracket, v = F.try_element_at("__brackets", F.col("column")), F.col("value")
+    lows, highs = ([F.get(bracket[side], F.lit(i)) for i in range(len(qs))] for side in ("lows", "highs"))
+    inside = F.lit(False)
+    for low, high in zip(lows, highs):
+        inside = inside | ((v >= low) & (v <= high))
+    below = F.greatest(F.lit(_LOWEST), *[F.when(v > high, high).otherwise(F.lit(_LOWEST)) for high in highs])
+    marked = values.select("column", F.when(inside, v).otherwise(below).alias("__v"), (~inside).alias("between"))
+    counts = marked.groupBy("column", "__v", "between").agg(F.count(F.lit(1)).alias("n")).withColumn("__place", F.struct("__v", "between"))
+    ranked = running_totals(counts, ["column"], "__place", fine_chunk("__v"), {"n": ("before", "total")})
+    return _interpolated(ranked, ["column"], "__v", qs, ~F.col("between"))
+
+
 def quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
     """(q, quantile) rows; ``exact=False`` uses the mergeable sketch instead."""
     if exact:
@@ -103,7 +164,7 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.5, 0.75),
 
 def quantile_row(df: DataFrame, cols: Sequence[str], qs: Mapping[str, float]) -> DataFrame:
     """One row per column: ``column`` and one field per named quantile."""
-    flat = exact_quantiles(long_form(df, cols), ["column"], "value", list(qs.values()))
+    flat = selected_quantiles(df, cols, list(qs.values()))
     return flat.groupBy("column").agg(*[
         F.max(F.when(F.col("q") == F.lit(float(q)), F.col("quantile"))).alias(name) for name, q in qs.items()])
 

@@ -77,8 +77,8 @@ def _fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _fence_map(df: DataFrame, cols: Sequence[str]) -> Column:
-    """column -> fences, read as a scalar: one entry per checked column."""
-    entries = F.map_from_entries(F.collect_list(F.struct("column", F.struct("low_fence", "high_fence"))))
+    """column -> quartiles and fences, read as a scalar: one entry per checked column, computed once."""
+    entries = F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "median", "q3", "low_fence", "high_fence"))))
     return _fences(df, cols).agg(entries).scalar()
 
 
@@ -107,8 +107,8 @@ def dq_box_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     inside = (v >= fence["low_fence"]) & (v <= fence["high_fence"])
     whiskers = values.groupBy("column").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
-    return _fences(df, cols).drop("low_fence", "high_fence").join(whiskers, "column")
+        F.count_if(~inside).alias("outliers"), *[F.first(fence[q]).alias(q) for q in ("q1", "median", "q3")])
+    return whiskers.select("column", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
 
 def dq_assessments(df: DataFrame) -> DataFrame:

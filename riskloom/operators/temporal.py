@@ -88,35 +88,50 @@ def trailing_snapshot(df: DataFrame, key: str, ts: str, days: float, aggs: Mappi
 
 
 def active_model_asof(assessments: DataFrame, updates: DataFrame, ts: str = "assessment_timestamp",
-                      model: str = "new_model_id", at: str = "event_time") -> DataFrame:
+                      model: str = "new_model_id", at: str = "event_time", rows_per_task: int = 200_000) -> DataFrame:
     """Adds ``active_model``: the newest update at or before each row's time, null before the first.
 
-    Each calendar day is cut into the stretch before its first update, which carries the last model of
-    the days before, and one stretch per update. Rows then meet their stretch through an equi join on the
-    day; the only order over everything runs over one row per hour since the first update.
+    Of updates at one instant the largest id counts; rows without a time and updates without one meet nothing. An ordered
+    merge: rows and updates go in one union, dealt by hour, and the last update is carried forward in the order of time
+    inside each part. An hour of over ``rows_per_task`` updates is cut in time; one of more rows than that is dealt over several parts,
+    each with the hour's updates, so rows of a single instant are spread too. What a part carries in comes from one row per
+    stretch of time, the only order over everything. A row crosses the network once and is never paired with updates.
     """
-    per_instant = updates.groupBy(F.col(at).alias("__from")).agg(F.max(model).alias("__model")).withColumn(
-        "__hour", F.date_trunc("hour", "__from"))
-    in_hour = per_instant.withColumn("__to", F.lead("__from").over(Window.partitionBy("__hour").orderBy("__from")))
-
-    update_hours = per_instant.groupBy("__hour").agg(
-        F.min("__from").alias("__first"), F.max_by("__model", "__from").alias("__last"))
-    newest = assessments.agg(F.max(F.date_trunc("hour", ts))).scalar()
-    calendar = update_hours.agg(F.min("__hour").alias("a")).select(
-        F.explode(F.sequence(F.col("a"), F.greatest("a", newest), F.expr("INTERVAL '1' HOUR"))).alias("__hour"))
-    hours = calendar.join(update_hours, "__hour", "left")
-    carried = hours.select(
-        F.col("__first").alias("__to"),
-        F.last("__last", ignorenulls=True).over(
-            Window.partitionBy().orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)).alias("__model"),
-        "__hour", F.lit(None).cast(assessments.schema[ts].dataType).alias("__from"))
-    stretches = in_hour.select("__to", "__model", "__hour", "__from").unionByName(carried)
-
-    a = assessments.withColumn("__hour", F.date_trunc("hour", ts))
-    return a.join(stretches, "__hour", "left").filter(
-        (F.col("__from").isNull() | (F.col(ts) >= F.col("__from")))
-        & (F.col("__to").isNull() | (F.col(ts) < F.col("__to")))
-    ).withColumnRenamed("__model", "active_model").drop("__hour", "__from", "__to")
+    known = assessments.filter(F.col(ts).isNotNull()).select(F.struct(*assessments.columns).alias("__row"), F.col(ts).alias("__t"))
+    changes = updates.filter(F.col(at).isNotNull() & F.col(model).isNotNull()).groupBy(F.col(at).cast(assessments.schema[ts].dataType).alias("__t")).agg(
+        F.max(model).alias("__model"))
+    rows, steps = (x.withColumn("__hour", F.date_trunc("hour", "__t")) for x in (known, changes))
+
+    sizes = rows.select("__hour", F.lit(1).alias("r"), F.lit(0).alias("u")).unionByName(steps.select("__hour", F.lit(0).alias("r"), F.lit(1).alias("u"))) \
+        .groupBy("__hour").agg(F.sum("r").alias("r"), F.sum("u").alias("u"))
+    dealt = sizes.select("__hour", F.ceil(F.greatest("u", F.lit(1)) / rows_per_task).cast("int").alias("__cuts"),
+                         F.ceil(F.greatest("r", F.lit(1)) / rows_per_task).cast("int").alias("__parts"))
+    special = dealt.filter("__cuts > 1 OR __parts > 1")
+
+    def placed(x: DataFrame) -> DataFrame:
+        into = (micros("__t") - micros("__hour")) / F.lit(3_600_000_000.0)
+        return x.join(special, "__hour", "left").na.fill(1, ["__cuts", "__parts"]).withColumn("__cut", F.floor(into * F.col("__cuts")).cast("int"))
+
+    def all_parts(x: DataFrame) -> DataFrame:
+        return x.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+
+    cut_steps = placed(steps)
+    lasts = cut_steps.groupBy("__hour", "__cut").agg(F.max_by("__model", "__t").alias("__last"))
+    stretches = dealt.select("__hour", "__parts", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)).alias("__cut")).join(lasts, ["__hour", "__cut"], "left")
+    before = Window.partitionBy().orderBy("__hour", "__cut").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_parts(stretches.withColumn("__model", F.last("__last", ignorenulls=True).over(before)))
+
+    nothing = F.lit(None).cast(known.schema["__row"].dataType).alias("__row")
+    deal = ["__hour", "__cut", "__part"]
+    own = placed(rows).withColumn("__part", F.pmod(F.xxhash64("__row"), F.col("__parts")).cast("int")).select(
+        *deal, F.lit(2).alias("__order"), "__t", F.lit(None).cast(updates.schema[model].dataType).alias("__model"), "__row")
+    moved = all_parts(cut_steps).select(*deal, F.lit(1).alias("__order"), "__t", "__model", nothing)
+    start = carried.select(*deal, F.lit(0).alias("__order"), F.lit(None).cast(assessments.schema[ts].dataType).alias("__t"), "__model", nothing)
+    merged = own.unionByName(moved).unionByName(start)
+    so_far = Window.partitionBy(*deal).orderBy(F.col("__t").asc_nulls_first(), "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = merged.withColumn("active_model", F.last("__model", ignorenulls=True).over(so_far)).filter("__row IS NOT NULL").select("__row.*", "active_model")
+    timeless = assessments.filter(F.col(ts).isNull()).withColumn("active_model", F.lit(None).cast(updates.schema[model].dataType))
+    return told.unionByName(timeless)
 
 
 def gap_fill_hours(df: DataFrame, ts: str, as_of=None, hours: int = 24) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force on small data, hot keys included."""
 
+import bisect
 import datetime as dt
 import random
 
@@ -67,6 +68,33 @@ def test_active_model_matches_a_scan(spark):
         assert r.active_model == (max(past)[1] if past else None)
 
 
+def test_a_hot_hour_is_merged_without_pairs(spark):
+    """Ten thousand updates and many rows in one hour, a third of them at one instant; rows without a time, and columns with the merge's names."""
+    hour = "timestamp_ntz'2024-01-01 10:00:00'"
+    rows = spark.range(60_000).selectExpr("id", f"{hour} + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN 1800 ELSE pmod(xxhash64(id), 3600000) / 1000.0 END) AS assessment_timestamp",
+                                          "id AS __order", "id AS __part")
+    rows = rows.unionByName(spark.range(5).selectExpr("-id - 1 AS id", "CAST(NULL AS timestamp_ntz) AS assessment_timestamp", "id AS __order", "id AS __part"))
+    updates = spark.range(10_000).selectExpr(f"{hour} + make_dt_interval(0, 0, 0, pmod(xxhash64(id, 7), 3600000) / 1000.0) AS event_time", "concat('m', id) AS new_model_id")
+    got = TP.active_model_asof(rows, updates, rows_per_task=2_500)
+    assert got.columns == [*rows.columns, "active_model"]
+    seen = [(u.event_time, u.new_model_id) for u in updates.collect()]
+    best = {}
+    for t, m in seen:
+        best[t] = max(m, best.get(t, ""))
+    times = sorted(best)
+    told = got.collect()
+    assert len(told) == 60_005 and len({r.id for r in told}) == 60_005
+    for r in told:
+        at = bisect.bisect_right(times, r.assessment_timestamp) if r.assessment_timestamp else 0
+        assert r.active_model == (best[times[at - 1]] if at else None) and r["__order"] == r["__part"]
+    sizes = got._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in sizes and "CartesianProduct" not in sizes
+    whole = TP.active_model_asof(rows, updates).select("id", F.col("active_model").alias("other"))
+    assert got.join(whole, "id").filter("NOT active_model <=> other").count() == 0
+    assert TP.active_model_asof(rows.limit(0), updates).count() == 0
+    assert TP.active_model_asof(rows, updates.limit(0)).filter("active_model IS NOT NULL").count() == 0
+
+
 def repeats(rows, ttl):
     last, n = {}, 0
     for key, at in sorted(rows):
@@ -107,6 +135,39 @@ def test_exact_quantiles_match_numpy(spark, values):
     assert got == {q: pytest.approx(float(np.quantile(values, q)), rel=1e-12) for q in qs}
 
 
+def test_selection_by_brackets_is_bit_equal(spark, monkeypatch):
+    """Beyond the rows kept whole: brackets from sketches of ordered, repeated and heavy-tailed columns, with nulls, NaN and infinities."""
+    monkeypatch.setattr(O, "SMALL", 500)
+    n = 60_000
+    df = spark.range(n, numPartitions=7).selectExpr(
+        "id", "CAST(id AS double) AS ordered", "CASE WHEN id % 3 = 0 THEN 1.5 ELSE CAST(pmod(xxhash64(id), 7) AS double) END AS repeated",
+        "exp((pmod(xxhash64(id, 3), 100000) - 50000) / 100.0) AS tails",
+        "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 11 = 0 THEN double('NaN') WHEN id % 997 = 0 THEN double('Infinity') WHEN id % 991 = 0 THEN double('-Infinity') ELSE -sqrt(id) END AS holes",
+        "CAST(NULL AS double) AS empty", "CASE WHEN id < 3 THEN CAST(id AS double) END AS few")
+    qs = (0.0, 0.001, 0.25, 0.5, 0.75, 0.99, 1.0)
+    got = {(r.column, r.q): r.quantile for r in O.selected_quantiles(df, df.columns[1:], qs).collect()}
+    values = df.toPandas()
+    for c in df.columns[1:]:
+        x = values[c].dropna().to_numpy(dtype=float)
+        x.sort()
+        for q in qs:
+            if not len(x):
+                assert (c, q) not in got
+                continue
+            at = (len(x) - 1) * q
+            low, high = int(np.floor(at)), int(np.ceil(at))
+            want = x[low] * (1 - (at - low)) + x[high] * (at - low)
+            assert got[c, q] == want or (np.isnan(got[c, q]) and np.isnan(want)), (c, q)
+
+
+def test_brackets_keep_few_rows(spark):
+    """What is grouped by value is a small share of the rows."""
+    df = spark.range(400_000).selectExpr("CAST(pmod(xxhash64(id), 1000000007) AS double) AS v")
+    bracket = df.select(O.rank_brackets(df, ["v"], [0.25, 0.5]).alias("b")).first()["b"]["v"]
+    kept = df.filter(" OR ".join(f"v BETWEEN {a!r} AND {b!r}" for a, b in zip(bracket["lows"], bracket["highs"]))).count()
+    assert 0 < kept < 2 * 400_000 * (2 * O.MARGIN + 2) / O.ACCURACY
+
+
 def test_approximate_quantiles_stay_close(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("v"))
     got = {r.q: r.quantile for r in O.quantiles(df, "v", (0.25, 0.5), exact=False).collect()}
