@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,81 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scanned(items: Column, start: Column, item_type: str, step: Callable[[Column, Column], tuple[Column, Column, Column]], block: int = 256) -> Column:
+    """The results of a walk over an array: ``step(at, x)`` gives the next ``at``, whether x has a result, and that result.
+
+    Results are gathered by blocks, since what a walk carries is copied at each step: the work is a block's size for each
+    item, and the items once for each block.
+    """
+    none = F.array().cast(f"array<{item_type}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, has, result = step(acc["at"], x)
+        more = F.when(has, F.concat(acc["out"], F.array(result.cast(item_type)))).otherwise(acc["out"])
+        return F.struct(at.alias("at"), more.alias("out"))
+
+    def outer(all_items: Column) -> Callable[[Column, Column], Column]:
+        def walk(acc: Column, b: Column) -> Column:
+            part = F.aggregate(F.slice(all_items, b * block + 1, F.lit(block)), F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+            return bound(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["done"], F.array(p["out"])).alias("done")))
+
+        return walk
+
+    begin = F.struct(start.alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("done"))
+    return bound(items, lambda xs: F.aggregate(
+        F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>")),
+        begin, outer(xs), lambda a: F.flatten(a["done"])))
+
+
+def stretches(text: Column, spans: Column, few: int = 512) -> Column:
+    """The text of each span (start, end) in code points. Of many spans, each is looked up in one of at most ``few`` blocks of the text."""
+    def plain(t: Column) -> Column:
+        return F.transform(spans, lambda s: F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    def by_block(t: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.length(t) / few).cast("int"))
+
+        def cut(b: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.lit(few - 1)), lambda i: F.substring(t, i * b + 1, b))
+
+            def one(s: Column, held: Column) -> Column:
+                first, last = F.floor(s["start"] / b).cast("int"), F.floor(F.greatest(s["start"], s["end"] - 1) / b).cast("int")
+                near = F.array_join(F.slice(held, first + 1, last - first + 1), "")
+                return F.substring(near, (s["start"] - first * b + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+
+            return bound(blocks, lambda held: F.transform(spans, lambda s: one(s, held)))
+
+        return bound(size, cut)
+
+    return F.when(F.size(spans) <= few, plain(text)).otherwise(by_block(text))
+
+
+def bit_places(key: Column, bits: int) -> dict[str, Column]:
+    """Where a key has its bit in a table of ``bits``: cell of 4,096 bits, word of 64 in the cell, bit in the word."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    return {"__cell": F.shiftright(slot, 12).cast("int"), "__word": F.shiftright(slot, 6).bitwiseAND(F.lit(63)).cast("int"),
+            "__bit": slot.bitwiseAND(F.lit(63)).cast("int")}
+
+
+def may_be_among(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """``df`` with ``__among``: false only where ``key`` is none of ``keys``, a frame with a column of the same name.
+
+    A table of one bit for each hash goes to all tasks: at 2**26 bits less than 13 MB, however many keys there are. So what surely
+    has no partner need not be shuffled; with more keys than bits it lets everything through.
+    """
+    words = keys.select(*[c.alias(n) for n, c in bit_places(F.col(key), bits).items()]).groupBy("__cell", "__word").agg(
+        F.expr("bit_or(shiftleft(1L, __bit))").alias("__held"))
+    cells = words.groupBy("__cell").agg(F.map_from_entries(F.collect_list(F.struct("__word", "__held"))).alias("__words"))
+    marked = df.withColumns(bit_places(F.col(key), bits)).join(F.broadcast(cells), "__cell", "left")
+    among = F.coalesce(F.expr("getbit(try_element_at(__words, __word), __bit) = 1"), F.lit(False))
+    return marked.withColumn("__among", among).drop("__cell", "__word", "__bit", "__words")
+
+
 def pieces_of(values: list[str], max_chars: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts that hold about ``max_chars`` characters together; a longer text stands alone."""
     start, held = 0, 0

@@ -1,7 +1,8 @@
 """Exact duplicates: rows grouped by a 128-bit hash of the normalised text, groups split where bytes differ.
 
-Main path in DataFrame functions only. A narrow table (id, hash, digest) decides everything; texts are compared within the
-groups that have more than one row, after copies have met on the map side, so a group of any size costs one text a task.
+Main path in DataFrame functions only. A narrow table (id, hash, digest) decides everything. Texts are compared within the
+groups that have more than one row: a bit table of fixed size holds back most other texts where they are read, and copies
+meet on the map side, so a group of any size costs one text a task.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import staged, texts
+from riskloom.llm.common import may_be_among, staged, texts
 
-#: Rows of one hash are dealt over so many parts before their texts are compared.
-SALTS = 16
+#: Bits of the table of repeated hashes that goes to all tasks, however many hashes there are.
+FILTER_BITS = 1 << 26
 # Fixed values of the contract: runs of these characters count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
 # End of fixed values.
@@ -34,7 +35,7 @@ def _best() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
 
 
-def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = content_hash) -> DataFrame:
+def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = content_hash, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) for every row of ``docs``.
 
     Texts are equal when their normalised bytes are; null counts as empty, and empty texts are equal like any other. Of
@@ -47,7 +48,7 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = conte
     rows = staged(hashed.select("doc_id", "hash", F.unhex(F.sha2("plain", 256)).alias("sha"),
                                 F.monotonically_increasing_id().alias("row")), "rows")
     several = staged(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("group_size"), _best()).filter("group_size > 1"), "several")
-    mixed = staged(_mixed(hashed, several.select("hash")), "mixed")
+    mixed = staged(_mixed(hashed, several.select("hash"), bits), "mixed")
     if mixed.isEmpty():
         return _decided(rows, several, "hash")
     whole = _decided(rows.join(mixed, "hash", "left_anti"), several.join(mixed, "hash", "left_anti"), "hash")
@@ -57,10 +58,9 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = conte
     return whole.unionByName(_decided(again, classes, "plain"))
 
 
-def _mixed(hashed: DataFrame, several: DataFrame) -> DataFrame:
-    """The hashes whose rows differ in some byte."""
-    salts = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salts, ["hash", "salt"], "left_semi")
+def _mixed(hashed: DataFrame, several: DataFrame, bits: int) -> DataFrame:
+    """The hashes whose rows differ in some byte. Single rows that the bit table lets through do no harm."""
+    members = may_be_among(hashed, "hash", several, bits).filter("__among")
     distinct = members.groupBy("hash", "plain").agg(F.count(F.lit(1)).alias("copies"))
     return distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("hash")
 

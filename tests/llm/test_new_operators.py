@@ -40,7 +40,7 @@ COPIES = [(5, "a  b"), (3, "a\tb"), (9, "a\n\x0b\r b"), (3, "a b"), (4, "a b "),
 @pytest.mark.parametrize("bits", [None, 1, 0])
 def test_copies_are_those_of_the_texts(spark, frame, bits):
     """With a hash of one bit or none most groups mix texts, and bytes decide."""
-    weak = {} if bits is None else {"digest": lambda t: F.pmod(F.xxhash64(t), F.lit(2 ** bits))}
+    weak = {} if bits is None else {"digest": lambda t: F.pmod(F.xxhash64(t), F.lit(2 ** bits)), "bits": 4096 * 2 ** bits}
     got = exact_dedup.duplicate_groups(frame(COPIES), **weak)
     assert Counter(tuple(r) for r in got.collect()) == groups_by_hand(COPIES)
 
