@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import scanned, stretches
+
 
 @dataclass(frozen=True)
 class Template:
@@ -26,7 +28,6 @@ class Template:
 
 
 CHATML = Template()
-_SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -75,15 +76,12 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
     cut = told.select("conv_id", valid_order(F.transform("turns", lambda t: t["role"]), template).alias("valid"),
                       F.flatten(F.transform("turns", segments)).alias("segments"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def place(acc: Column, s: Column) -> Column:
-        end = acc["at"] + F.length(s["text"])
-        more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(s["loss"], more).otherwise(acc["out"]).alias("out"))
+    def place(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        end = at + F.length(s["text"])
+        return end, s["loss"], F.struct(at.alias("start"), end.alias("end"))
 
     return cut.select("conv_id", "valid", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-                      F.aggregate("segments", start, place, lambda acc: acc["out"]).alias("loss_spans"))
+                      scanned(F.col("segments"), F.lit(0).cast("bigint"), "struct<start:bigint,end:bigint>", place).alias("loss_spans"))
 
 
 def read_back(formatted: Column, template: Template = CHATML) -> Column:
@@ -102,4 +100,4 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
 
 def learnt_text(formatted: Column, loss_spans: Column) -> Column:
     """The text under the loss mask, unescaped span by span."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(stretches(formatted, loss_spans), unescape), "")

@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import staged
+from riskloom.llm.common import bound, scanned, staged, stretches
 
 #: Strings that one mandatory piece of an expression may stand for before it is cut.
 MOST_STRINGS = 16
@@ -145,15 +145,12 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits))
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"),
                          F.transform(kept, F.length).alias("kept"))
-    kind = "struct<start:int,rank:int,end:int,kind:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first, last = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
-        one = F.array(F.struct(first.alias("start"), F.lit(rank).alias("rank"), last.alias("end"), F.lit(rule.kind).alias("kind")).cast(kind))
-        return F.struct(last.alias("at"), F.when(x["kept"] >= rule.shortest, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        first, last = at + x["gap"], at + x["gap"] + x["hit"]
+        return last, x["kept"] >= rule.shortest, F.struct(first.alias("start"), F.lit(rank).alias("rank"), last.alias("end"), F.lit(rule.kind).alias("kind"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return scanned(steps, F.lit(0), "struct<start:int,rank:int,end:int,kind:string>", step)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, segment_docs: int = 4096, into: str = "found") -> DataFrame:
@@ -185,16 +182,16 @@ def joined_spans(found: Column) -> Column:
 
 def redact(docs: DataFrame, marker: str = "[secret]", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``marker`` (overlapping spans by one) and n_chars, if there, brought up to date."""
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    spans = "redacted__spans"
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(marker)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        """Spans that begin inside an earlier one add to it; stretches of the text stay between the others."""
+        return F.greatest(at, x["end"]), x["start"] >= at, F.struct(at.alias("start"), x["start"].alias("end"))
 
-    spans = "redacted__spans"
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(docs, rules, into=spans).withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
+    gaps = scanned(F.col(spans), F.lit(0), "struct<start:int,end:int>", step)
+    tail = F.substring(F.col("text"), F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length("text"))
+    clean = F.concat(bound(gaps, lambda g: F.array_join(F.transform(stretches(F.col("text"), g), lambda t: F.concat(t, F.lit(marker))), "")), tail)
+    out = scan(docs, rules, into=spans).withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -101,3 +101,12 @@ def test_relaxed_search_prunes_and_keeps_recall():
     assert all(set(a) == set(b) for a, b in zip(want, truth))
     assert loose.compared < exact.compared < 0.9 * 200 * 6000
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want)]) >= 0.9
+
+
+def test_a_conversation_of_many_turns(spark):
+    """Beyond a block of turns and of spans, with wide characters and control strings."""
+    said = [(9, i, "user" if i % 2 == 0 else "assistant", f"é{i} <|x|> 𝄞" * (i % 3)) for i in range(3000)]
+    turns = spark.createDataFrame(said, "conv_id bigint, turn int, role string, text string")
+    row = chat.format_chats(turns).select("*", chat.read_back(F.col("formatted")).alias("told"), chat.learnt_text(F.col("formatted"), F.col("loss_spans")).alias("learnt")).first()
+    assert [(t["role"], t["text"]) for t in row["told"]] == [(r, x) for _, _, r, x in said]
+    assert row["learnt"] == "".join(x for _, _, r, x in said if r == "assistant") and row["valid"] and len(row["loss_spans"]) == 1500

@@ -134,3 +134,22 @@ def test_contaminated_rows_go(spark, frame):
     got = decontaminate.drop_contaminated(docs, bench)
     assert got.columns == docs.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["2", "2", "3", "None"]
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_a_text_of_many_secrets(spark, frame):
+    """More hits than a block of either walk, some inside each other, in a text of wide characters."""
+    many = " é𝄞 ".join(f"token={'ab12cd34' * 4}{i:04d}" if i % 3 else f"AKIA{i:016d}" for i in range(1500))
+    docs = frame([(1, many), (2, many * 2), (3, "x" * 300_000 + " token=abcdefgh1"), (4, None)])
+    rows = {r["doc_id"]: r for r in secrets.scan(docs).select("doc_id", "text", secrets.joined_spans(F.filter("found", lambda x: x["rank"] < secrets.BASE)).alias("spans")).collect()}
+    assert all(rows[i]["spans"] == brute.secrets(rows[i]["text"]) for i in rows) and rows[2]["spans"].count(":") > 6000
+    for r in secrets.redact(docs).collect():
+        text, at, out = rows[r["doc_id"]]["text"], 0, []
+        for s in secrets_of(spark, frame, text):
+            if s["start"] >= at:
+                out += [text[at:s["start"]], "[secret]"]
+            at = max(at, s["end"])
+        assert r["text"] == (None if text is None else "".join(out) + text[at:])
+
+
+def secrets_of(spark, frame, text):
+    return secrets.scan(frame([(1, text)])).first()["found"]
