@@ -1127,7 +1127,7 @@ def checked(predicted: DataFrame) -> DataFrame:
 
 @query
 def train_rf_pipeline(w):
-    return checked(train.predict_risk(train.train_rf_pipeline(training_part(w)), training_rows(w)))
+    return checked(train.predict_risk(train.train_rf_pipeline(training_part(w), "label"), training_rows(w)))
 
 
 @query
