@@ -41,20 +41,26 @@ class Trees:
     cover: np.ndarray
     features: int
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Sum of the leaves' values, by row."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for t in range(len(self.feature)):
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = self.feature[t, at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                down = np.where(x[rows, np.maximum(f, 0)] <= self.threshold[t, at], self.left[t, at], self.right[t, at])
-                at = np.where(inner, down, at)
-            total += self.value[t, at]
-        return total
+    def score(self, x: np.ndarray, block: int = 16_384) -> np.ndarray:
+        """Sum of the leaves' values, by row; a leaf leads to itself until the deepest path has ended."""
+        trees, nodes = self.feature.shape
+        leaf = self.feature < 0
+        feature = np.where(leaf, 0, self.feature)
+        down = np.stack([np.where(leaf, np.arange(nodes), self.right), np.where(leaf, np.arange(nodes), self.left)], axis=2).reshape(trees, -1)
+        out = np.zeros(len(x))
+        for lo in range(0, len(x), block):
+            values = np.ascontiguousarray(x[lo:lo + block]).ravel()
+            start = np.arange(0, len(values), x.shape[1])
+            for t in range(trees):
+                at = np.zeros(len(start), dtype=np.int64)
+                while True:
+                    goes_left = values.take(start + feature[t].take(at)) <= self.threshold[t].take(at)
+                    below = down[t].take(2 * at + goes_left)
+                    if (below == at).all():
+                        break
+                    at = below
+                out[lo:lo + block] += self.value[t].take(at)
+        return out
 
     def leaves(self, t: int) -> Leaves:
         paths = []
