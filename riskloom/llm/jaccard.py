@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import pieces_of, staged
+from riskloom.llm.common import may_be_among, staged
 from riskloom.llm.components import connected_components
 
 #: Shingles set at the end of the order at most, of those in over COMMON prefixes; only speed depends on them.
@@ -27,7 +27,7 @@ class WordHashes(dict):
     """XXH64 (seed 42) of words, remembered within a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 42)
         return out
@@ -89,23 +89,26 @@ def ordered_prefix(shingles: np.ndarray, size: int, common: np.ndarray) -> np.nd
     return shingles[:size]
 
 
-def by_text(make, schema: str, texts: DataFrame, max_chars: int = 400_000) -> DataFrame:
-    """``make`` (texts of a batch, word hashes) gives the columns of ``schema`` that follow text_key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def by_text(make, schema: str, texts: DataFrame, rows: int = 256) -> DataFrame:
+    """``make`` (sets of some texts) gives the columns of ``schema`` that follow text_key; texts are read one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            for lo, hi in pieces_of(list(b["text"]), max_chars):
-                yield pd.DataFrame({"text_key": list(b["text_key"].iloc[lo:hi])} | make(list(b["text"].iloc[lo:hi]), hashes))
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                columns = make([shingle_set(t.as_py(), width, hashes) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns.values())], ["text_key", *columns])
 
-    return texts.mapInPandas(run, f"text_key binary, {schema}")
+    width = make.width
+    return texts.select("text_key", "text").mapInArrow(run, f"text_key binary, {schema}")
 
 
 def common_shingles(texts: DataFrame, similarity: float, width: int) -> np.ndarray:
     """The most frequent shingles of all prefixes by hash; at most MOST_COMMON come to the driver."""
-    def make(values: list[str], hashes: WordHashes) -> dict:
-        sets = [shingle_set(t, width, hashes) for t in values]
+    def make(sets: list[np.ndarray]) -> dict:
         return {"prefix": [s[:prefix_sizes(len(s), similarity)[0]] for s in sets]}
 
+    make.width = width
     tokens = by_text(make, "prefix array<bigint>", texts).select(F.explode("prefix").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > COMMON)
     rows = counts.orderBy(F.desc("m"), "token").limit(MOST_COMMON).collect()
@@ -116,14 +119,14 @@ def described(texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """text_key, node (a hash of the set), n, short (index prefix), fp, bits, prefix for every row of ``texts`` (text_key, text)."""
     sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, similarity, width))
 
-    def make(values: list[str], hashes: WordHashes) -> dict:
-        sets = [shingle_set(t, width, hashes) for t in values]
+    def make(sets: list[np.ndarray]) -> dict:
         sizes = [prefix_sizes(len(s), similarity) for s in sets]
         return {"node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype="<u8").view("<i8"),
                 "n": np.array([len(s) for s in sets], dtype=np.int32), "short": np.array([q for _, q in sizes], dtype=np.int32),
                 "fp": np.array([majority(s) for s in sets], dtype=np.int64), "bits": [spread_bits(s) for s in sets],
                 "prefix": [ordered_prefix(s, p, sent.value) for s, (p, _) in zip(sets, sizes)]}
 
+    make.width = width
     return by_text(make, "node bigint, n int, short int, fp bigint, bits array<bigint>, prefix array<bigint>", texts)
 
 
@@ -135,21 +138,22 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: floa
     enough = F.col("nu") - alone >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
     near = staged(pairs.distinct().join(small[0], "u").join(small[1], "v").filter(enough).select("u", "v", "tu", "tv"), "pairs")
     needed = staged(near.select(F.explode(F.array("tu", "tv")).alias("text_key")).distinct(), "needed")
-    used = staged(texts.join(needed, "text_key"), "used")
+    used = may_be_among(texts, "text_key", needed).filter("__among").drop("__among").join(needed, "text_key")
+    a = used.select(F.col("text_key").alias("tu"), F.col("text").alias("x"))
+    b = used.select(F.col("text_key").alias("tv"), F.col("text").alias("y"))
 
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, held = WordHashes(), None, None
-        out = []
-        for a, b in zip(x, y):
-            if last is None or a != last:
-                last, held = a, shingle_set(a, width, hashes)
-            out.append(similarity_of(held, shingle_set(b, width, hashes)))
-        return pd.Series(out, dtype=float)
+        for batch in batches:
+            reach = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                text = x.as_py()
+                if text != last:
+                    last, held = text, shingle_set(text, width, hashes)
+                reach.append(similarity_of(held, shingle_set(y.as_py(), width, hashes)) >= similarity - 1e-12)
+            yield batch.select(["u", "v"]).filter(pa.array(reach, pa.bool_()))
 
-    a = used.select(F.col("text_key").alias("tu"), F.col("text").alias("x"))
-    b = used.select(F.col("text_key").alias("tv"), F.col("text").alias("y"))
-    return near.join(a, "tu").join(b, "tv").filter(jaccard("x", "y") >= similarity - 1e-12).select("u", "v")
+    return near.join(a, "tu").join(b, "tv").select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint")
 
 
 def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarity: float, width: int, pair_limit: int = 64) -> DataFrame:
@@ -163,7 +167,9 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
     parts = staged(connected_components(edges), "parts")
     posts = nodes.select("node", "n", "short", F.posexplode("prefix").alias("place", "token")).withColumn("indexed", F.col("place") < F.col("short"))
     sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bool_or("indexed").alias("any")).filter("members > 1 AND any")
-    shared = staged(posts.drop("place", "short").join(staged(sizes.select("token", "members"), "sizes"), "token"), "posts")
+    known = staged(sizes.select("token", "members"), "sizes")
+    met = may_be_among(posts.drop("short"), "token", known).filter("__among").drop("__among")
+    shared = staged(met.join(known, "token"), "posts")  # most shingles are in one text only, and stay where they are
 
     def labelled() -> DataFrame:
         return shared.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -175,6 +181,19 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
     def near(n: str, m: str) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
+    def first_shared() -> Column:
+        """Whether what follows the shared shingle in both sets could suffice; if not, the pair meets at an earlier one or is unlike."""
+        return F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+
+    def overlap_left() -> Column:
+        """Whether the bits that one set alone has leave enough shingles to share."""
+        def alone(x: str, y: str) -> Column:
+            return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(1, 8)),
+                       F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
+
+        need = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+        return (F.col("n") - alone("fold", "held") >= need) & (F.col("m") - alone("held", "fold") >= need)
+
     rows = open_buckets(labelled().filter(F.col("members") > pair_limit))
     hub = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top")), F.xxhash64("node"))
     hubs = rows.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
@@ -182,8 +201,11 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
     edges = staged(edges.unionByName(alike(pairs, nodes, texts, similarity, width)), "hub-links")
     parts = staged(connected_components(edges), "parts")
 
-    rows = staged(open_buckets(labelled()), "open")
-    smaller = rows.filter("indexed").select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
+    # a pair that is too unlike falls away in the join itself, by 512 bits a set
+    folded = nodes.select("node", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(
+        F.filter("bits", lambda _, k: k % 8 == i), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(w))).alias("fold"))
+    rows = staged(open_buckets(labelled()).join(folded, "node"), "open")
+    smaller = rows.filter("indexed").select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"), F.col("place").alias("at"), F.col("fold").alias("held"))
     after = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("u") < F.col("node")))
-    pairs = smaller.join(rows, "token").filter(after & (F.col("top") != F.col("root")) & near("n", "m")).select("u", F.col("node").alias("v"))
+    pairs = smaller.join(rows, "token").filter(after & (F.col("top") != F.col("root")) & near("n", "m") & first_shared() & overlap_left()).select("u", F.col("node").alias("v"))
     return connected_components(edges.unionByName(alike(pairs, nodes, texts, similarity, width)))

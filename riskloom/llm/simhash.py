@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import jaccard
-from riskloom.llm.common import staged, texts
+from riskloom.llm.common import may_be_among, staged, texts
 from riskloom.llm.components import connected_components
 
 BITS = 64
@@ -193,33 +193,41 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
-    """(text_key, text), each text of ``keyed`` (doc_id, text_key, text) once. Only a text whose first row is repeated is shuffled."""
+    """(text_key, text), each text of ``keyed`` (doc_id, text_key, text) once, by its row with the smallest doc_id.
+
+    Keys are counted without texts; a text that is surely single is not shuffled.
+    """
     counted = keyed.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rows")).alias("best")
     copied = staged(counted.groupBy("text_key").agg(F.sum("rows").alias("all"), least).filter("all > 1"), "copied")
-    marked = keyed.join(copied, "text_key", "left").filter(F.col("all").isNull() | F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    repeated = F.col("all").isNotNull() & (F.col("best.rows") > 1)
-    again = marked.filter(repeated).select("text_key", "text").distinct()
-    return staged(marked.filter(~repeated).select("text_key", "text").unionByName(again), "texts")
+    marked = may_be_among(keyed, "text_key", copied)
+    first = marked.filter("__among").join(copied, "text_key", "left").filter(F.col("all").isNull() | F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    repeated = copied.filter("best.rows > 1").select("text_key", "best.doc_id")
+    alone = first.filter(F.col("all").isNull() | (F.col("best.rows") == 1)).select("text_key", "text")
+    again = may_be_among(keyed, "text_key", repeated).filter("__among").join(
+        repeated.withColumnRenamed("doc_id", "best_id"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("best_id"))).select("text_key", "text").distinct()
+    return staged(marked.filter("NOT __among").select("text_key", "text").unionByName(alone).unionByName(again), "texts")
 
 
 def near_copies(keyed: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(text_key, root): the component of every distinct text of ``keyed`` (doc_id, text_key, text).
 
     Texts are linked where their sets of ``width``-word shingles reach the Jaccard ``similarity``. Fingerprints of the sets, linked
-    within two bits by the generalised pigeonhole, propose the first pairs; the exact prefix search finds all others, which
-    are most of them: an edited word among some hundred changes more than two bits as often as not.
+    within two bits by the generalised pigeonhole, propose the first pairs (each text with one of its component); the exact
+    prefix search finds all others, which are most of them: an edited word among some hundred changes more than two bits as
+    often as not.
     """
     texts_once = distinct_texts(keyed)
     sets = staged(jaccard.described(texts_once, similarity, width), "sets")
     double = staged(sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min("text_key").alias("one")).filter("texts > 1"), "double")
-    nodes = sets.join(double, "node", "left").filter(F.col("one").isNull() | (F.col("one") == F.col("text_key"))).filter("n > 0").drop("one", "texts")
+    unique = sets.join(double, "node", "left").filter(F.col("one").isNull() | (F.col("one") == F.col("text_key")))
+    nodes = staged(unique.filter("n > 0").drop("one", "texts"), "nodes")
     of_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
-    alike = nodes.select("node", "fp").join(of_fp, "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    fp_links = links(of_fp.select("fp"))
-    ends = [of_fp.select(F.col("fp").alias(f"f{k}"), F.col("least").alias(k)) for k in "uv"]
-    close = fp_links.select(F.col("u").alias("fu"), F.col("v").alias("fv")).join(ends[0], "fu").join(ends[1], "fv").select("u", "v")
-    parts = staged(jaccard.similar_sets(nodes, texts_once, alike.unionByName(close), similarity, width), "parts")
+    close = staged(connected_components(links(of_fp.select("fp"))), "close")
+    top = of_fp.join(close, of_fp["fp"] == close["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    hubs = top.join(of_fp.select(F.col("fp").alias("root"), F.col("least").alias("u")), "root").select("fp", "u")
+    first = nodes.select("node", "fp").join(hubs, "fp").filter("node <> u").select("u", F.col("node").alias("v"))
+    parts = staged(jaccard.similar_sets(nodes, texts_once, first, similarity, width), "parts")
     return sets.select("text_key", "node").join(parts, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
 
 
@@ -240,10 +248,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
     judged = rows.join(staged(best, "best"), "root", "left").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "rows", stays.alias("stays"))
     special = staged(judged.filter("NOT stays OR rows > 1"), "special")
-    whole = docs.withColumn("__text_key", key)
+    whole = may_be_among(docs.withColumn("__text_key", key), "__text_key", special.select(F.col("__t").alias("__text_key")))
 
     def joined(which: DataFrame, how: str) -> DataFrame:
-        return whole.join(which.select("__d", "__t"), (F.col("__text_key") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), how)
-
-    again = joined(special.filter("stays"), "left_semi").dropDuplicates(["doc_id", "__text_key"])
-    return joined(special, "left_anti").unionByName(again).select(docs.columns)
+        same = (F.col("__text_key") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+        return whole.filter("__among").join(which.select("__d", "__t"), same, how)
+
+    again = special.filter("stays")
+    kept = whole.filter("NOT __among").unionByName(joined(special, "left_anti"))
+    if not again.isEmpty():
+        kept = kept.unionByName(joined(again, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
+    return kept.select(docs.columns)
