@@ -10,6 +10,33 @@ from riskloom.ml.ensemble import weight_draws
 
 T_COLS = "transaction_id, customer_id, merchant_id, amount, location, customer_age, transaction_timestamp, k"
 
+# Columns of the warehouse tables that the test tables give, those they do not, and rows that take each default.
+_STORED = {
+    "customers": (
+        "customer_id customer_segment registration_date",
+        "first_name last_name email phone date_of_birth address_line1 address_line2 city state country postal_code last_login",
+        {"is_active": "COUNT(*)", "risk_profile": "COUNT(*)", "created_at": "COUNT(*)", "updated_at": "COUNT(*)"}),
+    "transactions": (
+        "transaction_id customer_id merchant_id amount payment_method location_country location_region location_city transaction_timestamp",
+        "transaction_type device_fingerprint ip_address latitude longitude processing_timestamp",
+        {"currency": "COUNT(*)", "status": "COUNT(*)", "created_at": "COUNT(*)"}),
+    "risk_assessments": (
+        "assessment_id transaction_id customer_id risk_score risk_level confidence_score recommended_action processing_time_ms model_version",
+        "features explanation business_rules_applied",
+        {"assessment_timestamp": "COUNT(CASE WHEN assessment_timestamp IS NULL OR assessment_timestamp = TIMESTAMP '2024-01-01' THEN 1 END)",
+         "created_at": "COUNT(*)"}),
+    "merchants": (
+        "merchant_id merchant_name merchant_category merchant_country", "merchant_region risk_score",
+        {"is_high_risk": "COUNT(CASE WHEN is_high_risk THEN NULL ELSE 1 END)", "created_at": "COUNT(*)", "updated_at": "COUNT(*)"}),
+    "model_performance": (
+        "model_id model_name model_version accuracy precision_score recall_score f1_score auc_score feature_importance drift_score training_samples "
+        "validation_samples training_duration_seconds", "confusion_matrix",
+        {"created_at": "COUNT(CASE WHEN created_at IS NULL OR created_at = TIMESTAMP '2024-01-01' THEN 1 END)"}),
+    "system_metrics": (
+        "metric_id metric_name metric_value service_name", "metric_unit environment",
+        {"metric_time": "COUNT(CASE WHEN metric_time IS NULL OR metric_time = TIMESTAMP '2024-01-01' THEN 1 END)"}),
+}
+
 SOURCES = {
     "read_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
     "read_by_extension": "SELECT metric_id, metric_name, ROUND(metric_value, 6) AS metric_value, service_name FROM system_metrics",
@@ -20,6 +47,11 @@ SOURCES = {
     "create_tables": """
 SELECT customer_id, customer_segment, registration_date, TRUE AS is_active, 'MEDIUM' AS risk_profile,
   TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at, CAST(NULL AS VARCHAR) AS email FROM customers""",
+    "create_tables_all": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) AS n_rows, {filled} AS n_filled, {default} AS n_default FROM {table}"
+        for table, (given, absent, defaulted) in _STORED.items()
+        for c, filled, default in [*[(c, f"COUNT({c})", "0") for c in given.split()], *[(c, "0", "0") for c in absent.split()],
+                                   *[(c, "COUNT(*)", n) for c, n in defaulted.items()]]),
     "daily_summary_mv": REPORTS["q11_daily_summary"],
     "refresh_daily_summary": REPORTS["q11_daily_summary"],
     "write_overwrite": f"SELECT {T_COLS} FROM transactions",

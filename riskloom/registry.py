@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom import schemas
 from riskloom.fixtures import Warehouse
 from riskloom.functions import columns as C
 from riskloom.functions import scoring as S
@@ -203,6 +204,19 @@ def create_tables(w):
                         "created_at", "updated_at", "email")
 
 
+@query
+def create_tables_all(w):
+    """Each column of the six tables: rows, rows with a value and rows with the column's default, once the tables hold the warehouse."""
+    parts = []
+    for name, empty in schemas.create_tables(w.spark).items():
+        rows = empty.unionByName(conform(getattr(w, name), name, "2024-01-01 00:00:00"))
+        defaults = dict.fromkeys(schemas.NOW_DEFAULTS[name], "2024-01-01 00:00:00") | schemas.DEFAULTS.get(name, {})
+        parts.append(rows.agg(F.array(*[F.struct(
+            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), F.count(f.name).alias("n_filled"),
+            F.count_if(F.col(f.name) == F.lit(defaults.get(f.name)).cast(f.dataType)).alias("n_default")) for f in rows.schema.fields]).alias("c")))
+    return reduce(DataFrame.unionByName, parts).select(F.inline("c"))
+
+
 @query
 def write_overwrite(w):
     path = scratch_path(w.spark, "transactions")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -89,15 +91,21 @@ MESSAGE_SCHEMAS = {
 
 def route_messages(df: DataFrame, schemas: Mapping[str, str] = MESSAGE_SCHEMAS,
                    value_col: str = "value") -> dict[str, DataFrame]:
-    """One typed frame per message type of a mixed feed, and the texts of no known type as ``unrouted``; works on batches
-    and streams (there ``route_stream`` reads the feed once)."""
+    """One typed frame per message type of a mixed feed, and the other texts as ``unrouted``: those of no known type, and those
+    whose ``data`` is no object or holds a value that its type's schema cannot read. Works on batches and streams (there
+    ``route_stream`` reads the feed once)."""
     text = F.col(value_col).cast("string")
     envelope = df.select(
         text.alias("raw"), F.get_json_object(text, "$.type").alias("type"), F.get_json_object(text, "$.data").alias("data"))
-    unrouted = envelope.filter(F.col("type").isNull() | F.col("data").isNull() | ~F.col("type").isin(*schemas)).select("raw")
-    return {"unrouted": unrouted} | {
-        kind: envelope.filter(F.col("type") == kind).select(F.from_json("data", schema).alias("d")).select("d.*")
-        for kind, schema in schemas.items()}
+    bad = "__unreadable"
+    data = {kind: F.from_json("data", f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad}) for kind, schema in schemas.items()}
+
+    def readable(kind: str) -> Column:
+        return F.coalesce((F.col("type") == kind) & F.ltrim("data").startswith("{") & data[kind][bad].isNull(), F.lit(False))
+
+    routed = functools.reduce(operator.or_, map(readable, schemas), F.lit(False))
+    return {"unrouted": envelope.filter(~routed).select("raw")} | {
+        kind: envelope.filter(readable(kind)).select(data[kind].alias("d")).select("d.*").drop(bad) for kind in schemas}
 
 
 def route_stream(stream: DataFrame, path: str, checkpoint: str, schemas: Mapping[str, str] = MESSAGE_SCHEMAS,

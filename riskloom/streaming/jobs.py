@@ -5,6 +5,7 @@ Event times must be TIMESTAMP; ``event_time`` converts columns that carry no tim
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -120,14 +121,73 @@ def read_daily_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("assessment_date", *[c for c in rows.columns if c != "assessment_date"])
 
 
+_PANES = "pane array<bigint>, n array<bigint>, total array<double>, n_amount array<bigint>, done bigint"
+_PANE = ["pane", "n", "total", "n_amount"]
+
+
 def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str = "1 day", watermark: str = "1 day",
                             ts: str = "transaction_timestamp") -> DataFrame:
-    """Customer counts and averages over sliding windows of event time."""
-    return event_time(df, ts).withWatermark(ts, watermark).groupBy(
-        F.window(ts, length, slide).alias("w"), "customer_id").agg(
-        F.count(F.lit(1)).alias("transaction_count"), F.avg("amount").alias("avg_amount"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "customer_id",
-             "transaction_count", "avg_amount")
+    """Customer counts and averages over sliding windows of event time.
+
+    The one state row of a customer holds the panes (parts of time that windows share) of windows not ended yet; a window is
+    combined from them once, when the watermark passes its end. Events are summed by (customer, pane) before they are
+    shuffled, so a customer with a third of all events sends a few rows from each task. An event counts in every
+    window that has not ended by the watermark of its micro-batch, and in none that has. Events without a time count nowhere, those
+    without a customer are one customer.
+    """
+    span, step = interval_micros(length), interval_micros(slide)
+    width = math.gcd(span, step)
+    key = f"customer_id {df.schema['customer_id'].dataType.simpleString()}"
+
+    def by_pane(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["pane"] = b["at"] // width * width
+            yield b.groupby(["customer_id", "pane"], dropna=False, as_index=False).agg(
+                at=("at", "max"), n=("at", "size"), total=("amount", "sum"), n_amount=("amount", "count"))
+
+    def combine(customer: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        now = mark * 1000 + span if mark > 0 else -2**62  # the state outlives the watermark by the length of a window
+        *columns, done = state.get if state.exists else ([], [], [], [], now)
+        held = pd.DataFrame(dict(zip(_PANE, columns))).astype({"pane": "int64", "n": "int64", "total": "float64", "n_amount": "int64"})
+
+        def windows(panes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            """Ends of the first and last window of each pane."""
+            pane = panes["pane"].to_numpy()
+            return -((span - pane - width) // step) * step + span, pane // step * step + span
+
+        first, last = windows(held)
+        ends = np.unique(np.concatenate([np.empty(0, "int64"), *[np.arange(f, min(e, now) + 1, step) for f, e in zip(first, last)]]))
+        ends = ends[ends > done]
+        if len(ends):
+            pane, n, total, n_amount = (held[c].to_numpy() for c in _PANE)
+            parts = list(zip(np.searchsorted(pane, ends - span), np.searchsorted(pane, ends)))
+            amounts = [int(n_amount[i:j].sum()) for i, j in parts]
+            yield pd.DataFrame({
+                "start": ends - span, "end": ends, "customer_id": [customer[0]] * len(ends),
+                "transaction_count": [int(n[i:j].sum()) for i, j in parts],
+                "avg_amount": pd.Series([total[i:j].sum() / a if a else None for (i, j), a in zip(parts, amounts)], dtype="object")})
+        if not state.hasTimedOut:
+            for b in batches:
+                held = pd.concat([held, b[_PANE]]).groupby("pane", as_index=False).sum()
+        first, last = windows(held)
+        held, first = held[last > now], first[last > now]
+        if held.empty:
+            state.remove()
+            return
+        state.update((*(held[c].tolist() for c in _PANE), now))
+        following = np.where(first > now, first, first + ((now - first) // step + 1) * step).min()
+        state.setTimeoutTimestamp(max(-(-int(following - span) // 1000) - 1, mark, 1))
+
+    events = event_time(df, ts).filter(F.col(ts).isNotNull()).select(
+        "customer_id", F.unix_micros(ts).alias("at"), F.col("amount").cast("double").alias("amount"))
+    sums = events.mapInPandas(by_pane, f"{key}, pane bigint, at bigint, n bigint, total double, n_amount bigint")
+    combined = sums.withColumn("at", F.timestamp_micros("at")).withWatermark("at", f"{interval_micros(watermark) + span} microseconds") \
+        .groupBy("customer_id").applyInPandasWithState(
+            combine, f"start bigint, end bigint, {key}, transaction_count bigint, avg_amount double", _PANES,
+            "append", GroupStateTimeout.EventTimeTimeout)
+    return combined.select(F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("end").alias("window_end"),
+                           "customer_id", "transaction_count", "avg_amount")
 
 
 def stream_alerts(metrics: DataFrame, watermark: str = "1 hour", ts: str = "metric_time",

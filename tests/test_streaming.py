@@ -147,9 +147,58 @@ def test_sliding_windows_alerts_and_gauge(spark, tmp_path):
     assert {(r.metric_name, r.alert_status) for r in custom} == {("error_rate", "HIGH_ERROR_RATE"), ("model_accuracy", "LOW_ACCURACY")}
 
 
+def sliding_rows(rows, span, step, closed):
+    """Windows by hand: (start, customer) -> (count, mean) of those that end by ``closed``."""
+    out, epoch = {}, dt.datetime(1970, 1, 1)
+    for customer, at, amount in rows:
+        start = epoch + (at - epoch) // step * step
+        while start + span > at:
+            if start + span <= closed:
+                out.setdefault((start, customer), []).append(amount)
+            start -= step
+    return {k: (len(v), sum(v) / len(v)) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("length, slide", [("5 days", "1 day"), ("10 hours", "4 hours")])
+def test_sliding_windows_are_combined_from_panes(spark, tmp_path, length, slide):
+    hour = dt.timedelta(hours=1)
+    unit = {"days": 24 * hour, "day": 24 * hour, "hours": hour}
+    span, step = (int(x.split()[0]) * unit[x.split()[1]] for x in (length, slide))
+    rows = [("AB"[i % 3 == 0], BASE + (i * 7 % 11) * hour + i * 5 * hour, float(i)) for i in range(60)] + [("C", BASE + 2 * hour, 5.0)]
+    rows += [("A", BASE + 900 * hour, 1.0), ("A", BASE + 901 * hour, 1.0)]
+    batches = [rows[:1] + rows[60:61], rows[1:25], rows[25:60], rows[61:62]]  # rows inside the watermark come out of order
+    lines = [[event(i, at, amount, customer) for i, (customer, at, amount) in enumerate(b)] for b in batches]
+
+    def run():
+        parsed = readers.parse_transactions(readers.read_feed(spark, str(tmp_path / "t"), max_files=1))
+        return drain(jobs.stream_sliding_customer(parsed, length, slide, ts="timestamp"), tmp_path, "sliding").collect()
+
+    feed(tmp_path / "t", lines[:2])
+    run()
+    late = [event(0, BASE, 99.0, "A"), event(1, rows[62][1], 1.0, "A")]
+    feed(tmp_path / "t", [*lines, late])
+    got = run()  # a restart keeps the panes
+    want = sliding_rows(rows, span, step, rows[62][1] - 24 * hour)
+    assert len(got) == len({(r.window_start, r.customer_id) for r in got})
+    assert {(r.window_start, r.customer_id): (r.transaction_count, r.avg_amount) for r in got} == want
+    assert all(r.window_end - r.window_start == span for r in got)
+
+
+def test_sliding_windows_keep_one_state_row_an_event(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    feed(tmp_path / "t", [[event(i, BASE + i * day / 40, customer=f"C{i}") for i in range(40)]])
+    parsed = readers.parse_transactions(readers.read_feed(spark, str(tmp_path / "t")))
+    run = writers.write_stream_append(jobs.stream_sliding_customer(parsed, ts="timestamp"), f"{tmp_path}/out", f"{tmp_path}/cp", trigger=None)
+    run.awaitTermination()
+    operators = [o for p in run.recentProgress for o in p["stateOperators"]]
+    assert sum(o["numRowsUpdated"] for o in operators) <= 40 and max(o["numRowsTotal"] for o in operators) <= 40
+
+
 def test_messages_are_routed_by_type(spark):
     lines = [json.dumps({"type": "risk_assessment", "data": {"id": "1", "riskScore": 0.5, "features": {"amount": 2.0}, "businessRules": ["A"]}}),
-             json.dumps({"type": "system_metrics", "data": {"cpuUsage": 12.5}}), json.dumps({"type": "other", "data": {}}), "junk"]
+             json.dumps({"type": "system_metrics", "data": {"cpuUsage": 12.5}}), json.dumps({"type": "other", "data": {}}), "junk",
+             json.dumps({"type": "notification", "data": "text"}), json.dumps({"type": "system_metrics", "data": {"cpuUsage": "high"}}),
+             json.dumps({"type": "statistics_update", "data": None}), json.dumps({"type": "notification", "data": [1]}), json.dumps({"data": {}})]
     routed = readers.route_messages(spark.createDataFrame([(x,) for x in lines], "value string"))
     r = routed["risk_assessment"].first()
     assert (r.id, r.riskScore, r.features, r.businessRules) == ("1", 0.5, {"amount": 2.0}, ["A"])
