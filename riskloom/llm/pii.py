@@ -23,9 +23,11 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[^0-9]+")
-#: A token with a digit or an at sign may be an identifier.
-_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 _EDGE = ".,;:!?()[]{}<>\"'"
+_EDGES = f"[{re.escape(_EDGE)}]*+"
+#: A token with a digit or an at sign may be an identifier, and so may neighbouring groups of up to four digits with single spaces between
+#: them; longer groups are tokens of their own.
+_TOKEN = re.compile(rf"(?<!\S)(?:{_EDGES}[0-9]{{1,4}}(?:\x20[0-9]{{1,4}})+(?={_EDGES}(?!\S))|[^\s0-9@]*+[0-9@]\S*)")
 #: Characters beside a span in which its neighbouring word is looked for.
 _NEAR = 64
 
@@ -72,9 +74,9 @@ def seeds(text: str) -> list[Span]:
 
 
 def beside(text: str, start: int, end: int) -> tuple[str, str]:
-    """The words before and after a span, in lower case without punctuation at their edges."""
-    left = text[max(0, start - _NEAR):start].lower().split()
-    right = text[end:end + _NEAR].lower().split()
+    """The words before and after a span, in lower case without punctuation at their edges or between them and the span."""
+    left = text[max(0, start - _NEAR):start].lower().rstrip(_EDGE + " \t\n").split()
+    right = text[end:end + _NEAR].lower().lstrip(_EDGE + " \t\n").split()
     return (left[-1].strip(_EDGE) if left else ""), (right[0].strip(_EDGE) if right else "")
 
 
@@ -102,18 +104,21 @@ _MENTION = "struct<start:int,end:int,kind:string,value:string,left:string,right:
 
 
 def found_seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, body (a hash of the text), base spans and mentions of every row; the text itself is read once."""
+    """doc_id, body (a hash of the text), base spans and mentions of every row, and a number ``deal`` that spreads rows; the text
+    itself is read once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = 0
         for b in batches:
             base, seen = [], []
             for t in b["text"]:
                 known = seeds(t)
                 base.append([{"start": s, "rank": k, "end": e, "kind": KINDS[k]} for s, k, e in known])
                 seen.append([dict(zip(("start", "end", "kind", "value", "left", "right"), m)) for m in mentions(t, known)])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "body": b["body"], "base": base, "mentions": seen})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "body": b["body"], "base": base, "mentions": seen, "deal": range(rows, rows + len(b))})
+            rows += len(b)
 
     keyed = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
-    return keyed.mapInPandas(run, f"doc_id bigint, body bigint, base array<{_SPAN}>, mentions array<{_MENTION}>")
+    return keyed.mapInPandas(run, f"doc_id bigint, body bigint, base array<{_SPAN}>, mentions array<{_MENTION}>, deal bigint")
 
 
 def score_graph(all_mentions: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
@@ -144,11 +149,12 @@ def score_graph(all_mentions: DataFrame, rounds: int = 3, least_seeds: int = 5,
     return best
 
 
-def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8, rows_per_task: int = 10_000) -> DataFrame:
     """doc_id, base spans and all spans (start, rank, end, kind) of every row of ``docs``.
 
     Discovered spans have the kind ``context_<kind>`` and come after the seed kinds in rank. Null and empty texts have
-    none. Repeated rows are kept, also without doc_id; other columns are dropped.
+    none. Repeated rows are kept, also without doc_id; other columns are dropped. Rows without a possible identifier meet no
+    join; those of a text that over ``rows_per_task`` rows hold are dealt over several parts.
     """
     seen = staged(found_seeds(docs), "seeds")
     told = seen.select("body", F.explode("mentions").alias("m")).select("body", "m.*")
@@ -158,4 +164,11 @@ def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0
     span = F.struct("start", rank.cast("int").alias("rank"), "end", F.concat(F.lit("context_"), "kind").alias("kind")).cast(_SPAN)
     more = spans.groupBy("body").agg(F.collect_set(span).alias("more"))  # of one text
     none = F.array().cast(f"array<{_SPAN}>")
-    return seen.join(more, "body", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    asked = F.exists("mentions", lambda m: m["kind"] == "")
+    few = seen.filter(~asked).select("doc_id", "base", none.alias("more"))
+    rows = seen.filter(asked).select("doc_id", "body", "base", "deal")
+    hot = rows.groupBy("body").count().filter(F.col("count") > rows_per_task).select("body", F.ceil(F.col("count") / rows_per_task).cast("int").alias("parts"))
+    dealt = rows.join(hot, "body", "left").na.fill(1, ["parts"]).withColumn("part", (F.col("deal") % F.col("parts")).cast("int"))
+    copied = more.join(hot, "body", "left").na.fill(1, ["parts"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    told_more = dealt.join(copied.select("body", "part", "more"), ["body", "part"], "left").select("doc_id", "base", F.coalesce("more", none).alias("more"))
+    return few.unionByName(told_more).select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))

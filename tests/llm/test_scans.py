@@ -93,6 +93,22 @@ def test_contexts_find_unseen_identifiers(spark, frame):
     assert got[100] == "context_email:14:36" and got[101] == ""
 
 
+def test_grouped_digits_are_one_identifier(spark, frame):
+    told = [(i, f"thing{i} reachme user{i}@mail.example.com thanks") for i in range(12)]
+    hidden = [(100, "words reachme 555 123 4567 thanks words"), (101, "reachme (1234 5678 9012). thanks"), (102, "year 2019 12 plain"),
+              (103, "reachme 12  34 thanks"), (104, "reachme 12 345678 thanks"), (105, "reachme 4111 1111 1111 1111 thanks")]
+    got = {r["doc_id"]: r["s"] for r in pii.find(frame(told + hidden)).select("doc_id", secrets.joined_spans(F.col("spans")).alias("s")).collect()}
+    assert {k: v for k, v in got.items() if k >= 100} == {
+        100: "context_email:14:26", 101: "context_email:9:23", 102: "", 103: "", 104: "context_email:11:17", 105: "card:8:27"}
+
+
+def test_copies_of_one_text_are_dealt_over_parts(spark, frame):
+    rows = [(i, f"thing{i} reachme user{i}@mail.example.com thanks") for i in range(12)]
+    rows += [(None, "words reachme hidden.user-77(at)mail thanks")] * 50 + [(i, "") for i in range(100, 150)] + [(200, "code 12345")] * 7
+    got = [sorted(map(str, pii.find(frame(rows), rows_per_task=n).collect())) for n in (3, 10_000)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and sum("context_email" in r for r in got[0]) == 50
+
+
 def passages(rng, n):
     return ["".join(rng.choice("abcdefghij  ") for _ in range(rng.randrange(30, 120))).strip() or "x" for _ in range(n)]
 
