@@ -472,6 +472,12 @@ FROM (SELECT transaction_timestamp - LAG(transaction_timestamp) OVER (PARTITION
 }
 
 _DRAWS = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::DOUBLE' for x in row)})" for i, row in enumerate(weight_draws(3)))
+_WEIGHTS = f"""
+SELECT CAST(draw AS INTEGER) AS draw, ROUND(w0, 6) AS w0, ROUND(w1, 6) AS w1, ROUND(w2, 6) AS w2, ROUND(SUM(CASE WHEN y = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 6) AS auc
+FROM (SELECT draw, w0, w1, w2, y, RANK() OVER (PARTITION BY draw ORDER BY s) + (COUNT(*) OVER (PARTITION BY draw, s) - 1) / 2.0 AS r,
+    SUM(y) OVER (PARTITION BY draw) AS p, SUM(1 - y) OVER (PARTITION BY draw) AS n
+  FROM (SELECT draw, w0, w1, w2, risk_label AS y, w0 * base_score + w1 * (1 - base_score) + w2 * ((base_score + 0.5) / 2) AS s
+    FROM scored, (VALUES {_DRAWS}) d(draw, w0, w1, w2)) m) ranked GROUP BY draw, w0, w1, w2, p, n"""
 _EVERY = "(SELECT COUNT(*) FROM transactions)"
 _SOUND = "SELECT transaction_id, TRUE AS is_probability, TRUE AS level_fits, TRUE AS has_learnt FROM transactions"
 FITS = {
@@ -481,12 +487,8 @@ FITS = {
     "permutation_importance": "SELECT feature, TRUE AS is_auc, TRUE AS is_difference FROM (VALUES ('amount'), ('customer_age'), ('hour'), ('day_of_week')) f(feature)",
     "shap_sampling": f"SELECT {_EVERY} AS rows, 4 AS least, 4 AS most, TRUE AS additive",
     "lime_local": f"SELECT CAST(r AS INTEGER) AS rank, {_EVERY} AS rows FROM range(1, 5) t(r)",
-    "optimize_weights": f"""
-SELECT CAST(draw AS INTEGER) AS draw, ROUND(w0, 6) AS w0, ROUND(w1, 6) AS w1, ROUND(w2, 6) AS w2, ROUND(SUM(CASE WHEN y = 1 THEN r END) / (p * n) - (p + 1) / (2.0 * n), 6) AS auc
-FROM (SELECT draw, w0, w1, w2, y, RANK() OVER (PARTITION BY draw ORDER BY s) + (COUNT(*) OVER (PARTITION BY draw, s) - 1) / 2.0 AS r,
-    SUM(y) OVER (PARTITION BY draw) AS p, SUM(1 - y) OVER (PARTITION BY draw) AS n
-  FROM (SELECT draw, w0, w1, w2, risk_label AS y, w0 * base_score + w1 * (1 - base_score) + w2 * ((base_score + 0.5) / 2) AS s
-    FROM scored, (VALUES {_DRAWS}) d(draw, w0, w1, w2)) m) ranked GROUP BY draw, w0, w1, w2, p, n""",
+    "optimize_weights": _WEIGHTS,
+    "search_weights": f"SELECT MAX(auc) AS auc FROM ({_WEIGHTS}) w",
     "register_model_run": """
 WITH c AS (SELECT COUNT(*) FILTER (risk_label = 1 AND base_score > 0.5) AS tp, COUNT(*) FILTER (risk_label = 0 AND base_score > 0.5) AS fp,
     COUNT(*) FILTER (risk_label = 0 AND base_score <= 0.5) AS tn, COUNT(*) FILTER (risk_label = 1 AND base_score <= 0.5) AS fn, COUNT(*) AS n FROM scored),

@@ -1183,6 +1183,12 @@ def optimize_weights(w):
     return rounded(search.select("draw", *[F.col("weights")[i].alias(f"w{i}") for i in range(len(MEMBERS))], "auc"))
 
 
+@query
+def search_weights(w):
+    """The best of the draws, by bounds; draws may tie, so the row tells its AUC."""
+    return rounded(ensemble.search_weights(member_predictions(w), "risk_label", MEMBERS).agg(F.max("auc").alias("auc")))
+
+
 @query
 def permutation_importance(w):
     out = ensemble.permutation_importance(risk_model(w), training_rows(w), "label", ONLINE, "transaction_id")

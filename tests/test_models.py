@@ -59,6 +59,25 @@ def test_auc_matches_the_evaluator_and_counts_ties_half(spark, frame, forest):
     assert metrics.auc_exact(one_class, "label", "s").first().auc is None
 
 
+def test_weights_by_bounds_are_those_of_the_whole_search(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 3000)
+    members = np.stack([0.3 * y + rng.normal(0, s, len(y)) for s in (0.3, 0.6, 2.0)], axis=1).round(2)
+    rows = [(int(l), *map(float, m)) for l, m in zip(y, members)] + [(1, None, 0.5, 0.5), (0, float("nan"), 0.1, 0.2), (None, 9.0, 9.0, 9.0)]
+    df, cols = spark.createDataFrame(rows, "y int, a double, b double, c double"), ["a", "b", "c"]
+    whole = ensemble.optimize_weights(df, "y", cols, n=30).collect()
+    found = ensemble.search_weights(df, "y", cols, n=30).collect()
+    assert found == whole[:len(found)] and 1 <= len(found) < 15
+    draws = dict(enumerate(ensemble.weight_draws(3, 30)))
+    for bins in (16, 2048):
+        bounds = {r.draw: r for r in ensemble.weight_bounds(df, "y", cols, draws, bins).collect()}
+        assert all(bounds[r.draw].low - 1e-12 <= r.auc <= bounds[r.draw].high + 1e-12 for r in whole)
+    assert len(ensemble.search_weights(df.filter("y = 1"), "y", cols, n=5).collect()) == 5  # no AUC, none goes
+    assert ensemble.search_weights(df.limit(0), "y", cols, n=5).count() == 0
+    tied = spark.createDataFrame([(1, 0.5, 0.5, float("inf")), (0, 0.5, 0.5, 0.5)], "y int, a double, b double, c double")
+    assert {r.auc for r in ensemble.search_weights(tied, "y", cols, n=5).collect()} == {1.0}
+
+
 def test_zoo_and_weight_search(frame):
     fit, held = train.hash_split(frame, "id")
     models = train.train_zoo(fit, "label", features=FEATURES, trees=10, iterations=20, depth=4, layers=(8,), n_random=64)
