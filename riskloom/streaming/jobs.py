@@ -161,12 +161,11 @@ def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str =
         ends = ends[ends > done]
         if len(ends):
             pane, n, total, n_amount = (held[c].to_numpy() for c in _PANE)
-            parts = list(zip(np.searchsorted(pane, ends - span), np.searchsorted(pane, ends)))
-            amounts = [int(n_amount[i:j].sum()) for i, j in parts]
+            edges = np.stack([np.searchsorted(pane, ends - span), np.searchsorted(pane, ends)], axis=1).ravel()
+            counts, totals, amounts = (np.add.reduceat(np.append(x, 0), edges)[::2] for x in (n, total, n_amount))  # every window holds a pane
             yield pd.DataFrame({
-                "start": ends - span, "end": ends, "customer_id": [customer[0]] * len(ends),
-                "transaction_count": [int(n[i:j].sum()) for i, j in parts],
-                "avg_amount": pd.Series([total[i:j].sum() / a if a else None for (i, j), a in zip(parts, amounts)], dtype="object")})
+                "start": ends - span, "end": ends, "customer_id": [customer[0]] * len(ends), "transaction_count": counts,
+                "avg_amount": pd.Series(totals / np.maximum(amounts, 1)).astype(object).where(amounts > 0, None)})
         if not state.hasTimedOut:
             for b in batches:
                 held = pd.concat([held, b[_PANE]]).groupby("pane", as_index=False).sum()
