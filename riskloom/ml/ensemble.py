@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.ml.metrics import auc_exact
+from riskloom.ml.metrics import auc_exact, auc_of_counts
+from riskloom.operators.features import staged
 
 # Default ensemble weights and the number of weight draws.
 DEFAULT_WEIGHTS = (0.4, 0.3, 0.3)
@@ -40,28 +41,40 @@ def weight_draws(n_models: int, n: int = WEIGHT_DRAWS, seed: int = 42) -> np.nda
     return raw / raw.sum(axis=1, keepdims=True)
 
 
-def _drawn_scores(df: DataFrame, label: str, cols: Sequence[str], draws: Mapping[int, np.ndarray]) -> DataFrame:
-    """(__y, draw, score): every row under every draw."""
+def _merged(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """(``cols``, __pos, __neg): rows with equal scores of all members as one, before they are multiplied by the draws.
+
+    Counts are combined before the shuffle. What is left is dealt evenly, as each of its rows makes one a draw.
+    """
+    y = F.col(label)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.filter(y.isNotNull()).groupBy(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
+        F.count_if(y == 1).alias("__pos"), F.count_if(y != 1).alias("__neg")).repartition(parts)
+
+
+def _drawn_scores(merged: DataFrame, cols: Sequence[str], draws: Mapping[int, np.ndarray]) -> DataFrame:
+    """(__pos, __neg, draw, score): every merged row under every draw that gives it a number."""
     scores = F.array(*[
         F.struct(F.lit(i).alias("draw"), sum((F.lit(float(w)) * F.col(c) for c, w in zip(cols[1:], row[1:])), F.lit(float(row[0])) * F.col(cols[0])).alias("score"))
         for i, row in draws.items()])
-    return df.select(F.col(label).alias("__y"), F.inline(scores))
+    return merged.select("__pos", "__neg", F.inline(scores)).filter(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
-def _exact_search(df: DataFrame, label: str, cols: Sequence[str], draws: Mapping[int, np.ndarray]) -> DataFrame:
-    flat = _drawn_scores(df, label, cols, draws)
+def _exact_search(merged: DataFrame, cols: Sequence[str], draws: Mapping[int, np.ndarray]) -> DataFrame:
+    counts = _drawn_scores(merged, cols, draws).groupBy("draw", F.col("score").alias("threshold")).agg(
+        F.sum("__pos").alias("pos"), F.sum("__neg").alias("neg"))
     table = F.create_map(*[x for i, row in draws.items() for x in (F.lit(i), F.array(*[F.lit(float(w)) for w in row]))])
-    return auc_exact(flat, "__y", "score", ["draw"]).select(
+    return auc_of_counts(counts, ["draw"]).select(
         "draw", F.element_at(table, F.col("draw")).alias("weights"), "auc").orderBy(F.desc("auc"), "draw")
 
 
 def optimize_weights(df: DataFrame, label: str, cols: Sequence[str], n: int = WEIGHT_DRAWS, seed: int = 42) -> DataFrame:
     """Exact AUC of ``n`` random weightings: (draw, weights, auc), best first. Give it held-out predictions.
 
-    A row that a member gives no score, or no number, counts under no draw. Rows times draws are grouped by score; where only the
-    best draw is asked for, ``search_weights`` groups far fewer.
+    A row that a member gives no score, or no number, counts under no draw. Rows with equal member scores are merged first; merged
+    rows times draws are grouped by score; where only the best draw is asked for, ``search_weights`` groups far fewer.
     """
-    return _exact_search(df, label, cols, dict(enumerate(weight_draws(len(cols), n, seed))))
+    return _exact_search(_merged(df, label, cols), cols, dict(enumerate(weight_draws(len(cols), n, seed))))
 
 
 def weight_bounds(df: DataFrame, label: str, cols: Sequence[str], draws: Mapping[int, np.ndarray], bins: int = 2048) -> DataFrame:
@@ -70,14 +83,18 @@ def weight_bounds(df: DataFrame, label: str, cols: Sequence[str], draws: Mapping
     Pairs of different bins are ordered for certain, those of one bin either way. Counts are combined before the shuffle, so a
     task sends at most draws times bins rows, however many it reads.
     """
-    low, high = df.select(*[F.nanvl(c, F.lit(None)).alias(c) for c in cols]).agg(
+    return _bounds(_merged(df, label, cols), cols, draws, bins)
+
+
+def _bounds(merged: DataFrame, cols: Sequence[str], draws: Mapping[int, np.ndarray], bins: int) -> DataFrame:
+    low, high = merged.select(*[F.nanvl(c, F.lit(None)).alias(c) for c in cols]).agg(
         F.min(F.least(*cols)), F.max(F.greatest(*cols))).first()
     low, high = (F.lit(x).cast("double") for x in (low, high))
     place = F.try_divide(F.col("score") - low, high - low) * bins
     place = F.when(F.isnan(place), 0.0).otherwise(F.coalesce(place, F.lit(0.0)))
-    counts = _drawn_scores(df, label, cols, draws).filter(F.col("__y").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).groupBy(
+    counts = _drawn_scores(merged, cols, draws).groupBy(
         "draw", F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(bins - 1.0))).alias("bin")).agg(
-        F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") != 1).alias("neg"))
+        F.sum("__pos").alias("pos"), F.sum("__neg").alias("neg"))
     before = Window.partitionBy("draw").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sure = F.col("pos") * F.coalesce("neg_before", F.lit(0)).cast("double")
     pairs = F.sum("pos").cast("double") * F.sum("neg")
@@ -88,14 +105,15 @@ def weight_bounds(df: DataFrame, label: str, cols: Sequence[str], draws: Mapping
 def search_weights(df: DataFrame, label: str, cols: Sequence[str], n: int = WEIGHT_DRAWS, seed: int = 42, bins: int = 2048) -> DataFrame:
     """The draws of ``optimize_weights`` that may be the best, with their exact AUC, best first; the first row is the same.
 
-    A first pass bounds the AUC of every draw (``weight_bounds``); a draw whose upper bound lies below another's lower bound goes. Only
+    Rows with equal member scores are merged and written first. A first pass over them bounds the AUC of every draw (``weight_bounds``); a draw whose upper bound lies below another's lower bound goes. Only
     the others are scored and grouped exactly. The bounds, one row a draw, are read here; without rows of both classes no draw goes.
     """
     draws = dict(enumerate(weight_draws(len(cols), n, seed)))
-    bounds = [r for r in weight_bounds(df, label, cols, draws, bins).collect() if r["low"] is not None]
+    merged = staged(_merged(df, label, cols))
+    bounds = [r for r in _bounds(merged, cols, draws, bins).collect() if r["low"] is not None]
     floor = max((r["low"] for r in bounds), default=0.0) - 1e-9  # sums of doubles
     gone = {r["draw"] for r in bounds if r["high"] < floor}
-    return _exact_search(df, label, cols, {i: row for i, row in draws.items() if i not in gone})
+    return _exact_search(merged, cols, {i: row for i, row in draws.items() if i not in gone})
 
 
 def best_weights(search: DataFrame, cols: Sequence[str]) -> dict[str, float]:

@@ -25,8 +25,13 @@ def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
     Rows without label or score, or with NaN as score, do not count.
     """
+    return auc_of_counts(_label_counts(df, label, score, by), by)
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``auc_exact`` of rows already counted: ``by``, threshold, pos and neg, one row for each threshold of a group."""
     by = list(by)
-    ranked = running_totals(_label_counts(df, label, score, by), by, "threshold", fine_chunk("threshold"),
+    ranked = running_totals(counts, by, "threshold", fine_chunk("threshold"),
                             {"pos": ("pos_before", "positives"), "neg": ("neg_before", "negatives")})
     wins = F.col("pos") * (F.col("neg_before").cast("double") + F.col("neg") / 2.0)
     return ranked.groupBy(*by).agg(

@@ -78,6 +78,17 @@ def test_weights_by_bounds_are_those_of_the_whole_search(spark):
     assert {r.auc for r in ensemble.search_weights(tied, "y", cols, n=5).collect()} == {1.0}
 
 
+def test_weight_search_merges_equal_rows_before_the_draws(spark):
+    rows = spark.range(20_000).selectExpr("int(id % 2) AS y", "(id % 7) / 7.0D AS a", "(id % 3) / 3.0D AS b")
+    cols, draws = ["a", "b"], dict(enumerate(ensemble.weight_draws(2, 5)))
+    merged = ensemble._merged(rows, "y", cols)
+    assert ensemble._drawn_scores(merged, cols, draws).count() == 21 * 5
+    got = {r.draw: r.auc for r in ensemble.optimize_weights(rows, "y", cols, n=5).collect()}
+    for i, (wa, wb) in draws.items():
+        scored = rows.withColumn("s", F.lit(float(wb)) * F.col("b") + F.lit(float(wa)) * F.col("a"))
+        assert got[i] == pytest.approx(metrics.auc_exact(scored, "y", "s").first().auc, abs=1e-12)
+
+
 def test_zoo_and_weight_search(frame):
     fit, held = train.hash_split(frame, "id")
     models = train.train_zoo(fit, "label", features=FEATURES, trees=10, iterations=20, depth=4, layers=(8,), n_random=64)
