@@ -121,23 +121,23 @@ def read_daily_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("assessment_date", *[c for c in rows.columns if c != "assessment_date"])
 
 
-_PANES = "pane array<bigint>, n array<bigint>, total array<double>, n_amount array<bigint>, done bigint"
-_PANE = ["pane", "n", "total", "n_amount"]
+_PANE = ["customer_id", "pane", "n", "total", "n_amount"]
 
 
 def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str = "1 day", watermark: str = "1 day",
-                            ts: str = "transaction_timestamp") -> DataFrame:
+                            ts: str = "transaction_timestamp", buckets: int = 1024) -> DataFrame:
     """Customer counts and averages over sliding windows of event time.
 
-    The one state row of a customer holds the panes (parts of time that windows share) of windows not ended yet; a window is
-    combined from them once, when the watermark passes its end. Events are summed by (customer, pane) before they are
-    shuffled, so a customer with a third of all events sends a few rows from each task. An event counts in every
+    Customers are dealt over ``buckets`` by hash; the one state row of a bucket holds the panes (parts of time that windows share) of its
+    customers' windows not ended yet. When the watermark passes windows, all that are due in a bucket are combined at once, and
+    neighbouring windows of a customer that hold the same panes leave Python as one row. Events are summed by (customer, pane) before
+    they are shuffled, so a customer with a third of all events sends a few rows from each task. An event counts in every
     window that has not ended by the watermark of its micro-batch, and in none that has. Events without a time count nowhere, those
-    without a customer are one customer.
+    without a customer are one customer. A checkpoint belongs to its number of buckets.
     """
     span, step = interval_micros(length), interval_micros(slide)
     width = math.gcd(span, step)
-    key = f"customer_id {df.schema['customer_id'].dataType.simpleString()}"
+    kind = df.schema["customer_id"].dataType.simpleString()
 
     def by_pane(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,48 +145,69 @@ def stream_sliding_customer(df: DataFrame, length: str = "30 days", slide: str =
             yield b.groupby(["customer_id", "pane"], dropna=False, as_index=False).agg(
                 at=("at", "max"), n=("at", "size"), total=("amount", "sum"), n_amount=("amount", "count"))
 
-    def combine(customer: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def windows(pane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the first and last window of each pane."""
+        return -((span - pane - width) // step) * step + span, pane // step * step + span
+
+    def next_end(at: int) -> int:
+        """The first end of a window after ``at``."""
+        return span + ((at - span) // step + 1) * step
+
+    def runs(held: pd.DataFrame, done: int, now: int) -> pd.DataFrame:
+        """Windows that end in (done, now], as runs of neighbouring ones of a customer that hold the same panes."""
+        who, customers = pd.factorize(held["customer_id"], use_na_sentinel=False)
+        order = np.lexsort((held["pane"].to_numpy(), who))
+        who, (pane, n, total, n_amount) = who[order], (held[c].to_numpy()[order] for c in _PANE[1:])
+        first, last = windows(pane)
+        edges = np.unique(np.stack([np.tile(who, 2), np.concatenate([first, last + step])], axis=1), axis=0)
+        its, begin = edges[:-1, 0], np.maximum(edges[:-1, 1], next_end(done))
+        end = np.minimum(edges[1:, 1], next_end(now)) - step
+        due = (its == edges[1:, 0]) & (begin <= end)
+        its, begin, end = its[due], begin[due], end[due]
+        low = pane.min(initial=2**62) - span                        # places on one line: customers side by side, in panes
+        room = (pane.max(initial=-2**62) + 2 * span + step - low) // width + 2
+        places = who * room + (pane - low) // width
+        lo, hi = (np.searchsorted(places, its * room + (x - low) // width) for x in (begin - span, begin))
+        some = hi > lo
+        its, begin, end, at = its[some], begin[some], end[some], np.stack([lo[some], hi[some]], axis=1).ravel()
+        counts, totals, amounts = (np.add.reduceat(np.append(x, 0), at)[::2] if len(at) else x[:0] for x in (n, total, n_amount))
+        means = np.where(amounts > 0, totals / np.maximum(amounts, 1), np.nan)  # NaN leaves as null
+        return pd.DataFrame({"first": begin, "last": end, "customer_id": np.asarray(customers, dtype=object)[its],
+                             "transaction_count": counts, "avg_amount": means})
+
+    def combine(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
-        now = mark * 1000 + span if mark > 0 else -2**62  # the state outlives the watermark by the length of a window
-        *columns, done = state.get if state.exists else ([], [], [], [], now)
-        held = pd.DataFrame(dict(zip(_PANE, columns))).astype({"pane": "int64", "n": "int64", "total": "float64", "n_amount": "int64"})
-
-        def windows(panes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            """Ends of the first and last window of each pane."""
-            pane = panes["pane"].to_numpy()
-            return -((span - pane - width) // step) * step + span, pane // step * step + span
-
-        first, last = windows(held)
-        ends = np.unique(np.concatenate([np.empty(0, "int64"), *[np.arange(f, min(e, now) + 1, step) for f, e in zip(first, last)]]))
-        ends = ends[ends > done]
-        if len(ends):
-            pane, n, total, n_amount = (held[c].to_numpy() for c in _PANE)
-            edges = np.stack([np.searchsorted(pane, ends - span), np.searchsorted(pane, ends)], axis=1).ravel()
-            counts, totals, amounts = (np.add.reduceat(np.append(x, 0), edges)[::2] for x in (n, total, n_amount))  # every window holds a pane
-            yield pd.DataFrame({
-                "start": ends - span, "end": ends, "customer_id": [customer[0]] * len(ends), "transaction_count": counts,
-                "avg_amount": pd.Series(totals / np.maximum(amounts, 1)).astype(object).where(amounts > 0, None)})
+        now = mark * 1000 + span if mark > 0 else -2**61  # the state outlives the watermark by the length of a window
+        *columns, done = state.get if state.exists else ([], [], [], [], [], now)
+        held = pd.DataFrame({c: pd.Series(v, dtype=t) for c, v, t in zip(_PANE, columns, (object, "int64", "int64", "float64", "int64"))})
+        if len(held) and now > done:
+            yield runs(held, done, now)
         if not state.hasTimedOut:
             for b in batches:
-                held = pd.concat([held, b[_PANE]]).groupby("pane", as_index=False).sum()
-        first, last = windows(held)
+                held = pd.concat([held, b[_PANE]]) if len(held) else b[_PANE]
+                held = held.groupby(["customer_id", "pane"], dropna=False, as_index=False).sum()
+        first, last = windows(held["pane"].to_numpy())
         held, first = held[last > now], first[last > now]
         if held.empty:
             state.remove()
             return
-        state.update((*(held[c].tolist() for c in _PANE), now))
-        following = np.where(first > now, first, first + ((now - first) // step + 1) * step).min()
+        known = held["customer_id"].astype(object).where(held["customer_id"].notna(), None)
+        state.update((known.tolist(), *(held[c].tolist() for c in _PANE[1:]), now))
+        following = np.where(first > now, first, next_end(now)).min()
         state.setTimeoutTimestamp(max(-(-int(following - span) // 1000) - 1, mark, 1))
 
     events = event_time(df, ts).filter(F.col(ts).isNotNull()).select(
         "customer_id", F.unix_micros(ts).alias("at"), F.col("amount").cast("double").alias("amount"))
-    sums = events.mapInPandas(by_pane, f"{key}, pane bigint, at bigint, n bigint, total double, n_amount bigint")
-    combined = sums.withColumn("at", F.timestamp_micros("at")).withWatermark("at", f"{interval_micros(watermark) + span} microseconds") \
-        .groupBy("customer_id").applyInPandasWithState(
-            combine, f"start bigint, end bigint, {key}, transaction_count bigint, avg_amount double", _PANES,
+    sums = events.mapInPandas(by_pane, f"customer_id {kind}, pane bigint, at bigint, n bigint, total double, n_amount bigint")
+    combined = sums.withColumns({"at": F.timestamp_micros("at"), "bucket": F.pmod(F.xxhash64("customer_id"), F.lit(buckets))}) \
+        .withWatermark("at", f"{interval_micros(watermark) + span} microseconds") \
+        .groupBy("bucket").applyInPandasWithState(
+            combine, f"first bigint, last bigint, customer_id {kind}, transaction_count bigint, avg_amount double",
+            f"customer_id array<{kind}>, pane array<bigint>, n array<bigint>, total array<double>, n_amount array<bigint>, done bigint",
             "append", GroupStateTimeout.EventTimeTimeout)
-    return combined.select(F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("end").alias("window_end"),
-                           "customer_id", "transaction_count", "avg_amount")
+    ended = combined.withColumn("end", F.explode(F.sequence("first", "last", F.lit(step).cast("bigint"))))
+    return ended.select(F.timestamp_micros(F.col("end") - span).alias("window_start"), F.timestamp_micros("end").alias("window_end"),
+                        "customer_id", "transaction_count", "avg_amount")
 
 
 def stream_alerts(metrics: DataFrame, watermark: str = "1 hour", ts: str = "metric_time",

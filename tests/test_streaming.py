@@ -194,6 +194,23 @@ def test_sliding_windows_keep_one_state_row_an_event(spark, tmp_path):
     assert sum(o["numRowsUpdated"] for o in operators) <= 40 and max(o["numRowsTotal"] for o in operators) <= 40
 
 
+def test_sliding_windows_share_state_rows_and_leave_as_runs(spark, tmp_path):
+    """200 customers in four state rows; thirty equal windows of an event are one row of Python; rows without a customer or amount count."""
+    day = dt.timedelta(days=1)
+    rows = [(None if i == 7 else f"C{i}", BASE + (i % 5) * day / 7, None if i == 9 else float(i)) for i in range(200)]
+    late = [("Z", BASE + 90 * day, 1.0)]
+    schema = "customer_id string, transaction_timestamp timestamp_ntz, amount double"
+    for part in (rows, late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", "2").parquet(f"{tmp_path}/in")
+    run = writers.write_stream_append(jobs.stream_sliding_customer(feed, buckets=4), f"{tmp_path}/out", f"{tmp_path}/cp", trigger=None)
+    run.awaitTermination()
+    assert max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= 4
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == 200 * 30 and all(r.transaction_count == 1 for r in got)
+    assert {(r.customer_id, r.avg_amount) for r in got} == {(c, a) for c, _, a in rows}
+
+
 def test_messages_are_routed_by_type(spark):
     lines = [json.dumps({"type": "risk_assessment", "data": {"id": "1", "riskScore": 0.5, "features": {"amount": 2.0}, "businessRules": ["A"]}}),
              json.dumps({"type": "system_metrics", "data": {"cpuUsage": 12.5}}), json.dumps({"type": "other", "data": {}}), "junk",
