@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
+from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.session import scratch_path
 
 #: Cells (rows x leaves x features of a path) worked on at once.
 CELLS = 1_000_000
 
+#: Cells that a table of an ensemble's scores may have, and leaves x corners that a table of Shapley values may take; larger
+#: ensembles are walked tree by tree, with the same results.
+TABLE, CORNERS = 1 << 20, 1 << 26
+
 
 @dataclass
 class Leaves:
@@ -31,7 +38,8 @@ class Leaves:
 
 @dataclass
 class Trees:
-    """Nodes by tree: ``feature`` is -1 at leaves; ``value`` already carries the tree's weight."""
+    """Nodes by tree: ``feature`` is -1 at leaves; ``value`` already carries the tree's weight. ``vote`` and ``against`` are a
+    classifying forest's shares of classes 1 and 0."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -40,9 +48,12 @@ class Trees:
     value: np.ndarray
     cover: np.ndarray
     features: int
+    vote: np.ndarray | None = None
+    against: np.ndarray | None = None
 
-    def score(self, x: np.ndarray, block: int = 16_384) -> np.ndarray:
-        """Sum of the leaves' values, by row; a leaf leads to itself until the deepest path has ended."""
+    def score(self, x: np.ndarray, value: np.ndarray | None = None, block: int = 16_384) -> np.ndarray:
+        """Sum of the leaves' values (or of other ``value`` by node), by row; a leaf leads to itself until the deepest path has ended."""
+        value = self.value if value is None else value
         trees, nodes = self.feature.shape
         leaf = self.feature < 0
         feature = np.where(leaf, 0, self.feature)
@@ -59,7 +70,7 @@ class Trees:
                     if (below == at).all():
                         break
                     at = below
-                out[lo:lo + block] += self.value[t].take(at)
+                out[lo:lo + block] += value[t].take(at)
         return out
 
     def leaves(self, t: int) -> Leaves:
@@ -89,6 +100,93 @@ class Trees:
         return float(sum((leaf.value * leaf.share.prod(axis=1)).sum() for leaf in map(self.leaves, range(len(self.feature)))))
 
 
+@dataclass
+class Table:
+    """What an ensemble gives in every cell of the grid that its thresholds cut, so a row costs a search a feature and one look-up."""
+
+    cuts: list[np.ndarray]
+    values: np.ndarray
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row: x <= threshold leads left, so a feature's place is its number of thresholds below x."""
+        at = np.zeros(len(x), dtype=np.int64)
+        for j, c in enumerate(self.cuts):
+            if len(c):
+                at = at * (len(c) + 1) + np.searchsorted(c, x[:, j])
+        return at
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.values.take(self.cells(x), axis=0)
+
+
+def grid(trees: Trees) -> list[np.ndarray] | None:
+    """The thresholds by feature; None if they cut more than ``TABLE`` cells."""
+    cuts = [np.unique(trees.threshold[trees.feature == j]) for j in range(trees.features)]
+    return cuts if np.prod([len(c) + 1.0 for c in cuts]) <= TABLE else None
+
+
+def corner_points(cuts: list[np.ndarray]) -> np.ndarray:
+    """A row of each cell, in the order of cells."""
+    axes = np.meshgrid(*[np.append(c, np.inf) if len(c) else np.zeros(1) for c in cuts], indexing="ij")
+    return np.stack([a.ravel() for a in axes], axis=1)
+
+
+def shapley_table(trees: Trees, every: list[Leaves]) -> Table | None:
+    """Scores (first column) and exact Shapley values of every cell; None if the grid is too large.
+
+    The score that is expected when the features of a set are known is a sum over leaves of boxes on the grid of these features. Boxes are put
+    down by their corners and summed along the axes, once for each set.
+    """
+    cuts = grid(trees)
+    if cuts is None:
+        return None
+    used = [j for j, c in enumerate(cuts) if len(c)]
+    k, n = len(used), sum(len(leaf.value) for leaf in every)
+    sizes = [len(cuts[j]) + 1 for j in used]
+    if n * 3 ** k > CORNERS or 2 ** k * int(np.prod(sizes)) > CORNERS:
+        return None
+    value = np.concatenate([leaf.value for leaf in every])
+    low, high, share = (np.full((n, trees.features), x) for x in (-np.inf, np.inf, 1.0))
+    start = 0
+    for leaf in every:
+        stop, (rows, width) = start + len(leaf.value), leaf.feature.shape
+        at = np.repeat(np.arange(start, stop), width), leaf.feature.ravel()
+        given = np.isfinite(leaf.low.ravel()) | np.isfinite(leaf.high.ravel())   # the rest are padding
+        for out, part in ((low, leaf.low), (high, leaf.high), (share, leaf.share)):
+            out[at[0][given], at[1][given]] = part.ravel()[given]
+        start = stop
+    first = [np.where(np.isinf(low[:, j]), 0, np.searchsorted(cuts[j], low[:, j], "right")) for j in used]
+    end = [np.where(np.isinf(high[:, j]), len(cuts[j]) + 1, np.searchsorted(cuts[j], high[:, j], "right")) for j in used]
+    end = [np.maximum(a, b) for a, b in zip(first, end)]   # a path that contradicts itself holds nothing
+    told = {}
+    for known in product((False, True), repeat=k):
+        weight, shape = value.copy(), [size + 1 if on else 1 for size, on in zip(sizes, known)]
+        for i, on in enumerate(known):
+            if not on:
+                weight *= share[:, used[i]]
+        put = np.zeros(int(np.prod(shape)))
+        for corner in product(*[((first[i], 1.0), (end[i], -1.0)) if on else ((None, 1.0),) for i, on in enumerate(known)]):
+            at = np.zeros(n, dtype=np.int64)
+            for (place, _), size in zip(corner, shape):
+                at = at * size + (0 if place is None else place)
+            put += np.prod([sign for _, sign in corner]) * np.bincount(at, weight, len(put))
+        put = put.reshape(shape)
+        for i, on in enumerate(known):
+            if on:
+                put = np.cumsum(put, axis=i).take(np.arange(sizes[i]), axis=i)
+        told[known] = put
+    values = np.zeros((int(np.prod(sizes)), 1 + trees.features))
+    values[:, 0] = trees.score(corner_points(cuts))
+    for i, j in enumerate(used):
+        phi = np.zeros(sizes)
+        for known, without in told.items():
+            if not known[i]:
+                m = sum(known)
+                phi += factorial(m) * factorial(k - m - 1) / factorial(k) * (told[known[:i] + (True,) + known[i + 1:]] - without)
+        values[:, 1 + j] = phi.ravel()
+    return Table(cuts, values)
+
+
 def shapley(every: list[Leaves], features: int, x: np.ndarray) -> np.ndarray:
     """Exact path-dependent Shapley values, by row and feature.
 
@@ -140,8 +238,10 @@ def flatten(model: PipelineModel, spark) -> tuple[Trees, str]:
     trees, kind = int(nodes["tree"].max()) + 1, type(stage).__name__
     if kind == "RandomForestClassificationModel":
         stats = np.stack(nodes["stats"].to_numpy())
-        value, target = stats[:, 1] / stats.sum(axis=1) / trees, "probability"
+        votes = [stats[:, 1] / stats.sum(axis=1), stats[:, 0] / stats.sum(axis=1)]
+        value, target = votes[0] / trees, "probability"
     else:
+        votes = []
         weights = np.array(stage.treeWeights) / (trees if kind.startswith("RandomForest") else 1)
         value, target = nodes["prediction"].to_numpy() * weights[nodes["tree"].to_numpy()], "margin" if kind == "GBTClassificationModel" else "prediction"
     at = nodes["tree"].to_numpy(), nodes["id"].to_numpy()
@@ -153,7 +253,7 @@ def flatten(model: PipelineModel, spark) -> tuple[Trees, str]:
         return out
 
     return Trees(filled(nodes["feature"], -1, np.int32), filled(nodes["threshold"].fillna(0.0)), filled(nodes["left"], -1, np.int32),
-                 filled(nodes["right"], -1, np.int32), filled(value), filled(nodes["cover"], 1), stage.numFeatures), target
+                 filled(nodes["right"], -1, np.int32), filled(value), filled(nodes["cover"], 1), stage.numFeatures, *map(filled, votes)), target
 
 
 def shap_trees(model: PipelineModel, rows: DataFrame, id_col: str) -> DataFrame:
@@ -161,24 +261,67 @@ def shap_trees(model: PipelineModel, rows: DataFrame, id_col: str) -> DataFrame:
 
     ``contributions`` are in the order of the assembled features and add up to ``score`` - ``base``, where ``score`` is the
     probability of class 1 of a forest, the margin of boosted classifiers (their probability is 1 / (1 + exp(-2 margin))),
-    or the prediction of a regressor. Rows are prepared by the pipeline's other stages and never multiplied or shuffled.
+    or the prediction of a regressor. Where the thresholds cut few cells, all are explained once (``shapley_table``) and rows look theirs up. Rows are prepared by the pipeline's other stages and never multiplied or shuffled.
     """
     spark = rows.sparkSession
     trees, _ = flatten(model, spark)
     every = [trees.leaves(t) for t in range(len(trees.feature))]
-    base = trees.expected()
-    sent = spark.sparkContext.broadcast((trees, every))
+    base = float(sum((leaf.value * leaf.share.prod(axis=1)).sum() for leaf in every))
+    table = shapley_table(trees, every)
+    sent = spark.sparkContext.broadcast((trees, every, None) if table is None else (None, None, table))
     prepared = rows
     for stage in model.stages[:-1]:
         prepared = stage.transform(prepared)
     inputs = prepared.select(id_col, vector_to_array(model.stages[-1].getFeaturesCol()).alias("x"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, every = sent.value
+        trees, every, table = sent.value
         for b in batches:
             if len(b):
                 x = np.stack(b["x"].to_numpy())
-                yield pd.DataFrame({id_col: b[id_col], "score": trees.score(x), "base": base, "contributions": list(shapley(every, trees.features, x))})
+                told = np.column_stack([trees.score(x), shapley(every, trees.features, x)]) if table is None else table(x)
+                yield pd.DataFrame({id_col: b[id_col], "score": told[:, 0], "base": base, "contributions": list(told[:, 1:])})
 
     kind = rows.schema[id_col].dataType.simpleString()
     return inputs.mapInPandas(explain, f"`{id_col}` {kind}, score double, base double, contributions array<double>")
+
+
+@dataclass
+class Scorer:
+    """The probability of class 1 by the trees themselves. Forests add up the votes of both classes and divide, as Spark does."""
+
+    trees: Trees
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        t = self.trees
+        if t.vote is None:
+            return 1 - 1 / (1 + np.exp(np.clip(2 * t.score(x), -700, 700)))
+        up, down = t.score(x, t.vote), t.score(x, t.against)
+        return up / (up + down)
+
+
+def class_scorer(model: PipelineModel, spark) -> Scorer | Table | None:
+    """From inputs of the last stage (rows x features) to the probability of class 1: a look-up where the thresholds cut few
+    cells, else the trees; None for a stage that is no classifier of trees."""
+    if type(model.stages[-1]).__name__ not in {"RandomForestClassificationModel", "GBTClassificationModel"}:
+        return None
+    trees = flatten(model, spark)[0]
+    cuts, score = grid(trees), Scorer(trees)
+    return score if cuts is None else Table(cuts, score(corner_points(cuts)))
+
+
+def with_probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """``model.transform(df)`` with the probability of class 1 as ``name``; trees are scored in Arrow batches, other models by Spark.
+
+    Columns of the transform that nothing reads are not computed.
+    """
+    scored, scorer = model.transform(df), class_scorer(model, df.sparkSession)
+    if scorer is None:
+        return scored.withColumn(name, vector_to_array("probability")[1])
+    sent = df.sparkSession.sparkContext.broadcast(scorer)
+
+    @F.pandas_udf("double")
+    def class_1(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+
+    return scored.withColumn(name, class_1(vector_to_array(model.stages[-1].getFeaturesCol())))

@@ -233,6 +233,38 @@ def test_deep_paths_are_exact():
     assert np.allclose(got.sum(axis=1) + chain.expected(), chain.score(x))
 
 
+def test_tables_give_what_the_trees_give(frame, forest):
+    """Scores bit by bit, also on thresholds; Shapley values to rounding; probabilities are those of Spark."""
+    flat, _ = trees.flatten(forest, frame.sparkSession)
+    every = [flat.leaves(t) for t in range(len(flat.feature))]
+    cuts = trees.grid(flat)
+    x = np.random.default_rng(2).normal(0, 2, size=(300, 3))
+    x[:100] = np.stack([np.resize(c, 100) for c in cuts], axis=1)
+    told = trees.shapley_table(flat, every)(x)
+    assert (told[:, 0] == flat.score(x)).all()
+    assert np.allclose(told[:, 1:], trees.shapley(every, 3, x), rtol=0, atol=1e-12)
+    stages, col = train.assembled(FEATURES)
+    boosted = Pipeline(stages=[*stages, GBTClassifier(labelCol="label", featuresCol=col, maxIter=4, maxDepth=3, seed=1)]).fit(frame)
+    for model, wide in ((forest, trees.TABLE), (forest, 1), (boosted, trees.TABLE)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(trees, "TABLE", wide)
+            assert isinstance(trees.class_scorer(model, frame.sparkSession), trees.Table) == (wide > 1)
+            both = trees.with_probability(model, frame, "p").select("p", vector_to_array("probability")[1].alias("q")).collect()
+        assert all(r.p == r.q for r in both) if model is forest else all(abs(r.p - r.q) < 1e-12 for r in both)
+    plan = train.predict_risk(forest, frame).select("confidence")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "probability" not in plan[plan.index("== Optimized Logical Plan =="):plan.index("== Physical Plan ==")]
+
+
+def test_offsets_in_batches_are_those_of_the_columns(frame):
+    few = frame.limit(3).select("id", F.xxhash64("id").alias("key"))
+    rows = few.crossJoin(frame.sparkSession.range(4).select(F.col("id").cast("int").alias("i"))).select(
+        "key", "i", *[explain._offset(F.col("id"), F.col("i"), j, 42).alias(f"z{j}") for j in range(2)]).collect()
+    keys = np.array(sorted({r.key for r in rows}))
+    z = explain._offsets(keys, 4, 2, 42)
+    assert len(rows) == 12 and all(np.allclose(z[np.searchsorted(keys, r.key), r.i], [r.z0, r.z1], rtol=0, atol=1e-12) for r in rows)
+    assert abs(explain._offsets(np.arange(500), 200, 2, 42)[:, 1:].std() - 1) < 0.01
+
+
 def test_regressors_and_metrics(frame):
     result = train.train_regressors(frame, "target", features=FEATURES, id_col="id", trees=10, iterations=10)
     names = [*result["models"], "ensemble"]
