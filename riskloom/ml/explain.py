@@ -80,10 +80,37 @@ def shap_linear(df: DataFrame, coefficients: Mapping[str, float], id_col: str) -
 
 
 def _normal(*keys: Column) -> Column:
-    """Standard normal draw that depends only on the keys (Box-Muller on two hashes)."""
-    def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    """Standard normal draw that depends only on the keys (Box-Muller on the two halves of a hash)."""
+    h = F.xxhash64(*keys)
+    u, v = ((half.cast("double") + 0.5) / float(2**32) for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(2**32 - 1))))
+    return F.sqrt(-2.0 * F.ln(u)) * F.cos(2 * F.pi() * v)
+
+
+def _hashed(value: int | np.ndarray, h: np.ndarray) -> np.ndarray:
+    """XXH64 of whole numbers of 32 bits under the seeds ``h``: what ``F.xxhash64`` makes of one more key."""
+    a, b, c, e = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (h + (e + np.uint64(4))) ^ (np.asarray(value, dtype=np.uint64) * a)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * b + c
+    h ^= h >> np.uint64(33)
+    h *= b
+    h ^= h >> np.uint64(29)
+    h *= c
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _offsets(key: np.ndarray, n: int, features: int, seed: int) -> np.ndarray:
+    """``_offset`` for all perturbations and features, by hash of the id: rows x n x features."""
+    with np.errstate(over="ignore"):
+        drawn = _hashed(np.arange(n), key.astype(np.int64).view(np.uint64)[:, None])
+        out = np.empty((len(key), n, features))
+        for j in range(features):
+            h = _hashed(seed, _hashed(j, drawn))
+            u = ((h >> np.uint64(32)).astype(float) + 0.5) / 2.0**32
+            v = ((h & np.uint64(2**32 - 1)).astype(float) + 0.5) / 2.0**32
+            out[:, :, j] = np.sqrt(-2.0 * np.log(u)) * np.cos(2 * np.pi * v)
+    out[:, 0] = 0.0
+    return out
 
 
 def _offset(key: Column, i: Column, feature: int, seed: int) -> Column:
@@ -134,24 +161,25 @@ def _input_factors(model: PipelineModel, features: list[str]) -> np.ndarray | No
 
 def _lime_in_batches(model, rows, features, id_col, deviations, n, seed, penalty, width, factors) -> DataFrame:
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(trees.flatten(model, spark)[0])
+    sent = spark.sparkContext.broadcast(trees.class_scorer(model, spark))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, step = sent.value, max(1, 100_000 // n)
+        forest, step = sent.value, max(1, 20_000 // n)
         for b in batches:
+            x, sd = (np.stack(b[c].to_numpy()) if len(b) else np.empty((0, len(features))) for c in ("__x", "__sd"))
+            solved = []
             for lo in range(0, len(b), step):
-                part = b.iloc[lo:lo + step]
-                x, sd = (np.stack(part[c].to_numpy()) for c in ("__x", "__sd"))
-                z = np.stack(part["__z"].to_numpy()).reshape(len(part), n, len(features))
-                p = forest.score(((x[:, None] + z * sd[:, None]) * factors).reshape(-1, len(features))).reshape(len(part), n)
-                w = np.exp(-(z * z).sum(axis=2) / width ** 2)
-                design = np.concatenate([np.ones((len(part), n, 1)), z], axis=2)
-                left = np.einsum("rna,rn,rnb->rab", design, w, design) + penalty
-                right = np.einsum("rna,rn->ra", design, w * p)
-                yield pd.DataFrame({id_col: part[id_col], "solved": list(np.linalg.solve(left, right[..., None])[..., 0])})
-
-    z = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(*[_offset(F.col(id_col), i, j, seed) for j in range(len(features))])))
-    given = rows.select(id_col, z.alias("__z"), F.array(*[F.col(c).cast("double") for c in features]).alias("__x"),
+                z = _offsets(b["__key"].to_numpy()[lo:lo + step], n, len(features), seed)
+                at = slice(lo, lo + step)
+                p = forest(((x[at, None] + z * sd[at, None]) * factors).reshape(-1, len(features))).reshape(len(z), n)
+                w = np.exp(-np.einsum("rnf,rnf->rn", z, z) / width ** 2)
+                design = np.concatenate([np.ones((len(z), n, 1)), z], axis=2)
+                weighted = (design * w[..., None]).swapaxes(1, 2)
+                solved.append(np.linalg.solve(weighted @ design + penalty, weighted @ p[..., None])[..., 0])
+            if solved:
+                yield pd.DataFrame({id_col: b[id_col], "solved": list(np.concatenate(solved))})
+
+    given = rows.select(id_col, F.xxhash64(id_col).alias("__key"), F.array(*[F.col(c).cast("double") for c in features]).alias("__x"),
                         F.array(*[deviations[c] for c in features]).alias("__sd"))
     kind = rows.schema[id_col].dataType.simpleString()
     return given.mapInPandas(solve, f"`{id_col}` {kind}, solved array<double>")
