@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.ml.metrics import auc_exact, auc_of_counts
+from riskloom.ml import trees
+from riskloom.ml.metrics import auc_of_counts, label_counts
 from riskloom.operators.features import staged
 
 # Default ensemble weights and the number of weight draws.
@@ -145,7 +145,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, label: str, feat
 
     A row takes the value of the next row in hash order inside its hash bucket (the last one takes the
     first), so the shuffle is exact and repeatable; the number of buckets grows with the rows. All variants are
-    scored by one transform.
+    scored once, and counted by score.
     """
     features = list(features)
     buckets = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_bucket))).scalar()
@@ -164,8 +164,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, label: str, feat
             (F.col(f"__next_{i}") if i == shuffled else F.col(f)).alias(f) for i, f in enumerate(features)])
 
     variants = mixed.select(label, F.inline(F.array(variant(None), *[variant(i) for i in range(len(features))])))
-    scored = model.transform(variants).withColumn("__p", vector_to_array("probability")[1])
-    aucs = auc_exact(scored.select("variant", label, "__p"), label, "__p", ["variant"])
+    scored = trees.with_probability(model, variants, "__p")
+    counts = staged(label_counts(scored.select("variant", label, "__p"), label, "__p", ["variant"]))  # read several times below
+    aucs = auc_of_counts(counts, ["variant"])
     intact = F.max(F.when(F.col("variant") == "", F.col("auc"))).over(Window.partitionBy())
     return aucs.withColumn("__base", intact).filter("variant <> ''").select(
         F.col("variant").alias("feature"), "auc", (F.col("__base") - F.col("auc")).alias("importance"))

@@ -282,6 +282,19 @@ def test_permutation_importance_finds_the_signal(frame, forest):
     assert got["x1"] > got["x2"] > got["x3"] and abs(got["x3"]) < 0.02
 
 
+def test_permuted_rows_are_scored_once(frame, forest):
+    plan = ensemble.permutation_importance(forest, frame, "label", FEATURES, "id")._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    assert "ArrowEvalPython" not in plan and "UDF" not in plan and "Scan parquet" in plan
+
+
+def test_fits_read_their_rows_once_and_dealt(frame):
+    data = train.dealt(frame, ["x1", "label", "x1"], rows_per_task=300)
+    assert data.columns == ["x1", "label"] and data.rdd.getNumPartitions() == 3 and data.count() == 800
+    assert data.storageLevel.useMemory
+    data.unpersist()
+
+
 def test_shapley_values_add_up(frame, forest):
     rows = frame.orderBy("id").limit(6)
     phi = explain.shap_sampling(forest, rows, frame, FEATURES, "id", n_perm=5, n_background=8)
