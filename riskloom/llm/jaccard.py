@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.llm.common import may_be_among, staged
 from riskloom.llm.components import connected_components
@@ -103,31 +104,60 @@ def by_text(make, schema: str, texts: DataFrame, rows: int = 256) -> DataFrame:
     return texts.select("text_key", "text").mapInArrow(run, f"text_key binary, {schema}")
 
 
+def frequent(tokens: DataFrame) -> np.ndarray:
+    """The most frequent of ``tokens``, rising; at most MOST_COMMON come to the driver."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > COMMON)
+    rows = counts.orderBy(F.desc("m"), "token").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["token"] for r in rows], dtype=np.int64))
+
+
 def common_shingles(texts: DataFrame, similarity: float, width: int) -> np.ndarray:
-    """The most frequent shingles of all prefixes by hash; at most MOST_COMMON come to the driver."""
+    """The most frequent shingles of all prefixes by hash."""
     def make(sets: list[np.ndarray]) -> dict:
         return {"prefix": [s[:prefix_sizes(len(s), similarity)[0]] for s in sets]}
 
     make.width = width
-    tokens = by_text(make, "prefix array<bigint>", texts).select(F.explode("prefix").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > COMMON)
-    rows = counts.orderBy(F.desc("m"), "token").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["token"] for r in rows], dtype=np.int64))
+    return frequent(by_text(make, "prefix array<bigint>", texts).select(F.explode("prefix").alias("token")))
 
 
-def described(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """text_key, node (a hash of the set), n, short (index prefix), fp, bits, prefix for every row of ``texts`` (text_key, text)."""
-    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, similarity, width))
+def ordered_sets(texts: DataFrame, common: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """``described`` for one order; also how many shingles of the prefix are not in ``common``, and whether the order changed it."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def make(sets: list[np.ndarray]) -> dict:
         sizes = [prefix_sizes(len(s), similarity) for s in sets]
+        prefixes = [ordered_prefix(s, p, sent.value) for s, (p, _) in zip(sets, sizes)]
         return {"node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype="<u8").view("<i8"),
                 "n": np.array([len(s) for s in sets], dtype=np.int32), "short": np.array([q for _, q in sizes], dtype=np.int32),
-                "fp": np.array([majority(s) for s in sets], dtype=np.int64), "bits": [spread_bits(s) for s in sets],
-                "prefix": [ordered_prefix(s, p, sent.value) for s, (p, _) in zip(sets, sizes)]}
+                "fp": np.array([majority(s) for s in sets], dtype=np.int64), "bits": [spread_bits(s) for s in sets], "prefix": prefixes,
+                "rare": np.array([len(p) - np.isin(p, sent.value).sum() for p in prefixes], dtype=np.int32),
+                "moved": np.array([not np.array_equal(p, s[:len(p)]) for s, p in zip(sets, prefixes)], dtype=bool)}
 
     make.width = width
-    return by_text(make, "node bigint, n int, short int, fp bigint, bits array<bigint>, prefix array<bigint>", texts)
+    return by_text(make, "node bigint, n int, short int, fp bigint, bits array<bigint>, prefix array<bigint>, rare int, moved boolean", texts)
+
+
+def described(texts: DataFrame, similarity: float, width: int, rounds: int = 4) -> DataFrame:
+    """text_key, node (a hash of the set), n, short (index prefix), fp, bits, prefix for every row of ``texts`` (text_key, text).
+
+    Shingles set at the end make room for others that may be as common, as in a text of many near copies. These are set at the
+    end too, in some rounds, and all prefixes that hold one are made again, so there is one order for all.
+    """
+    common = common_shingles(texts, similarity, width)
+    first = staged(ordered_sets(texts, common, similarity, width), "sets")
+    out, changed, keys = first, first.filter("moved"), None
+    for _ in range(rounds):
+        new = frequent(changed.select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("token")))
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+        late = texts.sparkSession.createDataFrame(pa.table({"token": new}))
+        held = out.select("text_key", F.explode("prefix").alias("token")).join(F.broadcast(late), "token").select("text_key")
+        keys = staged((held.unionByName(keys) if keys else held).distinct(), "reordered")
+        again = may_be_among(texts, "text_key", keys).filter("__among").select("text_key", "text")
+        changed = staged(ordered_sets(again, common, similarity, width), "sets-again")
+        out = may_be_among(first, "text_key", keys).filter("NOT __among").drop("__among").unionByName(changed)
+    return out.drop("rare", "moved")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -161,7 +191,7 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
 
     ``first`` holds pairs (u, v) worth a look before all others, such as near fingerprints; what they link need not be compared
     again. Members of prefix buckets of over ``pair_limit`` sets are then compared with one of them, and last every pair of
-    a shared prefix shingle that is not in one component yet.
+    a shared prefix shingle that is not in one component yet, about once however many shingles it shares.
     """
     edges = staged(alike(first, nodes, texts, similarity, width), "first-links")
     parts = staged(connected_components(edges), "parts")
@@ -178,6 +208,12 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
         several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         return rows.join(several.select("token"), "token", "left_semi")
 
+    def first_of_alike(rows: DataFrame) -> DataFrame:
+        """Open buckets, and of those with the same members only the one that is first in the order: all their pairs meet there."""
+        members = [F.count(F.lit(1)).alias("m"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.sum("place").alias("at")]
+        several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *members).filter("lo <> hi")
+        return rows.join(several.groupBy("m", "x", "y").agg(F.min_by("token", "at").alias("token")).select("token"), "token", "left_semi")
+
     def near(n: str, m: str) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
@@ -195,7 +231,7 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
         return (F.col("n") - alone("fold", "held") >= need) & (F.col("m") - alone("held", "fold") >= need)
 
     rows = open_buckets(labelled().filter(F.col("members") > pair_limit))
-    hub = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top")), F.xxhash64("node"))
+    hub = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top")), F.struct("place", F.xxhash64("node")))  # with the fewest rare shingles
     hubs = rows.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
     pairs = rows.join(hubs, "token").filter((F.col("root") != F.col("top")) & near("n", "m")).select("u", F.col("node").alias("v"))
     edges = staged(edges.unionByName(alike(pairs, nodes, texts, similarity, width)), "hub-links")
@@ -204,8 +240,13 @@ def similar_sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, similarit
     # a pair that is too unlike falls away in the join itself, by 512 bits a set
     folded = nodes.select("node", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(
         F.filter("bits", lambda _, k: k % 8 == i), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(w))).alias("fold"))
-    rows = staged(open_buckets(labelled()).join(folded, "node"), "open")
-    smaller = rows.filter("indexed").select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"), F.col("place").alias("at"), F.col("fold").alias("held"))
+    # a pair is given at one shared shingle, not at all of them: not where one of the last few before it is shared too
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-4, -1)
+    rows = first_of_alike(labelled()).withColumn("before", F.collect_list("token").over(before))
+    rows = staged(rows.join(folded, "node"), "open")
+    smaller = rows.filter("indexed").select("token", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"), F.col("place").alias("at"),
+                                            F.col("fold").alias("held"), F.col("before").alias("earlier"))
     after = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("u") < F.col("node")))
-    pairs = smaller.join(rows, "token").filter(after & (F.col("top") != F.col("root")) & near("n", "m") & first_shared() & overlap_left()).select("u", F.col("node").alias("v"))
+    worth = after & (F.col("top") != F.col("root")) & near("n", "m") & first_shared() & ~F.arrays_overlap("before", "earlier") & overlap_left()
+    pairs = smaller.join(rows, "token").filter(worth).select("u", F.col("node").alias("v"))
     return connected_components(edges.unionByName(alike(pairs, nodes, texts, similarity, width)))

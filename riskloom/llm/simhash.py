@@ -218,7 +218,7 @@ def near_copies(keyed: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     often as not.
     """
     texts_once = distinct_texts(keyed)
-    sets = staged(jaccard.described(texts_once, similarity, width), "sets")
+    sets = jaccard.described(texts_once, similarity, width)
     double = staged(sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min("text_key").alias("one")).filter("texts > 1"), "double")
     unique = sets.join(double, "node", "left").filter(F.col("one").isNull() | (F.col("one") == F.col("text_key")))
     nodes = staged(unique.filter("n > 0").drop("one", "texts"), "nodes")

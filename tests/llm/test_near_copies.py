@@ -1,6 +1,7 @@
 """The pipeline's near-copies are those of all pairs by five-word similarity, and rows go by their own text."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -101,3 +102,42 @@ def test_only_rows_with_an_item_go(spark, frame):
     assert got.columns == docs.columns
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == [
         ("4", "also clean"), ("7", ""), ("None", "None"), ("None", "clean text")]
+
+
+def family(rng, n, words, edits):
+    """Texts made from one by different edits."""
+    base = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(words))
+    return [edited(rng, base, rng.choice(edits)) for _ in range(n)]
+
+
+def test_rare_shingles_come_first_in_one_order(spark):
+    """Shingles that many near copies share do not come before a copy's own, however many of them are set at the end."""
+    rng = random.Random(8)
+    made = family(rng, 80, 300, [4, 8])
+    texts = spark.createDataFrame([(i.to_bytes(2, "big"), t) for i, t in enumerate(made)], "text_key binary, text string")
+    rows = jaccard.described(texts, 0.8, 5).collect()
+    assert len(rows) == len({bytes(r["text_key"]) for r in rows}) == 80
+    hashes = jaccard.WordHashes()
+    sets = {bytes(r["text_key"]): jaccard.shingle_set(made[int.from_bytes(r["text_key"], "big")], 5, hashes) for r in rows}
+    number = Counter(t for s in sets.values() for t in s.tolist())
+    place = {}
+    for r in rows:
+        own = {t for t in sets[bytes(r["text_key"])].tolist() if number[t] == 1}
+        assert len(r["prefix"]) == jaccard.prefix_sizes(r["n"], 0.8)[0]
+        assert len(own) < 10 or {*r["prefix"][:10]} <= own
+        place[bytes(r["text_key"])] = {t: k for k, t in enumerate(r["prefix"])}
+    for a, b in combinations(place.values(), 2):
+        shared = sorted(a.keys() & b.keys(), key=a.get)
+        assert shared == sorted(shared, key=b.get)
+
+
+def test_pairs_do_not_meet_at_each_shared_shingle(spark, frame, monkeypatch):
+    """Rows of candidate pairs are about as many as the pairs, and the pairs suffice."""
+    rng = random.Random(9)
+    made = [t for _ in range(12) for t in family(rng, 8, 250, range(2, 9))]
+    docs = frame(list(enumerate(made)))
+    seen, alike = [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda pairs, *more: seen.append((pairs.count(), pairs.distinct().count())) or alike(pairs, *more))
+    want = kept_by_all_pairs(list(enumerate(made)))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want and 12 < len(want) < 90
+    assert len(seen) == 3 and 20 < seen[-1][1] <= seen[-1][0] < 1.5 * seen[-1][1]
