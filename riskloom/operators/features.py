@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import age_features, amount_transforms, calendar_features, present_map
 from riskloom.operators.joins import join_customer_features, join_location_features, lookup_left
 from riskloom.operators.relational import customer_features, location_features
-from riskloom.operators.temporal import trailing_features
+from riskloom.operators.temporal import trailing_by_keys
 from riskloom.session import scratch_path
 
 
@@ -81,10 +81,9 @@ def online_features(df: DataFrame, profile: str = "engine", ts: str = "transacti
     leaves unknown ages and locations out of the map and uses the plain log; ``gateway`` uses log(x+1)
     and age 0.
     """
-    by_customer = trailing_features(df, "customer_id", ts, 30, {
-        "__c_n": ("count", None), "__c_avg": ("avg", "amount"), "__c_risk": ("avg", score)})
-    both = trailing_features(by_customer, "location", ts, 7, {
-        "__l_n": ("count", None), "__l_risk": ("avg", score)})
+    both = trailing_by_keys(df, ts, {
+        "customer_id": (30, {"__c_n": ("count", None), "__c_avg": ("avg", "amount"), "__c_risk": ("avg", score)}),
+        "location": (7, {"__l_n": ("count", None), "__l_risk": ("avg", score)})})
     engine = profile == "engine"
     amounts, cal = amount_transforms("amount", plus_one=not engine), calendar_features(ts)
     entries = {

@@ -22,6 +22,23 @@ def trailing_features(df: DataFrame, key: str, ts: str, days: float, aggs: Mappi
     Both ends are open: a row at exactly ``days`` before does not count, neither does the row itself nor
     any row of the same instant. ``aggs`` maps output names to ("count", None) or ("avg"/"sum", column).
     A row without a key gets a count of 0 and no averages.
+    """
+    return trailing_by_keys(df, ts, {key: (days, aggs)}, bucket)
+
+
+def trailing_by_keys(df: DataFrame, ts: str, by: Mapping[str, tuple[float, Mapping[str, tuple[str, str | None]]]],
+                     bucket: str = "1 hour") -> DataFrame:
+    """``trailing_features`` for several keys, given as key: (days, aggs). Every key's features come from ``df`` itself, not
+    from rows that already carry those of another key, which would be made twice."""
+    out = rows = df.withColumn("__t", micros(ts))
+    for key, (days, aggs) in by.items():
+        out = out.join(_trailing_table(rows, key, days, aggs, bucket), [key, "__t"], "left")
+    counts = {n: 0 for _, aggs in by.values() for n, (kind, _) in aggs.items() if kind == "count"}
+    return out.select(*df.columns, *[n for _, aggs in by.values() for n in aggs]).na.fill(counts)
+
+
+def _trailing_table(rows: DataFrame, key: str, days: float, aggs: Mapping[str, tuple[str, str | None]], bucket: str) -> DataFrame:
+    """The trailing features of every (key, __t).
 
     Rows are merged per (key, instant) and processed per (key, hour), so a key with a third of all rows is
     spread over as many tasks as it has hours. A window is the part of the own hour before the row, the
@@ -35,7 +52,6 @@ def trailing_features(df: DataFrame, key: str, ts: str, days: float, aggs: Mappi
     measures = sorted({c for _, c in aggs.values() if c is not None})
     fields = ["n_rows", *[f"sum_{c}" for c in measures], *[f"n_{c}" for c in measures]]
 
-    rows = df.withColumn("__t", micros(ts))
     points = rows.filter(F.col(key).isNotNull() & F.col("__t").isNotNull()).groupBy(key, "__t").agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.sum(F.col(c).cast("double")).alias(f"sum_{c}") for c in measures],
@@ -73,9 +89,7 @@ def trailing_features(df: DataFrame, key: str, ts: str, days: float, aggs: Mappi
             out.append(F.when(total(f"n_{c}") > 0, total(f"sum_{c}")).alias(name))
         else:
             raise ValueError(f"unknown trailing aggregate: {kind}")
-    features = joined.select(key, "__t", *out)
-    counts = {n: 0 for n, (kind, _) in aggs.items() if kind == "count"}
-    return rows.join(features, [key, "__t"], "left").drop("__t").na.fill(counts)
+    return joined.select(key, "__t", *out)
 
 
 def trailing_snapshot(df: DataFrame, key: str, ts: str, days: float, aggs: Mapping[str, tuple[str, str | None]],

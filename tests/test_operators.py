@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import features as FE
 from riskloom.operators import joins as J
 from riskloom.operators import ordered as O
 from riskloom.operators import quality as Q
@@ -266,3 +267,19 @@ def test_cast_failures_are_flagged(spark):
     df = spark.createDataFrame([("1.5", "x"), (None, "7")], "amount string, customer_age string")
     got = R.cast_types(df, count_failures=True).collect()
     assert [(r.amount, r.customer_age, r.cast_failures) for r in got] == [(1.5, None, ["customer_age"]), (None, 7, [])]
+
+
+def test_online_features_are_made_in_one_pass_for_each_key(spark, warehouse):
+    """The features of a location come from the rows, not from rows joined with those of the customer, which would be made twice."""
+    df = warehouse.scored.select("transaction_id", "customer_id", "location", "amount", "customer_age", "transaction_timestamp", "risk_score").localCheckpoint()
+    got = FE.online_features(df)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 7  # rows, and three reads of each key's points
+    chained = TP.trailing_features(TP.trailing_features(df, "customer_id", "transaction_timestamp", 30, {"c": ("count", None)}),
+                                   "location", "transaction_timestamp", 7, {"l": ("count", None), "r": ("avg", "risk_score")})
+    want = {r["transaction_id"]: (r["c"], r["l"], r["r"], r["location"]) for r in chained.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) > 1000 and got.columns == [*df.columns, "features"]
+    for r in rows:
+        c, n, avg, place = want[r["transaction_id"]]
+        assert r["features"]["customer_transaction_count"] == c and r["features"].get("location_transaction_count") == (n if place else None)
+        assert (r["features"].get("location_risk_score") is None) == (avg is None) and abs((avg or 0) - r["features"].get("location_risk_score", 0)) < 1e-9
