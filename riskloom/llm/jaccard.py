@@ -28,7 +28,7 @@ class WordHashes(dict):
     """XXH64 (seed 42) of words, remembered within a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 42)
         return out
@@ -81,12 +81,18 @@ def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1, n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1
 
 
+def among(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles are in ``common`` (sorted)."""
+    if not len(common):
+        return np.zeros(len(shingles), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+
+
 def ordered_prefix(shingles: np.ndarray, size: int, common: np.ndarray) -> np.ndarray:
     """The first ``size`` shingles by hash, those in ``common`` (sorted) after all others."""
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
-        if late[:size].any():
-            shingles = np.r_[shingles[~late][:size], shingles[late][:size]]
+    late = among(shingles, common)
+    if late[:size].any():
+        shingles = np.r_[shingles[~late][:size], shingles[late][:size]]
     return shingles[:size]
 
 
@@ -99,6 +105,8 @@ def by_text(make, schema: str, texts: DataFrame, rows: int = 256) -> DataFrame:
                 part = b.slice(lo, rows)
                 columns = make([shingle_set(t.as_py(), width, hashes) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns.values())], ["text_key", *columns])
+            b = part = columns = None
+            pa.default_memory_pool().release_unused()  # what a worker holds counts for later stages too
 
     width = make.width
     return texts.select("text_key", "text").mapInArrow(run, f"text_key binary, {schema}")
@@ -130,7 +138,7 @@ def ordered_sets(texts: DataFrame, common: np.ndarray, similarity: float, width:
         return {"node": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype="<u8").view("<i8"),
                 "n": np.array([len(s) for s in sets], dtype=np.int32), "short": np.array([q for _, q in sizes], dtype=np.int32),
                 "fp": np.array([majority(s) for s in sets], dtype=np.int64), "bits": [spread_bits(s) for s in sets], "prefix": prefixes,
-                "rare": np.array([len(p) - np.isin(p, sent.value).sum() for p in prefixes], dtype=np.int32),
+                "rare": np.array([len(p) - among(p, sent.value).sum() for p in prefixes], dtype=np.int32),
                 "moved": np.array([not np.array_equal(p, s[:len(p)]) for s, p in zip(sets, prefixes)], dtype=bool)}
 
     make.width = width
