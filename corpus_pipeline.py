@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the text, their number, and whether they decode to the same text."""
-    return sentencepiece_fst.encode(docs)
+    return sentencepiece_fst.encode(docs, cache_size=100_000)  # workers keep what earlier stages took, too
 
 
 STAGES = [

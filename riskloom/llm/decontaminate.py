@@ -204,9 +204,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.
         def look(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             block = sent.value
             for b in batches:
-                ids, values, rows = b["doc_id"].to_numpy(), [plain(t) for t in b["text"]], []
+                ids, values, rows = b["doc_id"].to_numpy(), b["text"].to_numpy(), []
                 for lo, hi in pieces_of(values, piece_chars):
-                    rows += [(ids[lo + d], block.ids[i], edits, s, e) for d, i, edits, s, e in scan(values[lo:hi], block, q)]
+                    rows += [(ids[lo + d], block.ids[i], edits, s, e) for d, i, edits, s, e in scan([plain(t) for t in values[lo:hi]], block, q)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start", "end"]).astype(
                     {"doc_id": "Int64", "item_id": "int64", "edits": "int32", "start": "int64", "end": "int64"})
 

@@ -190,6 +190,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: floa
                     last, held = text, shingle_set(text, width, hashes)
                 reach.append(similarity_of(held, shingle_set(y.as_py(), width, hashes)) >= similarity - 1e-12)
             yield batch.select(["u", "v"]).filter(pa.array(reach, pa.bool_()))
+            batch = None
+            pa.default_memory_pool().release_unused()
 
     return near.join(a, "tu").join(b, "tv").select("u", "v", "x", "y").mapInArrow(verify, "u bigint, v bigint")
 

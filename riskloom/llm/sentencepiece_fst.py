@@ -12,7 +12,7 @@ composed in small parts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +26,8 @@ from riskloom.llm.common import texts
 
 MARK = "▁"
 SCHEMA = "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean"
+#: Pairs of pieces remembered in a task; only speed and memory depend on it.
+MOST_PAIRS = 500_000
 
 
 class Transducer:
@@ -86,7 +88,7 @@ class Transducer:
         """
         known = self.apart.get((a, b))
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > MOST_PAIRS:
                 self.apart.clear()
             known = self.apart[a, b] = (len(b) == 1 or self.halves(b) is not None) and (not a or self._never_joined(a, b))
         return known
@@ -155,12 +157,30 @@ class Transducer:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model_path: str | None = None, cache_size: int = 250_000) -> DataFrame:
+def encoded(batch: pa.RecordBatch, machine: Transducer, cut: Callable[[str], list[str]], cache: ChunkCache) -> pa.RecordBatch:
+    """The result rows of a few documents (doc_id, text), read one by one."""
+    parts, sizes, same = [], [], []
+    for value in batch.column("text"):
+        text = value.as_py()
+        raw = cache(cut((MARK + text).replace(" ", MARK))) if text else b""
+        parts.append(raw)
+        ids = codes(raw)
+        sizes.append(len(ids))
+        same.append(machine.decode(ids.tolist()) == text.replace(MARK, " "))
+    flat = codes(b"".join(parts))
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
+        names=["doc_id", "ids", "n_ids", "round_trip"])
+
+
+def encode(docs: DataFrame, model_path: str | None = None, cache_size: int = 250_000, rows: int = 256) -> DataFrame:
     """doc_id, ids, n_ids and round_trip for every row of ``docs``.
 
     ``round_trip`` tells that decoding the ids gives the text again, with a word mark in the text read as a space.
     Null and empty texts have no ids. Repeated rows are kept; other columns are dropped. The vocabulary is read on the
-    driver and sent to all tasks; its size does not depend on the data.
+    driver and sent to all tasks; its size does not depend on the data. A task holds the ids of ``rows`` texts at a time.
     """
     compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model_path or public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -168,18 +188,9 @@ def encode(docs: DataFrame, model_path: str | None = None, cache_size: int = 250
         machine = compiled.value
         cut, cache = cutter(MARK, machine.marks).findall, ChunkCache(machine.encode_chunks, cache_size)
         for batch in batches:
-            parts, sizes, same = [], [], []
-            for text in batch.column("text").to_pylist():
-                raw = cache(cut((MARK + text).replace(" ", MARK))) if text else b""
-                parts.append(raw)
-                ids = codes(raw)
-                sizes.append(len(ids))
-                same.append(machine.decode(ids.tolist()) == text.replace(MARK, " "))
-            flat = codes(b"".join(parts))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "ids", "n_ids", "round_trip"])
+            for lo in range(0, batch.num_rows, rows):
+                yield encoded(batch.slice(lo, rows), machine, cut, cache)
+            batch = None
+            pa.default_memory_pool().release_unused()
 
     return texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

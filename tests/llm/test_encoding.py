@@ -1,10 +1,12 @@
 """Token ids: the SentencePiece transducer and the shard index against the libraries."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -41,6 +43,21 @@ def test_small_cache_gives_the_same(spark, frame, model):
     assert all(r["ids"] == model.encode(texts[r["doc_id"]]) for r in rows)
 
 
+def test_a_task_holds_few_texts_at_a_time(frame, monkeypatch):
+    docs, tasks = frame([(1, "x")]), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    sentencepiece_fst.encode(docs)
+    text = "ein langer Text " * 300
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [text] * 3000})
+    tracemalloc.start()
+    try:
+        n = sum(out.num_rows for out in tasks[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 3000 and peak < 10 * 256 * len(text)  # all texts at once are 3000 * len(text)
+
+
 def test_every_finite_path_is_the_only_one():
     machine = sentencepiece_fst.Transducer.load(public_tokenizers.path("piece_bpe_32k.model"))
 
