@@ -26,15 +26,15 @@ from riskloom.llm.common import texts
 
 MARK = "▁"
 SCHEMA = "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean"
-#: Pairs of pieces remembered in a task; only speed and memory depend on it.
+#: Pairs of pieces remembered in a task.
 MOST_PAIRS = 500_000
 
 
 class Transducer:
     """Compiled from a model's pieces; holds only dictionaries, so it is cheap to send."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes]) -> None:
-        self.pieces, self.byte_ids, self.spelled = pieces, byte_ids, spelled
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes], most_pairs: int = MOST_PAIRS) -> None:
+        self.pieces, self.byte_ids, self.spelled, self.most_pairs = pieces, byte_ids, spelled, most_pairs
         self.longest: dict[str, int] = {}
         for p in pieces:
             self.longest[p[0]] = max(self.longest.get(p[0], 1), len(p))
@@ -47,7 +47,7 @@ class Transducer:
         self.split: dict[str, list[str] | None] = {}
 
     @classmethod
-    def load(cls, path: str) -> Transducer:
+    def load(cls, path: str, most_pairs: int = MOST_PAIRS) -> Transducer:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         named = [model.id_to_piece(i) for i in range(n)]
@@ -57,7 +57,7 @@ class Transducer:
         spelled = [p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(named)]
         for b, i in enumerate(byte_ids):
             spelled[i] = bytes([b])
-        return cls(pieces, byte_ids, spelled)
+        return cls(pieces, byte_ids, spelled, most_pairs)
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """The pieces left when the best neighbouring pair is joined again and again, the leftmost of equals first."""
@@ -88,7 +88,7 @@ class Transducer:
         """
         known = self.apart.get((a, b))
         if known is None:
-            if len(self.apart) > MOST_PAIRS:
+            if len(self.apart) >= self.most_pairs:
                 self.apart.clear()
             known = self.apart[a, b] = (len(b) == 1 or self.halves(b) is not None) and (not a or self._never_joined(a, b))
         return known
@@ -175,14 +175,16 @@ def encoded(batch: pa.RecordBatch, machine: Transducer, cut: Callable[[str], lis
         names=["doc_id", "ids", "n_ids", "round_trip"])
 
 
-def encode(docs: DataFrame, model_path: str | None = None, cache_size: int = 250_000, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model_path: str | None = None, cache_size: int = 250_000, rows: int = 256,
+           most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, ids, n_ids and round_trip for every row of ``docs``.
 
     ``round_trip`` tells that decoding the ids gives the text again, with a word mark in the text read as a space.
     Null and empty texts have no ids. Repeated rows are kept; other columns are dropped. The vocabulary is read on the
     driver and sent to all tasks; its size does not depend on the data. A task holds the ids of ``rows`` texts at a time.
+    On ``cache_size`` (chunks) and ``most_pairs`` (pairs of pieces remembered) only speed and memory depend.
     """
-    compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model_path or public_tokenizers.path("piece_bpe_32k.model")))
+    compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model_path or public_tokenizers.path("piece_bpe_32k.model"), most_pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled.value

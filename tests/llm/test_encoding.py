@@ -11,7 +11,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from riskloom.llm import queries, sentencepiece_fst, token_index
+import corpus_pipeline
+from riskloom.llm import common, queries, sentencepiece_fst, token_index
 
 SF = "/root/testdata/sf0.001"
 PARTS = [*"aabbTHeino .,,!?\n\t▁éßñ中한 😀½'st\"(){};:=0123|*<>İΣſ#$", "  ", "   ", "ing", "tion", "'s", "<|endoftext|>", "é.", "\x1c"]
@@ -58,6 +59,29 @@ def test_a_task_holds_few_texts_at_a_time(frame, monkeypatch):
     assert n == 3000 and peak < 10 * 256 * len(text)  # all texts at once are 3000 * len(text)
 
 
+def test_few_remembered_pairs_give_the_same(model):
+    machine, texts = sentencepiece_fst.Transducer.load(public_tokenizers.path("piece_bpe_32k.model"), most_pairs=20), random_texts(200, seed=11)
+    for text in texts:
+        chunks = sentencepiece_fst.cutter("▁", machine.marks).findall(("▁" + text).replace(" ", "▁")) if text else []
+        assert np.frombuffer(b"".join(machine.encode_chunks(chunks)), "<i4").tolist() == model.encode(text) and len(machine.apart) <= 20
+
+
+def test_the_pipeline_sends_texts_to_python_in_small_batches(spark, frame):
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
+
+    held = frame([(i, "x" * 10_000) for i in range(1500)]).coalesce(1)
+    try:
+        corpus_pipeline.encode(spark, frame([(1, "x")]), "")
+        got = [r["n"] for r in held.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(got) == 1500 and max(got) * 10_000 < 3 << 20  # 15 MB at once by default
+        spark.conf.set(common.ARROW_BYTES, "64m")
+        corpus_pipeline.encode(spark, frame([(1, "x")]), "")
+        assert [r["n"] for r in held.mapInArrow(sizes, "n bigint").collect()] == [1500]  # what the session names stays
+    finally:
+        spark.conf.unset(common.ARROW_BYTES)
+
+
 def test_every_finite_path_is_the_only_one():
     machine = sentencepiece_fst.Transducer.load(public_tokenizers.path("piece_bpe_32k.model"))
 
