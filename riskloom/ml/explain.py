@@ -155,8 +155,7 @@ def _input_factors(model: PipelineModel, features: list[str]) -> np.ndarray | No
         return np.ones(len(features))
     if type(stages[1]).__name__ != "StandardScalerModel" or stages[1].getWithMean() or not stages[1].getWithStd():
         return None
-    spread = stages[1].std.toArray()
-    return np.where(spread > 0, 1 / np.where(spread > 0, spread, 1.0), 0.0)
+    return trees.scale_factors(stages[1])
 
 
 def _lime_in_batches(model, rows, features, id_col, deviations, n, seed, penalty, width, factors) -> DataFrame:

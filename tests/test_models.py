@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from riskloom.ml import ensemble, explain, fairness, metrics, search, train, trees
+from riskloom.ml import cells, ensemble, explain, fairness, metrics, search, train, trees
 
 FEATURES = ["x1", "x2", "x3"]
 
@@ -386,3 +386,68 @@ def test_explanation_struct(spark):
     on = explain.explanation_struct(df, None, "s", None, "p").first().explanation
     assert (on.shap_values, on.decision_path, on.lime_explanation) == ({"x": 1.0}, ["step"], None)
     assert explain.explanation_struct(df, None, "s", None, "p", enabled=False).first().explanation is None
+
+
+def test_cells_hold_every_row_by_exact_quantiles(spark):
+    rng = np.random.default_rng(11)
+    n = 25_000
+    pdf = pd.DataFrame({"a": np.round(rng.normal(0, 50, n), 2) - 0.0, "b": rng.integers(-3, 20, n).astype(float), "c": np.where(rng.random(n) < 0.9, 1e6, 1e6 + rng.random(n))})
+    pdf["label"] = (rng.random(n) < 0.3).astype(int)
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(None, 1.0, 1.0, 1), (1.0, float("nan"), 1.0, 0)], "a double, b double, c double, label bigint"))
+    got = cells.count(df, "label", ["a", "b", "c"], {8, 32})
+    assert got.up.sum() == pdf["label"].sum() and got.up.sum() + got.down.sum() == n
+    for bins in (8, 32):
+        for j, c in enumerate("abc"):
+            values, counts = np.unique(pdf[c], return_counts=True)
+            ends = values[np.unique(np.searchsorted(np.cumsum(counts), np.arange(1, bins) * n / bins))] if len(values) > bins else values[:-1]
+            assert np.array_equal(got.edges[bins][j], ends)
+        x, rows = cells.merged(got.bins(bins), np.stack([got.up, got.down], axis=1))
+        want = np.stack([np.searchsorted(got.edges[bins][j], pdf[c]) for j, c in enumerate("abc")], axis=1)
+        told: dict = {}
+        for k, y in zip(map(tuple, want.tolist()), pdf["label"]):
+            up, down = told.get(k, (0, 0))
+            told[k] = (up + y, down + 1 - y)
+        assert {tuple(k): tuple(v) for k, v in zip(x.tolist(), rows.tolist())} == told
+    assert cells.cuts(df.select(F.col("a").alias("x0"), F.col("c").alias("x1")).na.drop(), ["x0", "x1"], {32}, most=10) is None
+
+
+def test_searches_see_every_row(spark, monkeypatch):
+    """Class 1 is rare enough that the old draw of 20,000 rows left some of it out."""
+    df = spark.range(50_000).selectExpr("double(id % 7) AS x1", "double(id % 11) AS x2", "int(id % 1000 = 3 OR id % 7 = 2) AS label")
+    seen, merged = [], cells.merged
+    monkeypatch.setattr(cells, "merged", lambda x, rows: seen.append(int(rows.sum())) or merged(x, rows))
+    for kind, draws in (("forest", [{"numTrees": 2, "maxDepth": 2}]), ("boosting", [{"maxIter": 3, "maxDepth": 2}])):
+        assert search.nested_search(df, "label", ["x1", "x2"], draws, kind).first()["auc"] > 0.9
+    assert seen == [50_000, 50_000]
+
+
+def test_fitted_trees_are_models_of_all_rows(frame):
+    """What the model gives is what the trees gave as they grew, also in scaled features; every row counts at the roots."""
+    rounds = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0}
+    counted = cells.count(frame, "label", FEATURES, {32})
+    x, rows = cells.merged(counted.bins(32), np.stack([counted.up, counted.down], axis=1))
+    *_, margin = search.boosted_rounds(x, rows[:, 0], rows[:, 1], search.DEFAULTS["boosting"] | rounds, 6, np.random.default_rng(42))
+    pdf = frame.orderBy("id").toPandas()
+    at = {tuple(c): m for c, m in zip(x.tolist(), margin)}
+    want = [at[tuple(np.searchsorted(counted.edges[32][j], r[c]) for j, c in enumerate(FEATURES))] for _, r in pdf.iterrows()]
+    for scale in (False, True):
+        stages, col = train.assembled(FEATURES, scale=scale)
+        estimator = GBTClassifier(labelCol="label", featuresCol=col, seed=42).setParams(**rounds)
+        model = train.fit_trees("boosting", estimator, stages, frame, "label", FEATURES)
+        flat, target = trees.flatten(model, frame.sparkSession)
+        assert target == "margin" and flat.feature.shape[0] == 6 and set(flat.cover[:, 0]) == {800.0}
+        got = [r.m for r in model.transform(frame).orderBy("id").select(vector_to_array("rawPrediction")[1].alias("m")).collect()]
+        assert np.allclose(got, want)
+    broken = frame.withColumn("x1", F.when(F.col("id") != "r1", F.col("x1")))
+    with pytest.raises(ValueError):
+        train.fit_trees("boosting", estimator, stages, broken, "label", FEATURES)
+
+
+def test_too_many_cells_go_to_sparks_fits(frame, monkeypatch):
+    draws = [{"numTrees": 5, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 4}]
+    by_cells = {r.draw: r.auc for r in search.nested_search(frame, "label", FEATURES, draws, "forest", folds=2).collect()}
+    monkeypatch.setattr(cells, "CELLS", 100)
+    assert cells.count(frame, "label", FEATURES, {32}) is None
+    plain = {r.draw: r.auc for r in search.nested_search(frame, "label", FEATURES, draws, "forest", folds=2).collect()}
+    assert all(abs(plain[i] - by_cells[i]) < 0.1 for i in by_cells) and len(plain) == 2
+    assert auc_of(train.tune_cv(frame, "label", {"numTrees": [5], "maxDepth": [2, 4]}, folds=2, features=FEATURES), frame) > 0.85
