@@ -1159,7 +1159,7 @@ def tune_cv(w):
 
 @query
 def tune_random(w):
-    model = train.tune_random(fit_rows(w), "label")
+    model = train.tune_random(training_part(w), "label")
     return checked(train.predict_risk(model, training_rows(w)))
 
 

@@ -39,3 +39,19 @@ def test_searches_and_zoo_run_as_the_operators_do(spark, monkeypatch, name, sett
     with pytest.raises(Seen) as seen:
         registry.queries()[name](spark, SF)
     assert not settings & set(seen.value.args[0])
+
+
+@pytest.mark.parametrize("name", ["tune_random"])
+def test_searches_and_zoo_fit_on_every_training_row(spark, warehouse, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def look(rows, *more, **named):
+        raise Seen(rows.count())
+
+    monkeypatch.setattr(registry, "FIT_ROWS", 50)
+    monkeypatch.setattr(train, name, look)
+    with pytest.raises(Seen) as seen:
+        registry.queries()[name](spark, SF)
+    fit, _ = train.hash_split(warehouse.transactions, "transaction_id")
+    assert seen.value.args[0] == fit.count() > 1000
