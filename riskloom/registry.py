@@ -1153,7 +1153,7 @@ def predict_risk(w):
 
 @query
 def tune_cv(w):
-    model = train.tune_cv(fit_rows(w), "label")
+    model = train.tune_cv(training_part(w), "label")
     return checked(train.predict_risk(model, training_rows(w)))
 
 
