@@ -41,7 +41,7 @@ def test_searches_and_zoo_run_as_the_operators_do(spark, monkeypatch, name, sett
     assert not settings & set(seen.value.args[0])
 
 
-@pytest.mark.parametrize("name", ["tune_cv", "tune_random"])
+@pytest.mark.parametrize("name", ["tune_cv", "tune_random", "train_zoo"])
 def test_searches_and_zoo_fit_on_every_training_row(spark, warehouse, monkeypatch, name):
     class Seen(Exception):
         pass
