@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -90,27 +91,57 @@ def _hashed(value: int | np.ndarray, h: np.ndarray) -> np.ndarray:
     """XXH64 of whole numbers of 32 bits under the seeds ``h``: what ``F.xxhash64`` makes of one more key."""
     a, b, c, e = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
     h = (h + (e + np.uint64(4))) ^ (np.asarray(value, dtype=np.uint64) * a)
-    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * b + c
-    h ^= h >> np.uint64(33)
+    t = h >> np.uint64(41)
+    h <<= np.uint64(23)
+    h |= t
     h *= b
-    h ^= h >> np.uint64(29)
-    h *= c
-    h ^= h >> np.uint64(32)
+    h += c
+    for shift, factor in ((33, b), (29, c), (32, None)):
+        np.right_shift(h, np.uint64(shift), out=t)
+        h ^= t
+        if factor is not None:
+            h *= factor
     return h
 
 
+#: The sine as a polynomial of odd powers, from the highest; off by less than 1e-15 up to a quarter of the circle.
+_SINE = [(-1) ** (i % 2) / factorial(2 * i + 1) for i in range(10, -1, -1)]
+
+
+def _cosine_of_turns(v: np.ndarray) -> np.ndarray:
+    """The cosine of ``v`` turns for v in [0, 1], in place: the sine of what |v - 1/2| is over a quarter."""
+    v -= 0.5
+    np.abs(v, out=v)
+    v -= 0.25
+    v *= 2 * np.pi
+    square = v * v
+    out = np.full_like(v, _SINE[0])
+    for c in _SINE[1:]:
+        out *= square
+        out += c
+    out *= v
+    return out
+
+
 def _offsets(key: np.ndarray, n: int, features: int, seed: int) -> np.ndarray:
-    """``_offset`` for all perturbations and features, by hash of the id: rows x n x features."""
+    """``_offset`` for all perturbations and features, by hash of the id: rows x n x features, of which a row's and feature's lie together."""
     with np.errstate(over="ignore"):
         drawn = _hashed(np.arange(n), key.astype(np.int64).view(np.uint64)[:, None])
-        out = np.empty((len(key), n, features))
+        out = np.empty((len(key), features, n))
         for j in range(features):
             h = _hashed(seed, _hashed(j, drawn))
-            u = ((h >> np.uint64(32)).astype(float) + 0.5) / 2.0**32
-            v = ((h & np.uint64(2**32 - 1)).astype(float) + 0.5) / 2.0**32
-            out[:, :, j] = np.sqrt(-2.0 * np.log(u)) * np.cos(2 * np.pi * v)
-    out[:, 0] = 0.0
-    return out
+            u = (h >> np.uint64(32)).astype(np.float64)
+            h &= np.uint64(2**32 - 1)
+            v = h.astype(np.float64)
+            for part in (u, v):
+                part += 0.5
+                part *= 2.0**-32
+            np.log(u, out=u)
+            u *= -2.0
+            np.sqrt(u, out=u)
+            np.multiply(u, _cosine_of_turns(v), out=out[:, j])
+    out[:, :, 0] = 0.0
+    return out.swapaxes(1, 2)
 
 
 def _offset(key: Column, i: Column, feature: int, seed: int) -> Column:
@@ -168,13 +199,13 @@ def _lime_in_batches(model, rows, features, id_col, deviations, n, seed, penalty
             x, sd = (np.stack(b[c].to_numpy()) if len(b) else np.empty((0, len(features))) for c in ("__x", "__sd"))
             solved = []
             for lo in range(0, len(b), step):
-                z = _offsets(b["__key"].to_numpy()[lo:lo + step], n, len(features), seed)
                 at = slice(lo, lo + step)
-                p = forest(((x[at, None] + z * sd[at, None]) * factors).reshape(-1, len(features))).reshape(len(z), n)
-                w = np.exp(-np.einsum("rnf,rnf->rn", z, z) / width ** 2)
-                design = np.concatenate([np.ones((len(z), n, 1)), z], axis=2)
-                weighted = (design * w[..., None]).swapaxes(1, 2)
-                solved.append(np.linalg.solve(weighted @ design + penalty, weighted @ p[..., None])[..., 0])
+                z = _offsets(b["__key"].to_numpy()[at], n, len(features), seed).swapaxes(1, 2)
+                points = [(x[at, j, None] + z[:, j] * sd[at, j, None]) * factors[j] for j in range(len(features))]
+                p = forest.at(points) if isinstance(forest, trees.Table) else forest(np.stack(points, axis=2).reshape(-1, len(features))).reshape(len(z), n)
+                design = np.concatenate([np.ones((len(z), 1, n)), z], axis=1)
+                weighted = design * np.exp(np.einsum("rfn,rfn->rn", z, z) / -width ** 2)[:, None]
+                solved.append(np.linalg.solve(weighted @ design.swapaxes(1, 2) + penalty, weighted @ p[..., None])[..., 0])
             if solved:
                 yield pd.DataFrame({id_col: b[id_col], "solved": list(np.concatenate(solved))})
 

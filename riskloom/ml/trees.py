@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 from math import factorial
@@ -107,16 +107,26 @@ class Table:
     cuts: list[np.ndarray]
     values: np.ndarray
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """The cell of each row: x <= threshold leads left, so a feature's place is its number of thresholds below x."""
-        at = np.zeros(len(x), dtype=np.int64)
-        for j, c in enumerate(self.cuts):
-            if len(c):
-                at = at * (len(c) + 1) + np.searchsorted(c, x[:, j])
-        return at
+    def at(self, columns: Sequence[np.ndarray]) -> np.ndarray:
+        """The values in the cells of points, given by feature: x <= threshold leads left, so a feature's place is its number of thresholds below x.
+
+        A few thresholds are compared one by one, which costs less than a search.
+        """
+        cell = np.zeros(columns[0].shape, dtype=np.int64)
+        for x, c in zip(columns, self.cuts):
+            if len(c) > 64:
+                cell *= len(c) + 1
+                cell += np.searchsorted(c, x)
+            elif len(c):
+                left, above = np.empty(x.shape, dtype=bool), np.full(x.shape, len(c), dtype=np.uint8)
+                for cut in c:
+                    above -= np.less_equal(x, cut, out=left).view(np.uint8)
+                cell *= len(c) + 1
+                cell += above
+        return self.values.take(cell, axis=0)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.values.take(self.cells(x), axis=0)
+        return self.at(np.ascontiguousarray(x.T))
 
 
 def grid(trees: Trees) -> list[np.ndarray] | None:

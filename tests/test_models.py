@@ -451,3 +451,18 @@ def test_too_many_cells_go_to_sparks_fits(frame, monkeypatch):
     plain = {r.draw: r.auc for r in search.nested_search(frame, "label", FEATURES, draws, "forest", folds=2).collect()}
     assert all(abs(plain[i] - by_cells[i]) < 0.1 for i in by_cells) and len(plain) == 2
     assert auc_of(train.tune_cv(frame, "label", {"numTrees": [5], "maxDepth": [2, 4]}, folds=2, features=FEATURES), frame) > 0.85
+
+
+def test_lime_looks_scores_up_as_the_search_does(frame, monkeypatch):
+    """The model of the local explanations comes from counted cells, and points are placed and turned by arithmetic alone."""
+    v = (np.arange(0, 2**32, 104_729) + 0.5) / 2.0**32
+    assert np.abs(explain._cosine_of_turns(v.copy()) - np.cos(2 * np.pi * v)).max() < 2e-15
+    rng = np.random.default_rng(2)
+    cuts = [np.array([-1.0, 0.0, 2.0]), np.empty(0), np.arange(70.0)]
+    table = trees.Table(cuts, rng.random(4 * 71))
+    x = np.column_stack([rng.integers(-3, 5, 2000) / 1.0, rng.random(2000), rng.integers(-2, 75, 2000) / 1.0])
+    x[:2, 0] = np.nan, np.inf
+    assert np.array_equal(table(x), table.values[np.searchsorted(cuts[0], x[:, 0]) * 71 + np.searchsorted(cuts[2], x[:, 2])])
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda *given: pytest.fail("Spark's fit goes over the rows for every level"))
+    model = train.train_rf_pipeline(frame, "label", FEATURES, trees=3, depth=3)
+    assert explain.lime_local(model, frame.limit(20), FEATURES, "id", scale=frame, n=50, k=2).count() == 40
